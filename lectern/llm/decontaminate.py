@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,13 +40,19 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.
 BASE = 0x9E3779B97F4A7C15
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of BASE and of its inverse, modulo 2^64."""
+@lru_cache(maxsize=1)
+def table_of_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, BASE, dtype=np.uint64)])
     down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, pow(BASE, -1, 1 << 64), dtype=np.uint64)])
     return up, down
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of BASE and of its inverse, modulo 2^64, from 0 to n."""
+    up, down = table_of_powers(1 << max(16, n.bit_length()))
+    return up[: n + 1], down[: n + 1]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
