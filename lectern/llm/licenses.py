@@ -41,7 +41,7 @@ SENTENCES = {
     "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd_endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mpl2_notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl2_notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
     "unlicense_grant": "This is free and unencumbered software released into the public domain.",
     "reserved": "All rights reserved.",
 }

@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Gam:
     rows = sample(labels.select("doc_id", "quality").where("quality IS NOT NULL").where(remainder(FOLDS) != HELD), most)
     made = map_texts(texts_of(docs, rows), "text", lambda texts: {"x": list(matrix(texts))}, "x array<double>", ["doc_id", "quality"])
     found = made.orderBy("doc_id").toPandas()
-    return fit(np.array(found["x"].tolist(), dtype=np.float64).reshape(len(found), -1), found["quality"].to_numpy(dtype=np.float64))
+    return fit(np.array(found["x"].tolist(), dtype=np.float64).reshape(len(found), len(CLASSES) + 9), found["quality"].to_numpy(dtype=np.float64))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
