@@ -1,11 +1,192 @@
-"""Every registered query with its oracle."""
+"""Every registered query: how Spark runs it, and SQL for the same rows where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lectern.functions import scalar
+from lectern.operators import corpus, entities, graph, history, quality, text
+from lectern.sources.views import ctes, view
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+REVIEWED = "status IN ('confirmed', 'amended', 'rejected')"
+
+
+def add(name: str, views: str, run, oracle: str | None = None, needs: str | None = None) -> None:
+    """Register run(view, view, ...) over the named views, and oracle SQL over the same (or ``needs``) as CTEs."""
+    names = views.split()
+    _QUERIES[name] = lambda spark, sf_dir: run(*[view(spark, sf_dir, n) for n in names])
+    if oracle:
+        from lectern.sources.views import VIEWS
+
+        wanted = [n for n in (needs or views).split() if n in VIEWS]
+        _ORACLES[name] = (ctes(*wanted) + "\n" + oracle.strip()) if wanted and not oracle.strip().startswith(",") else (ctes(*wanted) + oracle.strip() if wanted else oracle.strip())
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+RATES = f"""count(*) AS n_total, count(*) FILTER ({REVIEWED}) AS n_reviewed, count(*) FILTER (status = 'confirmed') AS n_confirmed, count(*) FILTER (status = 'amended') AS n_amended,
+ count(*) FILTER (status = 'rejected') AS n_rejected, round(count(*) FILTER ({REVIEWED}) / count(*)::DOUBLE, 3) AS coverage,
+ CASE WHEN {{0}} THEN round(count(*) FILTER (status = 'confirmed') / (count(*) FILTER ({REVIEWED}))::DOUBLE, 3) END AS accuracy,
+ CASE WHEN {{0}} THEN round(count(*) FILTER (status = 'amended') / (count(*) FILTER ({REVIEWED}))::DOUBLE, 3) END AS amend_rate,
+ CASE WHEN {{0}} THEN round(count(*) FILTER (status = 'rejected') / (count(*) FILTER ({REVIEWED}))::DOUBLE, 3) END AS reject_rate"""
+ENOUGH = f"count(*) FILTER ({REVIEWED}) >= 5"
+
+# ---- review outcomes ------------------------------------------------------------------
+add("accuracy_by_confidence", "findings", lambda f: quality.accuracy_by(f, "confidence"), f"SELECT confidence, {RATES.format(ENOUGH)} FROM findings WHERE source <> 'human' GROUP BY confidence")
+add("quality_grouping_sets", "findings", quality.extraction_quality, f"SELECT type_id, confidence, source, {RATES.format(f'(count(*) FILTER ({REVIEWED}) > 0 AND (grouping(type_id, confidence, source) = 7 OR {ENOUGH}))')} FROM findings GROUP BY GROUPING SETS ((), (type_id), (confidence), (source))")
+add("calibration_verdict", "findings", quality.calibration, f""", a AS (SELECT confidence, round(count(*) FILTER (status = 'confirmed') / (count(*) FILTER ({REVIEWED}))::DOUBLE, 3) AS accuracy FROM findings GROUP BY 1 HAVING {ENOUGH}),
+ b AS (SELECT accuracy, lead(accuracy) OVER (ORDER BY confidence DESC) AS lower FROM a)
+ SELECT count(*) AS n_levels, count(*) FILTER (accuracy < lower) AS n_inversions, CASE WHEN count(*) < 2 THEN 'insufficient_evidence' WHEN count(*) FILTER (accuracy < lower) > 0 THEN 'inverted' WHEN count(DISTINCT accuracy) = 1 THEN 'flat' ELSE 'monotonic' END AS verdict FROM b""")
+add("grounding_by_source", "findings", quality.grounding, "SELECT source, count(*) AS n_quoted, count(alignment) AS n_grounded, count(*) - count(alignment) AS n_fabricated, round(count(alignment) / count(*)::DOUBLE, 3) AS grounded_rate FROM findings WHERE excerpt <> '' GROUP BY source")
+add("concept_precision", "findings", quality.concept_precision, f"SELECT concept_id, count(*) AS n_raised, count(*) FILTER ({REVIEWED}) AS n_reviewed, count(*) FILTER (status IN ('confirmed', 'amended')) AS n_upheld, count(*) FILTER (status = 'rejected') AS n_dismissed, CASE WHEN {ENOUGH} THEN round(count(*) FILTER (status IN ('confirmed', 'amended')) / (count(*) FILTER ({REVIEWED}))::DOUBLE, 3) END AS precision FROM findings GROUP BY concept_id")
+add("property_corrections", "log", quality.property_corrections, "SELECT 'k' AS property_id, count(*) AS n_amended, arg_max(new_value ->> '$.k', seq) AS latest FROM log WHERE action = 'amend' AND (new_value -> '$.k') IS NOT NULL")
+add("review_progress", "findings", quality.review_progress, "SELECT document_id, status, count(*) AS n FROM findings GROUP BY 1, 2")
+add("best_provenance", "findings", quality.best_provenance, "SELECT document_id, max((confidence, instance_id))[1] AS confidence, max((confidence, instance_id))[2] AS instance_id FROM findings GROUP BY 1")
+add("triage_queue", "findings", quality.triage, f""", lv AS (SELECT confidence, count(*) FILTER ({REVIEWED}) AS r, count(*) FILTER (status = 'unconfirmed') AS w FROM findings GROUP BY 1),
+ t AS (SELECT *, row_number() OVER (PARTITION BY confidence, document_id ORDER BY instance_id) AS round FROM findings WHERE status = 'unconfirmed'),
+ p AS (SELECT *, row_number() OVER (PARTITION BY confidence ORDER BY round, document_id, instance_id) AS place FROM t),
+ q AS (SELECT p.*, r, w, greatest(5 - r, 0) AS s, (r < 5 AND r + w >= 5 AND place <= 5 - r) AS first FROM p JOIN lv USING (confidence))
+ SELECT instance_id, document_id, confidence, round::INTEGER AS round, place::INTEGER AS place, first FROM q ORDER BY first DESC, CASE WHEN first THEN s ELSE r END, CASE WHEN first THEN w ELSE 0 END, confidence DESC, place LIMIT 50""")
+
+# ---- history --------------------------------------------------------------------------
+add("believed_at", "log", lambda log: history.believed_at(log, "2024-01-02 00:00:00"), """SELECT row_id, CASE arg_max(action, seq) FILTER (action IN ('confirm', 'amend', 'reject')) WHEN 'confirm' THEN 'confirmed' WHEN 'amend' THEN 'amended' WHEN 'reject' THEN 'rejected' ELSE 'unconfirmed' END AS status, count(*) AS n_events
+ FROM log WHERE edited_at <= TIMESTAMP '2024-01-02 00:00:00' GROUP BY row_id""")
+add("value_history", "log", history.value_history, "SELECT row_id, seq, 'k' AS property_id, lag(new_value ->> '$.k') OVER (PARTITION BY row_id ORDER BY seq) AS was, new_value ->> '$.k' AS became FROM log WHERE (new_value -> '$.k') IS NOT NULL")
+add("in_force_on", "key_dates", lambda k: history.in_force_on(k, "1997-06-15"), """, s AS (SELECT document_id, min(value) FILTER (date_role = 'start') AS b, max(value) FILTER (date_role IN ('end', 'renewal')) AS e, bool_and(status IN ('confirmed', 'amended')) AS reviewed FROM key_dates WHERE status <> 'rejected' GROUP BY 1)
+ SELECT document_id, b::VARCHAR AS began, e::VARCHAR AS finished, reviewed, CASE WHEN b IS NULL THEN 'unplaceable' WHEN b > DATE '1997-06-15' THEN 'not_yet' WHEN e < DATE '1997-06-15' THEN 'ended' ELSE 'in_force' END AS state FROM s""")
+add("calendar_due", "key_dates", lambda k: history.calendar(k, "1997-06-15"), """SELECT document_id, date_role, value::VARCHAR AS due, date_diff('day', DATE '1997-06-15', value) AS days, CASE WHEN value < DATE '1997-06-15' THEN 'overdue' ELSE 'due' END AS state, status IN ('confirmed', 'amended') AS reviewed
+ FROM key_dates WHERE status <> 'rejected' AND date_role <> 'start' AND value <= DATE '1997-06-15' + 90""")
+
+
+def _chain(log: DataFrame) -> DataFrame:
+    """A chain over the log in which each row's hash holds the row's content, with one row tampered with."""
+    own = F.sha2(F.concat_ws(":", "seq", "row_id", "action"), 256)
+    before = F.sha2(F.concat_ws(":", F.col("prev_seq"), F.col("prev_row"), F.col("prev_action")), 256)
+    previous = log.select((F.col("seq") + 1).alias("seq"), F.col("seq").alias("prev_seq"), F.col("row_id").alias("prev_row"), F.col("action").alias("prev_action"))
+    sealed = log.join(previous, "seq", "left").select("seq", F.when(F.col("prev_seq").isNotNull(), before).alias("prev_hash"), F.when(F.col("seq") == 777, F.sha2(F.lit("x"), 256)).otherwise(own).alias("row_hash"), own.alias("expected"))
+    return history.first_break(sealed)
+
+
+add("hash_chain_verify", "log", _chain, "SELECT count(*) AS n_rows, CASE WHEN max(seq) >= 777 THEN 777 END::BIGINT AS first_broken FROM log")
+add("budget_window", "log", corpus.budget, """, s AS (SELECT date_trunc('month', edited_at) AS p, count(*) AS n_calls, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM log GROUP BY 1)
+ SELECT strftime(p, '%Y-%m-%d') AS period, n_calls, cents, (sum(cents) OVER (PARTITION BY year(p) ORDER BY p))::BIGINT AS cents_so_far FROM s""")
+
+# ---- names and pages ------------------------------------------------------------------
+KEY_SQL = "regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')), '^the ', ''), '(( |^)(limited|ltd|llc|llp|plc|inc|incorporated|corp|corporation|company|co|gmbh|ag|sa|bv|nv))+$', '')"
+PERSON_SQL = "regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')), '^the ', ''), '^((mr|mrs|ms|miss|dr|prof|professor|sir|dame|lord|lady|rev)( |$))+', '')"
+add("name_key_organisation", "entities", lambda e: e.where("type_id = 'Company'").select("entity_id", scalar.name_key(F.col("canonical_name")).alias("name_key")), f"SELECT entity_id, {KEY_SQL.format('canonical_name')} AS name_key FROM entities WHERE type_id = 'Company'")
+add("name_key_personal", "entities", lambda e: e.where("type_id = 'Person'").select("entity_id", scalar.name_key(F.col("canonical_name"), "personal").alias("name_key")), f"SELECT entity_id, {PERSON_SQL.format('canonical_name')} AS name_key FROM entities WHERE type_id = 'Person'")
+add("snap_confidence", "lineitem", lambda line: line.select(scalar.snap_confidence(1 - 5 * F.col("l_discount")).alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("n")).withColumn("label", scalar.confidence_label(F.col("level"))),
+    "SELECT level, count(*) AS n, CASE level WHEN 1.0 THEN 'explicit' WHEN 0.9 THEN 'named' WHEN 0.7 THEN 'implied' WHEN 0.5 THEN 'inferred' ELSE 'speculative' END AS label FROM (SELECT CASE WHEN x >= 1 - 1e-9 THEN 1.0 WHEN x >= 0.9 - 1e-9 THEN 0.9 WHEN x >= 0.7 - 1e-9 THEN 0.7 WHEN x >= 0.5 - 1e-9 THEN 0.5 ELSE 0.2 END::DOUBLE AS level FROM (SELECT 1 - 5 * l_discount AS x FROM lineitem)) GROUP BY level")
+add("unlinked_mentions", "edges mentions", lambda e, m: entities.unlinked(e.select(F.col("from_instance_id").alias("instance_id")).distinct(), m), "SELECT DISTINCT from_instance_id AS instance_id FROM edges WHERE from_instance_id NOT IN (SELECT instance_id FROM mentions WHERE NOT unlinked)")
+add("propose_entities", "lineitem supplier", lambda line, s: entities.propose(line.join(s, line["l_suppkey"] == s["s_suppkey"]).select(F.col("l_orderkey").alias("document_id"), F.concat("s_name", F.when(F.col("l_linenumber") % 2 == 0, " Ltd").otherwise(" Limited")).alias("name"), F.when(F.col("l_suppkey") % 5 == 0, F.concat(F.lit("id"), F.col("l_suppkey") % 7)).alias("identifier"))),
+    f"""WITH n AS (SELECT l_orderkey AS d, s_name || CASE WHEN l_linenumber % 2 = 0 THEN ' Ltd' ELSE ' Limited' END AS name, CASE WHEN l_suppkey % 5 = 0 THEN 'id' || (l_suppkey % 7) END AS i FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+ k AS (SELECT *, CASE WHEN i IS NULL THEN 'name_key' ELSE 'identifier' END AS basis, coalesce(i, {KEY_SQL.format('name')}) AS group_key FROM n)
+ SELECT basis, group_key, arg_min(name, (-length(name), name)) AS title, count(*) AS n_mentions, count(DISTINCT d) AS n_documents FROM k GROUP BY 1, 2""")
+add("duplicate_keys", "part", lambda p: entities.same_key(p.select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("type_id"), F.col("p_name").alias("canonical_name"), F.lit(None).cast("string").alias("merged_into"))),
+    f"SELECT p_brand AS type_id, {KEY_SQL.format('p_name')} AS name_key, count(*) AS n_pages, min(p_partkey) AS first_page FROM part GROUP BY 1, 2 HAVING count(*) > 1")
+add("duplicate_pages", "part", lambda p: entities.similar_pages(p.groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("k")).select(F.col("k").cast("string").alias("entity_id"), F.col("p_brand").alias("type_id"), F.col("p_name").alias("canonical_name"), F.lit(None).cast("string").alias("merged_into"))))
+add("merge_chains", "entities", entities.follow_merges, "SELECT entity_id, coalesce(merged_into, entity_id) AS survivor FROM entities")
+add("counterparty_matches", "mentions", entities.counterparties, "SELECT entity_id, count(DISTINCT document_id) AS n_documents, count(*) FILTER (status IN ('confirmed', 'amended')) AS n_reviewed FROM mentions WHERE NOT unlinked GROUP BY 1 HAVING count(DISTINCT document_id) > 1")
+add("value_comparison", "orders", lambda o: entities.against_peers(o, "o_orderpriority", "o_totalprice"), "SELECT o_orderpriority, count(*) AS n, median(o_totalprice) AS median_value, max(o_totalprice) AS max_value, min(o_totalprice) AS min_value FROM orders GROUP BY 1")
+add("detect_conflicts", "claims", entities.conflicts, "SELECT entity_id, property_id, count(DISTINCT value) AS n_values, string_agg(DISTINCT value, '|' ORDER BY value) AS stated FROM claims WHERE reviewed AND NOT rejected AND value <> '' GROUP BY 1, 2 HAVING count(DISTINCT value) > 1")
+add("corroborated_values", "claims", entities.corroborated, "SELECT entity_id, property_id, value, count(DISTINCT document_id) AS n_documents, count(DISTINCT lower(excerpt)) AS n_wordings, count(DISTINCT lower(excerpt)) >= 2 AS independent FROM claims WHERE NOT rejected AND value <> '' GROUP BY 1, 2, 3 HAVING count(DISTINCT document_id) >= 2")
+add("shared_attributes", "claims", lambda c: entities.shared_values(c, "priority"), "SELECT value, count(DISTINCT entity_id) AS n_pages_sharing, (SELECT count(DISTINCT entity_id) FROM claims WHERE property_id = 'priority' AND value <> '') AS n_pages_of_type FROM claims WHERE property_id = 'priority' AND value <> '' GROUP BY 1")
+add("shared_detail", "supplier", lambda s: s.groupBy(F.col("s_nationkey").alias("detail")).agg(F.count_distinct("s_suppkey").alias("n_pages")).where("n_pages > 1"), "SELECT s_nationkey AS detail, count(DISTINCT s_suppkey) AS n_pages FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey) > 1")
+add("two_parts_in_one_document", "lineitem", lambda line: line.groupBy("l_orderkey", "l_suppkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("parts"), F.count_distinct("l_returnflag").alias("n_parts")).where("n_parts > 1"),
+    "SELECT l_orderkey, l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS parts, count(DISTINCT l_returnflag) AS n_parts FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) > 1")
+
+# ---- graph ----------------------------------------------------------------------------
+add("canonical_edges", "edges mentions entities", graph.canonical_edges, """, live AS (SELECT instance_id, coalesce(merged_into, entity_id) AS page FROM mentions JOIN entities USING (entity_id) WHERE NOT unlinked)
+ SELECT f.page AS from_page, link_type_id, t.page AS to_page, count(*) AS n_sources, count(DISTINCT document_id) AS n_documents, count(*) FILTER (status IN ('confirmed', 'amended')) AS n_confirmed, max(confidence) AS max_confidence
+ FROM edges JOIN live f ON from_instance_id = f.instance_id JOIN live t ON to_instance_id = t.instance_id WHERE status <> 'rejected' AND f.page <> t.page GROUP BY 1, 2, 3""")
+add("edge_coverage", "edges mentions", graph.coverage, "SELECT count(*) AS n_edges, count(*) FILTER (from_instance_id IN (SELECT instance_id FROM mentions WHERE NOT unlinked) AND to_instance_id IN (SELECT instance_id FROM mentions WHERE NOT unlinked)) AS n_projected FROM edges")
+BOTH = ", both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links)"
+add("node_degree", "links", graph.degrees, BOTH + " SELECT a AS node, count(*) AS degree FROM both_ways GROUP BY 1")
+add("isolates", "entities links", lambda e, k: graph.isolates(e.select(F.col("entity_id").alias("node")), k), "SELECT entity_id AS node FROM entities WHERE entity_id NOT IN (SELECT a FROM links UNION SELECT b FROM links)")
+add("components", "links", graph.components, BOTH + ", r(node, reach) AS (SELECT a, a FROM both_ways UNION SELECT r.node, b FROM r JOIN both_ways ON r.reach = a) SELECT node, min(reach) AS component FROM r GROUP BY 1")
+add("articulation_points", "links", graph.articulation_points)
+add("betweenness", "links", graph.betweenness)
+add("communities", "links", graph.communities)
+add("shared_counterparty", "links", graph.shared_neighbours)
+START = "(SELECT min(a) FROM links)"
+
+
+def _from_first(k: DataFrame, run) -> DataFrame:
+    first = k.agg(F.min("a"), F.min("b")).first()
+    return run(k, first[0], first[1])
+
+
+add("neighbourhood", "links", lambda k: _from_first(k, lambda k, a, b: graph.neighbourhood(k, a, 3)), BOTH + f", r(node, hops) AS (SELECT {START}, 0 UNION SELECT b, hops + 1 FROM r JOIN both_ways ON node = a WHERE hops < 3) SELECT node, min(hops)::INTEGER AS hops FROM r GROUP BY 1")
+add("paths_between", "links", lambda k: _from_first(k, lambda k, a, b: graph.paths_between(k, a, b, 4)), BOTH + f""", goal AS (SELECT {START} AS s, (SELECT min(b) FROM links) AS e), p(path, last, n) AS (SELECT [s], s, 0 FROM goal UNION ALL SELECT list_append(path, b), b, n + 1 FROM p JOIN both_ways ON last = a, goal WHERE n < 4 AND last <> e AND NOT list_contains(path, b))
+ SELECT array_to_string(path, '>') AS path, n::BIGINT AS length FROM p, goal WHERE last = e AND n > 0""")
+add("person_bridges", "links", lambda k: k.alias("x").join(k.alias("y"), F.expr("x.b = y.b AND x.a < y.a")).groupBy(F.col("x.b").alias("person")).agg(F.count(F.lit(1)).alias("n_pairs")), "SELECT x.b AS person, count(*) AS n_pairs FROM links x JOIN links y ON x.b = y.b AND x.a < y.a GROUP BY 1")
+add("circular_relations", "supplier customer lineitem orders", lambda s, c, line, o: line.join(o, line["l_orderkey"] == o["o_orderkey"]).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 50 = 0 AND s_nationkey <> c_nationkey").select(F.when(F.col("l_returnflag") == "R", F.col("c_nationkey")).otherwise(F.col("s_nationkey")).alias("a"), F.when(F.col("l_returnflag") == "R", F.col("s_nationkey")).otherwise(F.col("c_nationkey")).alias("b")).distinct().transform(lambda e: e.alias("x").join(e.alias("y"), F.expr("x.a = y.b AND x.b = y.a AND x.a < x.b")).select(F.col("x.a").alias("a"), F.col("x.b").alias("b"))),
+    "WITH e AS (SELECT DISTINCT CASE l_returnflag WHEN 'R' THEN c_nationkey ELSE s_nationkey END AS a, CASE l_returnflag WHEN 'R' THEN s_nationkey ELSE c_nationkey END AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 50 = 0 AND s_nationkey <> c_nationkey) SELECT x.a, x.b FROM e x JOIN e y ON x.a = y.b AND x.b = y.a AND x.a < x.b")
+
+# ---- text -----------------------------------------------------------------------------
+add("find_dates", "contracts", lambda c: text.extract(c).where("kind = 'date'").select("document_id", "value", "role", "confidence", "position"), "SELECT document_id, begun::VARCHAR AS value, 'start' AS role, 1.0::DOUBLE AS confidence, 28::INTEGER AS position FROM contracts")
+add("find_amounts", "contracts", lambda c: text.extract(c).where("kind = 'amount'").select("document_id", "value", "currency", "role", F.length("raw").alias("raw_length")), "SELECT document_id, amount::VARCHAR AS value, 'EUR' AS currency, 'contract_value' AS role, (length(amount::VARCHAR) + 4)::INTEGER AS raw_length FROM contracts")
+add("header_fields", "contracts", lambda c: text.header_fields(c, "header"), """SELECT document_id, k AS key, CASE k WHEN 'Order' THEN document_id::VARCHAR WHEN 'Status' THEN split_part(split_part(header, chr(10), 2), ': ', 2) ELSE split_part(split_part(header, chr(10), 3), ': ', 2) END AS value, i::BIGINT AS line
+ FROM contracts, (VALUES ('Order', 0), ('Status', 1), ('Priority', 2)) AS t(k, i)""")
+add("header_survey", "contracts", lambda c: text.header_fields(c, "header").groupBy(scalar.property_id(F.col("key")).alias("property_id")).agg(F.count_distinct("document_id").alias("support"), scalar.data_type(F.col("value")).alias("data_type")).where("support >= 2"),
+    "SELECT k AS property_id, count(*) AS support, any_value(t) AS data_type FROM contracts, (VALUES ('order', 'integer'), ('status', 'string'), ('priority', 'string')) AS v(k, t) GROUP BY 1")
+add("other_reading", "orders", lambda o: o.select("o_orderkey", scalar.other_reading(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("other")), "SELECT o_orderkey, CASE WHEN day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) THEN strftime(o_orderdate, '%Y-%d-%m') END AS other FROM orders")
+add("align_quotes", "contracts", lambda c: text.align_quotes(c.select("document_id", "text", F.expr("substring(text, 6, 20)").alias("span"))), "SELECT document_id, 5::INTEGER AS start, 25::INTEGER AS end_, 'match_exact' AS status FROM contracts")
+add("paginate", "documents", lambda d: text.pages_of(d).groupBy("doc_id").agg(F.sum("char_count").cast("long").alias("n_chars"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), ""), 256).alias("joined")), "SELECT doc_id, length(text) AS n_chars, sha256(text) AS joined FROM documents")
+add("page_offsets", "documents", lambda d: text.page_offsets(text.pages_of(d)).groupBy("doc_id").agg(F.max("end_").cast("long").alias("n_chars"), F.min("start").cast("long").alias("first")), "SELECT doc_id, length(text) AS n_chars, 0::BIGINT AS first FROM documents")
+add("search_index", "documents", lambda d: text.inverted_index(d).where("word = 'licens'").select("doc_id", "n"))
+
+# ---- corpus ---------------------------------------------------------------------------
+add("content_dedupe", "documents", corpus.ingest, "SELECT sha256(coalesce(text, '')) AS file_hash, min(doc_id) AS doc_id, count(*) AS n_copies, 'documents/' || left(sha256(coalesce(text, '')), 2) || '/' || sha256(coalesce(text, '')) AS storage_path FROM documents GROUP BY 1")
+add("integrity_audit", "documents", lambda d: corpus.audit_storage(d.select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.sha2("text", 256)).alias("file_hash"), (F.col("doc_id") % 11 == 0).alias("redacted")), d.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 13 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("text", 256)).alias("content_hash"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT CASE WHEN doc_id % 11 = 0 THEN 'redacted' WHEN doc_id % 7 = 0 THEN 'not_stored' WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 13 = 0 THEN 'altered' ELSE 'sound' END AS reason, count(*) AS n FROM documents GROUP BY 1")
+add("visible_documents", "orders", lambda o: corpus.visible(o.select(F.col("o_orderkey").alias("document_id"), F.concat(F.lit("u"), F.col("o_custkey") % 50).alias("owner"), F.when(F.col("o_orderkey") % 9 == 0, "link-view").otherwise("private").alias("visibility")), o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("document_id"), F.concat(F.lit("u"), F.col("o_orderkey") % 7).alias("actor_id"), F.lit("viewer").alias("role")), "u3").select("document_id"),
+    "SELECT o_orderkey AS document_id FROM orders WHERE o_custkey % 50 = 3 OR o_orderkey % 9 = 0 OR (o_orderkey % 4 = 0 AND o_orderkey % 7 = 3)")
+add("codelist_violations", "orders", lambda o: corpus.codelist_violations(o, "o_orderstatus", ["F", "O"]), "SELECT o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('F', 'O') AND o_orderstatus <> '' GROUP BY 1")
+add("register_candidates", "part", lambda p: corpus.register_matches(p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name_key")), p.where("p_size < 10").select(F.col("p_name").alias("name_key"), F.col("p_brand").alias("identifier"))),
+    "SELECT a.p_partkey AS entity_id, count(DISTINCT b.p_brand) AS n_identifiers, min(b.p_brand) AS identifier, CASE WHEN count(DISTINCT b.p_brand) = 1 THEN 'proposal' ELSE 'ambiguous' END AS outcome FROM part a JOIN part b ON a.p_name = b.p_name WHERE b.p_size < 10 GROUP BY 1")
+add("register_rows", "supplier", lambda s: corpus.register_rows(s.select("s_suppkey", F.to_json(F.struct("s_name", "s_nationkey")).alias("values_json")), "s_nationkey", "7").select("s_suppkey"), "SELECT s_suppkey FROM supplier WHERE s_nationkey = 7")
+CONCEPTS = {"high_value": "quantity >= 40", "unquoted": "excerpt = ''", "late": "shipdate > DATE'1998-01-01'"}
+WEIGHTS, TIERS = {"high_value": 3, "unquoted": 2, "late": 1}, {"low": 0, "medium": 2, "high": 4}
+add("concept_evaluations", "findings", lambda f: corpus.evaluate_concepts(f, CONCEPTS)[0].groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_evaluated"), F.count_if("fired").alias("n_true")),
+    "SELECT concept_id, count(*) AS n_evaluated, count(*) FILTER (fired) AS n_true FROM (SELECT unnest(['high_value', 'unquoted', 'late']) AS concept_id, unnest([quantity >= 40, excerpt = '', shipdate > DATE '1998-01-01']) AS fired FROM findings) GROUP BY 1")
+add("composite_score", "findings", lambda f: corpus.composite_score(corpus.evaluate_concepts(f, CONCEPTS)[0], WEIGHTS, TIERS).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("total")),
+    ", s AS (SELECT instance_id, sum(CASE WHEN quantity >= 40 THEN 3 ELSE 0 END + CASE WHEN excerpt = '' THEN 2 ELSE 0 END + CASE WHEN shipdate > DATE '1998-01-01' THEN 1 ELSE 0 END) AS total FROM findings GROUP BY 1) SELECT CASE WHEN total >= 4 THEN 'high' WHEN total >= 2 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n, sum(total)::BIGINT AS total FROM s GROUP BY 1")
+add("redaction_counts", "findings edges", lambda f, e: (lambda gone: corpus.redact(f, gone).agg(F.lit("findings").alias("t"), F.count(F.lit(1)).alias("n")).union(corpus.redact(e, gone).agg(F.lit("edges"), F.count(F.lit(1)))))(f.select("document_id").where("cast(substring(document_id, 5) AS long) % 31 = 0").distinct()),
+    "SELECT 'findings' AS t, count(*) AS n FROM findings WHERE l_orderkey % 31 <> 0 UNION ALL SELECT 'edges', count(*) FROM edges WHERE substr(document_id, 5)::BIGINT % 31 <> 0")
+add("reading_progress", "conversations", corpus.reading_progress, "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'assistant') AS n_answered, arg_max(role, turn) AS last_role FROM conversations GROUP BY 1")
+add("benchmark_recall", "documents benchmark", corpus.benchmark_recall, "WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS w FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS t FROM documents) SELECT DISTINCT doc_id, item_id FROM d JOIN b ON contains(' ' || t || ' ', ' ' || w || ' ')")
+add("suggestion_quality", "findings", lambda f: f.groupBy("source").pivot("status", ["confirmed", "rejected", "unconfirmed"]).agg(F.count(F.lit(1))).withColumn("acceptance", F.round(F.col("confirmed") / (F.col("confirmed") + F.col("rejected")), 3)),
+    "SELECT source, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'unconfirmed') AS unconfirmed, round(count(*) FILTER (status = 'confirmed') / (count(*) FILTER (status IN ('confirmed', 'rejected')))::DOUBLE, 3) AS acceptance FROM findings GROUP BY 1")
+
+
+def _lint(f: DataFrame, m: DataFrame, e: DataFrame, c: DataFrame) -> DataFrame:
+    """Counts by check: quotations without a place, smoothed conflicts, unreviewed groupings, pages without mentions."""
+    row = lambda df, check, severity: df.agg(F.lit(check).alias("check_name"), F.lit(severity).alias("severity"), F.count(F.lit(1)).alias("n"))
+    live = m.where("NOT unlinked")
+    grouped = live.groupBy("entity_id").agg(F.count_distinct("document_id").alias("d"), F.count_if(F.col("status").isin("confirmed", "amended")).alias("r")).where("d >= 3 AND r = 0")
+    parts = [row(f.where("alignment IS NULL AND excerpt <> '' AND status <> 'rejected'"), "ungrounded_quotation", "high"), row(entities.conflicts(c), "smoothed_conflict", "high"), row(grouped, "unreviewed_grouping", "medium"), row(e.join(live, "entity_id", "left_anti"), "uncited_page", "medium")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+add("lint_findings", "findings mentions entities claims", _lint, """SELECT 'ungrounded_quotation' AS check_name, 'high' AS severity, count(*) AS n FROM findings WHERE alignment IS NULL AND excerpt <> '' AND status <> 'rejected'
+ UNION ALL SELECT 'smoothed_conflict', 'high', count(*) FROM (SELECT 1 FROM claims WHERE reviewed AND NOT rejected AND value <> '' GROUP BY entity_id, property_id HAVING count(DISTINCT value) > 1)
+ UNION ALL SELECT 'unreviewed_grouping', 'medium', count(*) FROM (SELECT 1 FROM mentions WHERE NOT unlinked GROUP BY entity_id HAVING count(DISTINCT document_id) >= 3 AND count(*) FILTER (status IN ('confirmed', 'amended')) = 0)
+ UNION ALL SELECT 'uncited_page', 'medium', count(*) FROM entities WHERE entity_id NOT IN (SELECT entity_id FROM mentions WHERE NOT unlinked)""")
