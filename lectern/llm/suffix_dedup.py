@@ -2,10 +2,10 @@
 
 The construction (``build``) takes a collection of byte strings and inserts one symbol of each
 string in every round, from the right, into the collection's Burrows-Wheeler transform; the
-longest common prefixes of neighbouring suffixes are updated in the same pass. The transform,
-the prefixes and the suffixes' names live in external files that each round reads and writes
-from front to back. A round needs as many steps as the longest string has symbols, so whole
-documents, of any length, are not inserted as they are. They are cut first:
+longest common prefixes of neighbouring suffixes are updated in the same pass. Both live in
+external files that each round reads and writes from front to back. There are as many rounds
+as the longest string has symbols, so whole documents, of any length, are not inserted as
+they are. They are cut first:
 
 1. Copies of a text are set aside: all but that of the smallest doc_id are covered whole.
 2. Every 50-byte string belongs to the smallest hash of its 24-byte strings. Runs of up to 27
@@ -13,13 +13,14 @@ documents, of any length, are not inserted as they are. They are cut first:
    hashes, so their pieces meet in one bucket. Only hashes are shuffled at first (``entries``).
 3. Pieces whose hash occurs in one document alone can't repeat across documents and go.
 4. The bytes of the others are shuffled by bucket, and each bucket's different pieces are
-   built into a collection of a few MB, in at most 77 rounds. Neighbours with common prefixes
+   built into collections of half a MB, in at most 77 rounds. Neighbours with common prefixes
    of 50 and more are equal 50-byte strings; those of a document with a larger doc_id than
    the group's smallest are covered.
 5. The covered places return to their documents, where overlaps are merged and cut out.
 
-Bucket numbers and shuffled values are packed, many to a row. Everything that is joined with
-texts is first written and counted, and broadcast only if it is small.
+Bucket numbers and shuffled values are packed, many to a row. What is joined with
+texts is written first. Texts are shuffled for both joins at any size, so that disk grows in
+proportion; only the list of copies is broadcast, if its counted rows are few.
 
 Defined results: a null text is empty. A null doc_id is smaller than none: such rows keep all
 bytes and cover nothing. Rows that repeat a doc_id cover nothing in each other, whatever their
@@ -47,7 +48,7 @@ MOST = LENGTH - GRAM + 1
 #: Fine buckets, and fine buckets of a shuffled row.
 FINE, STEP = 1 << 12, 16
 #: Bytes of a collection that is built at once.
-COLLECTION = 1 << 21
+COLLECTION = 1 << 19
 END = 255  # stands after each string; no byte of UTF-8
 
 
@@ -200,7 +201,7 @@ def by_document(found: DataFrame, kinds: tuple[str, ...], pack_rows: Callable[..
 
 def pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(bucket, blob, bytes): the bytes of the wanted pieces, dealt by hash."""
-    joined = docs.join(small(wanted, 512), (F.col("doc_id") == F.col("s_doc")) & (F.col("sig") == F.col("s_sig"))).select("doc_id", "sig", "text", "blob")
+    joined = docs.join(wanted.hint("merge"), (F.col("doc_id") == F.col("s_doc")) & (F.col("sig") == F.col("s_sig"))).select("doc_id", "sig", "text", "blob")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -235,24 +236,46 @@ def pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 class Columns:
-    """The transform, the common prefixes and the suffixes' names, in external files that are read and written in order."""
-
-    KINDS = (np.uint8, np.uint8, np.int64)
+    """The transform and the common prefixes, in external files that are read and written from front to back, two of each in turn."""
 
     def __init__(self, folder: str) -> None:
-        self.folder, self.turn = folder, 0
+        self.files = [[open(os.path.join(folder, f"{name}.{turn}"), "w+b", buffering=0) for name in ("bwt", "lcp")] for turn in (0, 1)]  # noqa: SIM115
+        self.turn, self.rows = 0, 0
 
     def write(self, *columns: np.ndarray) -> None:
         self.turn ^= 1
-        for i, column in enumerate(columns):
-            column.tofile(os.path.join(self.folder, f"{i}.{self.turn}"))
+        self.rows = len(columns[0])
+        for file, column in zip(self.files[self.turn], columns, strict=True):
+            file.seek(0)
+            left = memoryview(column)
+            while left:
+                left = left[file.write(left) :]
 
     def read(self) -> list[np.ndarray]:
-        return [np.fromfile(os.path.join(self.folder, f"{i}.{self.turn}"), dtype=kind) for i, kind in enumerate(self.KINDS)]
+        out = []
+        for file in self.files[self.turn]:
+            file.seek(0)
+            column, at = np.empty(self.rows, dtype=np.uint8), 0
+            while at < self.rows:
+                at += file.readinto(memoryview(column)[at:])
+            out.append(column)
+        return out
+
+    def close(self) -> None:
+        for file in (*self.files[0], *self.files[1]):
+            file.close()
+
+
+def ranked(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows sorted by their symbol, and each row's place in that order."""
+    order = np.argsort(bwt, kind="stable")
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return order, rank
 
 
 def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For strings of up to 254 bytes: (transform, common prefix with the suffix before, string, suffix length), in suffix order."""
+    """For a collection of up to 2^30 bytes: (transform, common prefix with the suffix before, string, suffix length), in suffix order."""
     m = len(strings)
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
     data = np.frombuffer(b"".join(strings), dtype=np.uint8)
@@ -261,41 +284,46 @@ def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     place = np.arange(m)
     with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
         files = Columns(folder)
-        files.write(before(place, 0), np.zeros(m, np.uint8), place << 8)
+        files.write(before(place, 0), np.zeros(m, np.uint8))
         for j in range(1, int(lengths.max()) + 1):
-            bwt, lcp, name = files.read()
+            bwt, lcp = files.read()
             active = np.flatnonzero(lengths >= j)
-            order = np.argsort(bwt, kind="stable")
-            rank = np.empty(len(order), dtype=np.int64)
-            rank[order] = np.arange(len(order))
-            new = rank[place[active]]
-            # Common prefixes of a new suffix and its neighbours: one more than the least between their rests.
-            ask = np.unique(np.r_[new, new + 1])
+            order, rank = ranked(bwt)
+            new = np.sort(rank[place[active]])
+            # Common prefixes of new suffixes and their neighbours: one more than the least between their rests.
+            ask = np.concatenate([new, new[np.r_[new[1:] != new[:-1] + 1, True]] + 1])
             ask = ask[(ask > 0) & (ask < len(order))]
             a, b = order[ask - 1], order[ask]
             same = (bwt[a] == bwt[b]) & (bwt[a] != END)
             prefix = np.zeros(len(ask), dtype=np.uint8)
             if same.any():
                 lo, hi = a[same] + 1, b[same] + 1
-                back = np.argsort(-lo, kind="stable")  # so that nothing between two ranges is read
+                back = np.argsort(-lo)  # so that nothing between two ranges is read
                 least = np.empty(len(lo), dtype=np.uint8)
-                least[back] = np.minimum.reduceat(np.r_[lcp, np.uint8(0)], np.stack([lo[back], hi[back]], axis=1).ravel())[::2]
+                least[back] = np.minimum.reduceat(np.append(lcp, np.uint8(0)), np.stack([lo[back], hi[back]], axis=1).ravel())[::2]
                 prefix[same] = least + 1
             total = len(bwt) + len(active)
-            at = m + new
+            at = m + rank[place[active]].astype(np.int64)
             old = np.ones(total, dtype=bool)
             old[at] = False
-            columns = []
-            for column, fresh in ((bwt, before(active, j)), (lcp, np.zeros(len(active), np.uint8)), (name, (active << 8) | j)):
-                merged = np.empty(total, dtype=column.dtype)
-                merged[old] = column
-                merged[at] = fresh
-                columns.append(merged)
-            columns[1][m + ask[m + ask < total]] = prefix[m + ask < total]
+            merged_bwt, merged_lcp = np.empty(total, dtype=np.uint8), np.zeros(total, dtype=np.uint8)
+            merged_bwt[old], merged_lcp[old] = bwt, lcp
+            merged_bwt[at] = before(active, j)
+            merged_lcp[m + ask[m + ask < total]] = prefix[m + ask < total]
             place[active] = at
-            files.write(*columns)
-        bwt, lcp, name = files.read()
-    return bwt, lcp, name >> 8, name & 255
+            files.write(merged_bwt, merged_lcp)
+        bwt, lcp = files.read()
+        files.close()
+    # The rows' names: from the empty suffixes on, each row leads to that of the next longer suffix.
+    string, size = np.empty(len(bwt), dtype=np.int64), np.zeros(len(bwt), dtype=np.int64)
+    _, rank = ranked(bwt)
+    place = np.arange(m)
+    string[place] = place
+    for j in range(1, int(lengths.max()) + 1):
+        active = np.flatnonzero(lengths >= j)
+        place[active] = m + rank[place[active]]
+        string[place[active]], size[place[active]] = active, j
+    return bwt, lcp, string, size
 
 
 def least_documents(strings: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -369,7 +397,7 @@ def spans(docs: DataFrame) -> DataFrame:
     wanted = materialise(by_document(shared(entries(texts), buckets), ("i8", "i8", "u4", "u1", "u2"), pack), "shared-pieces")
     found = by_document(covered(pieces(texts, wanted), buckets), ("i8", "i8", "u4", "u1"), merged)
     removed = materialise(found.select("*", F.lit(False).alias("copy")).union(copies.select("s_doc", "s_sig", F.lit(None).cast("binary"), F.lit(True))), "removed-runs")
-    return own.join(small(removed, 256), same, "left").select("doc_id", "sig", "text", "blob", "copy")
+    return own.join(removed.hint("merge"), same, "left").select("doc_id", "sig", "text", "blob", "copy")
 
 
 def apply(docs: DataFrame) -> DataFrame:
