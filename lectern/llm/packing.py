@@ -5,7 +5,7 @@ left, the bin's smallest piece is taken out and the two unpacked pieces are look
 fill the expanded gap most tightly; they replace it if they fill more than it did. Bins are
 packed over counts of pieces by length, so a step costs no more for many pieces than for few.
 
-Documents are tokenised once, by words of whitespace-separated text with a bounded cache of
+Documents are tokenised once, by words of whitespace-separated text with bounded caches of
 their ids (the tokenizer drops white space and no token spans it). Only (document, piece,
 start, length, checksum) is shuffled, by a hash of document and piece, and every block of
 ``BLOCK`` pieces is packed by itself: memory is bounded, and a block wastes a bin or so.
@@ -18,8 +18,13 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import gc
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +36,7 @@ from lectern.llm.common import partitions
 LENGTH = 2048
 END = 0
 BLOCK = 200_000
-CACHED = 200_000
+CACHED = 300_000
 
 
 def default_vocabulary() -> str:
@@ -40,43 +45,85 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words of these characters are cut as the tokenizer cuts them; the parts recur more often than the words.
+PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: its own if it prints, else the next from 256 on."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in printed else next(rest)) for b in range(256)}
+
+
+LETTERS = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+
+
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes; the cache holds the ids of CACHED words at most."""
+    """Token ids of texts as little-endian 32-bit bytes. Both caches keep the first CACHED entries, the frequent ones among them."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def many(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word, from one call for thousands, told apart by where their tokens begin."""
+        out = {}
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            starts = np.array([a for a, _ in found.offsets], dtype=np.int64)
+            ends = (4 * np.searchsorted(starts, np.cumsum([len(w) + 1 for w in part]))).tolist()
+            out.update(zip(part, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.encode("utf-8", "replace").decode().replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > CACHED:
-            self.known, new = {}, list(set().union(*split))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
+        found = {w: self.words.get(w) for w in set().union(*split)}
+        new = [w for w, ids in found.items() if ids is None]
+        plain = [w for w in new if PLAIN.fullmatch(w) and "<|" not in w]
+        cut = [PART.findall(w.lower()) for w in plain]
+        parts = {p: self.parts.get(p) for c in cut for p in c}
+        tokenize = self.tokenizer.model.tokenize  # parts are in lower case and whole: only the merges are left to do
+        for p in [p for p, ids in parts.items() if ids is None]:
+            parts[p] = array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+        known = parts.__getitem__
+        made = dict(zip(plain, (b"".join(map(known, c)) for c in cut), strict=True))
+        made.update(self.many([w for w in new if w not in made]))
+        found.update(made)
+        if len(self.parts) < CACHED:
+            self.parts.update(parts)
+        if len(self.words) < CACHED:
+            self.words.update(made)
+        get = found.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     end = np.array([END], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(vocabulary)
+        gc.disable()  # hundreds of thousands of small lists and no cycle among them
+        encode = encoder(vocabulary)
         for batch in batches:
             ids, texts = batch["doc_id"].tolist(), ["" if t is None else t for t in batch["text"]]
             begin = chars = 0
             for i, text in enumerate(texts):
                 chars += len(text)
-                if chars < 500_000 and i < len(texts) - 1:
+                if chars < 1_000_000 and i < len(texts) - 1:
                     continue
                 rows = []
                 for doc_id, data in zip(ids[begin : i + 1], encode(texts[begin : i + 1]), strict=True):

@@ -67,5 +67,15 @@ def test_packs_every_piece_once():
         assert max(map(sum, bins)) <= 100
 
 
+def test_full_caches_change_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 3)
+    encode = packing.Encoder(packing.default_vocabulary())
+    rng = random.Random(10)
+    texts = [t for t in TEXTS if t] + ["".join(rng.choice("aB'sté.!1 \u00b2\u0130ñ") for _ in range(80)) for _ in range(40)]
+    for _ in range(2):
+        for text, data in zip(texts, encode(texts), strict=True):
+            assert np.frombuffer(data, "<u4").tolist() == brute_ids(text)[:-1]
+
+
 def test_empty_table(spark):
     assert packing.packed(frame(spark, ["a"]).where("false")).count() == 0
