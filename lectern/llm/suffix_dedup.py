@@ -45,8 +45,8 @@ from lectern.llm.decontaminate import BASE, mixed, powers
 #: Bytes of a string that counts as repeated, of the strings whose smallest hash it belongs to, and the windows of a piece.
 LENGTH, GRAM = 50, 24
 MOST = LENGTH - GRAM + 1
-#: Fine buckets, and fine buckets of a shuffled row.
-FINE, STEP = 1 << 12, 16
+#: Least number of buckets that hashes are dealt to (four a shuffle partition beyond that), and fine buckets of each.
+BUCKETS, STEP = 256, 16
 #: Bytes of a collection that is built at once.
 COLLECTION = 1 << 19
 END = 255  # stands after each string; no byte of UTF-8
@@ -126,8 +126,13 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return owner[at], place[at], windows, least[at]
 
 
+def hash_buckets(docs: DataFrame) -> int:
+    return max(BUCKETS, 4 * partitions(docs.sparkSession))
+
+
 def entries(docs: DataFrame) -> DataFrame:
     """(bucket, blob): every piece's hash, document, start and windows."""
+    count = np.uint64(hash_buckets(docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -135,8 +140,8 @@ def entries(docs: DataFrame) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             key, doc, sig, start, windows = (np.concatenate(x) for x in zip(*held, strict=True))
-            fine = (key >> np.uint64(52)).astype(np.int64)
-            rows = [(b, pack(key[i] >> np.uint64(8) & np.uint64((1 << 44) - 1), doc[i], sig[i], start[i], windows[i])) for b, i in dealt(fine // STEP)]
+            bucket = ((key >> np.uint64(32)) * count >> np.uint64(32)).astype(np.int64)
+            rows = [(b, pack(key[i] & np.uint64((1 << 44) - 1), doc[i], sig[i], start[i], windows[i])) for b, i in dealt(bucket)]
             return pd.DataFrame(rows, columns=["bucket", "blob"])
 
         for batch in batches:
@@ -177,7 +182,7 @@ def shared(found: DataFrame, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
         several = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
         keep = np.sort(order[np.repeat(several, np.diff(np.r_[first, len(key)]))])
-        fine = (int(rows["bucket"].iloc[0]) * STEP + (key[keep] >> np.uint64(40))).astype(np.uint16)
+        fine = (int(rows["bucket"].iloc[0]) * STEP + (key[keep] >> np.uint64(40)).astype(np.int64)).astype(np.uint32)
         out = [(b, pack(doc[keep][i], sig[keep][i], start[keep][i], windows[keep][i], fine[i])) for b, i in dealt(doc[keep] % buckets)]
         yield pd.DataFrame(out, columns=["bucket", "blob"])
 
@@ -218,7 +223,7 @@ def pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         for batch in batches:
             for doc, sig, text, blob in zip(batch["doc_id"], batch["sig"], batch["text"], batch["blob"], strict=True):
-                start, windows, fine = unpack(blob, "u4", "u1", "u2")
+                start, windows, fine = unpack(blob, "u4", "u1", "u4")
                 data = text.encode("utf-8", "surrogatepass")
                 taken += [data[a : a + n + LENGTH - 1] for a, n in zip(start.tolist(), windows.tolist(), strict=True)]
                 held.append((np.full(len(start), doc), np.full(len(start), sig), start, windows, fine))
@@ -344,7 +349,7 @@ def covered(found: DataFrame, buckets: int) -> DataFrame:
     """(bucket, blob): document, start and length of bytes that a smaller document has too, dealt by document."""
 
     def merge(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        columns = [np.concatenate(x) for x in zip(*(unpack(b, "i8", "i8", "u4", "u1", "u2") for b in rows["blob"]), strict=True)]
+        columns = [np.concatenate(x) for x in zip(*(unpack(b, "i8", "i8", "u4", "u1", "u4") for b in rows["blob"]), strict=True)]
         doc, sig, start, windows, fine = columns
         data = b"".join(zstandard.ZstdDecompressor().decompress(b) for b in rows["bytes"])
         size = windows.astype(np.int64) + LENGTH - 1
@@ -394,7 +399,7 @@ def spans(docs: DataFrame) -> DataFrame:
     same = (F.col("doc_id") == F.col("s_doc")) & (F.col("sig") == F.col("s_sig"))
     texts = long.join(small(copies, 32), same, "left_anti").select("doc_id", "sig", "text")
     buckets = 4 * partitions(docs.sparkSession)
-    wanted = materialise(by_document(shared(entries(texts), buckets), ("i8", "i8", "u4", "u1", "u2"), pack), "shared-pieces")
+    wanted = materialise(by_document(shared(entries(texts), buckets), ("i8", "i8", "u4", "u1", "u4"), pack), "shared-pieces")
     found = by_document(covered(pieces(texts, wanted), buckets), ("i8", "i8", "u4", "u1"), merged)
     removed = materialise(found.select("*", F.lit(False).alias("copy")).union(copies.select("s_doc", "s_sig", F.lit(None).cast("binary"), F.lit(True))), "removed-runs")
     return own.join(removed.hint("merge"), same, "left").select("doc_id", "sig", "text", "blob", "copy")
