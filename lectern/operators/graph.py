@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,26 +108,38 @@ def articulation_points(links: DataFrame) -> DataFrame:
     return by_component(links, lambda adj: pd.DataFrame({"node": sorted(cut_vertices(adj))}, dtype=object), "node string")
 
 
-def dependencies(adjacency: dict[str, list[str]], source: str) -> dict[str, float]:
-    """What the shortest paths from a source add to the betweenness of every node."""
-    distance, paths, seen, before = {source: 0}, {source: 1.0}, [], {source: []}
-    queue = deque([source])
-    while queue:
-        v = queue.popleft()
-        seen.append(v)
-        for w in adjacency[v]:
-            if w not in distance:
-                distance[w], paths[w], before[w] = distance[v] + 1, 0.0, []
-                queue.append(w)
-            if distance[w] == distance[v] + 1:
-                paths[w] += paths[v]
-                before[w].append(v)
-    share = dict.fromkeys(seen, 0.0)
-    for w in reversed(seen):
-        for v in before[w]:
-            share[v] += paths[v] / paths[w] * (1 + share[w])
-    share.pop(source)
-    return share
+def dependencies(start: np.ndarray, other: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """What the shortest paths from each of the sources add to the betweenness of every node, summed over the sources.
+
+    Node i has the neighbours other[start[i]:start[i + 1]], one at least. All sources go
+    ahead level by level at once: a row for each node, a column for each source.
+    """
+    n, k = len(start) - 1, len(sources)
+    rows = max(1, 262_144 // k)  # neighbours gathered at a time, to stay in cache
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(start, start[cuts[-1]] + rows, "right")) - 1))
+
+    def around(x: np.ndarray) -> np.ndarray:
+        parts = [np.add.reduceat(x[other[start[a] : start[b]]], start[a:b] - start[a], axis=0) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return np.concatenate(parts)
+
+    distance = np.full((n, k), -1, dtype=np.int32)
+    paths = np.zeros((n, k))
+    distance[sources, np.arange(k)], paths[sources, np.arange(k)] = 0, 1.0
+    level = 0
+    while True:
+        counts = around(np.where(distance == level, paths, 0.0))
+        new = (counts > 0) & (distance < 0)
+        if not new.any():
+            break
+        level += 1
+        distance[new], paths[new] = level, counts[new]
+    share = np.zeros((n, k))
+    for at in range(level, 1, -1):
+        ahead = np.divide(1 + share, paths, out=np.zeros((n, k)), where=distance == at)
+        share += np.where(distance == at - 1, paths * around(ahead), 0.0)
+    return share.sum(axis=1)
 
 
 def betweenness(links: DataFrame, sources: int | None = None) -> DataFrame:
@@ -135,23 +147,28 @@ def betweenness(links: DataFrame, sources: int | None = None) -> DataFrame:
 
     The adjacency of the page graph goes to every task; sources are dealt out over them.
     """
-    both = neighbours(links)
-    adjacency = {r["a"]: sorted(r["bs"]) for r in both.groupBy("a").agg(F.collect_list("b").alias("bs")).collect()}
-    n = len(adjacency)
-    nodes = links.sparkSession.createDataFrame([(k,) for k in sorted(adjacency)], "node string")
+    spark = links.sparkSession
+    both = neighbours(links).toPandas()
+    names = np.array(sorted(set(both["a"])), dtype=object)
+    n = len(names)
+    place = {k: i for i, k in enumerate(names)}
+    left, right = (both[c].map(place).to_numpy(dtype=np.int64) for c in ("a", "b"))
+    order = np.lexsort((right, left))
+    other, start = right[order], np.r_[0, np.cumsum(np.bincount(left, minlength=n))]
+    nodes = spark.createDataFrame(list(enumerate(names.tolist())), "place long, node string")
     chosen = nodes if sources is None or sources >= n else nodes.orderBy(F.xxhash64("node")).limit(sources)
     scale = (n / sources if sources and sources < n else 1.0) / max(1, (n - 1) * (n - 2))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(n)
         for batch in batches:
-            total: dict[str, float] = {}
-            for s in batch["node"]:
-                for k, v in dependencies(adjacency, s).items():
-                    total[k] = total.get(k, 0.0) + v
-            yield pd.DataFrame({"node": list(total), "part": list(total.values())})
+            for i in range(0, len(batch), 32):
+                total += dependencies(start, other, batch["place"].to_numpy()[i : i + 32])
+        yield pd.DataFrame({"place": np.arange(n), "part": total})
 
-    summed = chosen.repartition(8).mapInPandas(run, "node string, part double").groupBy("node").agg((F.sum("part") * scale).alias("betweenness"))
-    return nodes.join(summed, "node", "left").select("node", F.round(F.coalesce("betweenness", F.lit(0.0)), 9).alias("betweenness"))
+    dealt = chosen.select("place").repartition(max(8, spark.sparkContext.defaultParallelism))
+    summed = dealt.mapInPandas(run, "place long, part double").groupBy("place").agg((F.sum("part") * scale).alias("betweenness"))
+    return nodes.join(summed, "place", "left").select("node", F.round(F.coalesce("betweenness", F.lit(0.0)), 9).alias("betweenness"))
 
 
 def communities(links: DataFrame, rounds: int = 20) -> DataFrame:
@@ -187,16 +204,23 @@ def neighbourhood(links: DataFrame, start: str, depth: int = 2) -> DataFrame:
     return reached
 
 
-def paths_between(links: DataFrame, start: str, end: str, most: int = 4) -> DataFrame:
-    """(path, length): all simple paths of at most so many hops."""
+def paths_between(links: DataFrame, start: str, end: str, most: int = 6) -> DataFrame:
+    """(path, length): all simple paths of at most so many hops; walks from both ends meet half way."""
     both = neighbours(links)
     spark = links.sparkSession
-    frontier = spark.createDataFrame([([start], start)], "path array<string>, at string")
+
+    def walks(node: str, hops: int) -> list[DataFrame]:
+        out = [spark.createDataFrame([([node], node)], "path array<string>, at string")]
+        for _ in range(hops):
+            out.append(out[-1].join(both, F.col("at") == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"), F.col("b").alias("at")))
+        return out
+
+    ahead, back = walks(start, (most + 1) // 2), walks(end, most // 2)
     found = []
-    for _ in range(most):
-        frontier = frontier.join(both, F.col("at") == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"), F.col("b").alias("at"))
-        found.append(frontier.where(F.col("at") == end))
-        frontier = frontier.where(F.col("at") != end)
+    for hops in range(1, most + 1):
+        rest = back[hops // 2].select("at", F.col("path").alias("rest"))
+        met = ahead[(hops + 1) // 2].join(rest, "at").where(F.size(F.array_intersect("path", "rest")) == 1)
+        found.append(met.select(F.concat("path", F.slice(F.reverse("rest"), 2, most)).alias("path")))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

@@ -33,8 +33,8 @@ VIEWS = {
     "edges": f"""SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS edge_id, concat('S', l_orderkey, '-', l_suppkey) AS from_instance_id, concat('C', o_orderkey) AS to_instance_id,
         l_returnflag AS link_type_id, concat('doc_', o_orderkey) AS document_id, CASE WHEN l_linestatus = 'F' AND l_linenumber % 2 = 0 THEN 'rejected' WHEN l_linenumber % 3 = 0 THEN 'confirmed' ELSE 'unconfirmed' END AS status,
         {SNAP.format('(1e0 - 5e0 * l_discount)')} AS confidence FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
-    # A thin undirected graph for structure: customers and suppliers that meet in every 500th order.
-    "links": """SELECT DISTINCT concat('s', l_suppkey) AS a, concat('c', o_custkey) AS b FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_orderkey % 500 = 0""",
+    # An undirected graph for structure: customers and suppliers that meet in an order.
+    "links": """SELECT DISTINCT concat('s', l_suppkey) AS a, concat('c', o_custkey) AS b FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "log": """SELECT event_id AS seq, user_id AS row_id, CAST(ts AS TIMESTAMP) AS edited_at, props AS new_value, value,
         CASE event_type WHEN 'view' THEN 'extract' WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'confirm' WHEN 'click' THEN 'amend' ELSE 'reject' END AS action FROM {events}""",
     "key_dates": """SELECT concat('doc_', o_orderkey) AS document_id, 'start' AS date_role, CAST(o_orderdate AS DATE) AS value, CASE WHEN o_orderkey % 5 = 0 THEN 'confirmed' ELSE 'unconfirmed' END AS status FROM {orders} WHERE o_orderkey % 6 <> 0

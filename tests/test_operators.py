@@ -98,6 +98,31 @@ def test_graph_against_naive(spark):
     assert got == pytest.approx({k: 2 * v / ((n - 1) * (n - 2)) for k, v in share.items()}, abs=1e-6)
 
 
+def test_links_hold_every_order(spark):
+    from lectern.sources.views import view
+
+    sf = "/root/testdata/sf0.001"
+    line, orders = (spark.read.parquet(f"{sf}/{n}.parquet").toPandas() for n in ("lineitem", "orders"))
+    customer = dict(zip(orders["o_orderkey"], orders["o_custkey"], strict=True))
+    expected = {(f"s{s}", f"c{customer[o]}") for s, o in zip(line["l_suppkey"], line["l_orderkey"], strict=True) if o in customer}
+    assert {tuple(r) for r in view(spark, sf, "links").collect()} == expected
+
+
+def test_paths_of_up_to_six_hops(spark):
+    rng = random.Random(5)
+    links = sorted({tuple(sorted(rng.sample("abcdefghij", 2))) for _ in range(18)})
+    df = spark.createDataFrame(links, "a string, b string")
+    near = {n: {x for k in links for x in k if n in k and x != n} for n in "abcdefghij"}
+    found, layer = set(), ["a"]
+    for _ in range(6):
+        layer = [p + w for p in layer for w in near[p[-1]] if w not in p]
+        found |= {p for p in layer if p[-1] == "b"}
+        layer = [p for p in layer if p[-1] != "b"]
+    assert max(map(len, found)) == 7
+    got = [(r["path"], r["length"]) for r in graph.paths_between(df, "a", "b").collect()]
+    assert sorted(got) == sorted((">".join(p), len(p) - 1) for p in found)
+
+
 def test_indel_ratio():
     def naive(a, b):
         row = [0] * (len(b) + 1)
