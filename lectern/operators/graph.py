@@ -227,6 +227,21 @@ def paths_between(links: DataFrame, start: str, end: str, most: int = 6) -> Data
     return out.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("length"))
 
 
+def cycles(edges: DataFrame, most: int = 4) -> DataFrame:
+    """(nodes, path, length) of directed cycles of 2 to so many nodes, one a set of nodes: the least path from its smallest node."""
+    edge = edges.select("a", "b").where("a <> b").distinct()
+    walk = edge.where("a < b").select(F.array("a", "b").alias("path"))
+    found = None
+    for length in range(2, most + 1):
+        ends = walk.select("path", F.get("path", F.lit(length - 1)).alias("a"), F.get("path", F.lit(0)).alias("b"))
+        closed = ends.join(edge, ["a", "b"], "left_semi").groupBy(F.array_join(F.array_sort("path"), ",").alias("nodes")).agg(F.min("path").alias("path"))
+        closed = closed.select("nodes", F.array_join("path", ">").alias("path"), F.lit(length).cast("long").alias("length"))
+        found = closed if found is None else found.unionByName(closed)
+        on = ends.select("path", "a").join(edge, "a").where((F.col("b") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("b")))
+        walk = on.select(F.concat("path", F.array("b")).alias("path"))
+    return found
+
+
 def shared_neighbours(links: DataFrame) -> DataFrame:
     """Pairs of pages that aren't related themselves but share a cut vertex as neighbour, per vertex: how many pairs."""
     both = neighbours(links)

@@ -134,8 +134,12 @@ add("neighbourhood", "links", lambda k: _from_first(k, lambda k, a, b: graph.nei
 # No oracle: on the whole graph a recursive expression walks all paths of six hops, not those that lead to the end.
 add("paths_between", "links", lambda k: _from_first(k, lambda k, a, b: graph.paths_between(k, a, b, 6)))
 add("person_bridges", "links", lambda k: k.groupBy(F.col("b").alias("person")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("person", F.expr("n * (n - 1) div 2").alias("n_pairs")), "SELECT x.b AS person, count(*) AS n_pairs FROM links x JOIN links y ON x.b = y.b AND x.a < y.a GROUP BY 1")
-add("circular_relations", "supplier customer lineitem orders", lambda s, c, line, o: line.join(o, line["l_orderkey"] == o["o_orderkey"]).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 50 = 0 AND s_nationkey <> c_nationkey").select(F.when(F.col("l_returnflag") == "R", F.col("c_nationkey")).otherwise(F.col("s_nationkey")).alias("a"), F.when(F.col("l_returnflag") == "R", F.col("s_nationkey")).otherwise(F.col("c_nationkey")).alias("b")).distinct().transform(lambda e: e.alias("x").join(e.alias("y"), F.expr("x.a = y.b AND x.b = y.a AND x.a < x.b")).select(F.col("x.a").alias("a"), F.col("x.b").alias("b"))),
-    "WITH e AS (SELECT DISTINCT CASE l_returnflag WHEN 'R' THEN c_nationkey ELSE s_nationkey END AS a, CASE l_returnflag WHEN 'R' THEN s_nationkey ELSE c_nationkey END AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 50 = 0 AND s_nationkey <> c_nationkey) SELECT x.a, x.b FROM e x JOIN e y ON x.a = y.b AND x.b = y.a AND x.a < x.b")
+add("circular_relations", "supplier customer lineitem orders", lambda s, c, line, o: line.join(o, line["l_orderkey"] == o["o_orderkey"]).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).where("s_nationkey <> c_nationkey").select(F.when(F.col("l_returnflag") == "R", F.col("c_nationkey")).otherwise(F.col("s_nationkey")).alias("a"), F.when(F.col("l_returnflag") == "R", F.col("s_nationkey")).otherwise(F.col("c_nationkey")).alias("b")).transform(graph.cycles),
+    "WITH e AS (SELECT DISTINCT CASE l_returnflag WHEN 'R' THEN c_nationkey ELSE s_nationkey END AS a, CASE l_returnflag WHEN 'R' THEN s_nationkey ELSE c_nationkey END AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey),"
+    " p2 AS (SELECT [a, b] AS path FROM e WHERE a < b), p3 AS (SELECT list_append(path, b) AS path FROM p2 JOIN e ON a = path[2] WHERE b > path[1] AND b <> path[2]),"
+    " p4 AS (SELECT list_append(path, b) AS path FROM p3 JOIN e ON a = path[3] WHERE b > path[1] AND NOT list_contains(path, b)), p AS (SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4),"
+    " c AS (SELECT list_sort(path) AS nodes, min(path) AS path FROM p JOIN e ON e.a = path[len(path)] AND e.b = path[1] GROUP BY 1)"
+    " SELECT array_to_string(nodes, ',') AS nodes, array_to_string(path, '>') AS path, len(path)::BIGINT AS length FROM c")
 
 # ---- text -----------------------------------------------------------------------------
 add("find_dates", "contracts", lambda c: text.extract(c).where("kind = 'date'").select("document_id", "value", "role", "confidence", "position"), "SELECT document_id, begun::VARCHAR AS value, 'start' AS role, 1.0::DOUBLE AS confidence, 28::INTEGER AS position FROM contracts")

@@ -1,5 +1,5 @@
 import random
-from itertools import combinations
+from itertools import combinations, permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +123,19 @@ def test_paths_of_up_to_six_hops(spark):
     assert sorted(got) == sorted((">".join(p), len(p) - 1) for p in found)
 
 
+def test_cycles_of_two_to_four(spark):
+    rng = random.Random(8)
+    edges = {tuple(rng.sample(range(12), 2)) for _ in range(45)} | {(3, 3)}
+    found = {}
+    for k in (2, 3, 4):
+        for p in permutations(range(12), k):
+            if all(e in edges for e in zip(p, p[1:] + p[:1], strict=True)):
+                found.setdefault(tuple(sorted(p)), p)
+    assert {len(k) for k in found} == {2, 3, 4}
+    got = [(r["nodes"], r["path"], r["length"]) for r in graph.cycles(spark.createDataFrame(sorted(edges), "a long, b long")).collect()]
+    assert sorted(got) == sorted((",".join(map(str, k)), ">".join(map(str, p)), len(p)) for k, p in found.items())
+
+
 def test_indel_ratio():
     def naive(a, b):
         row = [0] * (len(b) + 1)
