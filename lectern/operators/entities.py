@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,24 +45,75 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * row.bit_count() / (len(a) + len(b))
 
 
-def similar_pages(pages: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Pairs of live pages of a type with similar names, words sorted; only pairs that share a word and are of like length are scored.
+def near_names(left: list[str], right: list[str], least: float) -> list[tuple[int, int, float]]:
+    """(index, index, score) of all pairs of names that score ``least`` or more.
+
+    The longest common subsequence of such a pair has t = least / 200 of both lengths' sum or
+    more. As many characters are then common, and 3 t - 1 of the sum, less one, pairs of
+    characters in a row. Counts by bucket can only say more. What passes both is scored.
+    """
+    t = least / 200
+
+    def counted(names: list[str], n: int, buckets: int) -> np.ndarray:
+        out = np.zeros((len(names), buckets), dtype=np.int16)
+        for i, name in enumerate(names):
+            for j in range(len(name) - n + 1):
+                out[i, (ord(name[j]) * 31 * (n > 1) + ord(name[j + n - 1])) % buckets] += 1
+        return out
+
+    m, n = (np.array([len(x) for x in names], dtype=np.int64) for names in (left, right))
+    x, y = counted(left, 1, 61), counted(right, 1, 61)
+    common = np.zeros((len(left), len(right)), dtype=np.int16)
+    for k in range(61):
+        common += np.minimum.outer(x[:, k], y[:, k])
+    i, j = np.nonzero(common >= t * np.add.outer(m, n) - 1e-9)
+    x, y = counted(left, 2, 128), counted(right, 2, 128)
+    out = []
+    for at in range(0, len(i), 100_000):
+        u, v = i[at : at + 100_000], j[at : at + 100_000]
+        fine = np.minimum(x[u], y[v]).sum(axis=1) >= (3 * t - 1) * (m[u] + n[v]) - 1 - 1e-9
+        scored = ((a, b, indel_ratio(left[a], right[b])) for a, b in zip(u[fine].tolist(), v[fine].tolist(), strict=True))
+        out += [x for x in scored if x[2] >= least]
+    return out
+
+
+def similar_pages(pages: DataFrame, least: float = SIMILAR, block: int = 500) -> DataFrame:
+    """All pairs of live pages of a type with similar names, words sorted, and at 100 those whose names are equal or have one key.
 
-    A pair that scores ``least`` over 2 LCS / (m + n) has lengths within a ratio, which bounds
-    the pairs with the shared word: a word that most names share is no ground for a pair.
+    Different names are scored once, however many pages have them. Names of a pair that scores
+    ``least`` over 2 LCS / (m + n) have lengths within the ratio (200 - least) / least, so that they
+    are in one band of lengths or in two that follow each other. Bands are dealt into blocks of
+    about so many names, and every two blocks are one task.
     """
-    key = pages.where("merged_into IS NULL").select("entity_id", "type_id", F.array_join(F.array_sort(F.split(words_only(F.col("canonical_name")), " ")), " ").alias("name"))
-    each = key.select("*", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
-    counted = each.groupBy("type_id", "word").agg(F.count(F.lit(1)).alias("n")).where("n BETWEEN 2 AND 50")
-    rare = each.join(counted, ["type_id", "word"])
-    other = rare.select("type_id", "word", F.col("entity_id").alias("other_id"), F.col("name").alias("other_name"))
-    pairs = rare.join(other, ["type_id", "word"]).where("entity_id < other_id").select("type_id", "entity_id", "other_id", "name", "other_name").distinct()
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(score=[indel_ratio(a, b) for a, b in zip(batch["name"], batch["other_name"], strict=True)])[["type_id", "entity_id", "other_id", "score"]]
-
-    return pairs.mapInPandas(score, "type_id string, entity_id string, other_id string, score double").where(F.col("score") >= least)
+    live = pages.where("merged_into IS NULL").withColumn("key", name_key(F.col("canonical_name")))
+    live = live.select("entity_id", "type_id", "key", F.array_join(F.array_sort(F.split(words_only(F.col("canonical_name")), " ")), " ").alias("name"))
+    names = live.where("name <> ''").select("type_id", "name").distinct()
+    # The base is over the ratio, so that rounding moves no pair two bands apart.
+    names = names.withColumn("band", F.floor(F.log(F.length("name")) / F.log(F.lit(1.05 * (200 - least) / least))))
+    blocks = names.groupBy("type_id", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    names = names.join(blocks, ["type_id", "band"]).withColumn("part", F.pmod(F.xxhash64("name"), F.col("blocks")))
+    one = blocks.select("type_id", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
+    other = one.select("type_id", F.col("band").alias("other_band"), F.col("part").alias("other_part"))
+    tasks = one.join(other, "type_id").where("other_band = band + 1 OR other_band = band AND other_part >= part")
+    sides = F.array(F.struct("band", "part", F.lit(0).alias("side")), F.struct(F.col("other_band").alias("band"), F.col("other_part").alias("part"), F.lit(1).alias("side")))
+    wanted = tasks.select("type_id", F.struct("band", "part", "other_band", "other_part").alias("task"), F.explode(sides).alias("s")).select("type_id", "task", "s.*")
+    dealt = names.join(wanted, ["type_id", "band", "part"]).select("type_id", "task", "side", "name")
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (sorted(pdf["name"][pdf["side"] == k]) for k in (0, 1))
+        same = left == right
+        found = [(left[a], right[b], x) for a, b, x in near_names(left, right, least) if not same or a < b]
+        out = pd.DataFrame(found, columns=["name", "other_name", "score"])
+        return out.assign(type_id=pdf["type_id"].iloc[0])[["type_id", "name", "other_name", "score"]]
+
+    near = dealt.groupBy("type_id", "task").applyInPandas(score, "type_id string, name string, other_name string, score double")
+    own = live.select("type_id", "name", "key", "entity_id")
+    others = own.select("type_id", F.col("name").alias("other_name"), F.col("key").alias("other_key"), F.col("entity_id").alias("other_id"))
+    ordered = [F.least("entity_id", "other_id").alias("entity_id"), F.greatest("entity_id", "other_id").alias("other_id")]
+    similar = near.join(own, ["type_id", "name"]).join(others, ["type_id", "other_name"]).where("NOT key <=> other_key").select("type_id", *ordered, "score")
+    equal = own.where("name <> ''").join(others, "type_id").where("name = other_name AND NOT key <=> other_key AND entity_id < other_id").select("type_id", "entity_id", "other_id", F.lit(100.0).alias("score"))
+    keyed = own.where("key <> ''").join(others, "type_id").where("key = other_key AND entity_id < other_id").select("type_id", "entity_id", "other_id", F.lit(100.0).alias("score"))
+    return similar.unionByName(equal).unionByName(keyed)
 
 
 def conflicts(claims: DataFrame) -> DataFrame:

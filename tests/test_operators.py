@@ -151,6 +151,27 @@ def test_indel_ratio():
         assert entities.indel_ratio(a, b) == pytest.approx(naive(a, b))
 
 
+def test_similar_pages_are_all_found(spark):
+    rng = random.Random(6)
+    names = ["Smith Holdings", "Smith Holding", "Johnson", "Jonson", "Foo Co Ltd", "Foo", "Foo Limited", "", "!", "ab", "abc", "b a", "a b", *["Same Name"] * 55]
+    names += [f"Smith {''.join(rng.choice('xyz') for _ in range(5))}" for _ in range(60)]
+    names += ["".join(rng.choice("abc d") for _ in range(rng.randint(1, 14))) for _ in range(120)]
+    rows = [(f"e{i:03}", "XY"[i % 17 == 0], n, None) for i, n in enumerate(names)] + [("gone", "X", "Johnson", "e002")]
+    pages = spark.createDataFrame(rows, "entity_id string, type_id string, canonical_name string, merged_into string")
+    keyed = pages.select("*", scalar.name_key(F.col("canonical_name")).alias("key"), F.array_join(F.array_sort(F.split(scalar.words_only(F.col("canonical_name")), " ")), " ").alias("name"))
+    expected = {}
+    for a, b in combinations(sorted(r for r in keyed.where("merged_into IS NULL").collect()), 2):
+        score = 100.0 if a["key"] and a["key"] == b["key"] else entities.indel_ratio(a["name"], b["name"])
+        if a["type_id"] == b["type_id"] and score >= 80:
+            expected[a["type_id"], a["entity_id"], b["entity_id"]] = score
+    found = {r[1:3] for r in expected}
+    assert {("e002", "e003"), ("e004", "e005")} <= found
+    for block in (500, 20):
+        got = entities.similar_pages(pages, block=block).collect()
+        assert len(got) == len(expected)
+        assert {(r["type_id"], r["entity_id"], r["other_id"]): r["score"] for r in got} == pytest.approx(expected)
+
+
 def test_conflict_and_corroboration(spark):
     rows = [("c", f"m{i}", f"d{i}", "address", v, True, False, e) for i, (v, e) in enumerate([("A", "x"), ("B", "y"), ("A", "x")])]
     claims = spark.createDataFrame([*rows, ("c", "m9", "d9", "address", "C", True, True, "z")], "entity_id string, instance_id string, document_id string, property_id string, value string, reviewed boolean, rejected boolean, excerpt string")
