@@ -1,8 +1,10 @@
 """Operator 2: licence scans by sentence rules. DataFrame functions only.
 
-A text is cut into sentences (after . ; : ! ? before white space, and at line ends), each
-normalised to lower-case words of a-z and 0-9. Known sentences map to identifiers, others are
-left out, and the sequence of identifiers is matched against the licence rules in order: a
+A text is cut into sentences (after . ; : ! ? before white space, and at lines without letters
+and digits), each normalised to lower-case words of a-z and 0-9. What is looked up are whole
+lines of a sentence, one or several in a row, the most lines first: a known sentence may be
+wrapped, and stand after a line that has no mark at its end. Known sentences map to identifiers,
+others are left out, and the sequence of identifiers is matched against the licence rules in order: a
 rule that finds its identifiers in a row takes every such row out of the sequence, so that a
 licence whose text begins like a longer one is only found where the longer one is not.
 
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sentences of public licence texts and notices, by identifier.
@@ -94,14 +96,26 @@ def sequence(names: tuple[str, ...]) -> str:
     return ",,".join(ids).join(",,")
 
 
+def wrapped(known: dict[str, str]) -> str:
+    """A pattern of known sentences in ``running`` text, longest first: from a line's or sentence's start to such an end."""
+    each = sorted(known, key=lambda k: (-len(k), k))
+    return f"(?<![^|\\n])(?:{'|'.join(k.replace(' ', '[ \\n]') for k in each)})(?![^|\\n])"
+
+
+def running(text: Column) -> Column:
+    """The words of a text with one blank, line end or | (end of a sentence) between each two."""
+    out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ|", "abcdefghijklmnopqrstuvwxyz ")
+    for pattern, to in ((r"[.;:!?]+(?:\s+|$)", "|"), (r"[^a-z0-9|\n]+", " "), (r" *([|\n]) *", "$1"), (r"\n\n+", "|")):
+        out = F.regexp_replace(out, pattern, to)
+    return F.btrim(out)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_ids, licenses): identifiers in the order of the text, licences in the order of the rules."""
     known = parts()
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    cut = F.split(F.coalesce("text", F.lit("")), BREAK)
-    clean = lambda s: F.btrim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
-    clues = F.filter(cut, lambda s: s.rlike(CLUE))
-    ids = F.array_compact(F.transform(clues, lambda s: F.element_at(lookup, clean(s))))
+    found = F.regexp_extract_all(running(F.coalesce("text", F.lit(""))), F.lit(wrapped(known)), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(lookup, F.translate(s, "\n", " ")))
     ids = F.when(F.col("text").rlike(CLUE), ids).otherwise(F.array().cast("array<string>"))
     out = docs.select("doc_id", ids.alias("ids"))
     out = out.select("doc_id", "ids", F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")).alias("_seq0"))

@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 import pandas as pd
 
@@ -40,6 +42,31 @@ def test_equals_oracle(spark):
     assert sorted(tuple(r) for r in licenses.report(frame(spark, TEXTS)).collect()) == expected
 
 
+def test_wrapped_texts(spark):
+    known = licenses.SENTENCES
+    whole = [
+        f"MIT License\n\nCopyright (c) 2020 A\n\n{known['mit_grant']}\n\n{known['mit_condition']}",
+        f"Copyright 2020 A\n{known['isc_grant']}",
+        f"Copyright 2020 A\n{known['bsd_grant']}\n\n1. x\n\n3. {known['bsd_endorse']}",
+        f"{known['gpl_free']} {known['gpl2_terms']}",
+        f"{known['gpl_free']} {known['gpl3_terms']}",
+        f"{known['apache_header']} {known['apache_use']}\n{known['apache_copy']}\n\n    http://x",
+        f"{known['unlicense_grant']}\nAnyone",
+        f"{known['mpl2_notice']}. 2.0.",
+    ]
+    texts, expected = [], []
+    names = ["MIT", "ISC", "BSD-3-Clause", "GPL-2.0-or-later", "GPL-3.0-or-later", "Apache-2.0", "Unlicense", "MPL-2.0"]
+    for text, name in zip(whole, names, strict=True):
+        for width, before, end in ((78, "", "\n"), (60, "# ", "\n"), (40, " * ", "\r\n")):
+            lines = [line for one in text.split("\n") for line in textwrap.wrap(one, width) or [""]]
+            texts.append(end.join(before + line for line in lines))
+            expected.append(name)
+    texts += ["Released under the\n\nMIT License.", "Released under the MIT License\nof old.", "not Released under the\nMIT License."]
+    expected += ["", "MIT", ""]
+    got = found(spark, texts)
+    assert [got[i][1] for i in range(len(texts))] == expected
+
+
 def test_every_known_sentence_has_a_clue():
     import re
 
