@@ -9,7 +9,8 @@ signatures of the size partitions that it is large enough to contain. Nothing is
 Candidates are verified by the exact containment of the item's shingles, as words.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. An item of
-fewer than five words has one shingle, its words. The signatures are sent to every task
+fewer than five words has one shingle, its words; for the lengths of such items, documents are
+also cut into shingles of so many words. The signatures are sent to every task
 if they are small, as counted; else shingles and signatures meet in a shuffled join.
 
 Defined results: null and empty texts and items have no shingles and match nothing. Repeated
@@ -90,27 +91,39 @@ def shingle_words(text: str, k: int = WORDS) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
+def document_hashes(texts: list[str], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of shingles of all these sizes, ordered by text."""
+    made = [shingle_hashes(texts, k) for k in sizes]
+    h, owner = (np.concatenate(x) for x in zip(*made, strict=True))
+    order = np.argsort(owner, kind="stable") if len(sizes) > 1 else slice(None)
+    return h[order], owner[order]
+
+
 def signatures(items: DataFrame, t: float = CONTAINED) -> DataFrame:
-    """(item_id, text, n, h): the signature values of every item that has shingles."""
+    """(item_id, text, n, words, h): the signature values of every item that has shingles, and of how many words these are."""
 
     def make(texts: list[str]) -> dict:
         h, owner = shingle_hashes(texts)
         sets = [np.unique(h[owner == i]) for i in range(len(texts))]
         least = [s[: int(np.floor((1 - t) * len(s) + 1e-9)) + 1] if len(s) else s for s in sets]
-        return {"n": [len(s) for s in sets], "h": [x.view(np.int64) for x in least]}
+        words = [min(WORDS, len(WORD.findall(x.encode("utf-8", "surrogatepass").lower()))) for x in texts]
+        return {"n": [len(s) for s in sets], "words": words, "h": [x.view(np.int64) for x in least]}
 
     own = items.where("item_id IS NOT NULL").withColumn("_text", F.col("text"))
-    made = map_texts(own.select("item_id", "text", "_text"), "text", make, "n int, h array<bigint>", ["item_id", "_text"], 200_000)
-    return made.where("n > 0").select("item_id", F.col("_text").alias("item"), "n", "h")
+    made = map_texts(own.select("item_id", "text", "_text"), "text", make, "n int, words int, h array<bigint>", ["item_id", "_text"], 200_000)
+    return made.where("n > 0").select("item_id", F.col("_text").alias("item"), "n", "words", "h")
 
 
 def contained(document: str, items: list[tuple[int, str]], t: float, cached: dict) -> list[tuple[int, float]]:
-    own = shingle_words(document)
+    own: dict[int, set[bytes]] = {}
     out = []
     for item_id, item in items:
         if item not in cached:
             cached[item] = shingle_words(item)
-        share = len(cached[item] & own) / len(cached[item])
+        k = next(iter(cached[item])).count(b" ") + 1
+        if k not in own:
+            own[k] = shingle_words(document, k)
+        share = len(cached[item] & own[k]) / len(cached[item])
         if share >= t - 1e-9:
             out.append((item_id, share))
     return out
@@ -122,6 +135,7 @@ def matches(docs: DataFrame, items: DataFrame, t: float = CONTAINED) -> DataFram
     held = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     key = dict(items.dtypes)["item_id"]
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {key}, containment double"
+    sizes = [WORDS, *sorted(r["words"] for r in known.where(F.col("words") < WORDS).select("words").distinct().collect())]
     size = known.agg(F.coalesce(F.sum(F.length("item") + 8 * F.size("h") + 32), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
         rows = [(r["item_id"], r["item"], r["n"], np.array(r["h"], dtype=np.int64).view(np.uint64)) for r in known.collect()]
@@ -145,7 +159,7 @@ def matches(docs: DataFrame, items: DataFrame, t: float = CONTAINED) -> DataFram
                     if chars < 1_000_000 and i < len(texts) - 1:
                         continue
                     part = texts[begin : i + 1]
-                    h, doc = shingle_hashes(part)
+                    h, doc = document_hashes(part, sizes)
                     counts = np.bincount(doc, minlength=len(part))
                     near = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
                     lo, hi = np.searchsorted(value, h[near], "left"), np.searchsorted(value, h[near], "right")
@@ -164,7 +178,7 @@ def matches(docs: DataFrame, items: DataFrame, t: float = CONTAINED) -> DataFram
 
         pairs = held.mapInPandas(run, schema)
     else:
-        hashed = map_texts(held, "text", lambda texts: {"h": per_text(texts)}, "h array<bigint>", ["doc_id"], 1_000_000)
+        hashed = map_texts(held, "text", lambda texts: {"h": per_text(texts, sizes)}, "h array<bigint>", ["doc_id"], 1_000_000)
         each = hashed.select("doc_id", F.size("h").alias("size"), F.explode("h").alias("h"))
         wanted = known.select("item_id", "n", F.explode("h").alias("h"))
         found = each.join(wanted, "h").where(F.col("size") >= F.floor(F.col("n") * t)).select("doc_id", "item_id").distinct()
@@ -179,8 +193,8 @@ def matches(docs: DataFrame, items: DataFrame, t: float = CONTAINED) -> DataFram
     return pairs.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
-def per_text(texts: list[str]) -> list[np.ndarray]:
-    h, owner = shingle_hashes(texts)
+def per_text(texts: list[str], sizes: list[int]) -> list[np.ndarray]:
+    h, owner = document_hashes(texts, sizes)
     return [np.unique(x).view(np.int64) for x in np.split(h, np.searchsorted(owner, np.arange(1, len(texts))))]
 
 

@@ -90,17 +90,21 @@ def reading_progress(turns: DataFrame) -> DataFrame:
 def benchmark_recall(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, item_id): label texts that stand in a document, compared in normalised words.
 
-    A label's first three words in a row lead to the documents that have them; containment of the whole is then exact.
+    A label's first three words in a row, or all of a shorter one, lead to the documents that have them; containment of the whole is then exact.
     """
     from lectern.functions.scalar import words_only
 
-    def grams(text):
+    def grams(text, k):
         words = F.split(text, " ")
-        return F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.slice(words, i, 3))))
+        return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(F.array().cast("array<bigint>"))
 
-    label = labels.select("item_id", words_only(F.col("text")).alias("wanted")).withColumn("h", F.get(grams(F.col("wanted")), F.lit(0))).where("h IS NOT NULL")
+    label = labels.select("item_id", words_only(F.col("text")).alias("wanted")).where("wanted <> ''").withColumn("k", F.least(F.size(F.split("wanted", " ")), F.lit(3)))
+    sizes = sorted(r["k"] for r in label.select("k").distinct().collect())
+    first = F.coalesce(*[F.when(F.col("k") == k, F.get(grams(F.col("wanted"), k), F.lit(0))) for k in sizes or [3]])
+    label = label.select("item_id", "wanted", first.alias("h"))
     doc = docs.select("doc_id", words_only(F.col("text")).alias("body"))
-    found = doc.select("doc_id", "body", F.explode(F.array_distinct(grams(F.col("body")))).alias("h")).join(label, "h")
+    each = F.concat(*[grams(F.col("body"), k) for k in sizes or [3]])
+    found = doc.select("doc_id", "body", F.explode(F.array_distinct(each)).alias("h")).join(label, "h")
     return found.where(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "wanted", F.lit(" ")))).select("doc_id", "item_id").distinct()
 
 

@@ -44,3 +44,13 @@ def test_clean(spark):
     assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 2, 3]
     assert decontaminate.clean(docs, bench.where("false")).count() == 5
     assert decontaminate.matches(docs.where("false"), bench).count() == 0
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_short_items_in_long_documents(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    items = {1: "Needle", 2: "two, words", 4: "four of these words", 6: "one two three four five six", 7: "no such words"}
+    docs = {10: "x " * 50 + "NEEDLE y " + "x " * 50, 11: "a b c d e two words f", 12: "says four of these words and more", 13: "needle", 14: "needles two x words", 15: "z one two three four five six needle", 16: "two words"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.matches(frame(spark, list(docs.values()), list(docs)), bench).collect())
+    assert got == [(10, 1, 1.0), (11, 2, 1.0), (12, 4, 1.0), (13, 1, 1.0), (15, 1, 1.0), (15, 6, 1.0), (16, 2, 1.0)]

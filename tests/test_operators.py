@@ -225,3 +225,11 @@ def test_stream_counts(spark, tmp_path):
     stream.run_once(live, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [3, 3, 3]
+
+
+def test_benchmark_recall_of_short_labels(spark):
+    labels = spark.createDataFrame([(1, "Needle"), (2, "two, words"), (3, "three words here"), (4, "four words are here"), (5, ""), (6, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a needle"), (2, "x two words y three words here"), (3, "needles"), (4, "four words are here"), (5, "Needle"), (6, ""), (7, None)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in corpus.benchmark_recall(docs, labels).collect())
+    assert got == [(1, 1), (2, 2), (2, 3), (4, 4), (5, 1)]
+    assert corpus.benchmark_recall(docs, labels.where("false")).count() == 0
