@@ -3,7 +3,9 @@
 Base patterns find assignments, access keys and hexadecimal strings. The method adds other
 strings: two character bigram models, one of random strings and one of ordinary identifiers,
 are trained by counting in Spark over labelled samples; a candidate of ``CANDIDATE`` that does
-not touch a base span is a secret if its log-likelihood ratio per character is over ``RATIO``.
+not touch a base span is a secret if its log-likelihood ratio per character is over ``RATIO``
+and, unless it has ``LONG`` characters with digits and letters among them, its sum is over
+``EVIDENCE``: short strings, and letters or digits alone, need more to each character.
 
 Places are in code points, end exclusive; an assignment's span is the whole match. Positions
 come from splitting a text by the pattern: lengths of what is between matches and of the
@@ -29,8 +31,8 @@ ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?
 #: These two only match where the plain pattern's match is long enough, and then the same text.
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
-RATIO = 0.4
+CANDIDATE = "[A-Za-z0-9+/_-]{12,}"
+RATIO, EVIDENCE, LONG = 0.4, 20.0, 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Parts that the labelled identifiers are made of.
 PARTS = """get set is has to from user name id list map file path read write open close data value key index count size
@@ -118,9 +120,9 @@ def scan(docs: DataFrame, table: list[float]) -> DataFrame:
     )
     tagged = lambda name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(kinds.index(name)).alias("rank"), s["end"].alias("end"), F.lit(name).alias("kind")))
     out = out.withColumn("base", F.sort_array(reduce(F.concat, [tagged(k) for k in kinds[:3]])))
-    mixed = F.filter("candidates", lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]"))
-    free = F.filter(mixed, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    random = F.filter(free, lambda s: log_ratio(s["found"], table) > RATIO)
+    free = F.filter("candidates", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    enough = lambda t: F.when((F.length(t) >= LONG) & t.rlike("[0-9]") & t.rlike("[A-Za-z]"), RATIO).otherwise(F.greatest(F.lit(RATIO), EVIDENCE / (F.length(t) - 1)))
+    random = F.filter(free, lambda s: log_ratio(s["found"], table) > enough(s["found"]))
     out = out.withColumn("markov", F.when(F.size("candidates") > 0, random).otherwise(F.col("candidates")))
     return out.withColumn("all", F.sort_array(F.concat("base", tagged("markov")))).drop("text", "candidates")
 

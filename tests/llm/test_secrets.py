@@ -50,6 +50,13 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     assert got == [1] * len(random_ones) + [0] * len(ordinary)
 
 
+def test_short_strings_and_letters_alone(spark):
+    random_ones = ["Zx9Qm2LrT8vKp4Wd", "qkzvbxwjhfpdtrmc", "QxZkVbWjRpTmLdGh", "7f3a9c1e5b8d2f60", "kQxZvBwJhFpDtRmCgLsNyXeV", "XQZJKVWPGMBTRHDLFCNS"]
+    ordinary = ["internationalization", "Donaudampfschifffahrtsgesellschaft", "configuration", "readFileBufferSize", "user_name_list", "2024-01-02", "1234567890123456"]
+    got = [r["n_markov"] for r in secrets.report(frame(spark, [f"x {t} y" for t in random_ones + ordinary])).orderBy("doc_id").collect()]
+    assert got == [1] * len(random_ones) + [0] * len(ordinary)
+
+
 def test_training_counts(spark):
     table = secrets.train(spark.createDataFrame([("ab", True), ("ba", False), ("", True), (None, False)], "text string, random boolean"))
     n = len(secrets.ALPHABET)
