@@ -11,6 +11,10 @@ from lectern.functions.scalar import name_key, words_only
 
 #: The least score of a fuzzy pair and of a near spelling.
 SIMILAR, NEAR = 80.0, 0.85
+#: Words for the part that somebody plays in a document, which are no names.
+ROLES = """franchisee franchisor licensor licensee sublicensee supplier customer buyer seller purchaser vendor contractor subcontractor client consultant
+party parties distributor reseller sponsor agent lender borrower guarantor employer employee manufacturer developer owner tenant landlord disclosing
+receiving recipient assignor assignee lessor lessee""".split()
 
 
 def unlinked(instances: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -116,6 +120,13 @@ def similar_pages(pages: DataFrame, least: float = SIMILAR, block: int = 500) ->
     return similar.unionByName(equal).unionByName(keyed)
 
 
+def unnamed(pages: DataFrame) -> DataFrame:
+    """Live pages under the part that somebody plays, or under a name without letters."""
+    name = F.btrim(F.coalesce("canonical_name", F.lit("")))
+    bare = F.btrim(F.regexp_replace(F.btrim(F.lower(name), F.lit(".")), "^the ", ""))
+    return pages.where("merged_into IS NULL").where(bare.isin(ROLES) | ~name.rlike(r"\p{L}"))
+
+
 def conflicts(claims: DataFrame) -> DataFrame:
     """Properties of which a page's reviewed, live claims state different values."""
     live = claims.where("reviewed AND NOT rejected AND value <> ''")

@@ -156,7 +156,14 @@ add("search_index", "documents", lambda d: text.inverted_index(d).where("word =
 
 # ---- corpus ---------------------------------------------------------------------------
 add("content_dedupe", "documents", corpus.ingest, "SELECT sha256(coalesce(text, '')) AS file_hash, min(doc_id) AS doc_id, count(*) AS n_copies, 'documents/' || left(sha256(coalesce(text, '')), 2) || '/' || sha256(coalesce(text, '')) AS storage_path FROM documents GROUP BY 1")
-add("integrity_audit", "documents", lambda d: corpus.audit_storage(d.select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.sha2("text", 256)).alias("file_hash"), (F.col("doc_id") % 11 == 0).alias("redacted")), d.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 13 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("text", 256)).alias("content_hash"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
+
+
+def _audit(d: DataFrame) -> DataFrame:
+    """The originals, of which some are redacted, not stored, missing or altered."""
+    return corpus.audit_storage(d.select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.sha2("text", 256)).alias("file_hash"), (F.col("doc_id") % 11 == 0).alias("redacted")), d.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 13 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("text", 256)).alias("content_hash")))
+
+
+add("integrity_audit", "documents", lambda d: _audit(d).groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
     "SELECT CASE WHEN doc_id % 11 = 0 THEN 'redacted' WHEN doc_id % 7 = 0 THEN 'not_stored' WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 13 = 0 THEN 'altered' ELSE 'sound' END AS reason, count(*) AS n FROM documents GROUP BY 1")
 add("visible_documents", "orders", lambda o: corpus.visible(o.select(F.col("o_orderkey").alias("document_id"), F.concat(F.lit("u"), F.col("o_custkey") % 50).alias("owner"), F.when(F.col("o_orderkey") % 9 == 0, "link-view").otherwise("private").alias("visibility")), o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("document_id"), F.concat(F.lit("u"), F.col("o_orderkey") % 7).alias("actor_id"), F.lit("viewer").alias("role")), "u3").select("document_id"),
     "SELECT o_orderkey AS document_id FROM orders WHERE o_custkey % 50 = 3 OR o_orderkey % 9 = 0 OR (o_orderkey % 4 = 0 AND o_orderkey % 7 = 3)")
@@ -178,19 +185,26 @@ add("suggestion_quality", "findings", lambda f: f.groupBy("source").pivot("statu
     "SELECT source, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'unconfirmed') AS unconfirmed, round(count(*) FILTER (status = 'confirmed') / (count(*) FILTER (status IN ('confirmed', 'rejected')))::DOUBLE, 3) AS acceptance FROM findings GROUP BY 1")
 
 
-def _lint(f: DataFrame, m: DataFrame, e: DataFrame, c: DataFrame) -> DataFrame:
-    """Counts by check: quotations without a place, smoothed conflicts, unreviewed groupings, pages without mentions."""
+def _lint(f: DataFrame, m: DataFrame, e: DataFrame, c: DataFrame, d: DataFrame) -> DataFrame:
+    """Counts by check: quotations without a place, smoothed conflicts, unreviewed groupings, pages without mentions or name, reviewed mentions without a page, originals that are gone."""
     row = lambda df, check, severity: df.agg(F.lit(check).alias("check_name"), F.lit(severity).alias("severity"), F.count(F.lit(1)).alias("n"))
     live = m.where("NOT unlinked")
     grouped = live.groupBy("entity_id").agg(F.count_distinct("document_id").alias("d"), F.count_if(F.col("status").isin("confirmed", "amended")).alias("r")).where("d >= 3 AND r = 0")
     parts = [row(f.where("alignment IS NULL AND excerpt <> '' AND status <> 'rejected'"), "ungrounded_quotation", "high"), row(entities.conflicts(c), "smoothed_conflict", "high"), row(grouped, "unreviewed_grouping", "medium"), row(e.join(live, "entity_id", "left_anti"), "uncited_page", "medium")]
+    reviewed = m.where("status IN ('confirmed', 'amended')").select("instance_id").distinct()
+    # Altered bytes are for integrity_audit: this check is whether an original is there.
+    parts += [row(entities.unlinked(reviewed, m), "orphan_mention", "medium"), row(entities.unnamed(e), "unnamed_page", "medium"), row(_audit(d).where("reason IN ('missing', 'not_stored')"), "unavailable_original", "medium")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-add("lint_findings", "findings mentions entities claims", _lint, """SELECT 'ungrounded_quotation' AS check_name, 'high' AS severity, count(*) AS n FROM findings WHERE alignment IS NULL AND excerpt <> '' AND status <> 'rejected'
+ROLES_SQL = ", ".join(f"'{r}'" for r in entities.ROLES)
+add("lint_findings", "findings mentions entities claims documents", _lint, f"""SELECT 'ungrounded_quotation' AS check_name, 'high' AS severity, count(*) AS n FROM findings WHERE alignment IS NULL AND excerpt <> '' AND status <> 'rejected'
  UNION ALL SELECT 'smoothed_conflict', 'high', count(*) FROM (SELECT 1 FROM claims WHERE reviewed AND NOT rejected AND value <> '' GROUP BY entity_id, property_id HAVING count(DISTINCT value) > 1)
  UNION ALL SELECT 'unreviewed_grouping', 'medium', count(*) FROM (SELECT 1 FROM mentions WHERE NOT unlinked GROUP BY entity_id HAVING count(DISTINCT document_id) >= 3 AND count(*) FILTER (status IN ('confirmed', 'amended')) = 0)
- UNION ALL SELECT 'uncited_page', 'medium', count(*) FROM entities WHERE entity_id NOT IN (SELECT entity_id FROM mentions WHERE NOT unlinked)""")
+ UNION ALL SELECT 'uncited_page', 'medium', count(*) FROM entities WHERE entity_id NOT IN (SELECT entity_id FROM mentions WHERE NOT unlinked)
+ UNION ALL SELECT 'orphan_mention', 'medium', count(DISTINCT instance_id) FROM mentions WHERE status IN ('confirmed', 'amended') AND instance_id NOT IN (SELECT instance_id FROM mentions WHERE NOT unlinked)
+ UNION ALL SELECT 'unnamed_page', 'medium', count(*) FROM entities WHERE merged_into IS NULL AND (trim(regexp_replace(trim(lower(trim(canonical_name)), '.'), '^the ', '')) IN ({ROLES_SQL}) OR NOT regexp_matches(canonical_name, '\\p{{L}}'))
+ UNION ALL SELECT 'unavailable_original', 'medium', count(*) FROM documents WHERE doc_id % 11 <> 0 AND (doc_id % 7 = 0 OR doc_id % 5 = 0)""")

@@ -233,3 +233,14 @@ def test_benchmark_recall_of_short_labels(spark):
     got = sorted(tuple(r) for r in corpus.benchmark_recall(docs, labels).collect())
     assert got == [(1, 1), (2, 2), (2, 3), (4, 4), (5, 1)]
     assert corpus.benchmark_recall(docs, labels.where("false")).count() == 0
+
+
+def test_lint_checks(spark):
+    from lectern.plans import catalogue
+
+    found = {r["check_name"]: r["n"] for r in catalogue.queries()["lint_findings"](spark, "/root/testdata/sf0.001").collect()}
+    assert found["orphan_mention"] > 0 and found["unavailable_original"] > 0 and found["unnamed_page"] == 0
+    names = ["Franchisee", "The Buyer.", "[.]", "", None, "Buyer Ltd", "Émile", "seller"]
+    rows = [(str(i), "Company", n, "x" if i == 7 else None) for i, n in enumerate(names)]
+    pages = spark.createDataFrame(rows, "entity_id string, type_id string, canonical_name string, merged_into string")
+    assert sorted(r["entity_id"] for r in entities.unnamed(pages).collect()) == ["0", "1", "2", "3", "4"]
