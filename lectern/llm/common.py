@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that the word definitions of the operators name: \x20 and \x09-\x0D.
@@ -18,14 +21,20 @@ WHITE = " \t\n\x0b\x0c\r"
 BROADCAST_BYTES = 32 << 20
 
 
+#: What this process has written and not removed.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session (tests) gets a temporary one; a cluster is refused."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lectern.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("lectern.checkpoint.dir", None)
-        if not found:
-            found = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-            spark.conf.set("lectern.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="lectern-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        found = f"file://{local}"
+        spark.conf.set("lectern.checkpoint.dir", found)
     return found
 
 
@@ -34,12 +43,72 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def written_path(df: DataFrame) -> str:
+    """Where ``materialise`` put this table."""
+    return df._written
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete written tables that nothing will read again."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+        if path in _made:
+            _made.remove(path)
+
+
+def finished(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df written, and the tables that were written on its way (from number ``since`` of ``written()`` on) removed."""
+    out = materialise(df, name)
+    remove(df.sparkSession, _made[since:-1])
+    return out
+
+
+def written() -> int:
+    """How many written tables there are."""
+    return len(_made)
+
+
+def column(name: str) -> Column:
+    """A column by its name as it is, dots and backticks among it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(docs: DataFrame, **beside: Column) -> DataFrame:
+    """(row, ...): whole rows as one struct, so that no column of theirs clashes with those beside; ``unboxed`` gives them back."""
+    return docs.select(F.struct(*map(column, docs.columns)).alias("row"), *[c.alias(k) for k, c in beside.items()])
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
+def small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """A written table, marked for broadcast if its rows, at so many bytes each, prove to be few; else as it is, for a shuffled join."""
+    size = df.agg(F.coalesce(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
 
+def salted_join(rows: DataFrame, known: DataFrame, keys: list[str], count: str, total: int, how: str = "inner", salts: int = 64) -> DataFrame:
+    """rows joined with ``known``, which has each key once and how many rows have it, of ``total``.
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows prove to be few; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    Keys of a thousandth of the rows or more, a thousand at most, are dealt over ``salts``
+    partitions; only the list of these keys is broadcast, which that bounds.
+    """
+    hot = known.where(F.col(count) >= max(1000, total // 1000)).select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_hot_{k}") for k in keys])
+    spread = F.when(F.col(f"_hot_{keys[0]}").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(0)
+    left = rows.join(F.broadcast(hot), same, "left").withColumn("_salt", spread.cast("int")).drop(*[f"_hot_{k}" for k in keys])
+    each = F.when(F.col(count) >= max(1000, total // 1000), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = known.withColumn("_salt", F.explode(each))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def partitions(spark: SparkSession) -> int:
