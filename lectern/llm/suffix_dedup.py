@@ -18,13 +18,22 @@ they are. They are cut first:
    the group's smallest are covered.
 5. The covered places return to their documents, where overlaps are merged and cut out.
 
-Bucket numbers and shuffled values are packed, many to a row. What is joined with
+Common hashes are split before each shuffle. What a task sees of a hash in two documents or
+more is known to be shared, and only the smallest and the largest document go to the hash's
+bucket to speak for the rest. Of equal pieces that a task holds only those of the smallest
+document are built; the others are covered by it. So a bucket gets two entries, and one piece
+of each content, from a task's part of the texts, however many documents share them. The
+rest goes straight on to its documents (rows of kind 1). There is a bucket for every
+``PER_BUCKET`` bytes of text.
+
+Shuffled values are packed, many to a row. What is joined with
 texts is written first. Texts are shuffled for both joins at any size, so that disk grows in
 proportion; only the list of copies is broadcast, if its counted rows are few.
 
 Defined results: a null text is empty. A null doc_id is smaller than none: such rows keep all
 bytes and cover nothing. Rows that repeat a doc_id cover nothing in each other, whatever their
-texts. An empty table gives no rows. Only ``doc_id`` and ``text`` are looked at.
+texts; rows that repeat a doc_id with one text are cut once. An empty table gives no rows.
+Only ``doc_id`` and ``text`` are looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +41,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -39,14 +49,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, partitions, runs, small
+from lectern.llm.common import materialise, partitions, runs, salted_join, small
 from lectern.llm.decontaminate import BASE, mixed, powers
 
 #: Bytes of a string that counts as repeated, of the strings whose smallest hash it belongs to, and the windows of a piece.
 LENGTH, GRAM = 50, 24
 MOST = LENGTH - GRAM + 1
-#: Least number of buckets that hashes are dealt to (four a shuffle partition beyond that), and fine buckets of each.
-BUCKETS, STEP = 256, 16
+#: Least number of buckets, bytes of text for each of more, and fine buckets of each.
+BUCKETS, PER_BUCKET, STEP = 256, 1 << 25, 16
+#: Bytes of text, and pieces, that a task holds before it deals them out.
+HELD, HELD_PIECES = 1 << 24, 400_000
 #: Bytes of a collection that is built at once.
 COLLECTION = 1 << 19
 END = 255  # stands after each string; no byte of UTF-8
@@ -81,7 +93,23 @@ def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield from zip(values.tolist(), np.split(order, first[1:]), strict=True)
 
 
-def shuffled(df: DataFrame, merge: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+def dealt_by_document(doc: np.ndarray, buckets: Buckets) -> Iterator[tuple[int, np.ndarray]]:
+    return dealt((mixed(doc.view(np.uint64)) % np.uint64(buckets.count)).astype(np.int64))
+
+
+class Buckets(NamedTuple):
+    """How many buckets values are dealt to, and how many tasks work through them."""
+
+    count: int
+    tasks: int
+
+
+def buckets_for(docs: DataFrame) -> Buckets:
+    wanted = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PER_BUCKET + 1
+    return Buckets(max(BUCKETS, wanted), max(2 * partitions(docs.sparkSession), wanted))
+
+
+def shuffled(df: DataFrame, buckets: Buckets, merge: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """merge(rows of one bucket) over rows (bucket, ...)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,8 +117,7 @@ def shuffled(df: DataFrame, merge: Callable[[pd.DataFrame], Iterator[pd.DataFram
             for _, rows in frame.groupby("bucket", sort=True):
                 yield from merge(rows)
 
-    n = 2 * partitions(df.sparkSession)
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(run, schema)
+    return df.repartition(buckets.tasks, "bucket").sortWithinPartitions("bucket").mapInPandas(run, schema)
 
 
 # ---- pieces ---------------------------------------------------------------------------
@@ -126,36 +153,54 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return owner[at], place[at], windows, least[at]
 
 
-def hash_buckets(docs: DataFrame) -> int:
-    return max(BUCKETS, 4 * partitions(docs.sparkSession))
-
-
-def entries(docs: DataFrame) -> DataFrame:
-    """(bucket, blob): every piece's hash, document, start and windows."""
-    count = np.uint64(hash_buckets(docs))
+def entries(docs: DataFrame, buckets: Buckets) -> DataFrame:
+    """(bucket, kind, blob): every piece's hash, document, start and windows, by hash (kind 0); those known to be shared go on by any bucket (1)."""
+    count = np.uint64(buckets.count)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
+        seen: set[tuple[int, int]] = set()
         size = 0
 
         def flush() -> pd.DataFrame:
             key, doc, sig, start, windows = (np.concatenate(x) for x in zip(*held, strict=True))
             bucket = ((key >> np.uint64(32)) * count >> np.uint64(32)).astype(np.int64)
-            rows = [(b, pack(key[i] & np.uint64((1 << 44) - 1), doc[i], sig[i], start[i], windows[i])) for b, i in dealt(bucket)]
-            return pd.DataFrame(rows, columns=["bucket", "blob"])
+            low = key & np.uint64((1 << 44) - 1)
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+            group = np.empty(len(key), dtype=np.int64)
+            group[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
+            least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+            common = np.flatnonzero((least < most)[group])
+            # One entry of the smallest document and one of the largest speak for a common hash.
+            speak = np.zeros(len(key), dtype=bool)
+            for end in (least, most):
+                at = common[doc[common] == end[group[common]]]
+                speak[at[np.unique(group[at], return_index=True)[1]]] = True
+            go = np.flatnonzero(speak | (least == most)[group])
+            rows = [(b, 0, pack(low[go][i], doc[go][i], sig[go][i], start[go][i], windows[go][i])) for b, i in dealt(bucket[go])]
+            rest = common[~speak[common]]
+            for i in np.array_split(rest, -(-len(rest) // 50_000) or 1):
+                if len(i):
+                    fine = (bucket[i] * STEP + (low[i] >> np.uint64(40)).astype(np.int64)).astype(np.uint32)
+                    rows.append((int(mixed(doc[i[:1]].view(np.uint64))[0] % count), 1, pack(doc[i], sig[i], start[i], windows[i], fine)))
+            return pd.DataFrame(rows, columns=["bucket", "kind", "blob"])
 
         for batch in batches:
             for ids, sigs, texts in slices(batch, 1 << 20):
-                owner, start, windows, key = cut(texts)
-                held.append((key, ids[owner], sigs[owner], start.astype(np.uint32), windows.astype(np.uint8)))
-                size += sum(map(len, texts))
-                if size >= 1 << 24:
+                new = [i for i, name in enumerate(zip(ids.tolist(), sigs.tolist(), strict=True)) if name not in seen and not seen.add(name)]
+                owner, start, windows, key = cut([texts[i] for i in new])
+                # Least hashes are small ones: mixed again, they spread over all buckets alike.
+                held.append((mixed(key), ids[new][owner], sigs[new][owner], start.astype(np.uint32), windows.astype(np.uint8)))
+                size += sum(len(texts[i]) for i in new)
+                if size >= HELD:
                     yield flush()
                     held, size = [], 0
-        if held:
+                    seen.clear()
+        if size:
             yield flush()
 
-    return docs.mapInPandas(run, "bucket int, blob binary")
+    return docs.mapInPandas(run, "bucket int, kind int, blob binary")
 
 
 def slices(batch: pd.DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -171,70 +216,100 @@ def slices(batch: pd.DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 ENTRY = ("u8", "i8", "i8", "u4", "u1")
+PIECE = ("i8", "i8", "u4", "u1", "u4")
+RANGE = ("i8", "i8", "u4", "u1")
+
+
+def unpacked(blobs: pd.Series, *kinds: str) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*(unpack(b, *kinds) for b in blobs), strict=True)] if len(blobs) else [np.zeros(0, k) for k in kinds]
+
 
+def passed_on(rows: pd.DataFrame, kinds: tuple[str, ...], buckets: Buckets) -> Iterator[pd.DataFrame]:
+    """The rows of kind 1, dealt by document."""
+    for blob in rows["blob"][rows["kind"] == 1]:
+        columns = unpack(blob, *kinds)
+        yield pd.DataFrame([(b, pack(*(c[i] for c in columns))) for b, i in dealt_by_document(columns[0], buckets)], columns=["bucket", "blob"])
 
-def shared(found: DataFrame, buckets: int) -> DataFrame:
+
+def shared(found: DataFrame, buckets: Buckets) -> DataFrame:
     """(bucket, blob): the pieces whose hash occurs in two documents or more, dealt by document."""
 
     def merge(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key, doc, sig, start, windows = (np.concatenate(x) for x in zip(*(unpack(b, *ENTRY) for b in rows["blob"]), strict=True))
+        yield from passed_on(rows, PIECE, buckets)
+        key, doc, sig, start, windows = unpacked(rows["blob"][rows["kind"] == 0], *ENTRY)
+        if not len(key):
+            return
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
         several = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
         keep = np.sort(order[np.repeat(several, np.diff(np.r_[first, len(key)]))])
         fine = (int(rows["bucket"].iloc[0]) * STEP + (key[keep] >> np.uint64(40)).astype(np.int64)).astype(np.uint32)
-        out = [(b, pack(doc[keep][i], sig[keep][i], start[keep][i], windows[keep][i], fine[i])) for b, i in dealt(doc[keep] % buckets)]
+        out = [(b, pack(doc[keep][i], sig[keep][i], start[keep][i], windows[keep][i], fine[i])) for b, i in dealt_by_document(doc[keep], buckets)]
         yield pd.DataFrame(out, columns=["bucket", "blob"])
 
-    return shuffled(found, merge, "bucket int, blob binary")
+    return shuffled(found, buckets, merge, "bucket int, blob binary")
 
 
-def by_document(found: DataFrame, kinds: tuple[str, ...], pack_rows: Callable[..., bytes]) -> DataFrame:
-    """(s_doc, s_sig, blob): what packed rows hold for each document."""
+def by_document(found: DataFrame, buckets: Buckets, kinds: tuple[str, ...], pack_rows: Callable[..., bytes]) -> DataFrame:
+    """(s_doc, s_sig, blob): what packed rows hold for each document, each start once."""
 
     def merge(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        columns = [np.concatenate(x) for x in zip(*(unpack(b, *kinds) for b in rows["blob"]), strict=True)]
+        columns = unpacked(rows["blob"], *kinds)
         order = np.lexsort((columns[2], columns[1], columns[0]))
         columns = [c[order] for c in columns]
+        fresh = np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)]
+        columns = [c[fresh] for c in columns]
         doc, sig = columns[0], columns[1]
         first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1])])
         parts = zip(first, np.r_[first[1:], len(doc)], strict=True)
         yield pd.DataFrame({"s_doc": doc[first], "s_sig": sig[first], "blob": [pack_rows(*(c[a:b] for c in columns[2:])) for a, b in parts]})
 
-    return shuffled(found, merge, "s_doc long, s_sig long, blob binary")
+    return shuffled(found, buckets, merge, "s_doc long, s_sig long, blob binary")
 
 
-def pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(bucket, blob, bytes): the bytes of the wanted pieces, dealt by hash."""
+def pieces(docs: DataFrame, wanted: DataFrame, buckets: Buckets) -> DataFrame:
+    """(bucket, kind, blob, bytes): the bytes of the wanted pieces by hash (kind 0), and what a smaller document of the same task covers (1)."""
     joined = docs.join(wanted.hint("merge"), (F.col("doc_id") == F.col("s_doc")) & (F.col("sig") == F.col("s_sig"))).select("doc_id", "sig", "text", "blob")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
+        seen: set[tuple[int, int]] = set()
         taken: list[bytes] = []
-        size = 0
 
         def flush() -> pd.DataFrame:
             doc, sig, start, windows, fine = (np.concatenate(x) for x in zip(*held, strict=True))
+            known: dict[bytes, int] = {}
+            which = np.array([known.setdefault(t, len(known)) for t in taken])
+            least = np.full(len(known), np.iinfo(np.int64).max)
+            np.minimum.at(least, which, doc)
+            go, rest = np.flatnonzero(doc == least[which]), np.flatnonzero(doc > least[which])
             rows = []
-            for b, i in dealt(fine.astype(np.int64) // STEP):
+            for b, at in dealt(fine[go].astype(np.int64) // STEP):
+                i = go[at]
                 data = zstandard.ZstdCompressor(level=1).compress(b"".join([taken[j] for j in i.tolist()]))
-                rows.append((b, pack(doc[i], sig[i], start[i], windows[i], fine[i]), data))
-            return pd.DataFrame(rows, columns=["bucket", "blob", "bytes"])
+                rows.append((b, 0, pack(doc[i], sig[i], start[i], windows[i], fine[i]), data))
+            for i in np.array_split(rest, -(-len(rest) // 50_000) or 1):
+                if len(i):
+                    rows.append((int(mixed(doc[i[:1]].view(np.uint64))[0] % np.uint64(buckets.count)), 1, pack(doc[i], sig[i], start[i], (windows[i] + np.uint8(LENGTH - 1)).astype(np.uint8)), None))
+            return pd.DataFrame(rows, columns=["bucket", "kind", "blob", "bytes"])
 
         for batch in batches:
             for doc, sig, text, blob in zip(batch["doc_id"], batch["sig"], batch["text"], batch["blob"], strict=True):
+                if (doc, sig) in seen:
+                    continue
+                seen.add((doc, sig))
                 start, windows, fine = unpack(blob, "u4", "u1", "u4")
                 data = text.encode("utf-8", "surrogatepass")
                 taken += [data[a : a + n + LENGTH - 1] for a, n in zip(start.tolist(), windows.tolist(), strict=True)]
                 held.append((np.full(len(start), doc), np.full(len(start), sig), start, windows, fine))
-                size += len(start)
-                if size >= 400_000:
+                if len(taken) >= HELD_PIECES:
                     yield flush()
-                    held, taken, size = [], [], 0
+                    held, taken = [], []
+                    seen.clear()
         if held:
             yield flush()
 
-    return joined.mapInPandas(run, "bucket int, blob binary, bytes binary")
+    return joined.mapInPandas(run, "bucket int, kind int, blob binary, bytes binary")
 
 
 # ---- the construction -----------------------------------------------------------------
@@ -345,12 +420,15 @@ def least_documents(strings: list[bytes], doc: np.ndarray) -> tuple[np.ndarray,
     return first, out
 
 
-def covered(found: DataFrame, buckets: int) -> DataFrame:
+def covered(found: DataFrame, buckets: Buckets) -> DataFrame:
     """(bucket, blob): document, start and length of bytes that a smaller document has too, dealt by document."""
 
     def merge(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        columns = [np.concatenate(x) for x in zip(*(unpack(b, "i8", "i8", "u4", "u1", "u4") for b in rows["blob"]), strict=True)]
-        doc, sig, start, windows, fine = columns
+        yield from passed_on(rows, RANGE, buckets)
+        rows = rows[rows["kind"] == 0]
+        if not len(rows):
+            return
+        doc, sig, start, windows, fine = unpacked(rows["blob"], *PIECE)
         data = b"".join(zstandard.ZstdDecompressor().decompress(b) for b in rows["bytes"])
         size = windows.astype(np.int64) + LENGTH - 1
         ends = np.cumsum(size)
@@ -376,10 +454,10 @@ def covered(found: DataFrame, buckets: int) -> DataFrame:
             end = np.r_[begin[1:], len(owner)] - 1
             row = part[owner[begin]]
             a, n = (start[row] + at[begin]).astype(np.uint32), (at[end] - at[begin] + LENGTH).astype(np.uint8)
-            out = [(b, pack(doc[row][i], sig[row][i], a[i], n[i])) for b, i in dealt(doc[row] % buckets)]
+            out = [(b, pack(doc[row][i], sig[row][i], a[i], n[i])) for b, i in dealt_by_document(doc[row], buckets)]
             yield pd.DataFrame(out, columns=["bucket", "blob"])
 
-    return shuffled(found, merge, "bucket int, blob binary")
+    return shuffled(found, buckets, merge, "bucket int, blob binary")
 
 
 def merged(start: np.ndarray, length: np.ndarray) -> bytes:
@@ -394,13 +472,17 @@ def spans(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sig", F.xxhash64("text"))
     long = own.where(f"doc_id IS NOT NULL AND octet_length(text) >= {LENGTH}")
     ids = long.select("doc_id", "sig", F.xxhash64(F.lit("second"), "text").alias("sig2"), F.octet_length("text").alias("size"))
-    least = ids.groupBy("sig", "sig2", "size").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = materialise(ids.join(least, ["sig", "sig2", "size"]).where("doc_id > least").select(F.col("doc_id").alias("s_doc"), F.col("sig").alias("s_sig")).distinct(), "copies")
+    whole = ["sig", "sig2", "size"]
+    grouped = ids.groupBy(*whole).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
+    least = materialise(grouped.where("least < most").drop("most"), "copied")
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    later = salted_join(ids, least, whole, "n", total).where("doc_id > least")
+    copies = materialise(later.select(F.col("doc_id").alias("s_doc"), F.col("sig").alias("s_sig")).distinct(), "copies")
     same = (F.col("doc_id") == F.col("s_doc")) & (F.col("sig") == F.col("s_sig"))
     texts = long.join(small(copies, 32), same, "left_anti").select("doc_id", "sig", "text")
-    buckets = 4 * partitions(docs.sparkSession)
-    wanted = materialise(by_document(shared(entries(texts), buckets), ("i8", "i8", "u4", "u1", "u4"), pack), "shared-pieces")
-    found = by_document(covered(pieces(texts, wanted), buckets), ("i8", "i8", "u4", "u1"), merged)
+    buckets = buckets_for(long)
+    wanted = materialise(by_document(shared(entries(texts, buckets), buckets), buckets, PIECE, pack), "shared-pieces")
+    found = by_document(covered(pieces(texts, wanted, buckets), buckets), buckets, RANGE, merged)
     removed = materialise(found.select("*", F.lit(False).alias("copy")).union(copies.select("s_doc", "s_sig", F.lit(None).cast("binary"), F.lit(True))), "removed-runs")
     return own.join(removed.hint("merge"), same, "left").select("doc_id", "sig", "text", "blob", "copy")
 

@@ -78,3 +78,22 @@ def test_collections_are_cut_at_buckets(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "COLLECTION", 500)
     got = sorted((tuple(r) for r in suffix_dedup.report(frame(spark, [t for _, t in rows])).collect()), key=repr)
     assert got == brute(rows)
+
+
+def test_common_hashes_are_split_before_the_shuffles(spark, monkeypatch):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    shared = " ".join(word() for _ in range(60))
+    rows = [(i, f"{word()} {shared[rng.randint(0, 5):]} {word()}") for i in rng.sample(range(1000), 60)]
+    rows += [rows[0], rows[1], (rows[2][0], shared)]
+    for name, value in (("HELD", 2000), ("HELD_PIECES", 40), ("BUCKETS", 8)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    got = sorted((tuple(r) for r in suffix_dedup.report(frame(spark, [t for _, t in rows], [d for d, _ in rows]).coalesce(2)).collect()), key=repr)
+    assert got == brute(rows)
+
+
+def test_very_many_rows_repeat_a_doc_id_and_text(spark):
+    text = " ".join(f"word{i}" for i in range(25))
+    docs = spark.range(100_000).selectExpr("7L AS doc_id", f"'{text}' AS text").union(spark.createDataFrame([(9, "x " + text + " y")], "doc_id long, text string"))
+    found = suffix_dedup.report(docs).groupBy("doc_id", "n_removed").count().collect()
+    assert {(r[0], r[1] > 0, r[2]) for r in found} == {(7, False, 100_000), (9, True, 1)}
