@@ -7,7 +7,8 @@ later occurrence, so no line is lost altogether. Windows without a single word a
 
 Defined results: null and empty texts, and texts of fewer than three lines, stay as they
 are; so do rows whose doc_id is null. Rows that repeat a doc_id are one document and do not
-remove each other. An empty table gives no rows. Only ``doc_id`` and ``text`` are looked at.
+remove each other. An empty table gives no rows. Only ``doc_id`` and ``text`` are looked at
+(``clean`` sets ``n_chars`` too); other columns may have any names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, small
+from lectern.llm.common import boxed, materialise, salted_join, small, unboxed
+from lectern.llm.quality_rules import let
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -27,39 +29,50 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): the sorted lines that later occurrences cover, for the documents that have any."""
+    """(doc_id, begin, end): the runs of lines that later occurrences cover, ends exclusive, for the documents that have any."""
     all_windows = windows(docs)
-    first = all_windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
-    repeated = first.where("first != last").select("a", "b", "first")
-    later = all_windows.join(repeated, ["a", "b"]).where(F.struct("doc_id", "pos") != F.col("first"))
-    places = later.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
-    return places.select("doc_id", F.sort_array(F.array_distinct(F.flatten(F.transform("at", lambda p: F.array(p, p + 1, p + 2))))).alias("gone"))
+    first = all_windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"), F.count(F.lit(1)).alias("n"))
+    repeated = materialise(first.where("first != last").select("a", "b", "first", "n"), "line-windows")
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    later = salted_join(all_windows, repeated, ["a", "b"], "n", total).where(F.struct("doc_id", "pos") != F.col("first"))
+    places = later.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    # A window begins a run if the one before it doesn't reach it, and ends one if it doesn't reach the next.
+    begin = F.filter("at", lambda p, i: (i == 0) | (p > F.get("at", i - 1) + 3))
+    end = F.filter("at", lambda p, i: (i == F.size("at") - 1) | (F.get("at", i + 1) > p + 3))
+    return places.select("doc_id", begin.alias("begin"), F.transform(end, lambda p: p + 3).alias("end"))
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """docs with the columns _l_gone (removed lines, null if none) and _l_text (what is left)."""
-    found = materialise(covered(docs).toDF("_l_doc", "_l_gone"), "line-dedup")
-    joined = docs.join(small(found, 256), docs["doc_id"] == F.col("_l_doc"), "left").drop("_l_doc")
-    left = F.expr("concat_ws('\n', filter(split(text, '\n'), (x, i) -> NOT array_contains(_l_gone, i)))")
-    return joined.withColumn("_l_text", F.when(F.col("_l_gone").isNull(), F.col("text")).otherwise(left))
+    """(row, lines, removed, left): rows whole, how many lines they have and lose, and the text that is left."""
+    found = materialise(covered(docs).select(F.col("doc_id").alias("gone_from"), "begin", "end"), "line-dedup")
+    rows = boxed(docs, doc_id=F.col("doc_id"), text=F.col("text"))
+    joined = rows.join(small(found, 32 + 8 * F.size("begin")), F.col("doc_id") == F.col("gone_from"), "left")
+
+    def rest(lines):
+        piece = lambda b, i: F.slice(lines, F.coalesce(F.get("end", i - 1), F.lit(0)) + 1, b - F.coalesce(F.get("end", i - 1), F.lit(0)))
+        return F.flatten(F.transform(F.concat("begin", F.array(F.size(lines))), piece))
+
+    lines = F.split("text", "\n")
+    out = joined.withColumn("left", F.when(F.col("begin").isNull(), F.lit(None)).otherwise(let(lines, rest)))
+    removed = F.when(F.col("begin").isNull(), 0).otherwise(F.aggregate(F.arrays_zip("begin", "end"), F.lit(0), lambda n, r: n + r["end"] - r["begin"]))
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    return out.select("row", count.cast("long").alias("lines"), removed.cast("long").alias("removed"), F.coalesce(F.array_join("left", "\n"), "text").alias("left"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per row of docs: lines, removed lines, and the SHA-256 of the text that is left."""
     out = apply(docs.select("doc_id", "text"))
-    return out.select(
-        "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_l_gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.sha2(F.coalesce("_l_text", F.lit("")), 256).alias("kept_sha256"),
-    )
+    return out.select("row.doc_id", F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"), F.sha2(F.coalesce("left", F.lit("")), 256).alias("kept_sha256"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """docs with the lines removed and n_chars set anew; documents that lose every line go."""
-    out = apply(docs).where("_l_gone IS NULL OR size(_l_gone) < size(split(text, '\n'))")
-    changed = {"text": F.col("_l_text"), "n_chars": F.when(F.col("_l_gone").isNull(), docs["n_chars"]).otherwise(F.length("_l_text"))} if "n_chars" in docs.columns else {"text": F.col("_l_text")}
-    return out.select(*[changed[c].cast(dict(docs.dtypes)[c]).alias(c) if c in changed else docs[c] for c in docs.columns])
+    out = apply(docs).where("removed = 0 OR removed < lines")
+    kinds = dict(docs.dtypes)
+    new = F.col("row").withField("text", F.col("left").cast(kinds["text"]))
+    if "n_chars" in kinds:
+        new = new.withField("n_chars", F.when(F.col("removed") == 0, F.col("row.n_chars")).otherwise(F.length("left")).cast(kinds["n_chars"]))
+    return unboxed(out.select(new.alias("row")))
 
 
 ORACLE = """

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 from lectern.llm import line_dedup
@@ -23,7 +24,7 @@ def test_equals_brute_force(spark):
     rng = random.Random(2)
     texts = [None, "", "a\nb", "\n\n\n\n", "z\n" * 50, "a\nb\nc\nd", "x\na\nb\nc\nd\ny"]
     texts += ["\n".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))) for _ in range(40)]
-    out = {r["doc_id"]: r["_l_text"] for r in line_dedup.apply(frame(spark, texts)).collect()}
+    out = {r["doc_id"]: r["left"] for r in line_dedup.apply(frame(spark, texts)).select("row.doc_id", "left").collect()}
     assert out == brute(texts)
 
 
@@ -37,5 +38,21 @@ def test_clean_keeps_columns_nulls_and_repeated_rows(spark):
 
 def test_first_place_of_every_line_stays(spark):
     texts = ["h\na\nb\nc\nt", "a\nb\nc\nd", "b\nc\nd\ne", "a\nb\nc\nd\ne"]
-    out = [r["_l_text"] for r in line_dedup.apply(frame(spark, texts)).collect()]
+    out = [r["left"] for r in line_dedup.apply(frame(spark, texts)).collect()]
     assert set("habctde") <= set("".join(out))
+
+
+def test_very_many_removed_lines_in_one_text(spark):
+    lines = [f"l{i}" for i in range(100_000)]
+    text = "\n".join(x for i in range(0, 100_000, 4) for x in (*lines[i : i + 3], f"own{i}"))
+    other = "\n".join(x for i in range(0, 100_000, 4) for x in (*lines[i : i + 3], f"other{i}"))
+    begin = time.time()
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in line_dedup.report(frame(spark, [other, text])).collect()}
+    assert got == {0: (100_000, 0), 1: (100_000, 75_000)}
+    assert time.time() - begin < 30
+
+
+def test_windows_that_most_documents_share_are_salted(spark):
+    texts = [f"{i}\na\nb\nc\nd{i}" for i in range(1500)]
+    got = line_dedup.report(frame(spark, texts)).where("n_removed = 3").count()
+    assert got == 1499
