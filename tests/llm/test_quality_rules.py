@@ -47,3 +47,14 @@ def test_empty_table_and_clashing_columns(spark):
     out = quality_rules.keep(docs)
     assert out.columns == docs.columns
     assert [r["doc_id"] for r in out.collect()] == [0]
+
+
+def test_small_groups_take_the_limits_of_their_language(spark):
+    plain = [" ".join(f"word{i}{j}" for j in range(30)) for i in range(60)]
+    noisy = [t.replace("word", "wo##") for t in plain]
+    few = [(i, t, "en", "few", 0) for i, t in enumerate(noisy[:5])]
+    docs = few + [(100 + i, t, "en", "web", 0) for i, t in enumerate(plain)]
+    measured = quality_rules.measure(spark.createDataFrame(docs, SCHEMA))
+    limits = lambda least: {r["q_source"]: r["symbols_most"] for r in quality_rules.thresholds(measured, least).collect()}
+    assert limits(50)["few"] is not None and limits(50)["web"] is None
+    assert limits(50)["few"] < limits(1)["few"]  # by themselves all of them have symbols, in the language few have
