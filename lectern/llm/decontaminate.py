@@ -1,22 +1,27 @@
 """Operator 10: benchmark decontamination by size-partitioned MinHash containment search.
 
-Items are partitioned by their number of distinct five-word shingles. The MinHash signature
-of an item holds the shingles with the smallest hash values; how many depends on its size:
-floor((1 - t) * n) + 1, so that a document which contains the share t of the item's shingles
-holds at least one of the signature. That many values are needed however long the document
-is, which is why the long side is not sketched: its shingles are looked up in the
-signatures of the size partitions that it is large enough to contain. Nothing is missed.
+Items are partitioned by the power of two in their number of distinct five-word shingles. The
+MinHash signature of an item holds its smallest hash values: floor((1 - t) * n) + 1 of n, so
+that a document which contains the share t of the item's shingles holds at least one of them.
+Every partition has a bound, the largest value in its signatures. A document's sketch for a
+partition are its hash values up to that bound, and it has one only for partitions whose items
+it is large enough to contain. Sketches and signatures are joined partition by partition, in
+both paths below; as sketches of one document are nested, the shuffled path sends each value
+once, with the last partition it is for. The sketch has no fixed number of values, as that
+would miss short items in long documents; so nothing is missed.
 Candidates are verified by the exact containment of the item's shingles, as words.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. An item of
 fewer than five words has one shingle, its words; for the lengths of such items, documents are
 also cut into shingles of so many words. The signatures are sent to every task
-if they are small, as counted; else shingles and signatures meet in a shuffled join.
+if they are small, as counted; else sketches and signatures meet in a shuffled join, in which
+every signature has ``SALTS`` copies and a document uses one of them, so that common values spread.
 
 Defined results: null and empty texts and items have no shingles and match nothing. Repeated
 items and documents give repeated rows of pairs only as often as their ids differ: a pair of
-ids comes once, with its largest containment; null ids match nothing. ``clean`` keeps rows
-with a null doc_id. Empty tables give no pairs.
+ids comes once, with its largest containment; null ids match nothing. ``clean`` goes by the
+texts, whatever their doc_id, null too; other columns may have any names. Empty tables give
+no pairs.
 """
 
 from __future__ import annotations
@@ -30,9 +35,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BROADCAST_BYTES, map_texts, materialise, small
+from lectern.llm.common import BROADCAST_BYTES, boxed, map_texts, materialise, small, unboxed
 
 WORDS = 5
+SALTS = 16
 CONTAINED = 0.8
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: True for the bytes of words, after lower case.
@@ -111,7 +117,23 @@ def signatures(items: DataFrame, t: float = CONTAINED) -> DataFrame:
 
     own = items.where("item_id IS NOT NULL").withColumn("_text", F.col("text"))
     made = map_texts(own.select("item_id", "text", "_text"), "text", make, "n int, words int, h array<bigint>", ["item_id", "_text"], 200_000)
-    return made.where("n > 0").select("item_id", F.col("_text").alias("item"), "n", "words", "h")
+    part = F.floor(F.log2("n")).cast("int")
+    return made.where("n > 0").select("item_id", F.col("_text").alias("item"), "n", part.alias("part"), "words", "h")
+
+
+def bounds_of(known: DataFrame) -> list[tuple[int, int]]:
+    """(partition, bound): the largest unsigned value in the signatures of each partition; there are 31 partitions at most."""
+    flip = -(1 << 63)  # turns the order of unsigned numbers into that of signed ones
+    each = known.select("part", F.explode("h").alias("h")).groupBy("part").agg(F.max(F.col("h").bitwiseXOR(F.lit(flip))).alias("m"))
+    return sorted((r["part"], (r["m"] ^ flip) & ((1 << 64) - 1)) for r in each.collect())
+
+
+def sketch(h: np.ndarray, counts: np.ndarray, bounds: list[tuple[int, int]], t: float) -> np.ndarray:
+    """For values h of documents with so many shingles: the last partition each is in a sketch for, -1 if none."""
+    last = np.full(len(h), -1, dtype=np.int32)
+    for part, bound in bounds:
+        last[(h <= np.uint64(bound)) & (counts >= np.floor(t * 2.0**part))] = part
+    return last
 
 
 def contained(document: str, items: list[tuple[int, str]], t: float, cached: dict) -> list[tuple[int, float]]:
@@ -137,17 +159,20 @@ def matches(docs: DataFrame, items: DataFrame, t: float = CONTAINED) -> DataFram
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {key}, containment double"
     sizes = [WORDS, *sorted(r["words"] for r in known.where(F.col("words") < WORDS).select("words").distinct().collect())]
     size = known.agg(F.coalesce(F.sum(F.length("item") + 8 * F.size("h") + 32), F.lit(0))).first()[0]
+    bounds = bounds_of(known)
     if size <= BROADCAST_BYTES:
-        rows = [(r["item_id"], r["item"], r["n"], np.array(r["h"], dtype=np.int64).view(np.uint64)) for r in known.collect()]
-        partition = np.concatenate([np.full(len(r[3]), int(np.log2(r[2]))) for r in rows] or [np.zeros(0)]).astype(np.int64)
-        value = np.concatenate([r[3] for r in rows] or [np.zeros(0, np.uint64)])
-        owner = np.concatenate([np.full(len(r[3]), i) for i, r in enumerate(rows)] or [np.zeros(0)]).astype(np.int64)
-        order = np.argsort(value, kind="stable")
-        value, owner, partition = value[order], owner[order], partition[order]
+        rows = [(r["item_id"], r["item"], r["part"], np.array(r["h"], dtype=np.int64).view(np.uint64)) for r in known.collect()]
         names = [(r[0], r[1]) for r in rows]
+        tables = []  # each partition's signature values in order, and the items they belong to
+        for part, _ in bounds:
+            mine = [(i, r[3]) for i, r in enumerate(rows) if r[2] == part]
+            value = np.concatenate([v for _, v in mine])
+            order = np.argsort(value, kind="stable")
+            tables.append((part, value[order], np.repeat([i for i, _ in mine], [len(v) for _, v in mine])[order]))
         # A quick test on the upper bits spares most lookups.
         bits = np.zeros(1 << 20, dtype=bool)
-        bits[(value >> np.uint64(44)).astype(np.int64)] = True
+        for _, value, _ in tables:
+            bits[(value >> np.uint64(44)).astype(np.int64)] = True
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cached: dict = {}
@@ -162,12 +187,16 @@ def matches(docs: DataFrame, items: DataFrame, t: float = CONTAINED) -> DataFram
                     h, doc = document_hashes(part, sizes)
                     counts = np.bincount(doc, minlength=len(part))
                     near = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
-                    lo, hi = np.searchsorted(value, h[near], "left"), np.searchsorted(value, h[near], "right")
-                    hit = np.repeat(near, hi - lo)
-                    at = np.arange(len(hit)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-                    # Size partitions: an item of 2^p shingles or more needs a document of t times as many.
-                    large = counts[doc[hit]] >= np.floor(t * np.exp2(partition[at]))
-                    pairs = np.unique(np.stack([doc[hit][large], owner[at][large]]), axis=1)
+                    last = sketch(h[near], counts[doc[near]], bounds, t)
+                    pairs = []
+                    for p, value, owner in tables:
+                        mine = near[last >= p]
+                        lo, hi = np.searchsorted(value, h[mine], "left"), np.searchsorted(value, h[mine], "right")
+                        hit = np.repeat(mine, hi - lo)
+                        at = np.arange(len(hit)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+                        large = counts[doc[hit]] >= np.floor(t * 2.0**p)
+                        pairs.append(np.stack([doc[hit][large], owner[at][large]]))
+                    pairs = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
                     found = []
                     for d in np.unique(pairs[0]):
                         mine = [names[j] for j in pairs[1][pairs[0] == d]]
@@ -178,10 +207,11 @@ def matches(docs: DataFrame, items: DataFrame, t: float = CONTAINED) -> DataFram
 
         pairs = held.mapInPandas(run, schema)
     else:
-        hashed = map_texts(held, "text", lambda texts: {"h": per_text(texts, sizes)}, "h array<bigint>", ["doc_id"], 1_000_000)
-        each = hashed.select("doc_id", F.size("h").alias("size"), F.explode("h").alias("h"))
-        wanted = known.select("item_id", "n", F.explode("h").alias("h"))
-        found = each.join(wanted, "h").where(F.col("size") >= F.floor(F.col("n") * t)).select("doc_id", "item_id").distinct()
+        hashed = map_texts(held, "text", lambda texts: sketches(texts, sizes, bounds, t), "size int, h array<bigint>, last array<int>", ["doc_id"], 1_000_000)
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        each = hashed.select("doc_id", "size", salt.alias("salt"), F.explode(F.arrays_zip("h", "last")).alias("s")).select("doc_id", "size", "salt", "s.h", "s.last")
+        wanted = known.select("item_id", "part", F.explode("h").alias("h")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        found = each.join(wanted, ["h", "salt"]).where((F.col("part") <= F.col("last")) & (F.col("size") >= F.floor(t * F.pow(2.0, "part")))).select("doc_id", "item_id").distinct()
         texts = found.join(held, "doc_id").join(known.select("item_id", "item"), "item_id")
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,15 +223,20 @@ def matches(docs: DataFrame, items: DataFrame, t: float = CONTAINED) -> DataFram
     return pairs.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
-def per_text(texts: list[str], sizes: list[int]) -> list[np.ndarray]:
+def sketches(texts: list[str], sizes: list[int], bounds: list[tuple[int, int]], t: float) -> dict:
     h, owner = document_hashes(texts, sizes)
-    return [np.unique(x).view(np.int64) for x in np.split(h, np.searchsorted(owner, np.arange(1, len(texts))))]
+    counts = np.bincount(owner, minlength=len(texts))
+    last = sketch(h, counts[owner], bounds, t)
+    kept = np.flatnonzero(last >= 0)
+    parts = [x[np.unique(h[x], return_index=True)[1]] for x in np.split(kept, np.searchsorted(owner[kept], np.arange(1, len(texts))))]
+    return {"size": counts, "h": [h[x].view(np.int64) for x in parts], "last": [last[x] for x in parts]}
 
 
 def clean(docs: DataFrame, items: DataFrame, t: float = CONTAINED) -> DataFrame:
     """docs without the documents that contain an item."""
-    bad = materialise(matches(docs, items, t).select(F.col("doc_id").alias("_d_doc")).distinct(), "contaminated")
-    return docs.join(small(bad, 16), docs["doc_id"] == F.col("_d_doc"), "left_anti")
+    by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    bad = materialise(matches(by_text, items, t).select(F.col("doc_id").alias("sig")).distinct(), "contaminated")
+    return unboxed(boxed(docs, sig=F.when(F.col("text").isNotNull(), F.xxhash64("text"))).join(small(bad, 16), "sig", "left_anti"))
 
 
 ORACLE = """
