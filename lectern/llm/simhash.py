@@ -15,8 +15,9 @@ one bit of both, so members are linked by these words, 65 each.
 Defined results: null and empty texts, and texts without a word, have fingerprint zero and
 link like any other. A text of one or two words has one shingle, its words. A null doc_id is
 fingerprinted and gets the component's smallest doc_id, or null if no member has one;
-``survivors`` keeps such rows. Rows that repeat a doc_id are one document. An empty table
-gives no rows. Only ``doc_id`` and ``text`` are looked at.
+``survivors`` keeps such rows. Rows that repeat a doc_id are fingerprinted one by one, and texts
+that are not near each other stay apart. An empty table gives no rows. Only ``doc_id`` and
+``text`` are looked at; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, map_texts, materialise, partitions, runs
+from lectern.llm.common import boxed, components, map_texts, materialise, partitions, remove, runs, salted_join, unboxed, written_path
 
 WORDS = 3
 SEED = 42
@@ -55,9 +56,9 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+    """The columns beside the text, and fp: the fingerprint as a signed 64-bit number."""
     make = lambda texts: {"fp": np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)}
-    return map_texts(docs, "text", make, "fp long", ["doc_id"])
+    return map_texts(docs, "text", make, "fp long", [c for c in docs.columns if c != "text"])
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
@@ -199,6 +200,7 @@ def connected(pairs: DataFrame, rounds: int = 60) -> DataFrame:
         after = materialise(small, "links")
         # A forest of stars whose centres are nobody's leaf stays as it is.
         done = after.select("u").distinct().join(after.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() and after.groupBy("v").count().where("count > 1").isEmpty()
+        remove(edges.sparkSession, [written_path(edges)])  # nothing reads it again
         edges = after
         if done:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
@@ -206,22 +208,26 @@ def connected(pairs: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def components_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) per row of docs."""
-    prints = materialise(fingerprints(docs), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """(doc_id, sig, fp, root, component_id) per row of docs; sig is a hash of the text."""
+    prints = materialise(fingerprints(docs.select("doc_id", F.xxhash64("text").alias("sig"), "text")), "fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     roots = connected(links(distinct.select("fp")))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = materialise(rooted.join(smallest, "root").select("fp", "n", "root", "component_id"), "components")
+    return salted_join(prints, by_print, ["fp"], "n", prints.count()).select("doc_id", "sig", "fp", "root", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return components_of(docs.select("doc_id", "text")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return components_of(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, that of the smallest doc_id; rows without a doc_id stay."""
-    kept = components_of(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    """One row of docs for each component: that of the smallest doc_id, then of the smallest hash of its text, then the first as JSON; rows without a doc_id stay."""
+    same = components_of(docs).where("doc_id IS NOT NULL").groupBy("root", "doc_id", "sig").agg(F.count(F.lit(1)).alias("n"))
+    kept = same.groupBy("root").agg(F.min(F.struct("doc_id", "sig", "n")).alias("k")).select("k.*")
+    rows = boxed(docs, doc_id=F.col("doc_id"), sig=F.xxhash64("text"))
+    found = rows.join(materialise(kept, "survivors"), ["doc_id", "sig"])
+    order = F.when(F.col("n") > 1, F.to_json("row")).otherwise("")
+    named = found.groupBy("doc_id", "sig").agg(F.min_by("row", order).alias("row"))
+    return unboxed(named.select("row").union(rows.where("doc_id IS NULL").select("row")))
