@@ -7,8 +7,9 @@ packed over counts of pieces by length, so a step costs no more for many pieces
 
 Documents are tokenised once, by words of whitespace-separated text with bounded caches of
 their ids (the tokenizer drops white space and no token spans it). Only (document, piece,
-start, length, checksum) is shuffled, by a hash of document and piece, and every block of
-``BLOCK`` pieces is packed by itself: memory is bounded, and a block wastes a bin or so.
+start, length, checksum) is written, counted and dealt by a hash of document and piece to as
+many tasks as there are ``BLOCK`` pieces; every block of so many pieces is packed by itself:
+memory is bounded, and a block wastes a bin or so.
 
 Defined results: a null or empty text is the end token alone, one piece of length 1. Longer
 documents than a sequence are cut into whole sequences and a rest. Repeated rows are packed
@@ -31,12 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import partitions
+from lectern.llm.common import materialise
 
 LENGTH = 2048
 END = 0
 BLOCK = 200_000
-CACHED = 300_000
+#: Bytes that each of the two caches of a task may take, as counted with ENTRY bytes beside an entry's own, and the longest word that is kept.
+CACHED, ENTRY, LONGEST = 64 << 20, 200, 64
 
 
 def default_vocabulary() -> str:
@@ -61,7 +63,7 @@ LETTERS = str.maketrans({chr(b): c for b, c in byte_letters().items()})
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes. Both caches keep the first CACHED entries, the frequent ones among them."""
+    """Token ids of texts as little-endian 32-bit bytes. Both caches keep what comes first, the frequent words among it, up to CACHED bytes."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -69,6 +71,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.room = {id(self.words): CACHED, id(self.parts): CACHED}
+
+    def keep(self, cache: dict[str, bytes], found: dict[str, bytes]) -> None:
+        if self.room[id(cache)] > 0:
+            short = {w: ids for w, ids in found.items() if len(w) <= LONGEST}
+            cache.update(short)
+            self.room[id(cache)] -= sum(map(len, short)) + sum(map(len, short.values())) + ENTRY * len(short)
 
     def many(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word, from one call for thousands, told apart by where their tokens begin."""
@@ -90,23 +99,22 @@ class Encoder:
         cut = [PART.findall(w.lower()) for w in plain]
         parts = {p: self.parts.get(p) for c in cut for p in c}
         tokenize = self.tokenizer.model.tokenize  # parts are in lower case and whole: only the merges are left to do
-        for p in [p for p, ids in parts.items() if ids is None]:
+        unknown = [p for p, ids in parts.items() if ids is None]
+        for p in unknown:
             parts[p] = array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(LETTERS))]).tobytes()
         known = parts.__getitem__
         made = dict(zip(plain, (b"".join(map(known, c)) for c in cut), strict=True))
         made.update(self.many([w for w in new if w not in made]))
         found.update(made)
-        if len(self.parts) < CACHED:
-            self.parts.update(parts)
-        if len(self.words) < CACHED:
-            self.words.update(made)
+        self.keep(self.parts, {p: parts[p] for p in unknown})
+        self.keep(self.words, made)
         get = found.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for all tasks of a Python worker."""
+    """One for all tasks of a Python worker; its caches are bounded in bytes."""
     return Encoder(path)
 
 
@@ -117,6 +125,12 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         gc.disable()  # hundreds of thousands of small lists and no cycle among them
+        try:
+            yield from cut(batches)
+        finally:
+            gc.enable()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocabulary)
         for batch in batches:
             ids, texts = batch["doc_id"].tolist(), ["" if t is None else t for t in batch["text"]]
@@ -216,7 +230,7 @@ def packed(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH)
         if count:
             yield place(pd.concat(held), base + (block << 24), length)
 
-    cut = pieces(docs, vocabulary or default_vocabulary(), length)
-    # Blocks are as few as the memory bound allows: a bin or so is lost in each.
-    dealt = cut.repartition(max(1, partitions(docs.sparkSession) // 4), F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions("doc_id", "piece", "ids_crc32")
+    cut = materialise(pieces(docs, vocabulary or default_vocabulary(), length), "pieces")
+    tasks = max(1, -(-cut.count() // BLOCK))
+    dealt = cut.repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions("doc_id", "piece", "ids_crc32")
     return dealt.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
