@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -69,3 +70,58 @@ def test_empty_table_and_clashing_columns(spark):
     docs = frame(spark, ["token=abcdefg", "token=abcdefg"], [1, None]).selectExpr("*", "1 AS spans", "2 AS base")
     assert secrets.report(docs).count() == 2
     assert secrets.report(docs.where("false")).count() == 0
+
+
+def plain_ratio(token, table):
+    n = len(secrets.ALPHABET)
+    at = [secrets.ALPHABET.index(c) for c in token]
+    return sum(table[a * n + b] for a, b in zip(at, at[1:], strict=False)) / (len(at) - 1)
+
+
+def planted():
+    """Random strings that the base patterns don't find, and identifiers of four languages."""
+    rng = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    kinds = [letters + "0123456789", letters + "0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", letters, "0123456789ABCDEF"]
+    secret = ["".join(rng.choice(kinds[i % 5]) for _ in range(rng.randint(20, 44))) for i in range(400)]
+    words = """get user name file path value count list order request response account customer invoice address total page index update delete
+    kunde rechnung konto betrag datum lieferung vertrag adresse bestellung summe benutzer client facture compte montant livraison contrat adresse
+    commande utilisateur cliente factura cuenta importe fecha entrega contrato direccion pedido usuario""".split()
+    joins = [lambda w: "_".join(w), lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "-".join(w), lambda w: "/".join(w), lambda w: "_".join(w).upper()]
+    names = [joins[i % 5]([rng.choice(words) for _ in range(rng.randint(3, 5))]) + rng.choice(["", "", "_2", "10"]) for i in range(400)]
+    return secret, names
+
+
+def test_recall_and_precision_on_planted_strings(spark):
+    secret, names = planted()
+    own = [f"x {t} y" for t in secret + names]
+    found = [r["n_markov"] > 0 or r["n_assign"] + r["n_hex"] + r["n_access"] > 0 for r in secrets.report(frame(spark, own)).orderBy("doc_id").collect()]
+    recall, false = sum(found[:400]) / 400, sum(found[400:]) / 400
+    assert recall >= 0.9, recall
+    assert false <= 0.02, false
+
+
+def test_ratio_equals_a_plain_one(spark):
+    table = secrets.train(secrets.samples(spark))
+    tokens = [t for part in planted() for t in part[:40]]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string")
+    got = [r[0] for r in rows.select(secrets.log_ratio(rows["t"], table)).collect()]
+    assert got == pytest.approx([plain_ratio(t, table) for t in tokens])
+
+
+def test_very_many_matches_in_one_text(spark):
+    rng = random.Random(22)
+    some = ["token=abcdefg1 ", "deadbeef" * 3 + " ", "Zx9Qm2LrT8vKp4WdYb7Nc1Hs "]
+    text = "".join(some[rng.randint(0, 2)] for _ in range(100_000))
+    begin = time.time()
+    r = secrets.report(frame(spark, [text])).first()
+    counts, digest, _ = brute(text)
+    assert [r["n_assign"], r["n_access"], r["n_hex"]] == counts and r["base_sha256"] == digest
+    assert r["n_markov"] == 100_000 - sum(counts)
+    assert time.time() - begin < 60
+
+
+def test_one_very_long_candidate(spark):
+    rng = random.Random(23)
+    long = "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(400_000))
+    assert secrets.report(frame(spark, [f"x {long} y"])).first()["spans"] == f"markov:2:{2 + len(long)}"
