@@ -11,8 +11,10 @@ def remainder(modulus: int) -> Column:
 
 
 def sample(rows: DataFrame, most: int) -> DataFrame:
-    """The ``most`` rows with the smallest hash of doc_id, one per doc_id."""
-    return rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """The ``most`` rows with the smallest hash of doc_id; of rows that repeat a doc_id the smallest, so that it is the same in every run."""
+    others = [c for c in rows.columns if c != "doc_id"]
+    one = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*([F.min(F.struct(*others)).alias("r")] if others else []), F.count(F.lit(1)).alias("n"))
+    return one.select("doc_id", *[f"r.{c}" for c in others]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
