@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontaminate, line_dedup, packing, quality_rules, simhash
-from lectern.llm.common import materialise
+from lectern.llm.common import finished, remove, written, written_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{i}")
-    return docs
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        since = written()
+        docs = finished(stage(spark, docs, sf_dir), f"stage-{i}", since)  # what the stage wrote for itself goes
+        remove(spark, [path] if path else [])
+        path = written_path(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
