@@ -85,16 +85,19 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket and the places that belong to it, in order."""
+def dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each bucket and its part of the columns, in order."""
     if len(bucket):
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")
         values, first = np.unique(bucket[order], return_index=True)
-        yield from zip(values.tolist(), np.split(order, first[1:]), strict=True)
+        ends = [*first[1:].tolist(), len(bucket)]
+        ordered = [c[order] for c in columns]
+        for value, a, b in zip(values.tolist(), first.tolist(), ends, strict=True):
+            yield value, [c[a:b] for c in ordered]
 
 
-def dealt_by_document(doc: np.ndarray, buckets: Buckets) -> Iterator[tuple[int, np.ndarray]]:
-    return dealt((mixed(doc.view(np.uint64)) % np.uint64(buckets.count)).astype(np.int64))
+def document_bucket(doc: np.ndarray, buckets: Buckets) -> np.ndarray:
+    return (mixed(doc.view(np.uint64)) % np.uint64(buckets.tasks)).astype(np.int64)
 
 
 class Buckets(NamedTuple):
@@ -164,22 +167,27 @@ def entries(docs: DataFrame, buckets: Buckets) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             key, doc, sig, start, windows = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = ((key >> np.uint64(32)) * count >> np.uint64(32)).astype(np.int64)
-            low = key & np.uint64((1 << 44) - 1)
             order = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-            group = np.empty(len(key), dtype=np.int64)
-            group[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
-            least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
-            common = np.flatnonzero((least < most)[group])
+            first = np.flatnonzero(np.r_[True, key[order[1:]] != key[order[:-1]]])
+            size = np.diff(np.r_[first, len(key)])
+            # Only hashes that stand here twice or more are looked at further.
+            at = order[np.repeat(size > 1, size)]
+            size = size[size > 1]
+            begin = np.cumsum(size) - size
+            own = doc[at]
+            least, most = (np.repeat(f.reduceat(own, begin), size) if len(at) else own for f in (np.minimum, np.maximum))
             # One entry of the smallest document and one of the largest speak for a common hash.
-            speak = np.zeros(len(key), dtype=bool)
+            speak = np.zeros(len(at), dtype=bool)
+            group = np.repeat(np.arange(len(size)), size)
             for end in (least, most):
-                at = common[doc[common] == end[group[common]]]
-                speak[at[np.unique(group[at], return_index=True)[1]]] = True
-            go = np.flatnonzero(speak | (least == most)[group])
-            rows = [(b, 0, pack(low[go][i], doc[go][i], sig[go][i], start[go][i], windows[go][i])) for b, i in dealt(bucket[go])]
-            rest = common[~speak[common]]
+                fits = np.flatnonzero(own == end)
+                speak[fits[np.unique(group[fits], return_index=True)[1]]] = True
+            rest = at[(least < most) & ~speak]
+            stay = np.ones(len(key), dtype=bool)
+            stay[rest] = False
+            low = key & np.uint64((1 << 44) - 1)
+            bucket = ((key >> np.uint64(32)) * count >> np.uint64(32)).astype(np.int64)
+            rows = [(b, 0, pack(*part)) for b, part in dealt(bucket[stay], *(c[stay] for c in (low, doc, sig, start, windows)))]
             for i in np.array_split(rest, -(-len(rest) // 50_000) or 1):
                 if len(i):
                     fine = (bucket[i] * STEP + (low[i] >> np.uint64(40)).astype(np.int64)).astype(np.uint32)
@@ -228,7 +236,7 @@ def passed_on(rows: pd.DataFrame, kinds: tuple[str, ...], buckets: Buckets) -> I
     """The rows of kind 1, dealt by document."""
     for blob in rows["blob"][rows["kind"] == 1]:
         columns = unpack(blob, *kinds)
-        yield pd.DataFrame([(b, pack(*(c[i] for c in columns))) for b, i in dealt_by_document(columns[0], buckets)], columns=["bucket", "blob"])
+        yield pd.DataFrame([(b, pack(*part)) for b, part in dealt(document_bucket(columns[0], buckets), *columns)], columns=["bucket", "blob"])
 
 
 def shared(found: DataFrame, buckets: Buckets) -> DataFrame:
@@ -244,7 +252,8 @@ def shared(found: DataFrame, buckets: Buckets) -> DataFrame:
         several = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
         keep = np.sort(order[np.repeat(several, np.diff(np.r_[first, len(key)]))])
         fine = (int(rows["bucket"].iloc[0]) * STEP + (key[keep] >> np.uint64(40)).astype(np.int64)).astype(np.uint32)
-        out = [(b, pack(doc[keep][i], sig[keep][i], start[keep][i], windows[keep][i], fine[i])) for b, i in dealt_by_document(doc[keep], buckets)]
+        told = (doc[keep], sig[keep], start[keep], windows[keep], fine)
+        out = [(b, pack(*part)) for b, part in dealt(document_bucket(told[0], buckets), *told)]
         yield pd.DataFrame(out, columns=["bucket", "blob"])
 
     return shuffled(found, buckets, merge, "bucket int, blob binary")
@@ -284,10 +293,9 @@ def pieces(docs: DataFrame, wanted: DataFrame, buckets: Buckets) -> DataFrame:
             np.minimum.at(least, which, doc)
             go, rest = np.flatnonzero(doc == least[which]), np.flatnonzero(doc > least[which])
             rows = []
-            for b, at in dealt(fine[go].astype(np.int64) // STEP):
-                i = go[at]
-                data = zstandard.ZstdCompressor(level=1).compress(b"".join([taken[j] for j in i.tolist()]))
-                rows.append((b, 0, pack(doc[i], sig[i], start[i], windows[i], fine[i]), data))
+            for b, (which_ones, *part) in dealt(fine[go].astype(np.int64) // STEP, go, *(c[go] for c in (doc, sig, start, windows, fine))):
+                data = zstandard.ZstdCompressor(level=1).compress(b"".join([taken[j] for j in which_ones.tolist()]))
+                rows.append((b, 0, pack(*part), data))
             for i in np.array_split(rest, -(-len(rest) // 50_000) or 1):
                 if len(i):
                     rows.append((int(mixed(doc[i[:1]].view(np.uint64))[0] % np.uint64(buckets.count)), 1, pack(doc[i], sig[i], start[i], (windows[i] + np.uint8(LENGTH - 1)).astype(np.uint8)), None))
@@ -454,7 +462,8 @@ def covered(found: DataFrame, buckets: Buckets) -> DataFrame:
             end = np.r_[begin[1:], len(owner)] - 1
             row = part[owner[begin]]
             a, n = (start[row] + at[begin]).astype(np.uint32), (at[end] - at[begin] + LENGTH).astype(np.uint8)
-            out = [(b, pack(doc[row][i], sig[row][i], a[i], n[i])) for b, i in dealt_by_document(doc[row], buckets)]
+            told = (doc[row], sig[row], a, n)
+            out = [(b, pack(*part)) for b, part in dealt(document_bucket(told[0], buckets), *told)]
             yield pd.DataFrame(out, columns=["bucket", "blob"])
 
     return shuffled(found, buckets, merge, "bucket int, blob binary")
