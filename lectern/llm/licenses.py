@@ -45,8 +45,18 @@ SENTENCES = {
     "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mpl2_notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
     "unlicense_grant": "This is free and unencumbered software released into the public domain.",
+    "lgpl_free": "This library is free software:",
+    "lgpl21_terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3_terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3_terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "cc0_dedication": "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
+    "apache_title": "Apache License Version 2.0, January 2004",
+    "apache_copyright": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
     "reserved": "All rights reserved.",
 }
+#: Identifiers that a line of its own may name.
+NAMED = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "Unlicense"]
+SENTENCES |= {f"named_{name.lower()}": f"SPDX-License-Identifier {name}" for name in NAMED}
 #: Licences and the identifiers that make them, in the order in which they are tried.
 RULES = [
     ("MIT", ("mit_grant", "mit_condition")),
@@ -69,10 +79,20 @@ RULES = [
     ("ISC", ("isc_grant",)),
     ("MPL-2.0", ("mpl2_notice",)),
     ("Unlicense", ("unlicense_grant",)),
+    ("LGPL-2.1-or-later", ("lgpl_free", "lgpl21_terms")),
+    ("LGPL-3.0-or-later", ("lgpl_free", "lgpl3_terms")),
+    ("LGPL-3.0-or-later", ("gpl_free", "lgpl3_terms")),
+    ("AGPL-3.0-or-later", ("gpl_free", "agpl3_terms")),
+    ("CC0-1.0", ("cc0_dedication",)),
+    ("Apache-2.0", ("apache_title",)),
+    ("Apache-2.0", ("apache_copyright",)),
+    *[(name, (f"named_{name.lower()}",)) for name in NAMED],
 ]
 #: Every known sentence has one of these; texts without any are not cut into sentences.
 CLUE = "(?i)licen|permi|redistribut|copy|copies|software|reserved"
 BREAK = r"[.;:!?]+(?:\s+|$)|\n"
+#: The mark after these words ends no sentence.
+JOINED = "(?i)(SPDX-License-Identifier):[ \\t]*"
 
 
 def normalised(sentence: str) -> str:
@@ -104,7 +124,7 @@ def wrapped(known: dict[str, str]) -> str:
 
 def running(text: Column) -> Column:
     """The words of a text with one blank, line end or | (end of a sentence) between each two."""
-    out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ|", "abcdefghijklmnopqrstuvwxyz ")
+    out = F.translate(F.regexp_replace(text, JOINED, "$1 "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ|", "abcdefghijklmnopqrstuvwxyz ")
     for pattern, to in ((r"[.;:!?]+(?:\s+|$)", "|"), (r"[^a-z0-9|\n]+", " "), (r" *([|\n]) *", "$1"), (r"\n\n+", "|")):
         out = F.regexp_replace(out, pattern, to)
     return F.btrim(out)
@@ -139,7 +159,7 @@ def oracle() -> str:
     hits = ", ".join(f"CASE WHEN s{i + 1} <> s{i} THEN {quote(name)} END" for i, (name, _) in enumerate(RULES))
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
-cut AS (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(coalesce(text, ''), '{BREAK}') AS parts FROM documents),
+cut AS (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '{JOINED}', '\\1 ', 'g'), '{BREAK}') AS parts FROM documents),
 each AS (SELECT r, p, trim(regexp_replace(lower(parts[p + 1]), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM cut, unnest(range(0, len(parts))) AS t(p)),
 ids AS (SELECT r, list(id ORDER BY p) AS ids FROM each JOIN known USING (sentence) GROUP BY r),
 q AS (SELECT doc_id, coalesce(ids, []) AS ids, ',' || array_to_string(coalesce(ids, []), ',,') || ',' AS s0 FROM cut LEFT JOIN ids USING (r)),

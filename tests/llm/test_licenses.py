@@ -79,3 +79,16 @@ def test_empty_table_and_repeated_rows(spark):
     docs = frame(spark, ["Released under the MIT License."] * 2, [1, 1]).selectExpr("*", "1 AS ids", "2 AS licenses")
     assert [r["licenses"] for r in licenses.report(docs).collect()] == ["MIT", "MIT"]
     assert licenses.report(docs.where("false")).count() == 0
+
+
+def test_named_licences_and_full_texts(spark):
+    texts = [
+        "// SPDX-License-Identifier: MIT\nint main;",
+        "# SPDX-License-Identifier: GPL-3.0-or-later",
+        "Apache License\nVersion 2.0, January 2004\nhttp://example.org\n\n2. Grant. Subject to the terms and conditions of\nthis License, each Contributor hereby grants to You a perpetual,\nworldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright\nlicense to reproduce, prepare Derivative Works of, publicly display,\npublicly perform, sublicense, and distribute the Work and such Derivative\nWorks in Source or Object form.",
+        "This program is free software: you can redistribute it and/or modify it under\nthe terms of the GNU Affero General Public License as published by the Free\nSoftware Foundation, either version 3 of the License, or (at your option) any\nlater version.",
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+        "a licence mit\nmit\nSPDX-License-Identifier: unknown",
+    ]
+    got = [r["licenses"] for r in licenses.report(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["MIT", "GPL-3.0-or-later", "Apache-2.0", "AGPL-3.0-or-later", "LGPL-2.1-or-later", ""]
