@@ -5,22 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The confidence rubric, and the endings and titles that a name's key leaves out.
+#: The confidence rubric.
 RUBRIC = [("explicit", 1.0), ("named", 0.9), ("implied", 0.7), ("inferred", 0.5), ("speculative", 0.2)]
-LEGAL_FORMS = ["limited", "ltd", "llc", "llp", "plc", "inc", "incorporated", "corp", "corporation", "company", "co", "gmbh", "ag", "sa", "bv", "nv"]
-HONORIFICS = ["mr", "mrs", "ms", "miss", "dr", "prof", "professor", "sir", "dame", "lord", "lady", "rev"]
+#: The legal forms that a name's key leaves out at its end, and the titles at its beginning.
+LEGAL_FORMS = """limited ltd plc llp llc lp inc incorporated corporation corp company co sa nv bv ag gmbh oy ab as aps pty dac cic ug kg srl spa
+teoranta teo cpt ct""".split()
+HONORIFICS = "mr mrs ms miss mx dr prof professor sir dame lord lady rev reverend fr hon capt col maj sgt lt gen".split()
+#: The level of a quotation by how it was found.
+ALIGNED = {"match_exact": 1.0, "match_greater": 0.9, "match_lesser": 0.9, "match_fuzzy": 0.5}
 
 
 def name_key(name: Column, style: str = "organisation") -> Column:
-    """Lower case without punctuation, a leading "the", and trailing legal forms or leading honorifics; never empty if the name is not."""
+    """Lower case without punctuation, a leading "the", and trailing legal forms or leading honorifics that other words stand beside; never empty if the name is not."""
     plain = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(name), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
     base = F.regexp_replace(plain, "^the ", "")
-    if style == "personal":
-        short = F.regexp_replace(base, rf"^(?:(?:{'|'.join(HONORIFICS)})(?: |$))+", "")
+    pattern = rf"^(?:(?:{'|'.join(HONORIFICS)}) )+" if style == "personal" else rf"(?: (?:{'|'.join(LEGAL_FORMS)}))+$"
+    short = F.btrim(F.regexp_replace(base, pattern, ""))
+    return F.coalesce(F.nullif(short, F.lit("")), base)
+
+
+def aligned_confidence(alignment: Column) -> Column:
+    """The level of a quotation's alignment; the lowest if it was not found."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ALIGNED.items() for x in pair]), alignment), F.lit(0.2))
+
+
+def in_vocabulary(value: Column, allowed: list[str]) -> Column:
+    """The allowed word that a value is, whatever its case; null if none."""
+    out = F.lit(None).cast("string")
+    for word in reversed(allowed):
+        out = F.when(F.lower(F.btrim(value)) == word.lower(), F.lit(word)).otherwise(out)
+    return out
+
+
+def identifier(raw: Column, style: str = "property") -> Column:
+    """A model's proposal as an identifier: words in lower case with underscores; in capitals run together for a type."""
+    words = F.split(F.btrim(F.regexp_replace(F.btrim(raw), "[^A-Za-z0-9]+", " ")), " ")
+    if style == "type":
+        joined = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
     else:
-        short = F.regexp_replace(base, rf"(?:(?:^| )(?:{'|'.join(LEGAL_FORMS)}))+$", "")
-    empty_to_null = lambda c: F.nullif(F.btrim(c), F.lit(""))
-    return F.coalesce(empty_to_null(short), empty_to_null(base), plain)
+        joined = F.lower(F.array_join(words, "_"))
+    return F.nullif(F.when(joined.rlike("^[0-9]"), F.concat(F.lit("x_"), joined)).otherwise(joined), F.lit(""))
+
+
+def instance_label(row: dict[str, Column], type_id: Column) -> Column:
+    """The first of name, title, value, summary, date_value and text that isn't blank, else the type."""
+    known = [F.nullif(F.btrim(row[c].cast("string")), F.lit("")) for c in ("name", "title", "value", "summary", "date_value", "text") if c in row]
+    return F.coalesce(*known, type_id)
+
+
+def fingerprint(*values: Column) -> Column:
+    """32 hexadecimal digits that are equal for equal values: of their JSON, maps by sorted keys."""
+    return F.substring(F.sha2(F.to_json(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]), {"ignoreNullFields": "false"}), 256), 1, 32)
 
 
 def snap_confidence(score: Column) -> Column:
@@ -63,7 +98,7 @@ def excerpt_around(text: Column, position: Column, needle: Column, window: int =
 
 
 def data_type(value: Column) -> Column:
-    """An aggregate: the narrowest type that every value that isn't blank has."""
+    """An aggregate: the narrowest type that every value that isn't blank has; numbers of at most 12 digits before the point."""
     full = F.btrim(value) != ""
     fits = lambda pattern: F.coalesce(F.bool_and(F.when(full, F.btrim(value).rlike(pattern))), F.lit(False))
-    return F.when(fits(r"^[+-]?\d+$"), "integer").when(fits(r"^[+-]?\d+(\.\d+)?$"), "number").when(fits(r"^\d{4}-\d{2}-\d{2}$"), "date").otherwise("string")
+    return F.when(fits(r"^-?\d{1,12}$"), "integer").when(fits(r"^-?\d{1,12}(\.\d+)?$"), "number").when(fits(r"^\d{4}-\d{2}-\d{2}$|^\d{1,2}[-/][A-Za-z]{3}[-/]\d{2,4}$"), "date").otherwise("string")
