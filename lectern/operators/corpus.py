@@ -6,18 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-#: The kinds that a file's ending stands for.
-KINDS = {"pdf": ["pdf"], "docx": ["docx"], "text": ["txt", "md", "markdown", "rst"], "image": ["png", "jpg", "jpeg", "tif", "tiff", "bmp"]}
-
-
-def kind_of_file(name):
-    suffix = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    out = F.when(suffix.isin("doc", "rtf", "odt"), "unsupported_doc")
-    for kind, endings in KINDS.items():
-        out = out.when(suffix.isin(endings), kind)
-    return out.otherwise("unknown")
-
-
 def ingest(docs: DataFrame) -> DataFrame:
     """One row per content: its hash, its place in the store, the first document that has it and how many do."""
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -25,11 +13,24 @@ def ingest(docs: DataFrame) -> DataFrame:
 
 
 def audit_storage(expected: DataFrame, stored: DataFrame) -> DataFrame:
-    """expected (doc_id, file_hash, redacted) against stored (doc_id, content_hash): what is wrong with each original."""
-    reason = F.when(F.col("redacted"), "redacted").when(F.col("file_hash").isNull(), "not_stored").when(F.col("content_hash").isNull(), "missing").when(F.col("content_hash") != F.col("file_hash"), "altered").otherwise("sound")
+    """expected (doc_id, file_hash, redacted, storage_path) against stored (doc_id, content_hash, path): what is wrong with each original."""
+    reason = F.when(F.col("redacted"), "redacted").when(F.col("file_hash").isNull(), "not_stored").when(F.col("content_hash").isNull(), "missing")
+    reason = reason.when(F.col("path") != F.col("storage_path"), "misfiled").when(F.col("content_hash") != F.col("file_hash"), "altered").otherwise("sound")
     return expected.join(stored, "doc_id", "left").select("doc_id", reason.alias("reason"))
 
 
+def audit_summary(audit: DataFrame) -> DataFrame:
+    """(reason, n, fault): faults apart from what is sound or was redacted on purpose."""
+    return audit.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).withColumn("fault", ~F.col("reason").isin("sound", "redacted"))
+
+
+def ingest_events(documents: DataFrame, actor: str, at: str, start: int) -> DataFrame:
+    """An audit event for each new document (doc_id, file_hash)."""
+    from lectern.operators.review import events
+
+    return events(documents.select(F.col("file_hash").alias("row_id"), F.col("doc_id").cast("string").alias("document_id")), "ingest", actor, at, start, table="documents")
+
+
 def visible(docs: DataFrame, shares: DataFrame, actor: str, action: str = "view", admin: bool = False) -> DataFrame:
     """The documents that an actor may see or edit: their own, those open to all, and those shared with them."""
     roles = ["editor"] if action == "edit" else ["editor", "viewer"]
@@ -49,9 +50,36 @@ def register_matches(named: DataFrame, register: DataFrame) -> DataFrame:
     return found.withColumn("outcome", F.when(F.col("n_identifiers") == 1, "proposal").otherwise("ambiguous"))
 
 
-def register_rows(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows whose JSON values hold a value under a key."""
-    return rows.where(F.get_json_object("values_json", f"$.{key}") == value)
+def register_rows(rows: DataFrame, key: str, value: str, exposed: list[str] | None = None, status: str | None = None) -> DataFrame:
+    """Rows whose JSON values hold a value under a key that was exposed, of a status if one is asked for."""
+    if exposed is not None and key not in exposed:
+        raise ValueError(f"{key} is not exposed")
+    held = rows.where(F.col("status") == status) if status else rows
+    return held.where(F.get_json_object("values_json", f"$['{key}']") == value)
+
+
+def exposed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with JSON keys as columns, for filters that then need no JSON."""
+    from lectern.functions.scalar import property_id
+
+    names = rows.sparkSession.range(1).select(*[property_id(F.lit(k)).alias(str(i)) for i, k in enumerate(keys)]).first()
+    return rows.withColumns({f"x_{names[i]}": F.get_json_object("values_json", f"$['{k}']") for i, k in enumerate(keys)})
+
+
+def register_summary(rows: DataFrame, key: str | None = None) -> DataFrame:
+    """Per register: rows, rejected ones, and those that have a value under a key."""
+    full = F.coalesce(F.get_json_object("values_json", f"$['{key}']"), F.lit("")) != "" if key else F.lit(False)
+    return rows.groupBy("register_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("status") == "rejected").alias("n_rejected"), F.count_if(full).alias("n_populated"))
+
+
+def register_evidence(rows: DataFrame, registers: DataFrame, links: DataFrame, pages: DataFrame) -> DataFrame:
+    """(entity_id, register_id, row_no, identifier, basis): accepted rows of active registers that bear on pages (entity_id, name_key). A confirmed link is what counts for a page that has one; else equal names that nobody rejected."""
+    live = rows.where("status = 'accepted'").join(registers.where("status = 'active'").select("register_id"), "register_id", "left_semi")
+    confirmed = links.where("status = 'confirmed'").select("entity_id", "register_id", "row_no")
+    linked = confirmed.join(live, ["register_id", "row_no"]).select("entity_id", "register_id", "row_no", "identifier", F.lit("confirmed").alias("basis"))
+    named = pages.join(confirmed.select("entity_id"), "entity_id", "left_anti").join(live, "name_key")
+    named = named.join(links.where("status = 'rejected'").select("entity_id", "register_id", "row_no"), ["entity_id", "register_id", "row_no"], "left_anti")
+    return linked.unionByName(named.select("entity_id", "register_id", "row_no", "identifier", F.lit("name_key").alias("basis")))
 
 
 def evaluate_concepts(rows: DataFrame, concepts: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
@@ -113,3 +141,51 @@ def budget(log: DataFrame, unit: str = "month") -> DataFrame:
     spent = log.groupBy(F.date_trunc(unit, "edited_at").alias("period")).agg(F.count(F.lit(1)).alias("n_calls"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
     running = F.sum("cents").over(Window.partitionBy(F.year("period")).orderBy("period"))
     return spent.select(F.date_format("period", "yyyy-MM-dd").alias("period"), "n_calls", "cents", running.alias("cents_so_far"))
+
+
+# ---- rules ------------------------------------------------------------------------------------
+
+
+def effective_parameters(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(template_id, parameter, value, overridden): a deployment's last value where it set one, else the bundle's."""
+    last = overrides.groupBy("template_id", "parameter").agg(F.max_by("value", "seq").alias("_own"))
+    return defaults.join(last, ["template_id", "parameter"], "left").select("template_id", "parameter", F.coalesce("_own", "value").alias("value"), F.col("_own").isNotNull().alias("overridden"))
+
+
+def concept_versions(held: DataFrame, wanted: DataFrame) -> DataFrame:
+    """held (concept_id, version, sql, status) with wanted (concept_id, sql): a new version only where the SQL changed, the old ones deprecated."""
+    newest = held.groupBy("concept_id").agg(F.max("version").alias("_v"), F.max_by("sql", "version").alias("_sql"))
+    told = wanted.join(newest, "concept_id", "left")
+    new = told.where("_sql IS NULL OR _sql <> sql").select("concept_id", (F.coalesce("_v", F.lit(0)) + 1).alias("version"), "sql", F.lit("active").alias("status"))
+    old = held.join(new.select("concept_id", F.lit(True).alias("_new")), "concept_id", "left")
+    return old.select("concept_id", "version", "sql", F.when(F.col("_new"), "deprecated").otherwise(F.col("status")).alias("status")).unionByName(new)
+
+
+def new_flags(fired: DataFrame, flags: DataFrame) -> DataFrame:
+    """Flags (document_id, target_id, concept_id) for what fired and has no live flag of that rule yet."""
+    live = flags.where("status <> 'rejected'").select("document_id", "target_id", "concept_id")
+    return fired.where("fired").select("document_id", F.col("instance_id").alias("target_id"), "concept_id").distinct().join(live, ["document_id", "target_id", "concept_id"], "left_anti")
+
+
+def document_evaluations(evaluations: DataFrame, include_stale: bool = False) -> DataFrame:
+    """Per document: evaluations, those that fired, and the rules that did."""
+    live = evaluations if include_stale else evaluations.where("NOT stale")
+    return live.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_evaluated"), F.count_if("result").alias("n_true"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("result"), F.col("concept_id")))), ",").alias("fired"))
+
+
+def pinned(components: DataFrame, versions: DataFrame) -> DataFrame:
+    """A score's components (score_id, concept_id, weight) with the active version of each rule."""
+    active = versions.where("status = 'active'").groupBy("concept_id").agg(F.max("version").alias("version"))
+    return components.join(active, "concept_id", "left")
+
+
+def scored_labels(labels: DataFrame, found: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """labels (title, category, text, present) against found (title, clause_type, text): per category how many were found, texts in one another either way, and the recall over all mapped ones."""
+    from lectern.functions.scalar import words_only
+
+    clause = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    told = labels.where("present").withColumn("clause_type", F.element_at(clause, F.col("category"))).withColumn("wanted", words_only(F.col("text"))).withColumn("_id", F.xxhash64("title", "category", "text"))
+    own = found.select("title", "clause_type", words_only(F.col("text")).alias("held")).where("held <> ''")
+    hit = told.where("clause_type IS NOT NULL").join(own, ["title", "clause_type"]).where("contains(wanted, held) OR contains(held, wanted)").select("_id").distinct().withColumn("_hit", F.lit(True))
+    out = told.join(hit, "_id", "left").groupBy("category", F.col("clause_type").isNotNull().alias("mapped")).agg(F.count(F.lit(1)).alias("n_labelled"), F.count("_hit").alias("n_found"))
+    return out.withColumn("recall", F.when(F.col("mapped"), F.round(F.col("n_found") / F.col("n_labelled"), 3)))

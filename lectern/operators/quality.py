@@ -65,10 +65,30 @@ def concept_precision(findings: DataFrame, min_reviewed: int = 5) -> DataFrame:
     return findings.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_raised"), n.alias("n_reviewed"), up.alias("n_upheld"), (n - up).alias("n_dismissed"), F.when(n >= min_reviewed, F.round(up / n, 3)).alias("precision"))
 
 
-def property_corrections(log: DataFrame) -> DataFrame:
-    """Per property that amendments changed: how often, and the latest value."""
-    changed = log.where("action = 'amend'").select("seq", F.explode(F.map_entries(F.from_json("new_value", "map<string,string>"))).alias("e"))
-    return changed.groupBy(F.col("e.key").alias("property_id")).agg(F.count(F.lit(1)).alias("n_amended"), F.max_by("e.value", "seq").alias("latest"))
+def review_outcomes(findings: DataFrame, provenance: DataFrame, flag_type: str = "Flag") -> DataFrame:
+    """What machines claimed and people decided: claims (instance_id, confidence, source) with their instance's status and type; flags that rules raised are none."""
+    claimed = provenance.where("source <> 'human' AND confidence IS NOT NULL").select("instance_id", "confidence", "source")
+    return findings.where(F.col("type_id") != flag_type).select("instance_id", "document_id", "type_id", "status").join(claimed, "instance_id")
+
+
+def property_corrections(log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per property that amendments changed: how often, and what the latest was and became; the most often amended first."""
+    changed = log.where("action = 'amend'").select("row_id", "seq", F.explode(F.from_json("new_value", "map<string,string>")).alias("property_id", "now"))
+    was = changed.withColumn("was", F.lag("now").over(Window.partitionBy("row_id", "property_id").orderBy("seq")))
+    out = was.groupBy("property_id").agg(F.count(F.lit(1)).alias("n_amended"), F.max_by("was", "seq").alias("was"), F.max_by("now", "seq").alias("latest"))
+    return out.orderBy(F.desc("n_amended"), "property_id").limit(limit) if limit else out
+
+
+def suggestion_quality(offers: DataFrame) -> DataFrame:
+    """Offers (engine, status) by what became of them, and the share that was accepted of those decided."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    decided = of("accepted") + of("dismissed")
+    return offers.groupBy("engine").agg(F.count(F.lit(1)).alias("n_offered"), of("accepted").alias("n_accepted"), of("dismissed").alias("n_dismissed"), F.when(decided > 0, F.round(of("accepted") / decided, 3)).alias("acceptance_rate"))
+
+
+def quality_report(findings: DataFrame, log: DataFrame, min_reviewed: int = 5) -> dict[str, DataFrame]:
+    """The tables that say how good an extraction is."""
+    return {"outcomes": extraction_quality(findings, min_reviewed), "calibration": calibration(findings, min_reviewed), "grounding": grounding(findings), "rules": concept_precision(findings, min_reviewed), "corrections": property_corrections(log, 25)}
 
 
 def triage(findings: DataFrame, min_reviewed: int = 5, limit: int = 50) -> DataFrame:
@@ -97,3 +117,11 @@ def best_provenance(findings: DataFrame) -> DataFrame:
 
 def review_progress(findings: DataFrame) -> DataFrame:
     return findings.groupBy("document_id", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def review_queue(findings: DataFrame, provenance: DataFrame, editable: DataFrame, min_reviewed: int = 5, limit: int = 50) -> DataFrame:
+    """The triage queue over the documents that somebody may edit, each finding with its strongest claim."""
+    own = findings.join(editable.select("document_id"), "document_id", "left_semi")
+    queue = triage(own, min_reviewed, limit)
+    best = provenance.join(F.broadcast(queue.select("instance_id")), "instance_id", "left_semi").groupBy("instance_id").agg(F.max(F.struct("confidence", "provenance_id", "excerpt")).alias("b"))
+    return queue.join(best, "instance_id", "left").select("instance_id", "document_id", queue["confidence"], "place", F.col("b.confidence").alias("claimed"), F.col("b.excerpt").alias("excerpt"))
