@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.scalar import name_key, words_only
+from lectern.functions.scalar import HONORIFICS, LEGAL_FORMS, name_key, words_only
 
 #: The least score of a fuzzy pair and of a near spelling.
 SIMILAR, NEAR = 80.0, 0.85
+#: Words that don't say which thing is meant, beside legal forms and titles; what pairs are offered for, strongest first.
+PLAIN = ["the", "and", "of", "for", "a", "an"]
+BASES = ["naive_key", "initials", "similar"]
 #: Words for the part that somebody plays in a document, which are no names.
 ROLES = """franchisee franchisor licensor licensee sublicensee supplier customer buyer seller purchaser vendor contractor subcontractor client consultant
 party parties distributor reseller sponsor agent lender borrower guarantor employer employee manufacturer developer owner tenant landlord disclosing
@@ -81,17 +88,55 @@ def near_names(left: list[str], right: list[str], least: float) -> list[tuple[in
     return out
 
 
-def similar_pages(pages: DataFrame, least: float = SIMILAR, block: int = 500) -> DataFrame:
-    """All pairs of live pages of a type with similar names, words sorted, and at 100 those whose names are equal or have one key.
+def distinguishing(a: str, b: str) -> tuple[set[str], set[str]]:
+    """The words of each name that say which thing is meant and that the other has in no spelling."""
+    left, right = (set(re.findall(r"\w+", (x or "").lower())) for x in (a, b))
+    common = {*LEGAL_FORMS, *HONORIFICS, *PLAIN}
+
+    def own(mine: set[str], others: set[str]) -> set[str]:
+        told = {w for w in mine - others if len(w) > 1 and w not in common}
+        return {w for w in told if all(SequenceMatcher(None, w, o).ratio() < NEAR for o in others - mine)}
+
+    return own(left, right), own(right, left)
+
+
+def could_be_one(a: str, b: str) -> bool:
+    """Not if each name has a distinctive word that the other lacks."""
+    return not all(distinguishing(a, b))
+
+
+def initials_differ(a: str, b: str) -> bool:
+    """Whether two personal names are one but for a middle initial: first and last are equal, and no two middle names contradict each other."""
+    left, right = (re.findall(r"\w+", (x or "").lower()) for x in (a, b))
+    if min(len(left), len(right)) < 2 or (left[0], left[-1]) != (right[0], right[-1]) or left[1:-1] == right[1:-1]:
+        return False
+    middles = left[1:-1] + right[1:-1]
+    fits = lambda x, y: x[0] == y[0] if 1 in (len(x), len(y)) else x == y
+    return any(len(m) == 1 for m in middles) and all(fits(x, y) for x in left[1:-1] for y in right[1:-1])
+
+
+def basis_of(pairs: DataFrame, a: str = "name", b: str = "other_name") -> DataFrame:
+    """pairs with the basis that their names give, those left out that name two things."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names = zip(batch[a], batch[b], strict=True)
+            yield batch.assign(basis=["initials" if initials_differ(x, y) else "similar" if could_be_one(x, y) else None for x, y in names])
+
+    return pairs.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in pairs.dtypes) + ", basis string").where("basis IS NOT NULL")
+
+
+def sorted_words(name: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(F.btrim(F.lower(name)), r"\s+")), " ")
+
 
-    Different names are scored once, however many pages have them. Names of a pair that scores
-    ``least`` over 2 LCS / (m + n) have lengths within the ratio (200 - least) / least, so that they
-    are in one band of lengths or in two that follow each other. Bands are dealt into blocks of
-    about so many names, and every two blocks are one task.
+def near_name_pairs(names: DataFrame, least: float = SIMILAR, block: int = 500) -> DataFrame:
+    """(type_id, name, other_name, score): all pairs of different names (type_id, name) of a type that score ``least`` or more.
+
+    Names of a pair that scores ``least`` over 2 LCS / (m + n) have lengths within the ratio
+    (200 - least) / least, so that they are in one band of lengths or in two that follow each
+    other. Bands are dealt into blocks of about so many names, and every two blocks are one task.
     """
-    live = pages.where("merged_into IS NULL").withColumn("key", name_key(F.col("canonical_name")))
-    live = live.select("entity_id", "type_id", "key", F.array_join(F.array_sort(F.split(words_only(F.col("canonical_name")), " ")), " ").alias("name"))
-    names = live.where("name <> ''").select("type_id", "name").distinct()
     # The base is over the ratio, so that rounding moves no pair two bands apart.
     names = names.withColumn("band", F.floor(F.log(F.length("name")) / F.log(F.lit(1.05 * (200 - least) / least))))
     blocks = names.groupBy("type_id", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
@@ -110,14 +155,62 @@ def similar_pages(pages: DataFrame, least: float = SIMILAR, block: int = 500) ->
         out = pd.DataFrame(found, columns=["name", "other_name", "score"])
         return out.assign(type_id=pdf["type_id"].iloc[0])[["type_id", "name", "other_name", "score"]]
 
-    near = dealt.groupBy("type_id", "task").applyInPandas(score, "type_id string, name string, other_name string, score double")
-    own = live.select("type_id", "name", "key", "entity_id")
-    others = own.select("type_id", F.col("name").alias("other_name"), F.col("key").alias("other_key"), F.col("entity_id").alias("other_id"))
-    ordered = [F.least("entity_id", "other_id").alias("entity_id"), F.greatest("entity_id", "other_id").alias("other_id")]
-    similar = near.join(own, ["type_id", "name"]).join(others, ["type_id", "other_name"]).where("NOT key <=> other_key").select("type_id", *ordered, "score")
-    equal = own.where("name <> ''").join(others, "type_id").where("name = other_name AND NOT key <=> other_key AND entity_id < other_id").select("type_id", "entity_id", "other_id", F.lit(100.0).alias("score"))
-    keyed = own.where("key <> ''").join(others, "type_id").where("key = other_key AND entity_id < other_id").select("type_id", "entity_id", "other_id", F.lit(100.0).alias("score"))
-    return similar.unionByName(equal).unionByName(keyed)
+    return dealt.groupBy("type_id", "task").applyInPandas(score, "type_id string, name string, other_name string, score double")
+
+
+def duplicate_pages(pages: DataFrame, settled: DataFrame | None = None, least: float = SIMILAR, styles: dict[str, str] | None = None) -> DataFrame:
+    """(type_id, entity_id, other_id, basis, score): pairs of live pages of a type that may be one thing.
+
+    Pages of one key come first, at 100. Others score 100 * 2 LCS / (m + n) over their lower-case
+    words in order, ``least`` or more, and are left out if each has a distinctive word that the
+    other lacks. Different names are scored once, however many pages have them. Pairs that a
+    person has settled (entity_id, other_id) are left out too.
+    """
+    key = name_key(F.col("canonical_name"))
+    for type_id, style in (styles or {}).items():
+        key = F.when(F.col("type_id") == type_id, name_key(F.col("canonical_name"), style)).otherwise(key)
+    live = pages.where("merged_into IS NULL").select("entity_id", "type_id", "canonical_name", key.alias("key"), sorted_words(F.col("canonical_name")).alias("name"))
+    near = near_name_pairs(live.where("name <> ''").select("type_id", "name").distinct(), least)
+    own = live.select("type_id", "name", "key", "entity_id", "canonical_name")
+    others = own.select("type_id", F.col("name").alias("other_sorted"), F.col("key").alias("other_key"), F.col("entity_id").alias("other_id"), F.col("canonical_name").alias("other_name"))
+    ahead = F.col("entity_id") < F.col("other_id")
+    ids = [F.when(ahead, F.col("entity_id")).otherwise(F.col("other_id")).alias("entity_id"), F.when(ahead, F.col("other_id")).otherwise(F.col("entity_id")).alias("other_id")]
+    named = [F.col("canonical_name").alias("name"), "other_name"]
+    similar = near.withColumnRenamed("other_name", "other_sorted").join(own, ["type_id", "name"]).join(others, ["type_id", "other_sorted"]).where("NOT key <=> other_key").select("type_id", *ids, "score", *named)
+    equal = own.where("name <> ''").join(others, "type_id").where("name = other_sorted AND NOT key <=> other_key AND entity_id < other_id").select("type_id", "entity_id", "other_id", F.lit(100.0).alias("score"), *named)
+    by_key = own.where("key <> ''").join(others, "type_id").where("key = other_key AND entity_id < other_id").select("type_id", "entity_id", "other_id", F.lit("naive_key").alias("basis"), F.lit(100.0).alias("score"))
+    out = by_key.unionByName(basis_of(similar.unionByName(equal)).select("type_id", "entity_id", "other_id", "basis", "score"))
+    return out if settled is None else out.join(settled.select("entity_id", "other_id"), ["entity_id", "other_id"], "left_anti")
+
+
+def ranked_offers(pairs: DataFrame, mentions: DataFrame, limit: int = 50) -> DataFrame:
+    """The first pairs by basis and score, with the page to keep: that of more live mentions, then the smaller id."""
+    n = mentions.where("NOT unlinked").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.array_position(F.array(*map(F.lit, BASES)), F.col("basis"))
+    first = pairs.withColumn("rank", rank).orderBy("rank", F.desc("score"), "entity_id", "other_id").limit(limit)
+    told = first.join(n, "entity_id", "left").join(n.select(F.col("entity_id").alias("other_id"), F.col("n").alias("m")), "other_id", "left").fillna(0, ["n", "m"])
+    return told.select("rank", "entity_id", "other_id", "basis", "score", F.when(F.col("m") > F.col("n"), F.col("other_id")).otherwise(F.col("entity_id")).alias("keep_id"))
+
+
+def candidates_for(mentions: DataFrame, pages: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(instance_id, entity_id, basis, score): pages that a mention (instance_id, type_id, name, identifier) may belong to, each once on its strongest basis.
+
+    pages: entity_id, type_id, canonical_name, identifier, merged_into.
+    """
+    live = pages.where("merged_into IS NULL").withColumn("key", name_key(F.col("canonical_name"))).withColumn("name_sorted", sorted_words(F.col("canonical_name")))
+    asked = mentions.withColumn("key", name_key(F.col("name"))).withColumn("asked_sorted", sorted_words(F.col("name")))
+    by_id = asked.where("identifier <> ''").join(live.select("type_id", "identifier", "entity_id"), ["type_id", "identifier"]).select("instance_id", "entity_id", F.lit("identifier").alias("basis"), F.lit(100.0).alias("score"))
+    by_key = asked.where("key <> ''").join(live.select("type_id", "key", "entity_id"), ["type_id", "key"]).select("instance_id", "entity_id", F.lit("naive_key").alias("basis"), F.lit(100.0).alias("score"))
+    both = asked.select("type_id", F.col("asked_sorted").alias("name")).union(live.select("type_id", F.col("name_sorted").alias("name"))).where("name <> ''").distinct()
+    near = near_name_pairs(both, least)
+    near = near.union(near.select("type_id", "other_name", "name", "score"))
+    found = near.select("type_id", F.col("name").alias("asked_sorted"), F.col("other_name").alias("name_sorted"), "score").join(asked.select("instance_id", "type_id", "asked_sorted", "name"), ["type_id", "asked_sorted"])
+    found = found.join(live.select("type_id", "name_sorted", "entity_id", F.col("canonical_name").alias("other_name")), ["type_id", "name_sorted"])
+    fuzzy = basis_of(found.select("instance_id", "entity_id", "score", "name", "other_name")).select("instance_id", "entity_id", "basis", "score")
+    out = by_id.unionByName(by_key).unionByName(fuzzy)
+    rank = F.array_position(F.array(*map(F.lit, ["identifier", *BASES])), F.col("basis"))
+    order = Window.partitionBy("instance_id", "entity_id").orderBy(rank, F.desc("score"))
+    return out.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
 def unnamed(pages: DataFrame) -> DataFrame:
@@ -155,19 +248,81 @@ def counterparties(mentions: DataFrame) -> DataFrame:
     return found.where("n_documents > 1")
 
 
+def matches_elsewhere(instances: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Per mention (instance_id, document_id, type_id, name, name_key): where else it stands, as documents and names.
+
+    A reviewed link's page says so where there is one; else an equal key does, in types of any
+    name. Groups are gathered once for each page or key, and every mention leaves its own document out.
+    """
+    live = mentions.where("NOT unlinked AND status IN ('confirmed', 'amended')").select("instance_id", "entity_id")
+    held = instances.join(live, "instance_id", "left")
+    by_page, by_key = (
+        held.where(f"{key} IS NOT NULL AND {key} <> ''").groupBy(key).agg(F.collect_set(F.struct("document_id", "type_id")).alias(f"{key}_at"), F.collect_set("name").alias(f"{key}_names")) for key in ("entity_id", "name_key")
+    )
+    told = held.join(by_page, "entity_id", "left").join(by_key, "name_key", "left")
+    at = F.when(F.col("entity_id").isNotNull(), F.col("entity_id_at")).otherwise(F.col("name_key_at"))
+    names = F.when(F.col("entity_id").isNotNull(), F.col("entity_id_names")).otherwise(F.col("name_key_names"))
+    other = F.filter(at, lambda x: x["document_id"] != F.col("document_id"))
+    documents = lambda same: F.size(F.array_distinct(F.transform(F.filter(other, lambda x: (x["type_id"] == F.col("type_id")) == same), lambda x: x["document_id"])))
+    basis = F.when(F.col("entity_id").isNotNull(), "reviewed_link").otherwise("naive_key")
+    return told.select("instance_id", basis.alias("basis"), documents(True).cast("long").alias("n_documents"), documents(False).cast("long").alias("n_cross_type"), F.array_join(F.array_sort(F.array_except(names, F.array("name"))), "|").alias("variants"))
+
+
+def identifier_matches(instances: DataFrame) -> DataFrame:
+    """(identifier, n_documents, n_names): identifiers that stand in several documents."""
+    own = instances.where("identifier <> ''")
+    return own.groupBy("identifier").agg(F.count_distinct("document_id").alias("n_documents"), F.count_distinct("name").alias("n_names")).where("n_documents > 1")
+
+
 def against_peers(orders: DataFrame, key: str, value: str) -> DataFrame:
     """Each group's median, extremes and count."""
     return orders.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median_value"), F.max(value).alias("max_value"), F.min(value).alias("min_value"))
 
 
-def follow_merges(pages: DataFrame, rounds: int = 20) -> DataFrame:
-    """(entity_id, survivor): merge pointers followed to their end."""
+def compared_values(contracts: DataFrame) -> DataFrame:
+    """contracts (document_id, counterparty, currency, value): each against its counterparty's others in the same currency, none being a currency too.
+
+    What the others' median and extremes are follows from a contract's rank and a few values of
+    its group, those in the middle and at both ends; no group is gathered.
+    """
+    group = ["counterparty", "_currency"]
+    held = contracts.withColumn("_currency", F.coalesce("currency", F.lit("")))
+    ranked = held.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("value", "document_id")))
+    n = ranked.groupBy(*group).agg(F.max("r").alias("n")).where("n > 1")
+    told = ranked.join(n, group)
+    # Place p of the others (from 1) is place p of all, or the next if the contract itself stands before.
+    low, high = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") + 1) / 2).cast("int")
+    at = {"a": low, "b": low + 1, "c": high, "d": high + 1, "first": F.lit(1), "second": F.lit(2), "last": F.col("n"), "before": F.col("n") - 1}
+    spots = told.groupBy(*group, "n").agg(*[F.max(F.when(F.col("r") == p, F.col("value"))).alias(f"at_{k}") for k, p in at.items()])
+    out = told.join(spots, [*group, "n"])
+    pick = lambda p, here, after: F.when(F.col("r") > p, F.col(f"at_{here}")).otherwise(F.col(f"at_{after}"))
+    median = (pick(low, "a", "b") + pick(high, "c", "d")) / 2
+    out = out.select(
+        "document_id", "value", (F.col("n") - 1).cast("long").alias("n_peers"), median.alias("median_value"),
+        F.when(F.col("r") == F.col("n"), F.col("at_before")).otherwise(F.col("at_last")).alias("max_value"),
+        F.when(F.col("r") == 1, F.col("at_second")).otherwise(F.col("at_first")).alias("min_value"),
+    )
+    return out.withColumn("ratio", F.round(F.col("value") / F.nullif("median_value", F.lit(0.0)), 2))
+
+
+def follow_merges(pages: DataFrame) -> DataFrame:
+    """(entity_id, survivor): merge pointers followed to their end, twice as far each round; pointers in a ring come to its smallest page."""
     out = pages.select("entity_id", F.coalesce("merged_into", "entity_id").alias("survivor"))
-    step = pages.select(F.col("entity_id").alias("_at"), F.col("merged_into").alias("_to")).where("_to IS NOT NULL")
-    for _ in range(rounds):
-        after = out.join(step, F.col("survivor") == F.col("_at"), "left").select("entity_id", F.coalesce("_to", "survivor").alias("survivor"), F.col("_to").isNotNull().alias("_moved"))
-        moved = not after.where("_moved").isEmpty()
-        out = after.drop("_moved")
-        if not moved:
+    seen = None
+    while True:
+        step = out.select(F.col("entity_id").alias("_at"), F.col("survivor").alias("_to"))
+        out = out.join(step, F.col("survivor") == F.col("_at"), "left").select("entity_id", F.coalesce("_to", "survivor").alias("survivor"))
+        out = out.checkpoint() if pages.sparkSession.sparkContext.getCheckpointDir() else out.persist()
+        # Survivors that are themselves merged; rings leave as many from one round to the next.
+        ends = out.select(F.col("entity_id").alias("_e"), F.col("survivor").alias("_s")).where("_e <> _s")
+        left = out.join(ends, F.col("survivor") == F.col("_e"), "left_semi").count()
+        if left == 0:
+            return out
+        if left == seen:
             break
-    return out
+        seen = left
+    ring = pages.where("merged_into IS NOT NULL").select(F.col("entity_id").alias("a"), F.col("merged_into").alias("b"))
+    from lectern.operators.graph import components
+
+    found = components(ring.join(out.join(ends, F.col("survivor") == F.col("_e"), "left_semi").select(F.col("entity_id").alias("a")), "a", "left_semi"))
+    return out.join(found, out["entity_id"] == found["node"], "left").select("entity_id", F.coalesce("component", "survivor").alias("survivor"))

@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A graph of so many links at most is worked through by one task, which spares the rounds of jobs that larger ones need; betweenness
+#: from all sources is dealt out from fewer on.
+SMALL, SINGLE = 200_000, 5_000
 
-def canonical_edges(edges: DataFrame, mentions: DataFrame, entities: DataFrame, reviewed_only: bool = False) -> DataFrame:
-    """Statements grouped to one edge between pages: live links at both ends, one merge hop, no loops."""
+
+def statements(edges: DataFrame, mentions: DataFrame, entities: DataFrame, reviewed_only: bool = False) -> DataFrame:
+    """Statements with the pages at both ends: live links, one merge hop, no loops."""
     wanted = F.col("status").isin("confirmed", "amended") if reviewed_only else F.col("status") != "rejected"
     page = entities.select("entity_id", F.coalesce("merged_into", "entity_id").alias("page"))
     live = mentions.where("NOT unlinked").select("instance_id", "entity_id").join(page, "entity_id").drop("entity_id")
     ends = edges.where(wanted)
     for side in ("from", "to"):
         ends = ends.join(live.select(F.col("instance_id").alias(f"{side}_instance_id"), F.col("page").alias(f"{side}_page")), f"{side}_instance_id")
-    grouped = ends.where("from_page <> to_page").groupBy("from_page", "link_type_id", "to_page")
+    return ends.where("from_page <> to_page")
+
+
+def canonical_edges(edges: DataFrame, mentions: DataFrame, entities: DataFrame, reviewed_only: bool = False) -> DataFrame:
+    """Statements grouped to one edge between pages."""
+    grouped = statements(edges, mentions, entities, reviewed_only).groupBy("from_page", "link_type_id", "to_page")
     return grouped.agg(F.count(F.lit(1)).alias("n_sources"), F.count_distinct("document_id").alias("n_documents"), F.count_if(F.col("status").isin("confirmed", "amended")).alias("n_confirmed"), F.max("confidence").alias("max_confidence"))
 
 
-def coverage(edges: DataFrame, mentions: DataFrame) -> DataFrame:
-    """One row: statements, and those that both ends' live links make an edge of pages."""
+def coverage(edges: DataFrame, mentions: DataFrame, types: DataFrame | None = None, named: list[str] | None = None) -> DataFrame:
+    """One row: live statements; those that both ends' live links make an edge of pages; those whose ends are both of named types (types: instance_id, type_id), the backlog among them, and the others, which never get a page."""
     live = mentions.where("NOT unlinked").select("instance_id")
-    both = edges.join(live.withColumnRenamed("instance_id", "from_instance_id"), "from_instance_id", "left_semi").join(live.withColumnRenamed("instance_id", "to_instance_id"), "to_instance_id", "left_semi")
-    return edges.agg(F.count(F.lit(1)).alias("n_edges")).crossJoin(both.agg(F.count(F.lit(1)).alias("n_projected")))  # two single rows
+    own = edges.where("status <> 'rejected'")
+    ends = lambda held: own.join(held.withColumnRenamed("instance_id", "from_instance_id"), "from_instance_id", "left_semi").join(held.withColumnRenamed("instance_id", "to_instance_id"), "to_instance_id", "left_semi")
+    able = live if types is None else types.where(F.col("type_id").isin(named or [])).select("instance_id")
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    out = one(own, "n_edges").crossJoin(one(ends(live), "n_projected")).crossJoin(one(ends(able) if types is not None else own, "n_projectable"))  # single rows
+    rate = F.when(F.col("n_edges") > 0, F.round(F.col("n_projected") / F.col("n_edges"), 3))
+    return out.select("*", F.greatest(F.col("n_projectable") - F.col("n_projected"), F.lit(0)).alias("n_awaiting"), F.greatest(F.col("n_edges") - F.col("n_projectable"), F.lit(0)).alias("n_structural"), rate.alias("projected_rate"))
 
 
 def neighbours(links: DataFrame) -> DataFrame:
@@ -42,34 +57,91 @@ def isolates(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(neighbours(links).select(F.col("a").alias("node")), "node", "left_anti")
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest reachable node, by spreading minima with pointer jumping until nothing changes."""
-    both = neighbours(links).checkpoint() if links.sparkSession.sparkContext.getCheckpointDir() else neighbours(links).persist()
+def kept(df: DataFrame) -> DataFrame:
+    """df without its lineage: in the checkpoint folder where there is one, else (tests) in memory."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def adjacency_of(a: np.ndarray, b: np.ndarray) -> dict[str, list[str]]:
+    """Sorted neighbours of each node of undirected links, loops and repeats left out."""
+    found: dict[str, set[str]] = {}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if x != y:
+            found.setdefault(x, set()).add(y)
+            found.setdefault(y, set()).add(x)
+    return {k: sorted(found[k]) for k in sorted(found)}
+
+
+def in_one_task(links: DataFrame, function: Callable[[dict[str, list[str]]], pd.DataFrame], schema: str) -> DataFrame:
+    """function(adjacency) of a graph that was found to be small."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [*batches]
+        if frames:
+            both = pd.concat(frames)
+            yield function(adjacency_of(both["a"].to_numpy(), both["b"].to_numpy()))
+
+    return links.select("a", "b").coalesce(1).mapInPandas(run, schema)
+
+
+def is_small(links: DataFrame, most: int | None = None) -> bool:
+    most = SMALL if most is None else most
+    return links.select("a").limit(most + 1).count() <= most
+
+
+def least_reachable(adjacency: dict[str, list[str]]) -> pd.DataFrame:
+    label: dict[str, str] = {}
+    for root in adjacency:  # in order, so that a root is its component's smallest node
+        stack = [] if root in label else [root]
+        while stack:
+            node = stack.pop()
+            if node not in label:
+                label[node] = root
+                stack += [n for n in adjacency[node] if n not in label]
+    return pd.DataFrame({"node": list(label), "component": list(label.values())}, dtype=object)
+
+
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, component): the smallest reachable node; in one task if the graph is small, else by spreading minima with pointer jumping until nothing changes."""
+    if is_small(links):
+        return in_one_task(links, least_reachable, "node string, component string")
+    return components_by_rounds(links, rounds)
+
+
+def components_by_rounds(links: DataFrame, rounds: int = 200) -> DataFrame:
+    both = kept(neighbours(links))
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    before = None
     for _ in range(rounds):
         least = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         spread = label.join(least, F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("next"), "component")
         up = label.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        jumped = spread.join(up, F.col("next") == F.col("_n")).select("node", F.least("next", "_c").alias("next"), "component")
-        jumped = jumped.checkpoint() if links.sparkSession.sparkContext.getCheckpointDir() else jumped.persist()
+        jumped = kept(spread.join(up, F.col("next") == F.col("_n")).select("node", F.least("next", "_c").alias("next"), "component"))
         done = jumped.where("next <> component").isEmpty()
-        label = jumped.select("node", F.col("next").alias("component"))
+        if before is not None:
+            before.unpersist()
+        before, label = jumped, jumped.select("node", F.col("next").alias("component"))
         if done:
+            both.unpersist()
             return label
     raise RuntimeError("components did not settle")
 
 
-def by_component(links: DataFrame, function, schema: str) -> DataFrame:
-    """function(adjacency) over each component, as one task; the graph of pages is small beside the corpus."""
+def by_component(links: DataFrame, function: Callable[[dict[str, list[str]]], pd.DataFrame], schema: str) -> DataFrame:
+    """function(adjacency): of the whole graph in one task if it is small, else of each component."""
+    if is_small(links):
+        return in_one_task(links, function, schema)
     labelled = neighbours(links).join(components(links).withColumnRenamed("node", "a"), "a")
+    return labelled.groupBy("component").applyInPandas(lambda pdf: function(adjacency_of(pdf["a"].to_numpy(), pdf["b"].to_numpy())), schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        adjacency: dict[str, list[str]] = {}
-        for a, b in sorted(zip(pdf["a"], pdf["b"], strict=True)):
-            adjacency.setdefault(a, []).append(b)
-        return function(adjacency)
 
-    return labelled.groupBy("component").applyInPandas(run, schema)
+def described(labels: DataFrame, nodes: DataFrame, links: DataFrame, key: str = "component") -> DataFrame:
+    """Each group of nodes (node, key): size, types, the five nodes with most neighbours, and the first of these as its label. nodes: node, name, type_id."""
+    told = labels.join(nodes, "node").join(degrees(links), "node", "left").fillna(0, ["degree"])
+    types = told.groupBy(key, "type_id").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type_id", "n"))), lambda t: F.concat(t["type_id"], F.lit(":"), t["n"])), ",").alias("types"))
+    order = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("degree"), "name", "node"))
+    top = told.withColumn("_k", order).where("_k <= 5").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "name"))), lambda t: t["name"]), "|").alias("top"), F.min_by("name", "_k").alias("label"))
+    return told.groupBy(key).agg(F.count(F.lit(1)).alias("n_nodes")).join(types, key).join(top, key)
 
 
 def cut_vertices(adjacency: dict[str, list[str]]) -> set[str]:
@@ -145,16 +217,23 @@ def dependencies(start: np.ndarray, other: np.ndarray, sources: np.ndarray) -> n
 def betweenness(links: DataFrame, sources: int | None = None) -> DataFrame:
     """(node, betweenness), normalised over all nodes; from all sources, or from so many chosen by hash and scaled up.
 
-    The adjacency of the page graph goes to every task; sources are dealt out over them.
+    A small graph's adjacency is broadcast and sources are dealt out over tasks; a larger one
+    is walked by joins, level by level, from all chosen sources at once.
     """
+    if is_small(links, min(SINGLE, SMALL)):
+        return in_one_task(links, lambda adjacency: central(adjacency, sources), "node string, betweenness double")
+    if not is_small(links):
+        return betweenness_by_joins(links, sources)
     spark = links.sparkSession
     both = neighbours(links).toPandas()
     names = np.array(sorted(set(both["a"])), dtype=object)
     n = len(names)
+    if not n:
+        return spark.createDataFrame([], "node string, betweenness double")
     place = {k: i for i, k in enumerate(names)}
     left, right = (both[c].map(place).to_numpy(dtype=np.int64) for c in ("a", "b"))
     order = np.lexsort((right, left))
-    other, start = right[order], np.r_[0, np.cumsum(np.bincount(left, minlength=n))]
+    held = spark.sparkContext.broadcast((np.r_[0, np.cumsum(np.bincount(left, minlength=n))], right[order]))
     nodes = spark.createDataFrame(list(enumerate(names.tolist())), "place long, node string")
     chosen = nodes if sources is None or sources >= n else nodes.orderBy(F.xxhash64("node")).limit(sources)
     scale = (n / sources if sources and sources < n else 1.0) / max(1, (n - 1) * (n - 2))
@@ -163,7 +242,7 @@ def betweenness(links: DataFrame, sources: int | None = None) -> DataFrame:
         total = np.zeros(n)
         for batch in batches:
             for i in range(0, len(batch), 32):
-                total += dependencies(start, other, batch["place"].to_numpy()[i : i + 32])
+                total += dependencies(*held.value, batch["place"].to_numpy()[i : i + 32])
         yield pd.DataFrame({"place": np.arange(n), "part": total})
 
     dealt = chosen.select("place").repartition(max(8, spark.sparkContext.defaultParallelism))
@@ -171,28 +250,198 @@ def betweenness(links: DataFrame, sources: int | None = None) -> DataFrame:
     return nodes.join(summed, "place", "left").select("node", F.round(F.coalesce("betweenness", F.lit(0.0)), 9).alias("betweenness"))
 
 
-def communities(links: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, community) by label propagation: the most frequent label around, the smallest of equals, keeping one's own if among them."""
+def central(adjacency: dict[str, list[str]], sources: int | None) -> pd.DataFrame:
+    """(node, betweenness) of a whole graph; sources are chosen by a hash of their names."""
+    names = list(adjacency)
+    n = len(names)
+    place = {k: i for i, k in enumerate(names)}
+    start = np.cumsum([0, *(len(v) for v in adjacency.values())])
+    other = np.array([place[o] for v in adjacency.values() for o in v], dtype=np.int64)
+    chosen = range(n) if sources is None or sources >= n else sorted(range(n), key=lambda i: hashlib.sha256(names[i].encode()).digest())[:sources]
+    scale = n / max(1, len(chosen)) / max(1, (n - 1) * (n - 2))
+    total = np.zeros(n)
+    for i in range(0, len(chosen), 64):
+        total += dependencies(start, other, np.array(chosen[i : i + 64]))
+    return pd.DataFrame({"node": names, "betweenness": np.round(total * scale, 9)})
+
+
+def structure(links: DataFrame, method: str = "label_propagation") -> DataFrame:
+    """(node, degree, component, is_cut, community) of every node that has a link: all in one task if the graph is small, else one after the other."""
+    schema = "node string, degree long, component string, is_cut boolean, community string"
+    if is_small(links):
+
+        def run(adjacency: dict[str, list[str]]) -> pd.DataFrame:
+            cut, label = cut_vertices(adjacency), METHODS[method](adjacency)
+            least: dict[str, str] = {}
+            for node in adjacency:  # in order
+                least.setdefault(label[node], node)
+            component = dict(least_reachable(adjacency).itertuples(index=False))
+            return pd.DataFrame([(k, len(v), component[k], k in cut, least[label[k]]) for k, v in adjacency.items()], columns=["node", "degree", "component", "is_cut", "community"])
+
+        return in_one_task(links, run, schema)
+    cuts = articulation_points(links).withColumn("is_cut", F.lit(True))
+    out = degrees(links).join(components(links), "node").join(cuts, "node", "left").join(communities(links, method), "node")
+    return out.select("node", "degree", "component", F.coalesce("is_cut", F.lit(False)).alias("is_cut"), "community")
+
+
+def betweenness_by_joins(links: DataFrame, sources: int | None = None) -> DataFrame:
+    both = kept(neighbours(links))
+    nodes = both.select(F.col("a").alias("node")).distinct()
+    n = nodes.count()
+    chosen = nodes if sources is None or sources >= n else nodes.orderBy(F.xxhash64("node")).limit(sources)
+    scale = (n / sources if sources and sources < n else 1.0) / max(1, (n - 1) * (n - 2))
+    levels = [kept(chosen.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))]
+    reached = levels[0].select("s", "node")
+    while True:
+        ahead = levels[-1].join(both, F.col("node") == F.col("a")).groupBy("s", "b").agg(F.sum("paths").alias("paths")).withColumnRenamed("b", "node")
+        ahead = kept(ahead.join(reached, ["s", "node"], "left_anti"))
+        if ahead.isEmpty():
+            break
+        levels.append(ahead)
+        reached = levels[-1].select("s", "node").union(levels[-2].select("s", "node"))  # neighbours are one level apart at most
+    total, share = None, None
+    for level in range(len(levels) - 1, 0, -1):
+        own = levels[level] if share is None else levels[level].join(share, ["s", "node"], "left")
+        own = own.withColumn("share", F.lit(0.0) if share is None else F.coalesce("share", F.lit(0.0)))
+        part = own.select("node", "share")
+        total = part if total is None else total.union(part)
+        up = own.select("s", "node", ((1 + F.col("share")) / F.col("paths")).alias("each")).join(both, F.col("node") == F.col("b")).select("s", F.col("a").alias("node"), "each")
+        share = kept(up.join(levels[level - 1], ["s", "node"]).groupBy("s", "node").agg((F.sum("each") * F.first("paths")).alias("share")))
+    empty = links.sparkSession.createDataFrame([], "node string, share double")
+    summed = (empty if total is None else total).groupBy("node").agg((F.sum("share") * scale).alias("betweenness"))
+    return nodes.join(summed, "node", "left").select("node", F.round(F.coalesce("betweenness", F.lit(0.0)), 9).alias("betweenness"))
+
+
+def propagated(adjacency: dict[str, list[str]]) -> dict[str, str]:
+    """Label propagation until nothing changes: every change puts more links inside a community, so it ends."""
+    label = {k: k for k in adjacency}
+    changed = True
+    while changed:
+        changed = False
+        for node in adjacency:
+            counts: dict[str, int] = {}
+            for other in adjacency[node]:
+                counts[label[other]] = counts.get(label[other], 0) + 1
+            most = max(counts.values())
+            best = {k for k, v in counts.items() if v == most}
+            if label[node] not in best:
+                label[node], changed = min(best), True
+    return label
+
+
+def louvain(adjacency: dict[str, list[str]]) -> dict[str, str]:
+    """Communities by greedy modularity: nodes move to the neighbouring community that gains most, then communities become nodes, until none moves."""
+    weights: dict[str, dict[str, float]] = {k: {o: 1.0 for o in v} for k, v in adjacency.items()}
+    belongs = {k: k for k in adjacency}
+    total = sum(sum(w.values()) for w in weights.values())
+    while True:
+        label = {k: k for k in weights}
+        degree = {k: sum(w.values()) for k, w in weights.items()}
+        held = dict(degree)  # the sum of degrees in each community
+        moved, any_moved = True, False
+        while moved:
+            moved = False
+            for node, around in weights.items():
+                own = label[node]
+                to: dict[str, float] = {}
+                for other, w in around.items():
+                    if other != node:
+                        to[label[other]] = to.get(label[other], 0.0) + w
+                held[own] -= degree[node]
+                gain = lambda c: to.get(c, 0.0) - degree[node] * held[c] / total  # noqa: B023, E731
+                best = max(sorted({own, *to}), key=lambda c: (round(gain(c), 9), c == own))
+                held[best] += degree[node]
+                if best != own:
+                    label[node], moved, any_moved = best, True, True
+        if not any_moved:
+            return belongs
+        belongs = {k: label[c] for k, c in belongs.items()}
+        grouped: dict[str, dict[str, float]] = {}
+        for node, around in weights.items():
+            mine = grouped.setdefault(label[node], {})
+            for other, w in around.items():
+                mine[label[other]] = mine.get(label[other], 0.0) + w
+        weights = grouped
+
+
+METHODS = {"label_propagation": propagated, "louvain": louvain}
+
+
+def communities(links: DataFrame, method: str = "label_propagation") -> DataFrame:
+    """(node, community), named by its smallest node; by label propagation (the most frequent label around, the smallest of equals, keeping one's own if among them) or greedy modularity."""
+    find = METHODS[method]
 
     def run(adjacency: dict[str, list[str]]) -> pd.DataFrame:
-        label = {k: k for k in adjacency}
-        for _ in range(rounds):
-            changed = False
-            for node in adjacency:
-                counts: dict[str, int] = {}
-                for other in adjacency[node]:
-                    counts[label[other]] = counts.get(label[other], 0) + 1
-                most = max(counts.values())
-                best = {k for k, v in counts.items() if v == most}
-                if label[node] not in best:
-                    label[node], changed = min(best), True
-            if not changed:
-                break
-        return pd.DataFrame({"node": list(label), "community": list(label.values())})
+        label = find(adjacency)
+        least: dict[str, str] = {}
+        for node in sorted(label):
+            least.setdefault(label[node], node)
+        return pd.DataFrame({"node": list(label), "community": [least[c] for c in label.values()]}, dtype=object)
 
     return by_component(links, run, "node string, community string")
 
 
+def modularity(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: the modularity of a partition (node, community), with how it reads."""
+    both = neighbours(links)
+    own = labels.select("node", "community")
+    sides = both.join(own.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(own.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
+    ends = sides.groupBy("ca").agg(F.count(F.lit(1)).alias("ends"), F.count_if(F.col("ca") == F.col("cb")).alias("inside"))
+    total = F.sum("ends")
+    score = F.round(F.sum("inside") / total - F.sum(F.col("ends") * F.col("ends")) / (total * total), 4)
+    return ends.agg(score.alias("modularity"), F.count(F.lit(1)).alias("n_communities")).withColumn("reading", F.when(F.col("modularity") >= 0.3, "strong").otherwise("weak"))
+
+
+def bridges(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, community, n_communities, n_links): nodes with neighbours in other communities than their own."""
+    own = labels.select("node", "community")
+    sides = neighbours(links).join(own.select(F.col("node").alias("a"), "community"), "a").join(own.select(F.col("node").alias("b"), F.col("community").alias("other")), "b")
+    out = sides.where("community <> other").groupBy(F.col("a").alias("node"), "community")
+    return out.agg(F.count_distinct("other").alias("n_communities"), F.count(F.lit(1)).alias("n_links"))
+
+
+def connections(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(left, right, n_links): links between each two communities that have any."""
+    own = labels.select("node", "community")
+    undirected = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    sides = undirected.join(own.select(F.col("node").alias("a"), F.col("community").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("community").alias("y")), "b")
+    return sides.where("x <> y").groupBy(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).agg(F.count(F.lit(1)).alias("n_links"))
+
+
+def unconnected(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: communities, pairs of them, pairs with a link, and pairs without any, by arithmetic."""
+    n = labels.agg(F.count_distinct("community").alias("n_communities"))
+    touching = connections(links, labels).agg(F.count(F.lit(1)).alias("n_touching"))
+    out = n.crossJoin(touching)  # two single rows
+    pairs = F.expr("n_communities * (n_communities - 1) div 2")
+    return out.select("n_communities", pairs.alias("n_pairs"), "n_touching", (pairs - F.col("n_touching")).alias("n_apart"))
+
+
+def capped(rows: DataFrame, cap: int, *order) -> DataFrame:
+    """The first rows of a list, each with the number of all."""
+    total = rows.agg(F.count(F.lit(1)).alias("n_total"))
+    return rows.orderBy(*order).limit(cap).crossJoin(F.broadcast(total))  # one row
+
+
+def topology(links: DataFrame, nodes: DataFrame, cap: int = 20, method: str = "louvain", exact: bool = False) -> dict[str, DataFrame]:
+    """Everything about a graph's shape as named tables, lists cut at ``cap`` rows with their totals."""
+    labels = kept(communities(links, method))
+    joined = components(links)
+    rank = betweenness(links, None if exact else 100)
+    return {
+        "components": capped(described(joined, nodes, links), cap, F.desc("n_nodes"), "component"),
+        "cut_vertices": capped(articulation_points(links).join(degrees(links), "node"), cap, F.desc("degree"), "node"),
+        "isolates": capped(isolates(nodes.select("node"), links), cap, "node"),
+        "degree": capped(degrees(links), cap, F.desc("degree"), "node"),
+        "betweenness": capped(rank, cap, F.desc("betweenness"), "node"),
+        "communities": capped(described(labels.select("node", "community"), nodes, links, "community"), cap, F.desc("n_nodes"), "community"),
+        "modularity": modularity(links, labels),
+        "bridges": capped(bridges(links, labels), cap, F.desc("n_communities"), F.desc("n_links"), "node"),
+        "connections": capped(connections(links, labels), cap, "n_links", "left", "right"),
+        "unconnected": unconnected(links, labels),
+    }
+
+
 def neighbourhood(links: DataFrame, start: str, depth: int = 2) -> DataFrame:
     """(node, hops) within so many hops of a page."""
     both = neighbours(links)
@@ -204,27 +453,43 @@ def neighbourhood(links: DataFrame, start: str, depth: int = 2) -> DataFrame:
     return reached
 
 
-def paths_between(links: DataFrame, start: str, end: str, most: int = 6) -> DataFrame:
-    """(path, length): all simple paths of at most so many hops; walks from both ends meet half way."""
+def paths_between(links: DataFrame, start: str, end: str, most: int = 6, paths: int | None = None) -> DataFrame:
+    """(path, length): simple paths of at most so many hops; walks from both ends meet half way.
+
+    All of them, or the first ``paths`` by length and nodes: then no longer ones are looked for
+    once the shorter are enough, so that hubs far off cost nothing.
+    """
     both = neighbours(links)
     spark = links.sparkSession
 
-    def walks(node: str, hops: int) -> list[DataFrame]:
-        out = [spark.createDataFrame([([node], node)], "path array<string>, at string")]
-        for _ in range(hops):
-            out.append(out[-1].join(both, F.col("at") == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"), F.col("b").alias("at")))
-        return out
+    def walk(node: str) -> list[DataFrame]:
+        return [spark.createDataFrame([([node], node)], "path array<string>, at string")]
 
-    ahead, back = walks(start, (most + 1) // 2), walks(end, most // 2)
-    found = []
+    def further(walks: list[DataFrame], hops: int) -> DataFrame:
+        while len(walks) <= hops:
+            on = walks[-1].join(both, F.col("at") == F.col("a")).where(~F.array_contains("path", F.col("b")))
+            walks.append(on.select(F.concat("path", F.array("b")).alias("path"), F.col("b").alias("at")))
+        return walks[hops]
+
+    ahead, back = walk(start), walk(end)
+    out, n = None, 0
     for hops in range(1, most + 1):
-        rest = back[hops // 2].select("at", F.col("path").alias("rest"))
-        met = ahead[(hops + 1) // 2].join(rest, "at").where(F.size(F.array_intersect("path", "rest")) == 1)
-        found.append(met.select(F.concat("path", F.slice(F.reverse("rest"), 2, most)).alias("path")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("length"))
+        rest = further(back, hops // 2).select("at", F.col("path").alias("rest"))
+        met = further(ahead, (hops + 1) // 2).join(rest, "at").where(F.size(F.array_intersect("path", "rest")) == 1)
+        found = met.select(F.concat("path", F.slice(F.reverse("rest"), 2, most)).alias("path"))
+        if paths is not None:
+            found = found.orderBy("path").limit(paths)
+            n += found.count()
+        out = found if out is None else out.union(found)
+        if paths is not None and n >= paths:
+            break
+    out = out.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("length"))
+    return out if paths is None else first_paths(out, paths)
+
+
+def first_paths(paths: DataFrame, n: int = 5) -> DataFrame:
+    """The shortest paths, equal ones in the order of their nodes."""
+    return paths.orderBy("length", F.split("path", ">")).limit(n)
 
 
 def cycles(edges: DataFrame, most: int = 4) -> DataFrame:
@@ -242,10 +507,46 @@ def cycles(edges: DataFrame, most: int = 4) -> DataFrame:
     return found
 
 
-def shared_neighbours(links: DataFrame) -> DataFrame:
-    """Pairs of pages that aren't related themselves but share a cut vertex as neighbour, per vertex: how many pairs."""
+def induced(links: DataFrame, reached: DataFrame) -> DataFrame:
+    """(a, b): the links among nodes that were reached."""
+    undirected = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return undirected.join(reached.select(F.col("node").alias("a")), "a", "left_semi").join(reached.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+
+
+def triangles(links: DataFrame) -> DataFrame:
+    """(x, y, z): every three nodes that are linked with each other. Links point from the node with fewer neighbours, so that a hub has few that leave it."""
     both = neighbours(links)
-    cuts = articulation_points(links)
-    near = both.join(cuts, F.col("a") == F.col("node"), "left_semi")
-    pairs = near.alias("x").join(near.alias("y"), F.expr("x.a = y.a AND x.b < y.b")).select(F.col("x.a").alias("via"), F.col("x.b").alias("a"), F.col("y.b").alias("b"))
-    return pairs.join(both, ["a", "b"], "left_anti").groupBy("via").agg(F.count(F.lit(1)).alias("n_pairs"))
+    degree = degrees(links)
+    ranked = both.join(degree.select(F.col("node").alias("a"), F.col("degree").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("degree").alias("db")), "b")
+    ahead = ranked.where("da < db OR (da = db AND a < b)").select("a", "b")
+    wedges = ahead.alias("x").join(ahead.alias("y"), F.expr("x.a = y.a AND x.b < y.b")).select(F.col("x.a").alias("x"), F.col("x.b").alias("y"), F.col("y.b").alias("z"))
+    return wedges.join(both, (F.col("y") == F.col("a")) & (F.col("z") == F.col("b")), "left_semi")
+
+
+def shared_neighbours(links: DataFrame) -> DataFrame:
+    """(via, n_pairs): per cut vertex, how many pairs of its neighbours aren't related themselves; all pairs by arithmetic, less the triangles that it is in."""
+    corners = triangles(links).select(F.explode(F.array("x", "y", "z")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    own = degrees(links).join(articulation_points(links), "node", "left_semi").join(corners, "node", "left")
+    pairs = F.expr("degree * (degree - 1) div 2") - F.coalesce("n", F.lit(0))
+    return own.select(F.col("node").alias("via"), pairs.alias("n_pairs")).where("n_pairs > 0")
+
+
+def person_bridges(links: DataFrame, types: DataFrame, person: str = "Person") -> DataFrame:
+    """(person, a, b): persons next to two others than persons that are related themselves; the pairs come from the links between these, never from a person's neighbours."""
+    told = types.select("node", (F.col("type_id") == person).alias("is_person"))
+    undirected = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    typed = undirected.join(told.select(F.col("node").alias("a"), F.col("is_person").alias("pa")), "a").join(told.select(F.col("node").alias("b"), F.col("is_person").alias("pb")), "b")
+    dealing = typed.where("NOT pa AND NOT pb").select("a", "b")
+    beside = typed.where("pa <> pb").select(F.when(F.col("pa"), F.col("a")).otherwise(F.col("b")).alias("person"), F.when(F.col("pa"), F.col("b")).otherwise(F.col("a")).alias("side"))
+    first = dealing.join(beside.select("person", F.col("side").alias("a")), "a")
+    return first.join(beside.select("person", F.col("side").alias("b")), ["person", "b"], "left_semi").select("person", "a", "b")
+
+
+def best_hops(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """paths (path, length) with their hops' best edges by (n_confirmed, n_documents): whether all are confirmed, and the weakest hop's documents. edges: from_page, to_page, n_confirmed, n_documents."""
+    undirected = edges.select(F.least("from_page", "to_page").alias("x"), F.greatest("from_page", "to_page").alias("y"), "n_confirmed", "n_documents")
+    best = undirected.groupBy("x", "y").agg(F.max(F.struct("n_confirmed", "n_documents")).alias("e"))
+    nodes = F.split("path", ">")
+    hops = paths.select("path", "length", F.explode(F.transform(F.sequence(F.lit(0), F.size(nodes) - 2), lambda i: F.struct(F.get(nodes, i).alias("f"), F.get(nodes, i + 1).alias("t")))).alias("h"))
+    told = hops.select("path", "length", F.least("h.f", "h.t").alias("x"), F.greatest("h.f", "h.t").alias("y")).join(best, ["x", "y"])
+    return told.groupBy("path", "length").agg(F.bool_and(F.col("e.n_confirmed") > 0).alias("confirmed_throughout"), F.min("e.n_documents").alias("weakest_documents"))
