@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import scalar
-from lectern.operators import corpus, entities, graph, history, quality, text
-from lectern.sources.views import ctes, view
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
+from lectern.operators import corpus, entities, graph, history, lint, quality, text
+from lectern.plans.registry import add, oracle_sql, queries  # noqa: F401
+from lectern.sources import files
 
 REVIEWED = "status IN ('confirmed', 'amended', 'rejected')"
 
 
-def add(name: str, views: str, run, oracle: str | None = None, needs: str | None = None) -> None:
-    """Register run(view, view, ...) over the named views, and oracle SQL over the same (or ``needs``) as CTEs."""
-    names = views.split()
-    _QUERIES[name] = lambda spark, sf_dir: run(*[view(spark, sf_dir, n) for n in names])
-    if oracle:
-        from lectern.sources.views import VIEWS
-
-        wanted = [n for n in (needs or views).split() if n in VIEWS]
-        _ORACLES[name] = (ctes(*wanted) + "\n" + oracle.strip()) if wanted and not oracle.strip().startswith(",") else (ctes(*wanted) + oracle.strip() if wanted else oracle.strip())
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
 RATES = f"""count(*) AS n_total, count(*) FILTER ({REVIEWED}) AS n_reviewed, count(*) FILTER (status = 'confirmed') AS n_confirmed, count(*) FILTER (status = 'amended') AS n_amended,
  count(*) FILTER (status = 'rejected') AS n_rejected, round(count(*) FILTER ({REVIEWED}) / count(*)::DOUBLE, 3) AS coverage,
  CASE WHEN {{0}} THEN round(count(*) FILTER (status = 'confirmed') / (count(*) FILTER ({REVIEWED}))::DOUBLE, 3) END AS accuracy,
@@ -52,7 +28,7 @@ add("calibration_verdict", "findings", quality.calibration, f""", a AS (SELECT c
  SELECT count(*) AS n_levels, count(*) FILTER (accuracy < lower) AS n_inversions, CASE WHEN count(*) < 2 THEN 'insufficient_evidence' WHEN count(*) FILTER (accuracy < lower) > 0 THEN 'inverted' WHEN count(DISTINCT accuracy) = 1 THEN 'flat' ELSE 'monotonic' END AS verdict FROM b""")
 add("grounding_by_source", "findings", quality.grounding, "SELECT source, count(*) AS n_quoted, count(alignment) AS n_grounded, count(*) - count(alignment) AS n_fabricated, round(count(alignment) / count(*)::DOUBLE, 3) AS grounded_rate FROM findings WHERE excerpt <> '' GROUP BY source")
 add("concept_precision", "findings", quality.concept_precision, f"SELECT concept_id, count(*) AS n_raised, count(*) FILTER ({REVIEWED}) AS n_reviewed, count(*) FILTER (status IN ('confirmed', 'amended')) AS n_upheld, count(*) FILTER (status = 'rejected') AS n_dismissed, CASE WHEN {ENOUGH} THEN round(count(*) FILTER (status IN ('confirmed', 'amended')) / (count(*) FILTER ({REVIEWED}))::DOUBLE, 3) END AS precision FROM findings GROUP BY concept_id")
-add("property_corrections", "log", quality.property_corrections, "SELECT 'k' AS property_id, count(*) AS n_amended, arg_max(new_value ->> '$.k', seq) AS latest FROM log WHERE action = 'amend' AND (new_value -> '$.k') IS NOT NULL")
+add("property_corrections", "log", lambda k: quality.property_corrections(k, 25), ", x AS (SELECT row_id, seq, new_value ->> '$.k' AS now, lag(new_value ->> '$.k') OVER (PARTITION BY row_id ORDER BY seq) AS was FROM log WHERE action = 'amend') SELECT 'k' AS property_id, count(*) AS n_amended, arg_max(was, seq) AS was, arg_max(now, seq) AS latest FROM x WHERE now IS NOT NULL HAVING count(*) > 0")
 add("review_progress", "findings", quality.review_progress, "SELECT document_id, status, count(*) AS n FROM findings GROUP BY 1, 2")
 add("best_provenance", "findings", quality.best_provenance, "SELECT document_id, max((confidence, instance_id))[1] AS confidence, max((confidence, instance_id))[2] AS instance_id FROM findings GROUP BY 1")
 add("triage_queue", "findings", quality.triage, f""", lv AS (SELECT confidence, count(*) FILTER ({REVIEWED}) AS r, count(*) FILTER (status = 'unconfirmed') AS w FROM findings GROUP BY 1),
@@ -72,21 +48,20 @@ add("calendar_due", "key_dates", lambda k: history.calendar(k, "1997-06-15"), ""
 
 
 def _chain(log: DataFrame) -> DataFrame:
-    """A chain over the log in which each row's hash holds the row's content, with one row tampered with."""
-    own = F.sha2(F.concat_ws(":", "seq", "row_id", "action"), 256)
-    before = F.sha2(F.concat_ws(":", F.col("prev_seq"), F.col("prev_row"), F.col("prev_action")), 256)
-    previous = log.select((F.col("seq") + 1).alias("seq"), F.col("seq").alias("prev_seq"), F.col("row_id").alias("prev_row"), F.col("action").alias("prev_action"))
-    sealed = log.join(previous, "seq", "left").select("seq", F.when(F.col("prev_seq").isNotNull(), before).alias("prev_hash"), F.when(F.col("seq") == 777, F.sha2(F.lit("x"), 256)).otherwise(own).alias("row_hash"), own.alias("expected"))
-    return history.first_break(sealed)
+    """The sealed log, one row of which was changed afterwards."""
+    sealed = history.seal(log.select("seq", "row_id", "action", "new_value", "edited_at"), ["seq", "row_id", "action", "new_value", "edited_at"])
+    tampered = sealed.withColumn("action", F.when(F.col("seq") == 777, "reject_").otherwise(F.col("action")))
+    return history.verify(tampered, ["seq", "row_id", "action", "new_value", "edited_at"]).select("n_rows", "n_unlinked", "first_broken", "kind")
 
 
-add("hash_chain_verify", "log", _chain, "SELECT count(*) AS n_rows, CASE WHEN max(seq) >= 777 THEN 777 END::BIGINT AS first_broken FROM log")
+add("hash_chain_verify", "log", _chain, "SELECT count(*) AS n_rows, 0::BIGINT AS n_unlinked, CASE WHEN max(seq) >= 777 THEN 777 END::BIGINT AS first_broken, CASE WHEN max(seq) >= 777 THEN 'content' END AS kind FROM log")
 add("budget_window", "log", corpus.budget, """, s AS (SELECT date_trunc('month', edited_at) AS p, count(*) AS n_calls, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM log GROUP BY 1)
  SELECT strftime(p, '%Y-%m-%d') AS period, n_calls, cents, (sum(cents) OVER (PARTITION BY year(p) ORDER BY p))::BIGINT AS cents_so_far FROM s""")
 
 # ---- names and pages ------------------------------------------------------------------
-KEY_SQL = "regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')), '^the ', ''), '(( |^)(limited|ltd|llc|llp|plc|inc|incorporated|corp|corporation|company|co|gmbh|ag|sa|bv|nv))+$', '')"
-PERSON_SQL = "regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')), '^the ', ''), '^((mr|mrs|ms|miss|dr|prof|professor|sir|dame|lord|lady|rev)( |$))+', '')"
+PLAIN_SQL = "regexp_replace(trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')), '^the ', '')"
+KEY_SQL = f"regexp_replace({PLAIN_SQL}, '( (limited|ltd|plc|llp|llc|lp|inc|incorporated|corporation|corp|company|co|sa|nv|bv|ag|gmbh|oy|ab|as|aps|pty|dac|cic|ug|kg|srl|spa|teoranta|teo|cpt|ct))+$', '')"
+PERSON_SQL = f"regexp_replace({PLAIN_SQL}, '^((mr|mrs|ms|miss|mx|dr|prof|professor|sir|dame|lord|lady|rev|reverend|fr|hon|capt|col|maj|sgt|lt|gen) )+', '')"
 add("name_key_organisation", "entities", lambda e: e.where("type_id = 'Company'").select("entity_id", scalar.name_key(F.col("canonical_name")).alias("name_key")), f"SELECT entity_id, {KEY_SQL.format('canonical_name')} AS name_key FROM entities WHERE type_id = 'Company'")
 add("name_key_personal", "entities", lambda e: e.where("type_id = 'Person'").select("entity_id", scalar.name_key(F.col("canonical_name"), "personal").alias("name_key")), f"SELECT entity_id, {PERSON_SQL.format('canonical_name')} AS name_key FROM entities WHERE type_id = 'Person'")
 add("snap_confidence", "lineitem", lambda line: line.select(scalar.snap_confidence(1 - 5 * F.col("l_discount")).alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("n")).withColumn("label", scalar.confidence_label(F.col("level"))),
@@ -98,7 +73,7 @@ add("propose_entities", "lineitem supplier", lambda line, s: entities.propose(li
  SELECT basis, group_key, arg_min(name, (-length(name), name)) AS title, count(*) AS n_mentions, count(DISTINCT d) AS n_documents FROM k GROUP BY 1, 2""")
 add("duplicate_keys", "part", lambda p: entities.same_key(p.select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("type_id"), F.col("p_name").alias("canonical_name"), F.lit(None).cast("string").alias("merged_into"))),
     f"SELECT p_brand AS type_id, {KEY_SQL.format('p_name')} AS name_key, count(*) AS n_pages, min(p_partkey) AS first_page FROM part GROUP BY 1, 2 HAVING count(*) > 1")
-add("duplicate_pages", "part", lambda p: entities.similar_pages(p.select(F.col("p_partkey").cast("string").alias("entity_id"), F.col("p_brand").alias("type_id"), F.col("p_name").alias("canonical_name"), F.lit(None).cast("string").alias("merged_into"))))
+add("duplicate_pages", "part", lambda p: entities.duplicate_pages(p.select(F.col("p_partkey").cast("string").alias("entity_id"), F.col("p_brand").alias("type_id"), F.col("p_name").alias("canonical_name"), F.lit(None).cast("string").alias("merged_into"))))
 add("merge_chains", "entities", entities.follow_merges, "SELECT entity_id, coalesce(merged_into, entity_id) AS survivor FROM entities")
 add("counterparty_matches", "mentions", entities.counterparties, "SELECT entity_id, count(DISTINCT document_id) AS n_documents, count(*) FILTER (status IN ('confirmed', 'amended')) AS n_reviewed FROM mentions WHERE NOT unlinked GROUP BY 1 HAVING count(DISTINCT document_id) > 1")
 add("value_comparison", "orders", lambda o: entities.against_peers(o, "o_orderpriority", "o_totalprice"), "SELECT o_orderpriority, count(*) AS n, median(o_totalprice) AS median_value, max(o_totalprice) AS max_value, min(o_totalprice) AS min_value FROM orders GROUP BY 1")
@@ -113,7 +88,10 @@ add("two_parts_in_one_document", "lineitem", lambda line: line.groupBy("l_orderk
 add("canonical_edges", "edges mentions entities", graph.canonical_edges, """, live AS (SELECT instance_id, coalesce(merged_into, entity_id) AS page FROM mentions JOIN entities USING (entity_id) WHERE NOT unlinked)
  SELECT f.page AS from_page, link_type_id, t.page AS to_page, count(*) AS n_sources, count(DISTINCT document_id) AS n_documents, count(*) FILTER (status IN ('confirmed', 'amended')) AS n_confirmed, max(confidence) AS max_confidence
  FROM edges JOIN live f ON from_instance_id = f.instance_id JOIN live t ON to_instance_id = t.instance_id WHERE status <> 'rejected' AND f.page <> t.page GROUP BY 1, 2, 3""")
-add("edge_coverage", "edges mentions", graph.coverage, "SELECT count(*) AS n_edges, count(*) FILTER (from_instance_id IN (SELECT instance_id FROM mentions WHERE NOT unlinked) AND to_instance_id IN (SELECT instance_id FROM mentions WHERE NOT unlinked)) AS n_projected FROM edges")
+LIVE_SQL = "(SELECT instance_id FROM mentions WHERE NOT unlinked)"
+add("edge_coverage", "edges mentions", lambda e, m: graph.coverage(e, m, m.select("instance_id", F.when(m["entity_id"].startswith("s"), "Company").otherwise("Person").alias("type_id")).distinct(), ["Company", "Person"]),
+    f"""SELECT n_edges, n_projected, n_projectable, greatest(n_projectable - n_projected, 0) AS n_awaiting, greatest(n_edges - n_projectable, 0) AS n_structural, round(n_projected / n_edges::DOUBLE, 3) AS projected_rate
+ FROM (SELECT count(*) AS n_edges, count(*) FILTER (from_instance_id IN {LIVE_SQL} AND to_instance_id IN {LIVE_SQL}) AS n_projected, count(*) FILTER (from_instance_id IN (SELECT instance_id FROM mentions) AND to_instance_id IN (SELECT instance_id FROM mentions)) AS n_projectable FROM edges WHERE status <> 'rejected')""")
 BOTH = ", both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links)"
 add("node_degree", "links", graph.degrees, BOTH + " SELECT a AS node, count(*) AS degree FROM both_ways GROUP BY 1")
 add("isolates", "entities links", lambda e, k: graph.isolates(e.select(F.col("entity_id").alias("node")), k), "SELECT entity_id AS node FROM entities WHERE entity_id NOT IN (SELECT a FROM links UNION SELECT b FROM links)")
@@ -131,9 +109,8 @@ def _from_first(k: DataFrame, run) -> DataFrame:
 
 
 add("neighbourhood", "links", lambda k: _from_first(k, lambda k, a, b: graph.neighbourhood(k, a, 3)), BOTH + f", r(node, hops) AS (SELECT {START}, 0 UNION SELECT b, hops + 1 FROM r JOIN both_ways ON node = a WHERE hops < 3) SELECT node, min(hops)::INTEGER AS hops FROM r GROUP BY 1")
-# No oracle: on the whole graph a recursive expression walks all paths of six hops, not those that lead to the end.
-add("paths_between", "links", lambda k: _from_first(k, lambda k, a, b: graph.paths_between(k, a, b, 6)))
-add("person_bridges", "links", lambda k: k.groupBy(F.col("b").alias("person")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("person", F.expr("n * (n - 1) div 2").alias("n_pairs")), "SELECT x.b AS person, count(*) AS n_pairs FROM links x JOIN links y ON x.b = y.b AND x.a < y.a GROUP BY 1")
+add("person_bridges", "relations entities", lambda k, e: graph.person_bridges(k, e.select(F.col("entity_id").alias("node"), "type_id")), """SELECT person.a AS person, least(o.a, o.b) AS a, greatest(o.a, o.b) AS b FROM relations o JOIN entities x ON o.a = x.entity_id AND x.type_id <> 'Person' JOIN entities y ON o.b = y.entity_id AND y.type_id <> 'Person'
+ JOIN (SELECT DISTINCT b AS a, a AS side FROM relations) person ON person.side = o.a JOIN entities z ON z.entity_id = person.a AND z.type_id = 'Person' JOIN relations q ON q.b = person.a AND q.a = o.b""")
 add("circular_relations", "supplier customer lineitem orders", lambda s, c, line, o: line.join(o, line["l_orderkey"] == o["o_orderkey"]).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).where("s_nationkey <> c_nationkey").select(F.when(F.col("l_returnflag") == "R", F.col("c_nationkey")).otherwise(F.col("s_nationkey")).alias("a"), F.when(F.col("l_returnflag") == "R", F.col("s_nationkey")).otherwise(F.col("c_nationkey")).alias("b")).transform(graph.cycles),
     "WITH e AS (SELECT DISTINCT CASE l_returnflag WHEN 'R' THEN c_nationkey ELSE s_nationkey END AS a, CASE l_returnflag WHEN 'R' THEN s_nationkey ELSE c_nationkey END AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey),"
     " p2 AS (SELECT [a, b] AS path FROM e WHERE a < b), p3 AS (SELECT list_append(path, b) AS path FROM p2 JOIN e ON a = path[2] WHERE b > path[1] AND b <> path[2]),"
@@ -142,8 +119,8 @@ add("circular_relations", "supplier customer lineitem orders", lambda s, c, line
     " SELECT array_to_string(nodes, ',') AS nodes, array_to_string(path, '>') AS path, len(path)::BIGINT AS length FROM c")
 
 # ---- text -----------------------------------------------------------------------------
-add("find_dates", "contracts", lambda c: text.extract(c).where("kind = 'date'").select("document_id", "value", "role", "confidence", "position"), "SELECT document_id, begun::VARCHAR AS value, 'start' AS role, 1.0::DOUBLE AS confidence, 28::INTEGER AS position FROM contracts")
-add("find_amounts", "contracts", lambda c: text.extract(c).where("kind = 'amount'").select("document_id", "value", "currency", "role", F.length("raw").alias("raw_length")), "SELECT document_id, amount::VARCHAR AS value, 'EUR' AS currency, 'contract_value' AS role, (length(amount::VARCHAR) + 4)::INTEGER AS raw_length FROM contracts")
+add("find_dates", "contracts", lambda c: text.extract(c, kinds=("date",)).select("document_id", "value", "role", "confidence", "position"), "SELECT document_id, begun::VARCHAR AS value, 'start' AS role, 1.0::DOUBLE AS confidence, 28::INTEGER AS position FROM contracts")
+add("find_amounts", "contracts", lambda c: text.extract(c, kinds=("amount",)).select("document_id", "value", "currency", "role", F.length("raw").alias("raw_length")), "SELECT document_id, amount::VARCHAR AS value, 'EUR' AS currency, 'contract_value' AS role, (length(amount::VARCHAR) + 4)::INTEGER AS raw_length FROM contracts")
 add("header_fields", "contracts", lambda c: text.header_fields(c, "header"), """SELECT document_id, k AS key, CASE k WHEN 'Order' THEN document_id::VARCHAR WHEN 'Status' THEN split_part(split_part(header, chr(10), 2), ': ', 2) ELSE split_part(split_part(header, chr(10), 3), ': ', 2) END AS value, i::BIGINT AS line
  FROM contracts, (VALUES ('Order', 0), ('Status', 1), ('Priority', 2)) AS t(k, i)""")
 add("header_survey", "contracts", lambda c: text.header_fields(c, "header").groupBy(scalar.property_id(F.col("key")).alias("property_id")).agg(F.count_distinct("document_id").alias("support"), scalar.data_type(F.col("value")).alias("data_type")).where("support >= 2"),
@@ -159,12 +136,16 @@ add("content_dedupe", "documents", corpus.ingest, "SELECT sha256(coalesce(text,
 
 
 def _audit(d: DataFrame) -> DataFrame:
-    """The originals, of which some are redacted, not stored, missing or altered."""
-    return corpus.audit_storage(d.select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.sha2("text", 256)).alias("file_hash"), (F.col("doc_id") % 11 == 0).alias("redacted")), d.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 13 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("text", 256)).alias("content_hash")))
+    """The originals, of which some are redacted, not stored, missing, altered or in another place than their hash says."""
+    digest = F.sha2("text", 256)
+    path = lambda h: F.concat_ws("/", F.lit("documents"), F.substring(h, 1, 2), h)
+    expected = d.select("doc_id", F.when(F.col("doc_id") % 7 != 0, digest).alias("file_hash"), (F.col("doc_id") % 11 == 0).alias("redacted"), path(digest).alias("storage_path"))
+    stored = d.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 13 == 0, F.sha2(F.lit("x"), 256)).otherwise(digest).alias("content_hash"), F.when(F.col("doc_id") % 17 == 0, F.lit("elsewhere")).otherwise(path(digest)).alias("path"))
+    return corpus.audit_storage(expected, stored)
 
 
-add("integrity_audit", "documents", lambda d: _audit(d).groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT CASE WHEN doc_id % 11 = 0 THEN 'redacted' WHEN doc_id % 7 = 0 THEN 'not_stored' WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 13 = 0 THEN 'altered' ELSE 'sound' END AS reason, count(*) AS n FROM documents GROUP BY 1")
+add("integrity_audit", "documents", lambda d: corpus.audit_summary(_audit(d)),
+    "SELECT reason, count(*) AS n, reason IN ('missing', 'altered', 'misfiled', 'not_stored') AS fault FROM (SELECT CASE WHEN doc_id % 11 = 0 THEN 'redacted' WHEN doc_id % 7 = 0 THEN 'not_stored' WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 17 = 0 THEN 'misfiled' WHEN doc_id % 13 = 0 THEN 'altered' ELSE 'sound' END AS reason FROM documents) GROUP BY 1")
 add("visible_documents", "orders", lambda o: corpus.visible(o.select(F.col("o_orderkey").alias("document_id"), F.concat(F.lit("u"), F.col("o_custkey") % 50).alias("owner"), F.when(F.col("o_orderkey") % 9 == 0, "link-view").otherwise("private").alias("visibility")), o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("document_id"), F.concat(F.lit("u"), F.col("o_orderkey") % 7).alias("actor_id"), F.lit("viewer").alias("role")), "u3").select("document_id"),
     "SELECT o_orderkey AS document_id FROM orders WHERE o_custkey % 50 = 3 OR o_orderkey % 9 = 0 OR (o_orderkey % 4 = 0 AND o_orderkey % 7 = 3)")
 add("codelist_violations", "orders", lambda o: corpus.codelist_violations(o, "o_orderstatus", ["F", "O"]), "SELECT o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('F', 'O') AND o_orderstatus <> '' GROUP BY 1")
@@ -181,30 +162,30 @@ add("redaction_counts", "findings edges", lambda f, e: (lambda gone: corpus.reda
     "SELECT 'findings' AS t, count(*) AS n FROM findings WHERE l_orderkey % 31 <> 0 UNION ALL SELECT 'edges', count(*) FROM edges WHERE substr(document_id, 5)::BIGINT % 31 <> 0")
 add("reading_progress", "conversations", corpus.reading_progress, "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'assistant') AS n_answered, arg_max(role, turn) AS last_role FROM conversations GROUP BY 1")
 add("benchmark_recall", "documents benchmark", corpus.benchmark_recall, "WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS w FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS t FROM documents) SELECT DISTINCT doc_id, item_id FROM d JOIN b ON contains(' ' || t || ' ', ' ' || w || ' ')")
-add("suggestion_quality", "findings", lambda f: f.groupBy("source").pivot("status", ["confirmed", "rejected", "unconfirmed"]).agg(F.count(F.lit(1))).withColumn("acceptance", F.round(F.col("confirmed") / (F.col("confirmed") + F.col("rejected")), 3)),
-    "SELECT source, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'unconfirmed') AS unconfirmed, round(count(*) FILTER (status = 'confirmed') / (count(*) FILTER (status IN ('confirmed', 'rejected')))::DOUBLE, 3) AS acceptance FROM findings GROUP BY 1")
+add("suggestion_quality", "orders", lambda o: quality.suggestion_quality(o.select(F.col("o_orderpriority").alias("engine"), F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "O", "dismissed").otherwise("offered").alias("status"))),
+    "SELECT o_orderpriority AS engine, count(*) AS n_offered, count(*) FILTER (o_orderstatus = 'F') AS n_accepted, count(*) FILTER (o_orderstatus = 'O') AS n_dismissed, round(count(*) FILTER (o_orderstatus = 'F') / nullif(count(*) FILTER (o_orderstatus IN ('F', 'O')), 0)::DOUBLE, 3) AS acceptance_rate FROM orders GROUP BY 1")
 
 
-def _lint(f: DataFrame, m: DataFrame, e: DataFrame, c: DataFrame, d: DataFrame) -> DataFrame:
-    """Counts by check: quotations without a place, smoothed conflicts, unreviewed groupings, pages without mentions or name, reviewed mentions without a page, originals that are gone."""
-    row = lambda df, check, severity: df.agg(F.lit(check).alias("check_name"), F.lit(severity).alias("severity"), F.count(F.lit(1)).alias("n"))
-    live = m.where("NOT unlinked")
-    grouped = live.groupBy("entity_id").agg(F.count_distinct("document_id").alias("d"), F.count_if(F.col("status").isin("confirmed", "amended")).alias("r")).where("d >= 3 AND r = 0")
-    parts = [row(f.where("alignment IS NULL AND excerpt <> '' AND status <> 'rejected'"), "ungrounded_quotation", "high"), row(entities.conflicts(c), "smoothed_conflict", "high"), row(grouped, "unreviewed_grouping", "medium"), row(e.join(live, "entity_id", "left_anti"), "uncited_page", "medium")]
-    reviewed = m.where("status IN ('confirmed', 'amended')").select("instance_id").distinct()
-    # Altered bytes are for integrity_audit: this check is whether an original is there.
-    parts += [row(entities.unlinked(reviewed, m), "orphan_mention", "medium"), row(entities.unnamed(e), "unnamed_page", "medium"), row(_audit(d).where("reason IN ('missing', 'not_stored')"), "unavailable_original", "medium")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _lint(f: DataFrame, m: DataFrame, e: DataFrame, c: DataFrame, d: DataFrame, t: DataFrame, v: DataFrame, o: DataFrame, k: DataFrame) -> DataFrame:
+    tables = {"findings": f, "mentions": m, "pages": e, "claims": c, "audit": _audit(d), "tensions": t, "evaluations": v, "documents": o.select(F.concat(F.lit("doc_"), "o_orderkey").alias("document_id")), "links": k}
+    shallow = [n for n in lint.CHECKS if n not in ("split_page", "fragile_join")]
+    return lint.counted(lint.lint(tables, checks=shallow))
 
 
 ROLES_SQL = ", ".join(f"'{r}'" for r in entities.ROLES)
-add("lint_findings", "findings mentions entities claims documents", _lint, f"""SELECT 'ungrounded_quotation' AS check_name, 'high' AS severity, count(*) AS n FROM findings WHERE alignment IS NULL AND excerpt <> '' AND status <> 'rejected'
- UNION ALL SELECT 'smoothed_conflict', 'high', count(*) FROM (SELECT 1 FROM claims WHERE reviewed AND NOT rejected AND value <> '' GROUP BY entity_id, property_id HAVING count(DISTINCT value) > 1)
+add("lint_findings", "findings mentions entities claims documents tensions evaluations orders links", _lint, f""", c AS (SELECT entity_id, property_id FROM claims WHERE reviewed AND NOT rejected AND value <> '' GROUP BY 1, 2 HAVING count(DISTINCT value) > 1),
+ a AS (SELECT 'ungrounded_quotation' AS check_name, 'high' AS severity, count(*) AS n FROM findings WHERE alignment IS NULL AND excerpt <> '' AND status <> 'rejected'
+ UNION ALL SELECT 'smoothed_conflict', 'high', count(*) FROM c WHERE NOT EXISTS (SELECT 1 FROM tensions t WHERE t.subject_id = c.entity_id AND t.property_id = c.property_id AND t.status <> 'withdrawn')
+ UNION ALL SELECT 'unchecked_conflict', 'medium', count(*) FROM tensions WHERE status = 'open'
  UNION ALL SELECT 'unreviewed_grouping', 'medium', count(*) FROM (SELECT 1 FROM mentions WHERE NOT unlinked GROUP BY entity_id HAVING count(DISTINCT document_id) >= 3 AND count(*) FILTER (status IN ('confirmed', 'amended')) = 0)
- UNION ALL SELECT 'uncited_page', 'medium', count(*) FROM entities WHERE entity_id NOT IN (SELECT entity_id FROM mentions WHERE NOT unlinked)
+ UNION ALL SELECT 'uncited_page', 'medium', count(*) FROM entities WHERE merged_into IS NULL AND entity_id NOT IN (SELECT entity_id FROM mentions WHERE NOT unlinked)
  UNION ALL SELECT 'orphan_mention', 'medium', count(DISTINCT instance_id) FROM mentions WHERE status IN ('confirmed', 'amended') AND instance_id NOT IN (SELECT instance_id FROM mentions WHERE NOT unlinked)
  UNION ALL SELECT 'unnamed_page', 'medium', count(*) FROM entities WHERE merged_into IS NULL AND (trim(regexp_replace(trim(lower(trim(canonical_name)), '.'), '^the ', '')) IN ({ROLES_SQL}) OR NOT regexp_matches(canonical_name, '\\p{{L}}'))
- UNION ALL SELECT 'unavailable_original', 'medium', count(*) FROM documents WHERE doc_id % 11 <> 0 AND (doc_id % 7 = 0 OR doc_id % 5 = 0)""")
+ UNION ALL SELECT 'unextracted_document', 'medium', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+ UNION ALL SELECT 'unavailable_original', 'medium', count(*) FROM documents WHERE doc_id % 11 <> 0 AND (doc_id % 7 = 0 OR doc_id % 5 = 0 OR (doc_id % 13 = 0 AND doc_id % 17 <> 0))
+ UNION ALL SELECT 'unavailable_original', 'high', count(*) FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 17 = 0
+ UNION ALL SELECT 'stale_evaluation', 'medium', count(*) FROM evaluations WHERE stale) SELECT * FROM a WHERE n > 0""")
+# No oracle: pairs of names and cut vertices; brute force in the tests.
+add("lint_deep", "mentions entities links", lambda m, e, k: lint.counted(lint.lint({"mentions": m, "pages": e, "links": k}, checks=["split_page", "fragile_join"])))
+
+from lectern.plans import pages_queries, review_queries, text_queries  # noqa: E402, F401  each registers its own

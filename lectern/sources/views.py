@@ -35,6 +35,22 @@ VIEWS = {
         {SNAP.format('(1e0 - 5e0 * l_discount)')} AS confidence FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
     # An undirected graph for structure: customers and suppliers that meet in an order.
     "links": """SELECT DISTINCT concat('s', l_suppkey) AS a, concat('c', o_custkey) AS b FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    # A graph with links among companies too: neighbours by number trade with each other.
+    "relations": """SELECT a, b FROM {links} UNION ALL SELECT concat('s', s_suppkey) AS a, concat('s', s_suppkey + 1) AS b FROM {supplier} WHERE s_suppkey < (SELECT max(s_suppkey) FROM {supplier})""",
+    # Conflicts on record, and rule evaluations, of which some were outdated by a later date.
+    "tensions": """SELECT concat('t', c_custkey) AS tension_id, concat('c', c_custkey) AS subject_id, 'priority' AS property_id, CASE c_custkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'accepted' WHEN 2 THEN 'withdrawn' ELSE 'resolved' END AS status FROM {customer} WHERE c_acctbal < 2000""",
+    "evaluations": """SELECT instance_id AS evaluation_id, instance_id, document_id, concept_id, quantity >= 40 AS result, shipdate > DATE '2000-01-01' AS stale FROM {findings}""",
+    # What people did to each finding, as events: read, then confirmed, amended or rejected a month later.
+    "reviews": """SELECT 1000 * l_orderkey + 10 * l_linenumber AS seq, instance_id AS row_id, document_id, 'extract' AS action, CAST(NULL AS VARCHAR(40)) AS new_value, CAST(shipdate AS TIMESTAMP) AS edited_at FROM {findings_lines}
+        UNION ALL SELECT 1000 * l_orderkey + 10 * l_linenumber + 1, instance_id, document_id, CASE status WHEN 'rejected' THEN 'reject' WHEN 'amended' THEN 'amend' ELSE 'confirm' END,
+        CASE WHEN status = 'amended' THEN concat('{{"quantity":"', quantity + 1, '"}}') END, CAST(shipdate + INTERVAL 30 DAY AS TIMESTAMP) FROM {findings_lines} WHERE status <> 'unconfirmed'""",
+    "findings_lines": """SELECT f.*, l_linenumber FROM {findings} f JOIN (SELECT DISTINCT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS i, l_linenumber FROM {lineitem}) n ON f.instance_id = n.i""",
+    "link_events": """SELECT 3 * o_orderkey AS seq, concat('C', o_orderkey) AS row_id, 'link' AS action, concat('c', o_custkey) AS new_value FROM {orders}
+        UNION ALL SELECT 3 * o_orderkey + 1, concat('C', o_orderkey), 'confirm_link', CAST(NULL AS VARCHAR(20)) FROM {orders} WHERE o_orderpriority = '1-URGENT'
+        UNION ALL SELECT 3 * o_orderkey + 2, concat('C', o_orderkey), 'unlink', CAST(NULL AS VARCHAR(20)) FROM {orders} WHERE o_orderstatus = 'P'""",
+    "page_events": """SELECT 3 * s_suppkey AS seq, concat('s', s_suppkey) AS row_id, 'create' AS action, s_name AS new_value FROM {supplier}
+        UNION ALL SELECT 3 * s_suppkey + 1, concat('s', s_suppkey), 'rename', concat('The ', s_name, ' Ltd.') FROM {supplier} WHERE s_acctbal < 3000
+        UNION ALL SELECT 3 * s_suppkey + 2, concat('s', s_suppkey), CASE WHEN s_acctbal < 5000 THEN 'reject' ELSE 'confirm' END, CAST(NULL AS VARCHAR(20)) FROM {supplier} WHERE s_acctbal > 2000""",
     "log": """SELECT event_id AS seq, user_id AS row_id, CAST(ts AS TIMESTAMP) AS edited_at, props AS new_value, value,
         CASE event_type WHEN 'view' THEN 'extract' WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'confirm' WHEN 'click' THEN 'amend' ELSE 'reject' END AS action FROM {events}""",
     "key_dates": """SELECT concat('doc_', o_orderkey) AS document_id, 'start' AS date_role, CAST(o_orderdate AS DATE) AS value, CASE WHEN o_orderkey % 5 = 0 THEN 'confirmed' ELSE 'unconfirmed' END AS status FROM {orders} WHERE o_orderkey % 6 <> 0
@@ -51,7 +67,15 @@ VIEWS = {
 
 
 def needs(name: str) -> list[str]:
-    return re.findall(r"\{(\w+)\}", VIEWS[name])
+    return re.findall(r"(?<!\{)\{(\w+)\}(?!\})", VIEWS[name])
+
+
+def needed(names: list[str]) -> list[str]:
+    """These views and those that they are made of, each after what it needs."""
+    out: list[str] = []
+    for name in names:
+        out += [n for n in [*needed([m for m in needs(name) if m in VIEWS]), name] if n not in out]
+    return out
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
