@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -50,17 +51,21 @@ def wordings(sources: DataFrame, keys: list[str]) -> DataFrame:
     documents = normal.groupBy(*keys).agg(F.count_distinct("document_id").alias("n_documents"))
     # What is compared is each different text once, in the order of the first document that has it.
     each = normal.groupBy(*keys, "text").agg(F.min("document_id").alias("first"), F.count_distinct("document_id").alias("d"))
+    several = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_texts"), F.max("d").alias("most"), F.sort_array(F.collect_list(F.struct("first", "text", "d"))).alias("texts"))
+    alone = several.where("n_texts = 1").select(*keys, F.lit(1).cast("long").alias("n_wordings"), (F.col("most") > 1).cast("long").alias("n_copied"))
     kinds = ", ".join(f"{k} {dict(sources.dtypes)[k]}" for k in keys)
 
-    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first", "text"], kind="stable")
-        pdf = pdf.assign(g=cluster(pdf["text"].tolist()))
-        sizes = pdf.groupby("g")["d"].agg(["sum", "size"])
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), len(sizes), int((sizes["sum"] > 1).sum())]], columns=[*keys, "n_wordings", "n_copied"])
-
-    several = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_texts"), F.max("d").alias("most"))
-    alone = several.where("n_texts = 1").select(*keys, F.lit(1).cast("long").alias("n_wordings"), (F.col("most") > 1).cast("long").alias("n_copied"))
-    compared = each.join(several.where("n_texts > 1").select(*keys), keys, "left_semi").groupBy(*keys).applyInPandas(grouped, f"{kinds}, n_wordings long, n_copied long")
+    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = []
+            for held, documents in zip(batch["texts"], batch["d"], strict=True):
+                sizes: dict[int, int] = {}
+                for group, d in zip(cluster(list(held)), documents, strict=True):
+                    sizes[group] = sizes.get(group, 0) + d
+                counts.append((len(sizes), sum(n > 1 for n in sizes.values())))
+            yield batch[keys].assign(n_wordings=[n for n, _ in counts], n_copied=[c for _, c in counts])
+
+    compared = several.where("n_texts > 1").select(*keys, "texts.text", "texts.d").toDF(*keys, "texts", "d").mapInPandas(grouped, f"{kinds}, n_wordings long, n_copied long")
     out = documents.join(alone.unionByName(compared), keys)
     note = F.when(F.col("n_documents") < LEAST_DOCUMENTS, "one document").when(F.col("n_wordings") == 1, "one wording, copied").when(F.col("n_wordings") < F.col("n_documents"), "some copied").otherwise("each its own")
     return out.select(*keys, "n_documents", "n_wordings", "n_copied", (F.col("n_wordings") >= 2).alias("independent"), note.alias("note"))

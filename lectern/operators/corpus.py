@@ -123,17 +123,19 @@ def benchmark_recall(docs: DataFrame, labels: DataFrame) -> DataFrame:
     from lectern.functions.scalar import words_only
 
     def grams(text, k):
-        words = F.split(text, " ")
-        return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(F.array().cast("array<bigint>"))
+        hashes = lambda h: F.when(F.size(h) >= k, F.transform(F.sequence(F.lit(1), F.size(h) - (k - 1)), lambda i: F.xxhash64(*[F.get(h, i - 1 + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
+        return F.element_at(F.transform(F.array(F.transform(F.split(text, " "), lambda w: F.xxhash64(w))), hashes), 1)
 
     label = labels.select("item_id", words_only(F.col("text")).alias("wanted")).where("wanted <> ''").withColumn("k", F.least(F.size(F.split("wanted", " ")), F.lit(3)))
     sizes = sorted(r["k"] for r in label.select("k").distinct().collect())
     first = F.coalesce(*[F.when(F.col("k") == k, F.get(grams(F.col("wanted"), k), F.lit(0))) for k in sizes or [3]])
     label = label.select("item_id", "wanted", first.alias("h"))
-    doc = docs.select("doc_id", words_only(F.col("text")).alias("body"))
-    each = F.concat(*[grams(F.col("body"), k) for k in sizes or [3]])
-    found = doc.select("doc_id", "body", F.explode(F.array_distinct(each)).alias("h")).join(label, "h")
-    return found.where(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "wanted", F.lit(" ")))).select("doc_id", "item_id").distinct()
+    # Documents lead to candidates by hashes alone; their texts are joined back for what was found.
+    each = docs.select("doc_id", words_only(F.col("text")).alias("body")).select("doc_id", F.explode(F.array_distinct(F.concat(*[grams(F.col("body"), k) for k in sizes or [3]]))).alias("h"))
+    found = each.join(label, "h").select("doc_id", "item_id", "wanted").distinct()
+    body = docs.select("doc_id", words_only(F.col("text")).alias("body"))
+    told = found.join(body, "doc_id")
+    return told.where(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "wanted", F.lit(" ")))).select("doc_id", "item_id").distinct()
 
 
 def budget(log: DataFrame, unit: str = "month") -> DataFrame:

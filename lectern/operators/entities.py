@@ -249,23 +249,27 @@ def counterparties(mentions: DataFrame) -> DataFrame:
 
 
 def matches_elsewhere(instances: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Per mention (instance_id, document_id, type_id, name, name_key): where else it stands, as documents and names.
+    """Per mention (instance_id, document_id, type_id, name, name_key): in how many other documents it stands, as its type and as another, and under how many other names.
 
     A reviewed link's page says so where there is one; else an equal key does, in types of any
-    name. Groups are gathered once for each page or key, and every mention leaves its own document out.
+    name. Groups are counted, not gathered: documents of a type, those of that type alone, and all.
     """
     live = mentions.where("NOT unlinked AND status IN ('confirmed', 'amended')").select("instance_id", "entity_id")
     held = instances.join(live, "instance_id", "left")
-    by_page, by_key = (
-        held.where(f"{key} IS NOT NULL AND {key} <> ''").groupBy(key).agg(F.collect_set(F.struct("document_id", "type_id")).alias(f"{key}_at"), F.collect_set("name").alias(f"{key}_names")) for key in ("entity_id", "name_key")
-    )
-    told = held.join(by_page, "entity_id", "left").join(by_key, "name_key", "left")
-    at = F.when(F.col("entity_id").isNotNull(), F.col("entity_id_at")).otherwise(F.col("name_key_at"))
-    names = F.when(F.col("entity_id").isNotNull(), F.col("entity_id_names")).otherwise(F.col("name_key_names"))
-    other = F.filter(at, lambda x: x["document_id"] != F.col("document_id"))
-    documents = lambda same: F.size(F.array_distinct(F.transform(F.filter(other, lambda x: (x["type_id"] == F.col("type_id")) == same), lambda x: x["document_id"])))
-    basis = F.when(F.col("entity_id").isNotNull(), "reviewed_link").otherwise("naive_key")
-    return told.select("instance_id", basis.alias("basis"), documents(True).cast("long").alias("n_documents"), documents(False).cast("long").alias("n_cross_type"), F.array_join(F.array_sort(F.array_except(names, F.array("name"))), "|").alias("variants"))
+
+    def counted(own: DataFrame, key: str) -> DataFrame:
+        """own with the counts of its groups by a column."""
+        grouped = held.where(F.coalesce(key, F.lit("")) != "")
+        documents = grouped.groupBy(key, "document_id").agg(F.count_distinct("type_id").alias("n_types"), F.min("type_id").alias("only"))
+        whole = documents.groupBy(key).agg(F.count(F.lit(1)).alias("n_all")).join(grouped.groupBy(key).agg(F.count_distinct("name").alias("n_names")), key)
+        alone = documents.where("n_types = 1").groupBy(key, F.col("only").alias("type_id")).agg(F.count(F.lit(1)).alias("n_alone"))
+        same = grouped.groupBy(key, "type_id").agg(F.count_distinct("document_id").alias("n_same"))
+        told = own.join(whole, key).join(same, [key, "type_id"]).join(alone, [key, "type_id"], "left").join(documents.select(key, "document_id", "n_types"), [key, "document_id"])
+        elsewhere = F.col("n_all") - F.coalesce("n_alone", F.lit(0)) - F.when(F.col("n_types") > 1, 1).otherwise(0)
+        basis = "reviewed_link" if key == "entity_id" else "naive_key"
+        return told.select("instance_id", F.lit(basis).alias("basis"), (F.col("n_same") - 1).alias("n_documents"), elsewhere.alias("n_cross_type"), (F.col("n_names") - 1).alias("n_other_names"))
+
+    return counted(held.where("entity_id IS NOT NULL"), "entity_id").unionByName(counted(held.where("entity_id IS NULL AND name_key <> ''"), "name_key"))
 
 
 def identifier_matches(instances: DataFrame) -> DataFrame:

@@ -185,7 +185,12 @@ add("lint_findings", "findings mentions entities claims documents tensions evalu
  UNION ALL SELECT 'unavailable_original', 'medium', count(*) FROM documents WHERE doc_id % 11 <> 0 AND (doc_id % 7 = 0 OR doc_id % 5 = 0 OR (doc_id % 13 = 0 AND doc_id % 17 <> 0))
  UNION ALL SELECT 'unavailable_original', 'high', count(*) FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 17 = 0
  UNION ALL SELECT 'stale_evaluation', 'medium', count(*) FROM evaluations WHERE stale) SELECT * FROM a WHERE n > 0""")
+def _lint_deep(m: DataFrame, p: DataFrame, k: DataFrame) -> DataFrame:
+    parts = p.select(F.col("p_partkey").cast("string").alias("entity_id"), F.col("p_brand").alias("type_id"), F.col("p_name").alias("canonical_name"), F.lit(None).cast("string").alias("merged_into"))
+    return lint.counted(lint.lint({"mentions": m, "pages": parts, "links": k}, checks=["split_page", "fragile_join"]))
+
+
 # No oracle: pairs of names and cut vertices; brute force in the tests.
-add("lint_deep", "mentions entities links", lambda m, e, k: lint.counted(lint.lint({"mentions": m, "pages": e, "links": k}, checks=["split_page", "fragile_join"])))
+add("lint_deep", "mentions part links", _lint_deep)
 
 from lectern.plans import pages_queries, review_queries, text_queries  # noqa: E402, F401  each registers its own
