@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: A graph of so many links at most is worked through by one task, which spares the rounds of jobs that larger ones need; betweenness
 #: from all sources is dealt out from fewer on.
-SMALL, SINGLE = 200_000, 5_000
+SMALL, SINGLE = 1_000_000, 5_000
 
 
 def statements(edges: DataFrame, mentions: DataFrame, entities: DataFrame, reviewed_only: bool = False) -> DataFrame:
@@ -72,39 +72,51 @@ def adjacency_of(a: np.ndarray, b: np.ndarray) -> dict[str, list[str]]:
     return {k: sorted(found[k]) for k in sorted(found)}
 
 
-def in_one_task(links: DataFrame, function: Callable[[dict[str, list[str]]], pd.DataFrame], schema: str) -> DataFrame:
-    """function(adjacency) of a graph that was found to be small."""
+def arrays_in_one_task(links: DataFrame, function: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """function(a, b) over the ends of all links of a graph that was found to be small."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [*batches]
         if frames:
             both = pd.concat(frames)
-            yield function(adjacency_of(both["a"].to_numpy(), both["b"].to_numpy()))
+            yield function(both["a"].to_numpy(), both["b"].to_numpy())
 
     return links.select("a", "b").coalesce(1).mapInPandas(run, schema)
 
 
+def in_one_task(links: DataFrame, function: Callable[[dict[str, list[str]]], pd.DataFrame], schema: str) -> DataFrame:
+    """function(adjacency) of a graph that was found to be small."""
+    return arrays_in_one_task(links, lambda a, b: function(adjacency_of(a, b)), schema)
+
+
 def is_small(links: DataFrame, most: int | None = None) -> bool:
     most = SMALL if most is None else most
     return links.select("a").limit(most + 1).count() <= most
 
 
-def least_reachable(adjacency: dict[str, list[str]]) -> pd.DataFrame:
-    label: dict[str, str] = {}
-    for root in adjacency:  # in order, so that a root is its component's smallest node
-        stack = [] if root in label else [root]
-        while stack:
-            node = stack.pop()
-            if node not in label:
-                label[node] = root
-                stack += [n for n in adjacency[node] if n not in label]
-    return pd.DataFrame({"node": list(label), "component": list(label.values())}, dtype=object)
+def least_reachable(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """(node, component) of undirected links, by hooking the larger root on to the smaller and halving paths."""
+    names, codes = np.unique(np.concatenate([a, b]).astype(str), return_inverse=True)
+    u, v = codes[: len(a)], codes[len(a) :]
+    linked = np.zeros(len(names), dtype=bool)
+    label = np.arange(len(names))
+    linked[u[u != v]] = linked[v[u != v]] = True
+    while True:
+        x, y = label[u], label[v]
+        apart = x != y
+        if not apart.any():
+            break
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := label[label], label):
+            label = up
+    return pd.DataFrame({"node": names[linked], "component": names[label[linked]]}, dtype=object)
 
 
 def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component): the smallest reachable node; in one task if the graph is small, else by spreading minima with pointer jumping until nothing changes."""
     if is_small(links):
-        return in_one_task(links, least_reachable, "node string, component string")
+        return arrays_in_one_task(links, least_reachable, "node string, component string")
     return components_by_rounds(links, rounds)
 
 
@@ -275,7 +287,8 @@ def structure(links: DataFrame, method: str = "label_propagation") -> DataFrame:
             least: dict[str, str] = {}
             for node in adjacency:  # in order
                 least.setdefault(label[node], node)
-            component = dict(least_reachable(adjacency).itertuples(index=False))
+            ends = [(k, o) for k, v in adjacency.items() for o in v]
+            component = dict(least_reachable(*(np.array(x, dtype=object) for x in zip(*ends, strict=True))).itertuples(index=False))
             return pd.DataFrame([(k, len(v), component[k], k in cut, least[label[k]]) for k, v in adjacency.items()], columns=["node", "degree", "component", "is_cut", "community"])
 
         return in_one_task(links, run, schema)

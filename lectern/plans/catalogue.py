@@ -98,6 +98,7 @@ add("isolates", "entities links", lambda e, k: graph.isolates(e.select(F.col("en
 add("components", "links", graph.components, BOTH + ", r(node, reach) AS (SELECT a, a FROM both_ways UNION SELECT r.node, b FROM r JOIN both_ways ON r.reach = a) SELECT node, min(reach) AS component FROM r GROUP BY 1")
 add("articulation_points", "links", graph.articulation_points)
 add("betweenness", "links", graph.betweenness)
+add("betweenness_sampled", "links", lambda k: graph.betweenness(k, 100))
 add("communities", "links", graph.communities)
 add("shared_counterparty", "links", graph.shared_neighbours)
 START = "(SELECT min(a) FROM links)"
