@@ -191,3 +191,26 @@ def scored_labels(labels: DataFrame, found: DataFrame, mapping: dict[str, str])
     hit = told.where("clause_type IS NOT NULL").join(own, ["title", "clause_type"]).where("contains(wanted, held) OR contains(held, wanted)").select("_id").distinct().withColumn("_hit", F.lit(True))
     out = told.join(hit, "_id", "left").groupBy("category", F.col("clause_type").isNotNull().alias("mapped")).agg(F.count(F.lit(1)).alias("n_labelled"), F.count("_hit").alias("n_found"))
     return out.withColumn("recall", F.when(F.col("mapped"), F.round(F.col("n_found") / F.col("n_labelled"), 3)))
+
+
+# ---- documents ------------------------------------------------------------------------------------
+
+
+def document(docs: DataFrame, pages: DataFrame, doc_id: int) -> tuple[DataFrame, DataFrame]:
+    """A document's row, and its pages in order."""
+    return docs.where(F.col("doc_id") == doc_id), pages.where(F.col("doc_id") == doc_id).orderBy("page_no")
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """The tombstones: documents whose text was taken away."""
+    return docs.where("redacted_at IS NOT NULL")
+
+
+def corpus_analysis(instances: DataFrame, mentions: DataFrame, contracts: DataFrame, types: list[str]) -> dict[str, DataFrame]:
+    """What other documents say about each document's parties and values: matches per named type, shared identifiers, values against their peers, and whether matching is settled."""
+    from lectern.operators.entities import compared_values, identifier_matches, matches_elsewhere
+
+    found = matches_elsewhere(instances, mentions).join(instances.select("instance_id", "type_id").distinct(), "instance_id")
+    out = {f"matches_{t}": found.where((F.col("type_id") == t) & (F.col("n_documents") + F.col("n_cross_type") > 0)).drop("type_id") for t in types}
+    quality = found.agg(F.when(F.bool_and(F.col("basis") == "reviewed_link"), "resolved").otherwise("naive_unresolved").alias("resolution_quality"))
+    return out | {"identifiers": identifier_matches(instances), "values": compared_values(contracts), "quality": quality}

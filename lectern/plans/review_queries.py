@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import corpus, extraction, history, quality, review
+from lectern.operators import corpus, extraction, gate, history, quality, review
 from lectern.plans.registry import add
 
 # ---- events and what they fold to -----------------------------------------------------------
@@ -182,3 +182,13 @@ add("exposed_columns", "supplier", lambda s: corpus.exposed(_register(s), ["Comp
 add("register_summary", "supplier", lambda s: corpus.register_summary(_register(s), "nation"), f"SELECT {REGISTER} AS register_id, count(*) AS n_rows, count(*) FILTER (s_acctbal < 0) AS n_rejected, count(*) FILTER (s_acctbal > 0) AS n_populated FROM supplier GROUP BY 1")
 add("register_evidence", "supplier", lambda s: corpus.register_evidence(_register(s), s.select(F.expr(REGISTER).alias("register_id"), F.when(F.expr(REGISTER) == "r0", "staged").otherwise("active").alias("status")).distinct(), s.where("s_acctbal > 8000").select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"), F.expr(REGISTER).alias("register_id"), F.col("s_suppkey").alias("row_no"), F.when(F.col("s_acctbal") > 9000, "confirmed").otherwise("rejected").alias("status")), s.select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"), F.lower("s_name").alias("name_key"))),
     f"SELECT concat('s', s_suppkey) AS entity_id, {REGISTER} AS register_id, s_suppkey AS row_no, concat('id', s_suppkey) AS identifier, CASE WHEN s_acctbal > 9000 THEN 'confirmed' ELSE 'name_key' END AS basis FROM supplier WHERE s_nationkey % 5 <> 0 AND s_acctbal >= 0 AND NOT (s_acctbal > 8000 AND s_acctbal <= 9000)")
+
+# ---- calls to models ----------------------------------------------------------------------------
+
+
+def _calls(e: DataFrame) -> DataFrame:
+    return e.select(F.col("user_id").alias("document_id"), F.when(F.col("event_type") == "view", "local").otherwise("cloud").alias("tier"), F.col("event_id").alias("prompt_chars"), F.col("ts").alias("called_at"), F.when(F.col("event_type") == "error", "x").alias("error"))
+
+
+add("cloud_budget", "events", lambda e: gate.spent(_calls(e), gate.Policy(window="day"), "2024-01-02 10:00:00"), "SELECT count(*) AS n_calls, coalesce(sum(event_id), 0)::BIGINT AS chars FROM events WHERE event_type <> 'view' AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-03'")
+add("cloud_calls", "events", lambda e: gate.calls_by_document(_calls(e)), "SELECT user_id AS document_id, count(*) AS n_calls, count(*) FILTER (event_type = 'error') AS n_failed, sum(event_id)::BIGINT AS chars FROM events WHERE event_type <> 'view' GROUP BY 1")
