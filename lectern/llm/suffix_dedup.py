@@ -182,7 +182,7 @@ def entries(docs: DataFrame, buckets: Buckets) -> DataFrame:
             for end in (least, most):
                 fits = np.flatnonzero(own == end)
                 speak[fits[np.unique(group[fits], return_index=True)[1]]] = True
-            rest = at[(least < most) & ~speak]
+            rest = np.sort(at[(least < most) & ~speak])  # by document: they pack well
             stay = np.ones(len(key), dtype=bool)
             stay[rest] = False
             low = key & np.uint64((1 << 44) - 1)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -79,3 +80,32 @@ def test_risk_is_kept_from_falling_below_zero():
     unlabelled = [np.array(sorted({1 if rng.random() < 0.1 else 2, *rng.integers(10, 10_000, 5).tolist()})) for _ in range(1000)]
     model = toxicity.fit(positive, unlabelled, 0.1)
     assert model.weight[1] > 0 and max(abs(w) for w in model.weight.values()) < 50
+
+
+def test_additive_scores_equal_plain_lookups():
+    rng = np.random.default_rng(17)
+    x = rng.random((400, 4))
+    model = quality_gam.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), rounds=20, pair_rounds=5)
+
+    def cell(cuts, value):
+        return sum(c <= value for c in cuts)
+
+    for row, score in zip(x[:60], model.score(x[:60]), strict=True):
+        total = model.base + sum(t[cell(c, v)] for t, c, v in zip(model.singles, model.cuts, row, strict=True))
+        total += sum(t[cell(model.pair_cuts[i], row[i]), cell(model.pair_cuts[j], row[j])] for i, j, t in model.pairs)
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_linear_scores_equal_plain_sums():
+    texts = ["Scum of the earth", "a kind word", "", "vermin, vermin!"]
+    weight = {int(h): 0.5 + i for i, h in enumerate(toxicity.hashed("scum vermin earth kind"))}
+    model = toxicity.Linear(-1.0, weight)
+    expected = [1 / (1 + math.exp(-(-1.0 + sum(weight.get(int(h), 0.0) for h in toxicity.hashed(t))))) for t in texts]
+    assert np.allclose(model.score(texts), expected)
+
+
+def test_repeated_labels_of_other_values_give_the_same_model(spark):
+    docs, labels = corpus(spark, 80)
+    twice = labels.union(labels.selectExpr("doc_id", "1 - quality", "toxic").limit(40))
+    runs = [sorted((r["doc_id"] or -1, r["score"]) for r in quality_gam.scores(docs, twice.repartition(n)).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1]

@@ -5,6 +5,7 @@ from lectern.llm import line_dedup, packing
 from tests.llm.helpers import SCHEMA
 from tests.llm.test_decontaminate import brute as contained
 from tests.llm.test_line_dedup import brute as deduped
+from tests.llm.test_quality_rules import brute_kept
 from tests.llm.test_packing import brute_ids, sound
 from tests.llm.test_simhash import brute_print, brute_roots
 
@@ -28,12 +29,14 @@ def tables(spark, folder):
     return dict(enumerate(items))
 
 
-def test_run_equals_brute_force_after_the_quality_rules(spark, tmp_path):
+def test_run_equals_brute_force(spark, tmp_path):
     items = tables(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = corpus_pipeline.quality_stage(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], 0) for r in docs.collect()]
+    assert sorted(texts) == sorted(i for i, k in brute_kept(rows).items() if k)
     assert 40 <= len(texts) < docs.count()
     order = sorted(texts)
     out = deduped([texts[i] for i in order])

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -58,3 +59,69 @@ def test_small_groups_take_the_limits_of_their_language(spark):
     limits = lambda least: {r["q_source"]: r["symbols_most"] for r in quality_rules.thresholds(measured, least).collect()}
     assert limits(50)["few"] is not None and limits(50)["web"] is None
     assert limits(50)["few"] < limits(1)["few"]  # by themselves all of them have symbols, in the language few have
+
+
+def brute_kept(rows, min_group=50):
+    """kept by plain code; sketches of so few rows hold every value."""
+
+    def measures(text):
+        n, chars, symbols, dup, repeat, failed = brute(text)
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        return {"n": n, "failed": failed, "symbols": symbols / max(1, chars), "dup_lines": dup / max(1, len(lines)), "repeat_share": repeat / max(1, n), "word_length": chars / n if n else None, "log_words": math.log(n) if n else None}
+
+    told = [(lang, source, measures(text)) for _, text, lang, source, _ in rows]
+    held = [x for x in told if x[2]["n"]]
+
+    def quantile(values, q):
+        return sorted(values)[max(1, math.ceil(q * len(values) - 1e-9)) - 1] if values else None
+
+    def verdict(lang, source, m):
+        own = [x for x in held if x[:2] == (lang, source)]
+        own = [x[2] for x in (own if len(own) >= min_group else [x for x in held if x[0] == lang])]
+        if m["failed"]:
+            return False
+
+        def around(values, factor):
+            q1, q3 = quantile(values, 0.25), quantile(values, 0.75)
+            width = factor * max(q3 - q1, quality_rules.NARROW * q3)
+            return q1 - width, q3 + width
+
+        for name, q, factor in quality_rules.RARE:
+            some = [x[name] for x in own if x[name]]
+            if some and m[name] > max(factor * quantile(some, q), around([x[name] for x in own], quality_rules.WIDE)[1]):
+                return False
+        for name, factor in quality_rules.SPREAD:
+            low, high = around([x[name] for x in own], factor)
+            if not low <= m[name] <= high:
+                return False
+        return True
+
+    return {r[0]: verdict(*x) for r, x in zip(rows, told, strict=True)}
+
+
+def mixed_rows(seed=5):
+    rng = random.Random(seed)
+    word = lambda a, b: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(a, b)))
+    rows = []
+    for i in range(240):
+        source = rng.choice(["web", "web", "books", "few"])
+        words = [word(2, 9) for _ in range(rng.randint(5, 120))]
+        kind = rng.random()
+        if kind < 0.08:
+            words = [w + rng.choice(["#", "|", "##"]) for w in words]
+        elif kind < 0.12:
+            words = [word(18, 30) for _ in words]
+        elif kind < 0.2:
+            words += words[:6]
+        text = "".join(w + rng.choice([" ", " ", " ", "\n"]) for w in words) + ("\n".join(["same line here"] * rng.randint(0, 3)))
+        rows.append((i, None if i == 7 else text, rng.choice(["en", "en", None]), source, 0))
+    return rows
+
+
+def test_verdicts_equal_plain_quantiles(spark):
+    rows = mixed_rows()
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    expected = brute_kept(rows)
+    assert got == expected
+    assert 100 < sum(got.values()) < 230
+    assert sorted(r["doc_id"] for r in quality_rules.keep(spark.createDataFrame(rows, SCHEMA)).collect()) == sorted(i for i, k in expected.items() if k)
