@@ -8,8 +8,9 @@ model can't drive it there by fitting the positives alone.
 The samples are bounded: at most ``POSITIVES`` confirmed toxic rows of the training folds and
 ``UNLABELLED`` rows of those folds whatever their label, each those with the smallest hash of
 doc_id. The class prior is the toxic share of the labelled training rows. Features are the
-words that are significantly more frequent in the positives, ``FEATURES`` at most. Words are
-runs of letters, digits and non-ASCII characters, A-Z in lower case.
+words, and beginnings of words, that are significantly more frequent in the positives,
+``FEATURES`` at most; they are chosen by counting in Spark, and only they come to the driver.
+Words are runs of letters, digits and non-ASCII characters, A-Z in lower case.
 
 Defined results: null and empty texts have no words and get the score of the bias. Rows with
 a null label are not learnt from; repeated labels and documents count once in training and
@@ -19,6 +20,7 @@ is not held out. Labels, language, source and doc_id are never inputs of a score
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -27,11 +29,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_texts
+from lectern.llm.common import map_texts, materialise
 from lectern.llm.labelled import remainder, sample, texts_of
 
-POSITIVES, UNLABELLED, FEATURES = 3_000, 9_000, 400
+POSITIVES, UNLABELLED, FEATURES = 3_000, 9_000, 800
 FOLDS, HELD = 3, 1
+#: Lengths, in characters, of the beginnings of words that are features beside the words. More of them catch more and mark clean texts too.
+BEGINNINGS = (5,)
 CUT = 0.7
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -40,9 +44,15 @@ def words(text: str) -> set[bytes]:
     return set(WORD.findall(text.encode("utf-8", "surrogatepass").lower()))
 
 
+def parts(word: bytes) -> list[int]:
+    """The hashes of a word and of its beginnings, so that inflected and compound forms have something in common."""
+    letters = word.decode("utf-8", "replace")
+    return [zlib.crc32(word), *(zlib.crc32(b"^" + letters[:n].encode()) for n in BEGINNINGS if n < len(letters))]
+
+
 def hashed(text: str) -> np.ndarray:
-    """The sorted hashes of a text's words."""
-    return np.unique(np.fromiter(map(zlib.crc32, words(text)), dtype=np.int64))
+    """The sorted hashes of a text's words and their beginnings."""
+    return np.unique(np.array([h for w in words(text) for h in parts(w)], dtype=np.int64))
 
 
 @dataclass
@@ -52,12 +62,15 @@ class Linear:
 
     def score(self, texts: list[str]) -> np.ndarray:
         total = np.full(len(texts), self.bias)
-        cache: dict[bytes, float] = {}
+        cache: dict[bytes, tuple[int, ...]] = {}  # a word's hashes that have a weight: of most words none
         for i, text in enumerate(texts):
+            found: set[int] = set()
             for w in words(text):
                 if w not in cache:
-                    cache[w] = self.weight.get(zlib.crc32(w), 0.0)
-                total[i] += cache[w]
+                    cache[w] = tuple(h for h in parts(w) if h in self.weight)
+                if cache[w]:
+                    found.update(cache[w])
+            total[i] += sum(self.weight[h] for h in sorted(found))
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
@@ -106,12 +119,31 @@ def train(docs: DataFrame, labels: DataFrame) -> Linear:
     learnt = labels.select("doc_id", "toxic").where("toxic IS NOT NULL").where(remainder(FOLDS) != HELD)
     prior = learnt.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
 
-    def collected(rows: DataFrame) -> list[np.ndarray]:
-        made = map_texts(texts_of(docs, rows), "text", lambda texts: {"h": [hashed(t) for t in texts]}, "h array<bigint>", ["doc_id"])
-        return [np.array(h, dtype=np.int64) for h in made.orderBy("doc_id").toPandas()["h"]]
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        return materialise(map_texts(texts_of(docs, rows), "text", lambda texts: {"h": [hashed(t) for t in texts]}, "h array<bigint>", ["doc_id"]), name)
+
+    sides = [written(sample(learnt.where("toxic = 1").select("doc_id"), POSITIVES), "positives"), written(sample(docs.select("doc_id").where(remainder(FOLDS) != HELD), UNLABELLED), "unlabelled")]
+    chosen = telling(*sides)
+
+    def collected(side: DataFrame) -> list[np.ndarray]:
+        # Only the chosen hashes come to the driver.
+        kept = side.select("doc_id", F.array_intersect("h", F.from_json(F.lit(json.dumps(chosen)), "array<bigint>")).alias("h"))
+        return [np.array(h, dtype=np.int64) for h in kept.orderBy("doc_id").toPandas()["h"]]
+
+    positive, unlabelled = map(collected, sides)
+    return fit(positive, unlabelled, prior)
+
 
-    positive = collected(sample(learnt.where("toxic = 1").select("doc_id"), POSITIVES))
-    return fit(positive, collected(sample(docs.select("doc_id").where(remainder(FOLDS) != HELD), UNLABELLED)), prior)
+def telling(positive: DataFrame, unlabelled: DataFrame, most: int = FEATURES) -> list[int]:
+    """The hashes that ``select`` would choose, found by counting in Spark."""
+    n = positive.count(), unlabelled.count()
+    if not all(n):
+        return []
+    counted = lambda side, name: side.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias(name))
+    both = counted(positive, "c").where("c >= 4").join(counted(unlabelled, "d"), "h", "left").fillna(0, ["d"])
+    p, u = F.col("c") / n[0], (F.col("d") + 1) / (n[1] + 2)
+    z = (p - u) / F.sqrt(u * (1 - u) * (1 / n[0] + 1 / n[1]))
+    return [r["h"] for r in both.withColumn("z", z).where("z >= 4").orderBy(F.desc("z"), "h").limit(most).collect()]
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
