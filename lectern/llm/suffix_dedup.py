@@ -3,9 +3,11 @@
 The construction (``build``) takes a collection of byte strings and inserts one symbol of each
 string in every round, from the right, into the collection's Burrows-Wheeler transform; the
 longest common prefixes of neighbouring suffixes are updated in the same pass. Both live in
-external files that each round reads and writes from front to back. There are as many rounds
-as the longest string has symbols, so whole documents, of any length, are not inserted as
-they are. They are cut first:
+external files, a task's own scratch that ends with it, which each round reads from front to
+back in blocks of ``BLOCK`` rows, once to find the places of the new suffixes and once to
+write the next files with them; between blocks 256 counts and least prefixes are held. There
+are as many rounds as the longest string has symbols, so whole documents, of any length, are
+not inserted as they are. They are cut first:
 
 1. Copies of a text are set aside: all but that of the smallest doc_id are covered whole.
 2. Every 50-byte string belongs to the smallest hash of its 24-byte strings. Runs of up to 27
@@ -59,8 +61,8 @@ MOST = LENGTH - GRAM + 1
 BUCKETS, PER_BUCKET, STEP = 256, 1 << 25, 16
 #: Bytes of text, and pieces, that a task holds before it deals them out.
 HELD, HELD_PIECES = 1 << 24, 400_000
-#: Bytes of a collection that is built at once.
-COLLECTION = 1 << 19
+#: Bytes of a collection that is built at once, and rows of its columns that are read at a time.
+COLLECTION, BLOCK = 1 << 19, 1 << 19
 END = 255  # stands after each string; no byte of UTF-8
 
 
@@ -324,30 +326,39 @@ def pieces(docs: DataFrame, wanted: DataFrame, buckets: Buckets) -> DataFrame:
 
 
 class Columns:
-    """The transform and the common prefixes, in external files that are read and written from front to back, two of each in turn."""
+    """The transform and the common prefixes, in external files that are read and written from front to back, a block at a time, two of each in turn."""
 
     def __init__(self, folder: str) -> None:
         self.files = [[open(os.path.join(folder, f"{name}.{turn}"), "w+b", buffering=0) for name in ("bwt", "lcp")] for turn in (0, 1)]  # noqa: SIM115
-        self.turn, self.rows = 0, 0
-
-    def write(self, *columns: np.ndarray) -> None:
-        self.turn ^= 1
-        self.rows = len(columns[0])
-        for file, column in zip(self.files[self.turn], columns, strict=True):
-            file.seek(0)
+        self.turn, self.rows, self.coming = 0, 0, 0
+
+    def append(self, *columns: np.ndarray) -> None:
+        """Write on to the files of the coming turn."""
+        if not self.coming:
+            for file in self.files[1 - self.turn]:
+                file.seek(0)
+        self.coming += len(columns[0])
+        for file, column in zip(self.files[1 - self.turn], columns, strict=True):
             left = memoryview(column)
             while left:
                 left = left[file.write(left) :]
 
-    def read(self) -> list[np.ndarray]:
-        out = []
+    def change(self) -> None:
+        """What was written is what is read from now on."""
+        self.turn, self.rows, self.coming = 1 - self.turn, self.coming, 0
+
+    def blocks(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, transform, common prefixes) of so many rows at a time."""
         for file in self.files[self.turn]:
             file.seek(0)
-            column, at = np.empty(self.rows, dtype=np.uint8), 0
-            while at < self.rows:
-                at += file.readinto(memoryview(column)[at:])
-            out.append(column)
-        return out
+        for begin in range(0, self.rows, most):
+            out = []
+            for file in self.files[self.turn]:
+                column, at = np.empty(min(most, self.rows - begin), dtype=np.uint8), 0
+                while at < len(column):
+                    at += file.readinto(memoryview(column)[at:])
+                out.append(column)
+            yield begin, out[0], out[1]
 
     def close(self) -> None:
         for file in (*self.files[0], *self.files[1]):
@@ -362,7 +373,74 @@ def ranked(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def least_between(lcp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of lcp[lo:hi] for ranges of one row at least."""
+    back = np.argsort(-lo)  # so that nothing between two ranges is read
+    least = np.empty(len(lo), dtype=np.uint8)
+    least[back] = np.minimum.reduceat(np.append(lcp, np.uint8(0)), np.stack([lo[back], hi[back]], axis=1).ravel())[::2]
+    return least
+
+
+def scanned(files: Columns, place: np.ndarray, counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pass over the columns: (the places that the rows at ``place``, sorted, lead to; the places of what is asked, and their common prefixes). counts: rows of each symbol.
+
+    The k-th row of a symbol leads to the k-th suffix that begins with it. What is asked are the
+    prefixes that a new suffix and the one after it share with those before them: one more than
+    the least prefix since the symbol's last row. For symbols whose last row is in an earlier
+    block, ``since`` holds the least so far; ``open_`` marks those whose next row is asked.
+    """
+    seen, since, open_ = np.zeros(256, np.int64), np.full(256, 255, np.uint8), np.zeros(256, bool)
+    symbols, occurrences, asked, prefixes = [], [], [], []
+    several, empty = files.rows > block, np.zeros(0, np.int64)
+    at = 0
+    for begin, bwt, lcp in files.blocks(block):
+        stop = int(np.searchsorted(place, begin + len(bwt))) if several else len(place)
+        own = place[at:stop] - begin
+        at = stop
+        order, rank = ranked(bwt)
+        first = np.zeros(257, dtype=np.int64)
+        np.cumsum(np.bincount(bwt, minlength=256) if several else counts, out=first[1:])
+        here = rank[own]
+        sym = bwt[own]
+        symbols.append(sym)
+        occurrences.append(here - first[sym] + seen[sym])
+        # The asked places of this block's order: the new rows, and those after them of the same symbol.
+        new = np.sort(here)
+        after = new[np.append(new[1:] != new[:-1] + 1, True)] + 1 if len(new) else new
+        after = after[after < len(bwt)]
+        after = after[bwt[order[after]] == bwt[order[after - 1]]]
+        pending = np.flatnonzero(open_ & (first[1:] > first[:-1])) if several else empty
+        ask = np.concatenate([new, after, first[pending]]) if several else np.concatenate([new, after])
+        if several:
+            ask = np.unique(ask)
+        s = bwt[order[ask]]
+        ask, s = ask[s != END], s[s != END]
+        place_of = ask - first[s] + seen[s]  # the occurrence
+        prefix = np.zeros(len(ask), dtype=np.uint8)
+        close = ask > first[s]
+        if close.any():
+            prefix[close] = least_between(lcp, order[ask[close] - 1] + 1, order[ask[close]] + 1) + 1
+        if several:
+            far = ~close & (seen[s] > 0)
+            if far.any():
+                running = np.minimum.accumulate(lcp)
+                prefix[far] = np.minimum(since[s[far]], running[order[ask[far]]]) + 1
+            open_[pending] = False
+            open_[sym[here + 1 == first[sym.astype(np.int64) + 1]]] = True
+            there = np.flatnonzero(first[1:] > first[:-1])
+            tail = np.minimum.accumulate(lcp[::-1])[::-1]
+            last = order[first[there + 1] - 1] + 1
+            since = np.minimum(since, tail[0])
+            since[there] = np.where(last < len(bwt), tail[np.minimum(last, len(bwt) - 1)], 255)
+        seen += np.diff(first)
+        asked.append(place_of + (s.astype(np.int64) << 40))
+        prefixes.append(prefix)
+    starts = np.cumsum(counts) - counts
+    told = np.concatenate(asked)
+    return starts[np.concatenate(symbols)] + np.concatenate(occurrences), starts[told >> 40] + (told & ((1 << 40) - 1)), np.concatenate(prefixes)
+
+
+def build(strings: list[bytes], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For a collection of up to 2^30 bytes: (transform, common prefix with the suffix before, string, suffix length), in suffix order."""
     m = len(strings)
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
@@ -372,35 +450,41 @@ def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     place = np.arange(m)
     with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
         files = Columns(folder)
-        files.write(before(place, 0), np.zeros(m, np.uint8))
+        symbols = before(place, 0)
+        counts = np.bincount(symbols, minlength=256)
+        files.append(symbols, np.zeros(m, np.uint8))
+        files.change()
+        order = np.arange(m)  # the strings that are not through, by their places
         for j in range(1, int(lengths.max()) + 1):
-            bwt, lcp = files.read()
-            active = np.flatnonzero(lengths >= j)
-            order, rank = ranked(bwt)
-            new = np.sort(rank[place[active]])
-            # Common prefixes of new suffixes and their neighbours: one more than the least between their rests.
-            ask = np.concatenate([new, new[np.r_[new[1:] != new[:-1] + 1, True]] + 1])
-            ask = ask[(ask > 0) & (ask < len(order))]
-            a, b = order[ask - 1], order[ask]
-            same = (bwt[a] == bwt[b]) & (bwt[a] != END)
-            prefix = np.zeros(len(ask), dtype=np.uint8)
-            if same.any():
-                lo, hi = a[same] + 1, b[same] + 1
-                back = np.argsort(-lo)  # so that nothing between two ranges is read
-                least = np.empty(len(lo), dtype=np.uint8)
-                least[back] = np.minimum.reduceat(np.append(lcp, np.uint8(0)), np.stack([lo[back], hi[back]], axis=1).ravel())[::2]
-                prefix[same] = least + 1
-            total = len(bwt) + len(active)
-            at = m + rank[place[active]].astype(np.int64)
-            old = np.ones(total, dtype=bool)
-            old[at] = False
-            merged_bwt, merged_lcp = np.empty(total, dtype=np.uint8), np.zeros(total, dtype=np.uint8)
-            merged_bwt[old], merged_lcp[old] = bwt, lcp
-            merged_bwt[at] = before(active, j)
-            merged_lcp[m + ask[m + ask < total]] = prefix[m + ask < total]
-            place[active] = at
-            files.write(merged_bwt, merged_lcp)
-        bwt, lcp = files.read()
+            order = order[lengths[order] >= j]
+            rank, asked, prefix = scanned(files, place[order], counts, block)
+            place[order] = m + rank
+            # The new rows in their order, and the rows whose common prefix changes, go in as the old ones pass by.
+            sort = np.argsort(rank.astype(np.int32))
+            order, at = order[sort], m + rank[sort]
+            symbols = before(order, j)
+            counts += np.bincount(symbols, minlength=256)
+            asked += m
+            if files.rows > block:
+                by = np.argsort(asked)
+                asked, prefix = asked[by], prefix[by]
+            taken = done = told = 0
+            for _, bwt, lcp in files.blocks(block):
+                # So many rows come out of this block: its own, and the new ones among them.
+                stop = int(np.searchsorted(at - np.arange(len(at)), taken + len(bwt), "left")) if taken + len(bwt) < files.rows else len(at)
+                new = at[done:stop] - (taken + done)
+                total = len(bwt) + len(new)
+                out_bwt, out_lcp, old = np.empty(total, np.uint8), np.zeros(total, np.uint8), np.ones(total, bool)
+                old[new] = False
+                out_bwt[old], out_lcp[old] = bwt, lcp
+                out_bwt[new] = symbols[done:stop]
+                end = int(np.searchsorted(asked, taken + done + total)) if files.rows > block else len(asked)
+                out_lcp[asked[told:end] - (taken + done)] = prefix[told:end]
+                files.append(out_bwt, out_lcp)
+                taken, done, told = taken + len(bwt), stop, end
+            files.change()
+        parts = [(bwt, lcp) for _, bwt, lcp in files.blocks(block)]
+        bwt, lcp = (np.concatenate(x) for x in zip(*parts, strict=True))
         files.close()
     # The rows' names: from the empty suffixes on, each row leads to that of the next longer suffix.
     string, size = np.empty(len(bwt), dtype=np.int64), np.zeros(len(bwt), dtype=np.int64)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from lectern.llm import suffix_dedup
 from tests.llm.helpers import frame
@@ -30,11 +31,12 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-def test_build_sorts_suffixes_with_common_prefixes():
+@pytest.mark.parametrize("block", [1, 2, 7, 50, 1 << 19])
+def test_build_sorts_suffixes_with_common_prefixes(block):
     rng = random.Random(10)
     for _ in range(20):
         strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 12))]
-        bwt, lcp, string, size = suffix_dedup.build(strings)
+        bwt, lcp, string, size = suffix_dedup.build(strings, block)
         suffixes = [strings[s][len(strings[s]) - n :] for s, n in zip(string, size, strict=True)]
         assert sorted(zip(string.tolist(), size.tolist(), strict=True)) == [(s, n) for s in range(len(strings)) for n in range(len(strings[s]) + 1)]
         assert suffixes == sorted(suffixes)
