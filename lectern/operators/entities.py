@@ -28,14 +28,29 @@ def unlinked(instances: DataFrame, mentions: DataFrame) -> DataFrame:
     return instances.join(mentions.where("NOT unlinked"), "instance_id", "left_anti")
 
 
-def propose(named: DataFrame, style: str = "organisation") -> DataFrame:
-    """named (instance_id, document_id, name, identifier) grouped by identifier, else by the name's key; titled by the longest name."""
-    keyed = named.withColumn("basis", F.when(F.coalesce("identifier", F.lit("")) != "", "identifier").otherwise("name_key"))
-    keyed = keyed.withColumn("group_key", F.when(F.col("basis") == "identifier", F.col("identifier")).otherwise(name_key(F.col("name"), style)))
+def propose(named: DataFrame, style: str = "organisation", scoped: list[str] | None = None) -> DataFrame:
+    """named (instance_id, document_id, name, identifier) grouped by identifier, else by the name's key, else by itself; titled by the longest name.
+
+    Names of types that are scoped to a document (column type_id, where there are any) are titles:
+    they group within their document alone.
+    """
+    own = F.col("type_id").isin(scoped) if scoped else F.lit(False)
+    key = name_key(F.col("name"), style)
+    basis = F.when(own, "document").when(F.coalesce("identifier", F.lit("")) != "", "identifier").when(F.coalesce(key, F.lit("")) != "", "name_key").otherwise("instance")
+    keyed = named.withColumn("basis", basis).withColumn("_key", key)
+    group = F.when(F.col("basis") == "document", F.concat_ws(":", "document_id", "_key")).when(F.col("basis") == "identifier", F.col("identifier")).when(F.col("basis") == "name_key", F.col("_key")).otherwise(F.col("instance_id").cast("string") if "instance_id" in named.columns else F.lit(""))
+    keyed = keyed.withColumn("group_key", group)
     title = F.min_by("name", F.struct(-F.length("name"), F.col("name")))
     return keyed.groupBy("basis", "group_key").agg(title.alias("title"), F.count(F.lit(1)).alias("n_mentions"), F.count_distinct("document_id").alias("n_documents"))
 
 
+def attached(proposals: DataFrame, pages: DataFrame) -> DataFrame:
+    """proposals with the page (entity_id, identifier, name_key) that each belongs to on its own basis, the smallest of several; null for a new page."""
+    by_id = pages.where("identifier <> ''").groupBy(F.lit("identifier").alias("basis"), F.col("identifier").alias("group_key")).agg(F.min("entity_id").alias("entity_id"))
+    by_key = pages.where("name_key <> ''").groupBy(F.lit("name_key").alias("basis"), F.col("name_key").alias("group_key")).agg(F.min("entity_id").alias("entity_id"))
+    return proposals.join(by_id.unionByName(by_key), ["basis", "group_key"], "left")
+
+
 def same_key(pages: DataFrame, style: str = "organisation") -> DataFrame:
     """Keys that several live pages of a type share."""
     keyed = pages.where("merged_into IS NULL").withColumn("name_key", name_key(F.col("canonical_name"), style))

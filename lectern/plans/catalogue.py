@@ -130,7 +130,8 @@ add("other_reading", "orders", lambda o: o.select("o_orderkey", scalar.other_rea
 add("align_quotes", "contracts", lambda c: text.align_quotes(c.select("document_id", "text", F.expr("substring(text, 6, 20)").alias("span"))), "SELECT document_id, 5::INTEGER AS start, 25::INTEGER AS end_, 'match_exact' AS status FROM contracts")
 add("paginate", "documents", lambda d: text.pages_of(d).groupBy("doc_id").agg(F.sum("char_count").cast("long").alias("n_chars"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), ""), 256).alias("joined")), "SELECT doc_id, length(text) AS n_chars, sha256(text) AS joined FROM documents")
 add("page_offsets", "documents", lambda d: text.page_offsets(text.pages_of(d)).groupBy("doc_id").agg(F.max("end_").cast("long").alias("n_chars"), F.min("start").cast("long").alias("first")), "SELECT doc_id, length(text) AS n_chars, 0::BIGINT AS first FROM documents")
-add("search_index", "documents", lambda d: text.inverted_index(d).where("word = 'licens'").select("doc_id", "n"))
+add("search_index", "documents", lambda d: text.inverted_index(d.where("text IS NOT NULL")).groupBy("word").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n")),
+    "WITH w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' ')) AS w FROM documents), s AS (SELECT doc_id, regexp_replace(w, '([a-z]{3})(ing|ed|es|s)$', '\\1') AS word FROM w WHERE w <> '') SELECT word, count(DISTINCT doc_id) AS n_documents, count(*)::BIGINT AS n FROM s GROUP BY 1")
 
 # ---- corpus ---------------------------------------------------------------------------
 add("content_dedupe", "documents", corpus.ingest, "SELECT sha256(coalesce(text, '')) AS file_hash, min(doc_id) AS doc_id, count(*) AS n_copies, 'documents/' || left(sha256(coalesce(text, '')), 2) || '/' || sha256(coalesce(text, '')) AS storage_path FROM documents GROUP BY 1")

@@ -82,6 +82,19 @@ add("mention_candidates", "part supplier", lambda p, s: entities.candidates_for(
 # No oracle: likeness of names; brute force in the tests.
 add("duplicate_offers", "part", lambda p: entities.ranked_offers(entities.duplicate_pages(p.select(F.col("p_partkey").cast("string").alias("entity_id"), F.col("p_brand").alias("type_id"), F.col("p_name").alias("canonical_name"), F.lit(None).cast("string").alias("merged_into"))), p.select(F.col("p_partkey").cast("string").alias("entity_id"), F.lit(False).alias("unlinked"))))
 
+
+
+def _proposed_pages(line: DataFrame, s: DataFrame) -> DataFrame:
+    rows = _named_mentions(line, s).withColumn("identifier", F.when(F.col("s") % 5 == 0, F.concat(F.lit("id"), F.col("s") % 7)))
+    held = s.where("s_acctbal > 5000").select(F.concat(F.lit("s"), F.lpad("s_suppkey", 9, "0")).alias("entity_id"), F.lit("").alias("identifier"), scalar.name_key(F.col("s_name")).alias("name_key"))
+    return entities.attached(entities.propose(rows, scoped=["Person"]), held).groupBy("basis", F.col("entity_id").isNotNull().alias("known")).agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n_mentions").alias("n_mentions"))
+
+
+add("proposed_pages", "lineitem supplier", _proposed_pages, """WITH r AS (SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'document' WHEN l_suppkey % 5 = 0 THEN 'identifier' ELSE 'name_key' END AS basis, CASE WHEN l_linenumber % 2 = 1 THEN concat(l_orderkey, ':', l_suppkey) WHEN l_suppkey % 5 = 0 THEN concat('id', l_suppkey % 7) ELSE concat('k', l_suppkey) END AS g, CASE WHEN l_linenumber % 2 = 0 AND l_suppkey % 5 <> 0 THEN s_acctbal > 5000 ELSE false END AS known FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+ SELECT basis, known, count(DISTINCT g) AS n_pages, count(*) AS n_mentions FROM r GROUP BY 1, 2""")
+add("merge_chains_long", "part", lambda p: entities.follow_merges(p.select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("entity_id"), F.when(F.col("p_partkey") % 50 != 0, F.lpad((F.col("p_partkey") - 1).cast("string"), 9, "0")).alias("merged_into"))),
+    "SELECT lpad(p_partkey::VARCHAR, 9, '0') AS entity_id, lpad((p_partkey - p_partkey % 50)::VARCHAR, 9, '0') AS survivor FROM part")
+
 # ---- agreement ----------------------------------------------------------------------------------
 # One letter differs between two excerpts of one value: they are one wording if it is a small enough part of the text.
 WORDS_SQL = """, o AS (SELECT * FROM claims WHERE NOT rejected AND value <> ''), g AS (SELECT entity_id, property_id, value, count(DISTINCT document_id) AS d, count(DISTINCT excerpt) AS e, any_value(length(regexp_replace(excerpt, '\\W+', ' ', 'g'))) AS n FROM o GROUP BY 1, 2, 3 HAVING count(DISTINCT document_id) >= 2),

@@ -145,6 +145,18 @@ def _entries(o: DataFrame) -> DataFrame:
     return o.select(F.concat(F.lit("k"), "o_orderkey").alias("instance_id"), F.concat(F.lit("doc_"), "o_orderkey").alias("document_id"), F.col("o_custkey").alias("custkey"), role.alias("role"), F.col("o_orderdate").cast("date").alias("value"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("raw"), status.alias("status"))
 
 
+
+
+def _redacted_chain(log: DataFrame) -> DataFrame:
+    """The sealed log of which some payloads were taken away: the chain still holds."""
+    columns = ["seq", "row_id", "action", "new_value"]
+    sealed = history.seal(log.select(*columns), columns)
+    hidden = sealed.withColumn("gone", F.col("action") == "amend")
+    return history.verify(hidden.withColumn("new_value", F.when(~F.col("gone"), F.col("new_value"))), columns, "gone").select("n_rows", "n_redacted", F.coalesce("first_broken", F.lit(-1)).alias("first_broken"))
+
+
+add("redacted_chain", "log", _redacted_chain, "SELECT count(*) AS n_rows, count(*) FILTER (action = 'amend') AS n_redacted, -1::BIGINT AS first_broken FROM log")
+
 # ---- rules ------------------------------------------------------------------------------------
 add("effective_parameters", "part events", lambda p, e: corpus.effective_parameters(p.select(F.col("p_brand").alias("template_id"), F.lit("least").alias("parameter"), F.lit("10").alias("value")).distinct(), e.select(F.concat(F.lit("Brand#"), F.col("user_id") % 30).alias("template_id"), F.lit("least").alias("parameter"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").alias("value"))),
     "WITH d AS (SELECT DISTINCT p_brand AS t FROM part), o AS (SELECT concat('Brand#', user_id % 30) AS t, arg_max(props ->> '$.k', event_id) AS v FROM events GROUP BY 1) SELECT t AS template_id, 'least' AS parameter, coalesce(v, '10') AS value, v IS NOT NULL AS overridden FROM d LEFT JOIN o USING (t)")

@@ -30,6 +30,38 @@ add("search_pages", "documents", lambda d: text.search(d.where("text IS NOT NULL
 add("search_excerpts", "findings", lambda f: text.search(f.select("instance_id", F.col("excerpt").alias("text")), "parts 77", ["instance_id"]).select("instance_id", "n"), "SELECT instance_id, 2::BIGINT AS n FROM findings WHERE excerpt = 'part 77'")
 add("unextracted_mentions", "documents", lambda d: page_ops.unextracted(d.where("text IS NOT NULL"), d.where("doc_id % 2 = 0").select("doc_id", F.lit("MIT License").alias("name")), "MIT  license"), "SELECT doc_id FROM documents WHERE contains(concat(' ', trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), ' mit license ') AND doc_id % 2 <> 0")
 
+
+
+def _variant(c: DataFrame) -> DataFrame:
+    """Quotations of a contract: as it is, in capitals, with wider spaces, with another end, and one that isn't there."""
+    part = F.expr("substring(text, 6, 36)")
+    forms = F.array(part, F.upper(part), F.replace(part, F.lit(" "), F.lit("   ")), F.concat(part, F.lit(" zebras")), F.lit("nothing of the kind here"))
+    return c.select("document_id", "text", F.get(forms, (F.col("document_id") % 5).cast("int")).alias("span"))
+
+
+add("align_variants", "contracts", lambda c: text.align_quotes(_variant(c)).select("document_id", F.coalesce("start", F.lit(-1)).alias("start"), F.coalesce("end_", F.lit(-1)).alias("end_"), "status"),
+    "SELECT document_id, CASE WHEN document_id % 5 = 4 THEN -1 ELSE 5 END::INTEGER AS start, CASE WHEN document_id % 5 = 4 THEN -1 ELSE 41 - (substr(text, 41, 1) = ' ' AND document_id % 5 IN (1, 2))::INTEGER END::INTEGER AS end_, CASE document_id % 5 WHEN 0 THEN 'match_exact' WHEN 1 THEN CASE WHEN substr(text, 41, 1) = ' ' THEN 'match_lesser' ELSE 'match_exact' END WHEN 2 THEN 'match_lesser' WHEN 3 THEN 'match_fuzzy' END AS status FROM contracts")
+
+
+def _dated(o: DataFrame) -> DataFrame:
+    d = F.col("o_orderdate")
+    forms = F.array(F.concat(F.lit("It expires on "), F.date_format(d, "d MMMM yyyy"), F.lit(".")), F.concat(F.lit("Signed "), F.date_format(d, "MMM d, yyyy")), F.concat(F.lit("delivery date: "), F.date_format(d, "dd/MM/yyyy")), F.concat(F.lit("on "), F.date_format(d, "yyyy-MM-dd"), F.lit(", the start date")))
+    return o.select(F.col("o_orderkey").alias("document_id"), F.get(forms, (F.col("o_orderkey") % 4).cast("int")).alias("text"))
+
+
+add("date_forms", "orders", lambda o: text.extract(_dated(o), kinds=("date",)).select("document_id", "value", "role", "confidence"),
+    "SELECT o_orderkey AS document_id, o_orderdate::DATE::VARCHAR AS value, ['end', 'signature', 'milestone', 'start'][o_orderkey % 4 + 1] AS role, CASE WHEN o_orderkey % 4 = 2 AND day(o_orderdate) <= 12 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM orders")
+
+
+def _priced(o: DataFrame) -> DataFrame:
+    n = F.format_number(F.round("o_totalprice").cast("bigint"), 0)
+    forms = F.array(F.concat(F.lit("total price €"), n), F.concat(F.lit("capped at USD "), n), F.concat(F.lit("a penalty of "), n, F.lit(" GBP")), F.concat(n, F.lit(" dollars per day")))
+    return o.select(F.col("o_orderkey").alias("document_id"), F.get(forms, (F.col("o_orderkey") % 4).cast("int")).alias("text"))
+
+
+add("amount_forms", "orders", lambda o: text.extract(_priced(o), kinds=("amount",)).select("document_id", "value", "currency", "role", "confidence"),
+    "SELECT o_orderkey AS document_id, round(o_totalprice)::BIGINT::VARCHAR AS value, ['EUR', 'USD', 'GBP', 'USD'][o_orderkey % 4 + 1] AS currency, ['contract_value', 'cap', 'penalty', 'rate'][o_orderkey % 4 + 1] AS role, CASE WHEN o_orderkey % 4 = 3 THEN 0.9 ELSE 1.0 END::DOUBLE AS confidence FROM orders")
+
 # ---- scalars ------------------------------------------------------------------------------------
 add("alignment_confidence", "findings", lambda f: f.select("instance_id", scalar.aligned_confidence(F.col("alignment")).alias("level")), "SELECT instance_id, CASE alignment WHEN 'match_exact' THEN 1e0 WHEN 'match_fuzzy' THEN 0.5e0 ELSE 0.2e0 END AS level FROM findings")
 add("vocabulary_values", "part", lambda p: p.select("p_partkey", scalar.in_vocabulary(F.concat(F.lit(" "), F.lower("p_type")), ["Economy", "Small"]).alias("kind")), "SELECT p_partkey, CASE lower(p_type) WHEN 'economy' THEN 'Economy' WHEN 'small' THEN 'Small' END AS kind FROM part")
