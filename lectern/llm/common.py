@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -71,6 +72,12 @@ def finished(df: DataFrame, name: str, since: int) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more, which it else does when the driver happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written() -> int:
     """How many written tables there are."""
     return len(_made)

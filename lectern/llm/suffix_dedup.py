@@ -51,7 +51,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, partitions, runs, salted_join, small
+from lectern.llm.common import materialise, partitions, release, runs, salted_join, small
 from lectern.llm.decontaminate import BASE, mixed, powers
 
 #: Bytes of a string that counts as repeated, of the strings whose smallest hash it belongs to, and the windows of a piece.
@@ -381,6 +381,22 @@ def least_between(lcp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return least
 
 
+def scanned_whole(files: Columns, place: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``scanned`` finds, of columns that are one block: then a row's place in the symbols' order is where it leads to."""
+    _, bwt, lcp = next(files.blocks(block))
+    order, rank = ranked(bwt)
+    to = rank[place]
+    new = np.sort(to)
+    after = new[np.append(new[1:] != new[:-1] + 1, True)] + 1
+    ask = np.concatenate([new, after])
+    ask = ask[(ask > 0) & (ask < len(order))]
+    a, b = order[ask - 1], order[ask]
+    same = (bwt[a] == bwt[b]) & (bwt[a] != END)
+    if not same.any():
+        return to, ask[:0], np.zeros(0, np.uint8)
+    return to, ask[same], least_between(lcp, a[same] + 1, b[same] + 1) + np.uint8(1)
+
+
 def scanned(files: Columns, place: np.ndarray, counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One pass over the columns: (the places that the rows at ``place``, sorted, lead to; the places of what is asked, and their common prefixes). counts: rows of each symbol.
 
@@ -389,17 +405,18 @@ def scanned(files: Columns, place: np.ndarray, counts: np.ndarray, block: int) -
     the least prefix since the symbol's last row. For symbols whose last row is in an earlier
     block, ``since`` holds the least so far; ``open_`` marks those whose next row is asked.
     """
+    if files.rows <= block:
+        return scanned_whole(files, place, block)
     seen, since, open_ = np.zeros(256, np.int64), np.full(256, 255, np.uint8), np.zeros(256, bool)
     symbols, occurrences, asked, prefixes = [], [], [], []
-    several, empty = files.rows > block, np.zeros(0, np.int64)
     at = 0
     for begin, bwt, lcp in files.blocks(block):
-        stop = int(np.searchsorted(place, begin + len(bwt))) if several else len(place)
+        stop = int(np.searchsorted(place, begin + len(bwt)))
         own = place[at:stop] - begin
         at = stop
         order, rank = ranked(bwt)
         first = np.zeros(257, dtype=np.int64)
-        np.cumsum(np.bincount(bwt, minlength=256) if several else counts, out=first[1:])
+        np.cumsum(np.bincount(bwt, minlength=256), out=first[1:])
         here = rank[own]
         sym = bwt[own]
         symbols.append(sym)
@@ -409,10 +426,8 @@ def scanned(files: Columns, place: np.ndarray, counts: np.ndarray, block: int) -
         after = new[np.append(new[1:] != new[:-1] + 1, True)] + 1 if len(new) else new
         after = after[after < len(bwt)]
         after = after[bwt[order[after]] == bwt[order[after - 1]]]
-        pending = np.flatnonzero(open_ & (first[1:] > first[:-1])) if several else empty
-        ask = np.concatenate([new, after, first[pending]]) if several else np.concatenate([new, after])
-        if several:
-            ask = np.unique(ask)
+        pending = np.flatnonzero(open_ & (first[1:] > first[:-1]))
+        ask = np.unique(np.concatenate([new, after, first[pending]]))
         s = bwt[order[ask]]
         ask, s = ask[s != END], s[s != END]
         place_of = ask - first[s] + seen[s]  # the occurrence
@@ -420,18 +435,17 @@ def scanned(files: Columns, place: np.ndarray, counts: np.ndarray, block: int) -
         close = ask > first[s]
         if close.any():
             prefix[close] = least_between(lcp, order[ask[close] - 1] + 1, order[ask[close]] + 1) + 1
-        if several:
-            far = ~close & (seen[s] > 0)
-            if far.any():
-                running = np.minimum.accumulate(lcp)
-                prefix[far] = np.minimum(since[s[far]], running[order[ask[far]]]) + 1
-            open_[pending] = False
-            open_[sym[here + 1 == first[sym.astype(np.int64) + 1]]] = True
-            there = np.flatnonzero(first[1:] > first[:-1])
-            tail = np.minimum.accumulate(lcp[::-1])[::-1]
-            last = order[first[there + 1] - 1] + 1
-            since = np.minimum(since, tail[0])
-            since[there] = np.where(last < len(bwt), tail[np.minimum(last, len(bwt) - 1)], 255)
+        far = ~close & (seen[s] > 0)
+        if far.any():
+            running = np.minimum.accumulate(lcp)
+            prefix[far] = np.minimum(since[s[far]], running[order[ask[far]]]) + 1
+        open_[pending] = False
+        open_[sym[here + 1 == first[sym.astype(np.int64) + 1]]] = True
+        there = np.flatnonzero(first[1:] > first[:-1])
+        tail = np.minimum.accumulate(lcp[::-1])[::-1]
+        last = order[first[there + 1] - 1] + 1
+        since = np.minimum(since, tail[0])
+        since[there] = np.where(last < len(bwt), tail[np.minimum(last, len(bwt) - 1)], 255)
         seen += np.diff(first)
         asked.append(place_of + (s.astype(np.int64) << 40))
         prefixes.append(prefix)
@@ -460,8 +474,8 @@ def build(strings: list[bytes], block: int = BLOCK) -> tuple[np.ndarray, np.ndar
             rank, asked, prefix = scanned(files, place[order], counts, block)
             place[order] = m + rank
             # The new rows in their order, and the rows whose common prefix changes, go in as the old ones pass by.
-            sort = np.argsort(rank.astype(np.int32))
-            order, at = order[sort], m + rank[sort]
+            sort = np.argsort(rank)
+            order, at = order[sort], m + rank[sort].astype(np.int64)
             symbols = before(order, j)
             counts += np.bincount(symbols, minlength=256)
             asked += m
@@ -575,6 +589,7 @@ def spans(docs: DataFrame) -> DataFrame:
     texts = long.join(small(copies, 32), same, "left_anti").select("doc_id", "sig", "text")
     buckets = buckets_for(long)
     wanted = materialise(by_document(shared(entries(texts, buckets), buckets), buckets, PIECE, pack), "shared-pieces")
+    release(docs.sparkSession)  # the first half's shuffles
     found = by_document(covered(pieces(texts, wanted, buckets), buckets), buckets, RANGE, merged)
     removed = materialise(found.select("*", F.lit(False).alias("copy")).union(copies.select("s_doc", "s_sig", F.lit(None).cast("binary"), F.lit(True))), "removed-runs")
     return own.join(removed.hint("merge"), same, "left").select("doc_id", "sig", "text", "blob", "copy")
