@@ -104,7 +104,7 @@ def _stub(text: str) -> list[dict]:
 
 
 add("engine_findings", "contracts", lambda c: extraction.populate(c, _stub).select("document_id", "type_id", F.coalesce("char_start", F.lit(-1)).alias("char_start"), "alignment", "confidence"),
-    "SELECT document_id, 'Company' AS type_id, strpos(text, 'customer ') - 1 AS char_start, 'match_exact' AS alignment, 0.9::DOUBLE AS confidence FROM contracts UNION ALL SELECT document_id, 'Clause', -1, NULL, 0.2::DOUBLE FROM contracts")
+    "SELECT document_id, 'Company' AS type_id, (strpos(text, 'customer ') - 1)::INTEGER AS char_start, 'match_exact' AS alignment, 0.9::DOUBLE AS confidence FROM contracts UNION ALL SELECT document_id, 'Clause', -1::INTEGER, NULL, 0.2::DOUBLE FROM contracts")
 
 
 def _placed(c: DataFrame) -> DataFrame:
