@@ -60,7 +60,7 @@ MOST = LENGTH - GRAM + 1
 #: Least number of buckets, bytes of text for each of more, and fine buckets of each.
 BUCKETS, PER_BUCKET, STEP = 256, 1 << 25, 16
 #: Bytes of text, and pieces, that a task holds before it deals them out.
-HELD, HELD_PIECES = 1 << 24, 400_000
+HELD, HELD_PIECES = 1 << 23, 150_000
 #: Bytes of a collection that is built at once, and rows of its columns that are read at a time.
 COLLECTION, BLOCK = 1 << 19, 1 << 19
 END = 255  # stands after each string; no byte of UTF-8
@@ -87,13 +87,14 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Each bucket and its part of the columns, in order."""
+def dealt(bucket: np.ndarray, *columns: np.ndarray, rows: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each bucket and its part of the columns, in order; bucket has that of each of ``rows``, all if none are given."""
     if len(bucket):
         order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")
         values, first = np.unique(bucket[order], return_index=True)
         ends = [*first[1:].tolist(), len(bucket)]
-        ordered = [c[order] for c in columns]
+        at = order if rows is None else rows[order]
+        ordered = [c[at] for c in columns]
         for value, a, b in zip(values.tolist(), first.tolist(), ends, strict=True):
             yield value, [c[a:b] for c in ordered]
 
@@ -185,19 +186,21 @@ def entries(docs: DataFrame, buckets: Buckets) -> DataFrame:
                 fits = np.flatnonzero(own == end)
                 speak[fits[np.unique(group[fits], return_index=True)[1]]] = True
             rest = np.sort(at[(least < most) & ~speak])  # by document: they pack well
+            del order, first
             stay = np.ones(len(key), dtype=bool)
             stay[rest] = False
+            stay = np.flatnonzero(stay)
+            bucket = ((key >> np.uint64(32)) * count >> np.uint64(32)).astype(np.int32)
             low = key & np.uint64((1 << 44) - 1)
-            bucket = ((key >> np.uint64(32)) * count >> np.uint64(32)).astype(np.int64)
-            rows = [(b, 0, pack(*part)) for b, part in dealt(bucket[stay], *(c[stay] for c in (low, doc, sig, start, windows)))]
+            rows = [(b, 0, pack(*part)) for b, part in dealt(bucket[stay], low, doc, sig, start, windows, rows=stay)]
             for i in np.array_split(rest, -(-len(rest) // 50_000) or 1):
                 if len(i):
-                    fine = (bucket[i] * STEP + (low[i] >> np.uint64(40)).astype(np.int64)).astype(np.uint32)
+                    fine = (bucket[i].astype(np.int64) * STEP + (low[i] >> np.uint64(40)).astype(np.int64)).astype(np.uint32)
                     rows.append((int(mixed(doc[i[:1]].view(np.uint64))[0] % count), 1, pack(doc[i], sig[i], start[i], windows[i], fine)))
             return pd.DataFrame(rows, columns=["bucket", "kind", "blob"])
 
         for batch in batches:
-            for ids, sigs, texts in slices(batch, 1 << 20):
+            for ids, sigs, texts in slices(batch, 1 << 19):
                 new = [i for i, name in enumerate(zip(ids.tolist(), sigs.tolist(), strict=True)) if name not in seen and not seen.add(name)]
                 owner, start, windows, key = cut([texts[i] for i in new])
                 # Least hashes are small ones: mixed again, they spread over all buckets alike.
@@ -295,7 +298,7 @@ def pieces(docs: DataFrame, wanted: DataFrame, buckets: Buckets) -> DataFrame:
             np.minimum.at(least, which, doc)
             go, rest = np.flatnonzero(doc == least[which]), np.flatnonzero(doc > least[which])
             rows = []
-            for b, (which_ones, *part) in dealt(fine[go].astype(np.int64) // STEP, go, *(c[go] for c in (doc, sig, start, windows, fine))):
+            for b, (which_ones, *part) in dealt(fine[go].astype(np.int64) // STEP, np.arange(len(doc)), doc, sig, start, windows, fine, rows=go):
                 data = zstandard.ZstdCompressor(level=1).compress(b"".join([taken[j] for j in which_ones.tolist()]))
                 rows.append((b, 0, pack(*part), data))
             for i in np.array_split(rest, -(-len(rest) // 50_000) or 1):
@@ -600,18 +603,19 @@ def apply(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text, blob, copy in zip(batch["text"], batch["blob"], batch["copy"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                begin, end = [], []
-                if copy is True or copy == 1:
-                    begin, end = [0], [len(data)]
-                elif blob is not None:
-                    begin, end = (x.tolist() for x in unpack(blob, "u4", "u4"))
-                kept = b"".join(data[a:b] for a, b in zip([0, *end], [*begin, len(data)], strict=True))
-                rows.append((len(data), len(data) - len(kept), len(begin), kept))
-            ids = batch["doc_id"].astype("Int64")
-            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"]).assign(doc_id=ids.to_numpy(dtype=object, na_value=None))[["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]]
+            for part in (batch.iloc[i : i + 1000] for i in range(0, len(batch), 1000)):
+                rows = []
+                for text, blob, copy in zip(part["text"], part["blob"], part["copy"], strict=True):
+                    data = text.encode("utf-8", "surrogatepass")
+                    begin, end = [], []
+                    if copy is True or copy == 1:
+                        begin, end = [0], [len(data)]
+                    elif blob is not None:
+                        begin, end = (x.tolist() for x in unpack(blob, "u4", "u4"))
+                    kept = b"".join(data[a:b] for a, b in zip([0, *end], [*begin, len(data)], strict=True))
+                    rows.append((len(data), len(data) - len(kept), len(begin), kept))
+                ids = part["doc_id"].astype("Int64")
+                yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"]).assign(doc_id=ids.to_numpy(dtype=object, na_value=None))[["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]]
 
     return spans(docs).select("doc_id", "text", "blob", "copy").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
