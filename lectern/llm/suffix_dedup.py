@@ -595,6 +595,8 @@ def spans(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)  # the first half's shuffles
     found = by_document(covered(pieces(texts, wanted, buckets), buckets), buckets, RANGE, merged)
     removed = materialise(found.select("*", F.lit(False).alias("copy")).union(copies.select("s_doc", "s_sig", F.lit(None).cast("binary"), F.lit(True))), "removed-runs")
+    del found, wanted
+    release(docs.sparkSession)  # and those of the second
     return own.join(removed.hint("merge"), same, "left").select("doc_id", "sig", "text", "blob", "copy")
 
 
