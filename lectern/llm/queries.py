@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, licenses, line_dedup, packing, quality_gam, quality_rules, secrets, simhash, spelling, suffix_dedup, toxicity, upsert
+from lectern.llm import decontaminate, licenses, line_dedup, packing, quality_gam, quality_rules, secrets, simhash, spelling, substring_dedup, suffix_dedup, toxicity, upsert
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": over_documents(simhash.report),
         "op10_decontamination": lambda spark, d: decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op11_keyed_upsert": lambda spark, d: upsert.report(table(spark, d, "clients"), table(spark, d, "client_changes")),
+        "op12_substring_dedup": over_documents(substring_dedup.report),
         "op13_spelling_variants": over_documents(spelling.groups),
     }
 
