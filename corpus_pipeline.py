@@ -9,10 +9,12 @@ packed: the last stage returns one row per piece. All others return the columns
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontaminate, line_dedup, packing, quality_rules, simhash
-from lectern.llm.common import finished, remove, written, written_path
+from lectern.llm.common import finished, remove, written_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        since = written()
-        docs = finished(stage(spark, docs, sf_dir), f"stage-{i}", since)  # what the stage wrote for itself goes
+        docs = finished(partial(stage, spark, docs, sf_dir), f"stage-{i}")  # what the stage wrote for itself goes
         remove(spark, [path] if path else [])
         path = written_path(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

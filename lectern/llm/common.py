@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 import numpy as np
@@ -22,8 +24,8 @@ WHITE = " \t\n\x0b\x0c\r"
 BROADCAST_BYTES = 32 << 20
 
 
-#: What this process has written and not removed.
-_made: list[str] = []
+#: The tables that the runs which are on have written, each run in a list of its own.
+_runs: ContextVar[tuple[list[str], ...]] = ContextVar("runs", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +46,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append(path)
+    for made in _runs.get():
+        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
@@ -61,14 +64,24 @@ def remove(spark: SparkSession, paths: Iterable[str]) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(hadoop).delete(where, True)
-        if path in _made:
-            _made.remove(path)
 
 
-def finished(df: DataFrame, name: str, since: int) -> DataFrame:
-    """df written, and the tables that were written on its way (from number ``since`` of ``written()`` on) removed."""
-    out = materialise(df, name)
-    remove(df.sparkSession, _made[since:-1])
+@contextmanager
+def written_tables() -> Iterator[list[str]]:
+    """The list of tables that are written inside, by this thread's own work alone."""
+    made: list[str] = []
+    token = _runs.set((*_runs.get(), made))
+    try:
+        yield made
+    finally:
+        _runs.reset(token)
+
+
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written; the tables that it wrote on its way are removed."""
+    with written_tables() as made:
+        out = materialise(make(), name)
+    remove(out.sparkSession, [path for path in made if path != written_path(out)])
     return out
 
 
@@ -78,11 +91,6 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def written() -> int:
-    """How many written tables there are."""
-    return len(_made)
-
-
 def column(name: str) -> Column:
     """A column by its name as it is, dots and backticks among it."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -56,3 +56,13 @@ def test_windows_that_most_documents_share_are_salted(spark):
     texts = [f"{i}\na\nb\nc\nd{i}" for i in range(1500)]
     got = line_dedup.report(frame(spark, texts)).where("n_removed = 3").count()
     assert got == 1499
+
+
+def test_repeated_doc_ids_lose_no_line_of_their_own(spark):
+    texts = ["x1\nx2\nx3\nq", "x1\nx2\nx3\nz", "u1 only\nu2 only\nu3 only\nu4 only", "u1 only\nu2 only\nu3 only\nv"]
+    docs = frame(spark, texts, [1, 2, 2, 3])
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.clean(docs).collect())
+    assert got == [(1, texts[0]), (2, texts[2]), (2, "z"), (3, "v")]
+    # Two texts of one doc_id share lines: these stay in one of them.
+    both = line_dedup.clean(frame(spark, ["s1\ns2\ns3\na", "b\ns1\ns2\ns3"], [5, 5])).collect()
+    assert sorted(x for r in both for x in r["text"].split("\n")) == ["a", "b", "s1", "s2", "s3"]
