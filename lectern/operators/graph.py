@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A graph of so many links at most is worked through by one task, which spares the rounds of jobs that larger ones need; betweenness
-#: from all sources is dealt out from fewer on.
-SMALL, SINGLE = 1_000_000, 5_000
+#: Components of a graph of so many links at most are found by one task, which spares the rounds of jobs that larger ones need;
+#: betweenness from all sources is dealt out from fewer on, and walks over dictionaries (cut vertices, communities) end at fewer still.
+SMALL, SINGLE, WALKED = 1_000_000, 5_000, 20_000
 
 
 def statements(edges: DataFrame, mentions: DataFrame, entities: DataFrame, reviewed_only: bool = False) -> DataFrame:
@@ -58,8 +60,13 @@ def isolates(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df without its lineage: in the checkpoint folder where there is one, else (tests) in memory."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """df without its lineage: written to the checkpoint folder where there is one, once, which ``checkpoint`` would work out twice; else (tests) in memory."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        return df.persist()
+    path = f"{spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def adjacency_of(a: np.ndarray, b: np.ndarray) -> dict[str, list[str]]:
@@ -139,14 +146,6 @@ def components_by_rounds(links: DataFrame, rounds: int = 200) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def by_component(links: DataFrame, function: Callable[[dict[str, list[str]]], pd.DataFrame], schema: str) -> DataFrame:
-    """function(adjacency): of the whole graph in one task if it is small, else of each component."""
-    if is_small(links):
-        return in_one_task(links, function, schema)
-    labelled = neighbours(links).join(components(links).withColumnRenamed("node", "a"), "a")
-    return labelled.groupBy("component").applyInPandas(lambda pdf: function(adjacency_of(pdf["a"].to_numpy(), pdf["b"].to_numpy())), schema)
-
-
 def described(labels: DataFrame, nodes: DataFrame, links: DataFrame, key: str = "component") -> DataFrame:
     """Each group of nodes (node, key): size, types, the five nodes with most neighbours, and the first of these as its label. nodes: node, name, type_id."""
     told = labels.join(nodes, "node").join(degrees(links), "node", "left").fillna(0, ["degree"])
@@ -188,8 +187,67 @@ def cut_vertices(adjacency: dict[str, list[str]]) -> set[str]:
     return cut
 
 
+def spanning_forest(both: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """(node, parent, level) of breadth-first trees from the roots, over links in both directions, and how deep they are; a node's parent is its smallest neighbour a level up."""
+    levels = [kept(roots.select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")))]
+    while True:
+        seen = reduce(DataFrame.union, [at.select("node") for at in levels[-2:]])  # neighbours are one level apart at most
+        ahead = levels[-1].select(F.col("node").alias("a")).join(both, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        ahead = kept(ahead.join(seen, "node", "left_anti").withColumn("level", F.lit(len(levels))))
+        if ahead.isEmpty():
+            return kept(reduce(DataFrame.union, levels)), len(levels) - 1
+        levels.append(ahead)
+
+
+def blocks(links: DataFrame) -> DataFrame:
+    """(node, parent, block): the links of a spanning forest, and which of them lie in one block (biconnected component), named by one of its nodes.
+
+    A link outside the forest closes a cycle with the paths from its ends up to where they meet,
+    and all links on a cycle are in one block. In breadth-first trees the ends are one level
+    apart at most. So pairs of nodes of a level rise together, level by level: each pair's
+    links are in one block, and as long as the parents differ, so are those above, and the
+    parents are a pair in turn. Equal pairs rise as one. Blocks are the components of what was
+    found to belong together. There are as many rounds as the trees have levels; no task
+    holds more than its share of a level.
+    """
+    both = kept(neighbours(links))
+    tree, depth = spanning_forest(both, components(links).where("node = component").select("node"))
+    up = tree.where("parent IS NOT NULL")
+    side = lambda k: tree.select(F.col("node").alias(k), F.col("parent").alias(f"above_{k}"), F.col("level").alias(f"level_{k}"))
+    outside = both.where("a < b").join(side("a"), "a").join(side("b"), "b").where("NOT (above_a <=> b OR above_b <=> a)")
+    pair = lambda x, y: (F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    level = outside.where("level_a = level_b").select(*pair("a", "b"), F.col("level_a").alias("level"))
+    deeper = F.col("level_a") > F.col("level_b")
+    far, near, above = (F.when(deeper, F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a"), ("above_a", "above_b")))
+    steep = outside.where("level_a <> level_b").select(far.alias("far"), near.alias("near"), above.alias("above"), F.least("level_a", "level_b").alias("level"))
+    pairs = kept(level.union(steep.select(*pair("near", "above"), "level")).distinct())
+    together = [steep.select("far", "near"), steep.select("far", "above")]
+    rising = None
+    for at in range(depth, 0, -1):
+        now = pairs.where(F.col("level") == at).select("x", "y")
+        now = kept(now if rising is None else now.union(rising).distinct())
+        rising = None
+        if not now.isEmpty():
+            above = lambda k: up.select(F.col("node").alias(k), F.col("parent").alias(f"above_{k}"))
+            told = kept(now.join(above("x"), "x").join(above("y"), "y").where("above_x <> above_y"))
+            together += [now, told.select("x", "above_x"), told.select("y", "above_y")]
+            rising = told.select(*pair("above_x", "above_y"))
+    named = components(kept(reduce(DataFrame.union, [t.toDF("a", "b") for t in together]).distinct()))
+    return up.join(named, "node", "left").select("node", "parent", F.coalesce("component", "node").alias("block"))
+
+
+def block_members(found: DataFrame) -> DataFrame:
+    """(block, node): a cut vertex is in several blocks."""
+    return found.select("block", "node").union(found.select("block", "parent")).distinct()
+
+
 def articulation_points(links: DataFrame) -> DataFrame:
-    return by_component(links, lambda adj: pd.DataFrame({"node": sorted(cut_vertices(adj))}, dtype=object), "node string")
+    """Nodes whose removal parts their component: those in several blocks; by a walk if the graph is small, with the same result."""
+    if is_small(links, WALKED):
+        return in_one_task(links, lambda adjacency: pd.DataFrame({"node": sorted(cut_vertices(adjacency))}, dtype=object), "node string")
+    ends = blocks(links)
+    ends = ends.select("node", "block").union(ends.select("parent", "block"))
+    return ends.groupBy("node").agg(F.min("block").alias("first"), F.max("block").alias("last")).where("first <> last").select("node")
 
 
 def dependencies(start: np.ndarray, other: np.ndarray, sources: np.ndarray) -> np.ndarray:
@@ -247,7 +305,7 @@ def betweenness(links: DataFrame, sources: int | None = None) -> DataFrame:
     order = np.lexsort((right, left))
     held = spark.sparkContext.broadcast((np.r_[0, np.cumsum(np.bincount(left, minlength=n))], right[order]))
     nodes = spark.createDataFrame(list(enumerate(names.tolist())), "place long, node string")
-    chosen = nodes if sources is None or sources >= n else nodes.orderBy(F.xxhash64("node")).limit(sources)
+    chosen = nodes if sources is None or sources >= n else nodes.orderBy(F.sha2("node", 256)).limit(sources)
     scale = (n / sources if sources and sources < n else 1.0) / max(1, (n - 1) * (n - 2))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,7 +338,7 @@ def central(adjacency: dict[str, list[str]], sources: int | None) -> pd.DataFram
 def structure(links: DataFrame, method: str = "label_propagation") -> DataFrame:
     """(node, degree, component, is_cut, community) of every node that has a link: all in one task if the graph is small, else one after the other."""
     schema = "node string, degree long, component string, is_cut boolean, community string"
-    if is_small(links):
+    if is_small(links, WALKED):
 
         def run(adjacency: dict[str, list[str]]) -> pd.DataFrame:
             cut, label = cut_vertices(adjacency), METHODS[method](adjacency)
@@ -301,7 +359,7 @@ def betweenness_by_joins(links: DataFrame, sources: int | None = None) -> DataFr
     both = kept(neighbours(links))
     nodes = both.select(F.col("a").alias("node")).distinct()
     n = nodes.count()
-    chosen = nodes if sources is None or sources >= n else nodes.orderBy(F.xxhash64("node")).limit(sources)
+    chosen = nodes if sources is None or sources >= n else nodes.orderBy(F.sha2("node", 256)).limit(sources)
     scale = (n / sources if sources and sources < n else 1.0) / max(1, (n - 1) * (n - 2))
     levels = [kept(chosen.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))]
     reached = levels[0].select("s", "node")
@@ -344,8 +402,12 @@ def propagated(adjacency: dict[str, list[str]]) -> dict[str, str]:
 
 def louvain(adjacency: dict[str, list[str]]) -> dict[str, str]:
     """Communities by greedy modularity: nodes move to the neighbouring community that gains most, then communities become nodes, until none moves."""
-    weights: dict[str, dict[str, float]] = {k: {o: 1.0 for o in v} for k, v in adjacency.items()}
-    belongs = {k: k for k in adjacency}
+    return louvain_of({k: {o: 1.0 for o in v} for k, v in adjacency.items()})
+
+
+def louvain_of(weights: dict[str, dict[str, float]]) -> dict[str, str]:
+    """The same of links with weights, told from both ends; a node's link to itself counts what is inside it twice."""
+    belongs = {k: k for k in weights}
     total = sum(sum(w.values()) for w in weights.values())
     while True:
         label = {k: k for k in weights}
@@ -377,12 +439,104 @@ def louvain(adjacency: dict[str, list[str]]) -> dict[str, str]:
         weights = grouped
 
 
+def moved(weights: DataFrame, total: float, rounds: int) -> tuple[DataFrame, float]:
+    """(node, community) after nodes have moved between communities for some rounds, and its modularity.
+
+    weights: a, b, w, from both ends. In each round every node finds the neighbouring community
+    that gains most, by the links there and the sums of degrees, and half of the nodes, by hash,
+    move; of two single nodes only the larger moves to the smaller. So neighbours rarely change
+    places, and the best state seen is kept.
+    """
+    label = kept(weights.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d")).withColumn("community", F.col("node")))
+    loops = weights.where("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    best, best_q, flat = label, -2.0, 0
+    for step in range(rounds):
+        held = label.groupBy("community").agg(F.sum("d").alias("sum"), F.count(F.lit(1)).alias("size"))
+        to = weights.where("a <> b").join(label.select(F.col("node").alias("b"), F.col("community").alias("to")), "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("w").alias("k"))
+        own = label.join(held, "community")
+        offers = to.join(held.toDF("to", "to_sum", "to_size"), "to").join(own, "node")
+        gain = F.round(F.col("k") - F.col("d") * F.col("to_sum") / total, 9)
+        inside = F.max(F.when(F.col("to") == F.col("community"), F.col("k")))
+        other = F.max(F.when(F.col("to") != F.col("community"), F.struct(gain.alias("gain"), "to", "to_size")))
+        each = own.join(offers.groupBy("node").agg(inside.alias("inside"), other.alias("best")), "node", "left").withColumn("inside", F.coalesce("inside", F.lit(0.0)))
+        stay = F.col("inside") - F.col("d") * (F.col("sum") - F.col("d")) / total
+        alone = (F.col("size") == 1) & (F.col("best.to_size") == 1) & (F.col("best.to") > F.col("community"))
+        wants = F.coalesce((F.col("best.gain") > stay + 1e-7) & ~alone, F.lit(False))
+        told = kept(each.withColumn("wants", wants))
+        found = told.agg(F.sum("inside"), F.sum(F.col("d") * F.col("sum")), F.count_if("wants")).first()
+        q = ((found[0] or 0.0) + loops) / total - (found[1] or 0.0) / total**2
+        flat = 0 if q > best_q + 1e-3 else flat + 1
+        if q > best_q:
+            best, best_q = label, q
+        if not found[2] or flat > 2:
+            break
+        goes = F.col("wants") & (F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == 0)
+        label = kept(told.select("node", "d", F.when(goes, F.col("best.to")).otherwise(F.col("community")).alias("community")))
+    return best.select("node", "community"), best_q
+
+
+def modular_by_rounds(links: DataFrame, rounds: int = 16) -> DataFrame:
+    """(node, community) by greedy modularity: ``moved``, then communities become nodes, until they gain no more or the graph they make is small enough to walk."""
+    weights = kept(neighbours(links).withColumn("w", F.lit(1.0)))
+    total = float(weights.count())
+    if not total:
+        return weights.select(F.col("a").alias("node"), F.col("b").alias("community"))
+    belongs, last = None, -2.0
+    while True:
+        labels, q = moved(weights, total, rounds)
+        if q <= last + 1e-5:
+            break
+        last = q
+        belongs = kept(labels if belongs is None else belongs.join(labels.toDF("community", "next"), "community").select("node", F.col("next").alias("community")))
+        ends = weights.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b")
+        weights = kept(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
+        if is_small(weights, WALKED):
+            break
+    if is_small(weights, WALKED):
+
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[str, dict[str, float]] = {}
+            for batch in batches:
+                for a, b, w in zip(batch["a"], batch["b"], batch["w"], strict=True):
+                    held.setdefault(a, {})[b] = w
+            found = louvain_of({k: held[k] for k in sorted(held)})
+            yield pd.DataFrame({"community": list(found), "next": list(found.values())}, dtype=object)
+
+        further = weights.coalesce(1).mapInPandas(walk, "community string, next string")
+        belongs = belongs.join(further, "community").select("node", F.col("next").alias("community"))
+    return belongs
+
+
+def propagated_by_rounds(links: DataFrame, rounds: int = 50) -> DataFrame:
+    """(node, community) by label propagation in which half of the nodes, by hash, take the most frequent label around in each round, the smallest of equals, and keep their own if it is among them."""
+    both = kept(neighbours(links))
+    label = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
+    for step in range(rounds):
+        around = both.join(label.toDF("b", "to"), "b").groupBy(F.col("a").alias("node"), "to").agg(F.count(F.lit(1)).alias("k"))
+        counted = around.join(label, "node").groupBy("node", "community").agg(F.max("k").alias("most"), F.max(F.when(F.col("to") == F.col("community"), F.col("k"))).alias("own"), F.min(F.struct((-F.col("k")).alias("k"), "to")).alias("best"))
+        told = kept(counted.withColumn("wants", ~F.col("own").eqNullSafe(F.col("most"))))
+        if told.where("wants").isEmpty():
+            break
+        goes = F.col("wants") & (F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == 0)
+        label = told.select("node", F.when(goes, F.col("best.to")).otherwise(F.col("community")).alias("community"))
+    return label
+
+
 METHODS = {"label_propagation": propagated, "louvain": louvain}
+BY_ROUNDS = {"label_propagation": propagated_by_rounds, "louvain": modular_by_rounds}
 
 
 def communities(links: DataFrame, method: str = "label_propagation") -> DataFrame:
-    """(node, community), named by its smallest node; by label propagation (the most frequent label around, the smallest of equals, keeping one's own if among them) or greedy modularity."""
+    """(node, community), named by its smallest node; by label propagation (the most frequent label around, the smallest of equals, keeping one's own if among them) or greedy modularity.
+
+    Both are heuristics. A small graph is walked by one task, node by node; a larger one goes by
+    rounds, in which many nodes move at once, so that its partition may be another of like modularity.
+    """
     find = METHODS[method]
+    if not is_small(links, WALKED):
+        found = kept(BY_ROUNDS[method](links))
+        least = found.groupBy("community").agg(F.min("node").alias("least"))
+        return found.join(least, "community").select("node", F.col("least").alias("community"))
 
     def run(adjacency: dict[str, list[str]]) -> pd.DataFrame:
         label = find(adjacency)
@@ -391,7 +545,7 @@ def communities(links: DataFrame, method: str = "label_propagation") -> DataFram
             least.setdefault(label[node], node)
         return pd.DataFrame({"node": list(label), "community": [least[c] for c in label.values()]}, dtype=object)
 
-    return by_component(links, run, "node string, community string")
+    return in_one_task(links, run, "node string, community string")
 
 
 def modularity(links: DataFrame, labels: DataFrame) -> DataFrame:

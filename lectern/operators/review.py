@@ -80,6 +80,21 @@ def fold(base: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
+#: The status that a decision on a link between instances gives.
+EDGE_STATUS = {"edge_confirmed": "confirmed", "edge_amended": "amended", "edge_rejected": "rejected"}
+
+
+def edge_states(edges: DataFrame, log: DataFrame) -> DataFrame:
+    """edges (edge_id, status, link_type_id, source) as the log leaves them: the last decision gives the status. One that names a link type gives that too, and makes the edge amended and a person's."""
+    told = log.where(F.col("action").isin(list(EDGE_STATUS))).withColumn("kind", F.get_json_object("new_value", "$.link_type_id"))
+    retyped = F.col("kind").isNotNull() & (F.col("kind") != "")
+    status = F.when(retyped, "amended").otherwise(lookup(EDGE_STATUS, F.col("action")))
+    last = told.groupBy(F.col("row_id").alias("edge_id")).agg(F.max_by(status, "seq").alias("_status"), F.max_by(F.when(retyped, F.col("kind")), F.when(retyped, F.col("seq"))).alias("_kind"), F.count(F.lit(1)).alias("n_events"))
+    out = edges.join(last, "edge_id", "left")
+    changed = {"status": F.coalesce("_status", "status"), "link_type_id": F.coalesce("_kind", "link_type_id"), "source": F.when(F.col("_kind").isNotNull(), "human").otherwise(F.col("source"))}
+    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in edges.columns], F.coalesce("n_events", F.lit(0)).alias("n_events"))
+
+
 def row_history(log: DataFrame, row_id: str) -> DataFrame:
     return log.where(F.col("row_id") == row_id).orderBy("seq")
 
@@ -180,6 +195,37 @@ def offers(proposed: DataFrame, known: DataFrame) -> DataFrame:
     return told.dropDuplicates(["document_id", "fingerprint"]).join(known.select("document_id", "fingerprint"), ["document_id", "fingerprint"], "left_anti")
 
 
+def settled_offers(offered: DataFrame, log: DataFrame) -> DataFrame:
+    """offered (suggestion_id, ...) with what became of each: the first decision counts, later ones find nothing to decide. An accepted one names its instance."""
+    told = log.where("action IN ('accept_suggestion', 'dismiss_suggestion')").groupBy(F.col("row_id").alias("suggestion_id"))
+    first = told.agg(F.min_by(F.struct("action", "edited_by", "edited_at", "new_value"), "seq").alias("d"))
+    accepted = F.col("d.action") == "accept_suggestion"
+    status = F.when(F.col("d").isNull(), "offered").when(accepted, "accepted").otherwise("dismissed")
+    instance = F.when(accepted, F.concat(F.lit("inst_"), F.substring(F.sha2(F.col("suggestion_id").cast("string"), 256), 1, 20)))
+    return offered.join(first, "suggestion_id", "left").select(*offered.columns, status.alias("status"), instance.alias("instance_id"), F.col("d.edited_by").alias("decided_by"), F.col("d.edited_at").alias("decided_at"), F.col("d.new_value").alias("given"))
+
+
+def accepted_instances(settled: DataFrame, declared: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
+    """What accepting makes of settled offers (..., type_id, properties map, quote, engine, confidence): instances with provenance, and what was not declared.
+
+    The values that the person gave (JSON) go over those offered, and ``corrected`` are the
+    offered ones that they changed. The instance is the person's and confirmed; the provenance keeps
+    the engine, its quotation and its confidence. A type that no bundle declares is not recorded.
+    """
+    known = F.create_map(*[x for t, ps in declared.items() for x in (F.lit(t), F.array(*map(F.lit, ps)))])
+    fine = settled.where("status = 'accepted'").withColumn("wanted", F.element_at(known, F.col("type_id")))
+    given = F.coalesce(F.from_json("given", "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    rows = fine.where("wanted IS NOT NULL").withColumnRenamed("properties", "offered").withColumn("new", given)
+    merged = F.map_zip_with("offered", "new", lambda k, a, b: F.coalesce(b, a))
+    kept = F.map_filter(merged, lambda k, v: F.array_contains("wanted", k))
+    corrected = F.array_sort(F.map_keys(F.map_filter("new", lambda k, v: ~F.coalesce(F.element_at("offered", k), F.lit("")).eqNullSafe(v))))
+    made = rows.select(
+        "instance_id", "document_id", "type_id", kept.alias("properties"), "confidence", F.lit("human").alias("source"), F.lit("confirmed").alias("status"), "suggestion_id",
+        F.concat(F.lit("companion:"), "engine").alias("source_label"), "page_no", F.col("quote").alias("excerpt"), corrected.alias("corrected"),
+    )
+    return made, fine.where("wanted IS NULL").select("suggestion_id", "type_id")
+
+
 def readings(log: DataFrame) -> DataFrame:
     """Per passage and reader: how often it was read, first and last."""
     return log.groupBy("document_id", "page_no", "actor", "engine").agg(F.count(F.lit(1)).alias("n_reads"), F.min("at").alias("first_read"), F.max("at").alias("last_read"))
@@ -201,6 +247,36 @@ def candidates(log: DataFrame) -> DataFrame:
     return out.select("candidate_id", status.alias("status"), F.when(status == "accepted", F.col("name")).alias("accepted_as"))
 
 
+# ---- registers ------------------------------------------------------------------------------
+
+
+def register_states(registers: DataFrame, log: DataFrame) -> DataFrame:
+    """(register_id, status, promoted_seq): staged until somebody promotes it, withdrawn if that was last. Promoting what is active already is no event: promoted_seq is the last that was one."""
+    told = log.where("table_name = 'registers' AND action IN ('promote', 'withdraw')").select(F.col("row_id").alias("register_id"), "seq", "action")
+    before = F.lag("action").over(Window.partitionBy("register_id").orderBy("seq"))
+    counted = told.withColumn("real", (F.col("action") == "promote") & ~before.eqNullSafe(F.lit("promote")))
+    last = counted.groupBy("register_id").agg(F.max_by("action", "seq").alias("last"), F.max(F.when(F.col("real"), F.col("seq"))).alias("promoted_seq"))
+    status = F.when(F.col("last") == "promote", "active").when(F.col("last") == "withdraw", "withdrawn").otherwise("staged")
+    return registers.select("register_id").join(last, "register_id", "left").select("register_id", status.alias("status"), "promoted_seq")
+
+
+def register_row_states(rows: DataFrame, states: DataFrame, log: DataFrame) -> DataFrame:
+    """rows (register_id, row_no, ...) with their status: what the last review says. A row that is staged when its register is promoted is accepted by that; one that was rejected stays so."""
+    told = log.where("table_name = 'register_rows' AND action = 'review'").select(F.split_part("row_id", F.lit(":"), F.lit(1)).alias("register_id"), F.split_part("row_id", F.lit(":"), F.lit(2)).cast(dict(rows.dtypes)["row_no"]).alias("row_no"), "seq", F.get_json_object("new_value", "$.status").alias("said"))
+    last = told.groupBy("register_id", "row_no").agg(F.max_by("said", "seq").alias("said"), F.max("seq").alias("said_seq"))
+    out = rows.join(last, ["register_id", "row_no"], "left").join(states.select("register_id", "promoted_seq"), "register_id", "left")
+    promoted = F.col("promoted_seq").isNotNull() & (F.col("said_seq").isNull() | (F.col("promoted_seq") > F.col("said_seq")))
+    status = F.when((F.coalesce("said", F.lit("staged")) == "staged") & promoted, "accepted").otherwise(F.coalesce("said", F.lit("staged")))
+    return out.select(*rows.columns, status.alias("status"))
+
+
+def exposed_keys(log: DataFrame) -> DataFrame:
+    """(register_id, key, column): the JSON keys that are columns now: exposed, and not hidden since."""
+    told = log.where("action IN ('expose_column', 'hide_column')").groupBy(F.col("document_id").alias("register_id"), F.col("row_id").alias("key"))
+    last = told.agg(F.max_by(F.struct("action", "new_value"), "seq").alias("l"))
+    return last.where("l.action = 'expose_column'").select("register_id", "key", F.coalesce("l.new_value", F.regexp_replace(F.lower("key"), "[^a-z0-9]+", "_")).alias("column"))
+
+
 # ---- redaction ------------------------------------------------------------------------------
 
 

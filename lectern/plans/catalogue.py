@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import scalar
-from lectern.operators import corpus, entities, graph, history, lint, quality, text
+from lectern.operators import corpus, entities, graph, history, lint, quality, search, text
 from lectern.plans.registry import add, oracle_sql, queries  # noqa: F401
 from lectern.sources import files
 
@@ -101,6 +101,24 @@ add("betweenness", "links", graph.betweenness)
 add("betweenness_sampled", "links", lambda k: graph.betweenness(k, 100))
 add("communities", "links", graph.communities)
 add("shared_counterparty", "links", graph.shared_neighbours)
+# What is left of each node's neighbourhood once the node is gone: the smallest node that each neighbour then reaches.
+APART = """, both_ways AS (SELECT a, b FROM kin UNION SELECT b, a FROM kin), r(v, u, node) AS (SELECT a, b, b FROM both_ways UNION SELECT v, u, b FROM r JOIN both_ways ON node = a WHERE b <> v),
+ parts AS (SELECT v, count(DISTINCT least_node) AS n FROM (SELECT v, u, min(node) AS least_node FROM r GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def _topology(k: DataFrame) -> DataFrame:
+    """One row: nodes, components, the largest of these, blocks and cut vertices."""
+    sizes = graph.components(k).groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_nodes"), F.count(F.lit(1)).alias("n_components"), F.max("n").alias("largest"))
+    shared = graph.block_members(graph.blocks(k)).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.crossJoin(shared.agg(F.count_if(F.col("n") > 1).alias("n_cut"), F.max("n").alias("most_blocks")))  # two single rows
+
+
+add("blocks_of_nodes", "kin", lambda k: graph.block_members(graph.blocks(k)).groupBy("node").agg(F.count(F.lit(1)).alias("n_blocks")), APART + " SELECT v AS node, n AS n_blocks FROM parts")
+add("client_cut_vertices", "kin", graph.articulation_points, APART + " SELECT v AS node FROM parts WHERE n > 1")
+add("client_topology", "kin", _topology, APART + ", c AS (SELECT v, least(v, min(node)) AS c FROM r GROUP BY 1), z AS (SELECT c, count(*) AS n FROM c GROUP BY 1) SELECT (SELECT sum(n) FROM z)::BIGINT AS n_nodes, (SELECT count(*) FROM z) AS n_components, (SELECT max(n) FROM z) AS largest, count(*) FILTER (n > 1) AS n_cut, max(n) AS most_blocks FROM parts")
+add("client_counterparties", "kin", lambda k: graph.shared_neighbours(k).select("via", "n_pairs"), APART + """, d AS (SELECT a, count(*) AS d FROM both_ways GROUP BY 1), t AS (SELECT x.a, count(*) // 2 AS t FROM both_ways x JOIN both_ways y ON x.a = y.a JOIN both_ways z ON z.a = x.b AND z.b = y.b GROUP BY 1)
+    SELECT v AS via, d * (d - 1) // 2 - coalesce(t, 0) AS n_pairs FROM parts JOIN d ON d.a = v LEFT JOIN t ON t.a = v WHERE n > 1 AND d * (d - 1) // 2 > coalesce(t, 0)""")
+add("client_communities", "kin", lambda k: graph.communities(k, "louvain"))
 START = "(SELECT min(a) FROM links)"
 
 
@@ -130,8 +148,8 @@ add("other_reading", "orders", lambda o: o.select("o_orderkey", scalar.other_rea
 add("align_quotes", "contracts", lambda c: text.align_quotes(c.select("document_id", "text", F.expr("substring(text, 6, 20)").alias("span"))), "SELECT document_id, 5::INTEGER AS start, 25::INTEGER AS end_, 'match_exact' AS status FROM contracts")
 add("paginate", "documents", lambda d: text.pages_of(d).groupBy("doc_id").agg(F.sum("char_count").cast("long").alias("n_chars"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), ""), 256).alias("joined")), "SELECT doc_id, length(text) AS n_chars, sha256(text) AS joined FROM documents")
 add("page_offsets", "documents", lambda d: text.page_offsets(text.pages_of(d)).groupBy("doc_id").agg(F.max("end_").cast("long").alias("n_chars"), F.min("start").cast("long").alias("first")), "SELECT doc_id, length(text) AS n_chars, 0::BIGINT AS first FROM documents")
-add("search_index", "documents", lambda d: text.inverted_index(d.where("text IS NOT NULL")).groupBy("word").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n")),
-    "WITH w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' ')) AS w FROM documents), s AS (SELECT doc_id, regexp_replace(w, '([a-z]{3})(ing|ed|es|s)$', '\\1') AS word FROM w WHERE w <> '') SELECT word, count(DISTINCT doc_id) AS n_documents, count(*)::BIGINT AS n FROM s GROUP BY 1")
+add("search_index", "documents", lambda d: search.postings(d, ["doc_id"]).groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.aggregate("at", F.lit(0).cast("long"), lambda s, p: s + p)).alias("places"), F.max("length").cast("long").alias("length")),
+    "WITH w AS (SELECT doc_id, len(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+'))::BIGINT AS n FROM documents) SELECT doc_id, n AS n_words, n * (n - 1) // 2 AS places, n AS length FROM w WHERE n > 0")
 
 # ---- corpus ---------------------------------------------------------------------------
 add("content_dedupe", "documents", corpus.ingest, "SELECT sha256(coalesce(text, '')) AS file_hash, min(doc_id) AS doc_id, count(*) AS n_copies, 'documents/' || left(sha256(coalesce(text, '')), 2) || '/' || sha256(coalesce(text, '')) AS storage_path FROM documents GROUP BY 1")

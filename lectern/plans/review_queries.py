@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import corpus, extraction, gate, history, quality, review
+from lectern.operators import corpus, extraction, gate, history, quality, review, runs
 from lectern.plans.registry import add
+from lectern.session import new_folder
+from lectern.sources.store import Store
 
 # ---- events and what they fold to -----------------------------------------------------------
 
@@ -204,3 +206,93 @@ def _calls(e: DataFrame) -> DataFrame:
 
 add("cloud_budget", "events", lambda e: gate.spent(_calls(e), gate.Policy(window="day"), "2024-01-02 10:00:00"), "SELECT count(*) AS n_calls, coalesce(sum(event_id), 0)::BIGINT AS chars FROM events WHERE event_type <> 'view' AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-03'")
 add("cloud_calls", "events", lambda e: gate.calls_by_document(_calls(e)), "SELECT user_id AS document_id, count(*) AS n_calls, count(*) FILTER (event_type = 'error') AS n_failed, sum(event_id)::BIGINT AS chars FROM events WHERE event_type <> 'view' GROUP BY 1")
+
+
+# ---- runs of an engine ------------------------------------------------------------------------
+
+
+def _flaky(text: str) -> list[dict]:
+    """The same engine on a bad day: it fails on what began in the first three months."""
+    import re
+
+    if re.search(r"\d{4}-0[1-3]-\d\d", text):
+        raise TimeoutError("no answer")
+    return _stub(text)
+
+
+def _ledger(c: DataFrame, o: DataFrame) -> DataFrame:
+    spark = c.sparkSession
+    before = o.select(F.lit("r0").alias("run_id"), F.col("o_orderkey").alias("document_id"), F.lit("local").alias("tier"), F.when(F.col("o_orderpriority") == "1-URGENT", "complete").otherwise("failed").alias("status"))
+    earlier = spark.createDataFrame([], runs.FINDINGS.format(key="bigint"))
+    return runs.made(c.select("document_id", "text"), earlier, before, "r1", "local", _flaky, "stub").ledger
+
+
+add("run_ledger", "contracts orders", _ledger, """SELECT 'r1' AS run_id, document_id, 'local' AS tier, 'stub' AS engine, CASE WHEN month(begun) <= 3 THEN 'partial' ELSE 'complete' END AS status,
+ CASE WHEN month(begun) <= 3 THEN 'TimeoutError: no answer' END AS error, 2::BIGINT AS n_deterministic, CASE WHEN month(begun) <= 3 THEN 0 ELSE 2 END::BIGINT AS n_found, 0::BIGINT AS n_superseded
+ FROM contracts JOIN orders ON o_orderkey = document_id WHERE o_orderpriority <> '1-URGENT'""")
+
+
+def _stored_runs(c: DataFrame) -> DataFrame:
+    """Documents to findings in a store: a bad day, a second try of what is due, and a forced run of the large contracts."""
+    store = Store(c.sparkSession, new_folder(c.sparkSession, "runs"))
+    documents = c.select("document_id", "text")
+    runs.run(store, documents, "r1", "local", _flaky, "stub")
+    runs.run(store, documents, "r2", "local", _stub, "stub")
+    runs.run(store, c.where("amount > 200000").select("document_id", "text"), "r3", "local", _stub, "stub", force=True)
+    return store.table("runs").select("run_id", "document_id", "status", "n_deterministic", "n_found", "n_superseded")
+
+
+add("stored_runs", "contracts", _stored_runs)
+
+# ---- decisions on edges, offers, documents and registers ----------------------------------------
+
+
+def _edges_decided(e: DataFrame) -> DataFrame:
+    event = lambda rows, seq, action, value: rows.select(F.col("edge_id").alias("row_id"), F.lit(seq).alias("seq"), F.lit(action).alias("action"), F.lit(value).cast("string").alias("new_value"))
+    log = event(e.where("status = 'unconfirmed'"), 1, "edge_confirmed", None).union(event(e.where("link_type_id = 'A'"), 2, "edge_confirmed", '{"link_type_id":"AA"}')).union(event(e.where("link_type_id = 'R'"), 3, "edge_rejected", None)).union(event(e.where("confidence < 0.6"), 4, "note", "unsure"))
+    return review.edge_states(e.select("edge_id", "status", "link_type_id", F.lit("ai_local").alias("source")), log)
+
+
+add("edge_states", "edges", _edges_decided, """SELECT edge_id, CASE WHEN link_type_id = 'A' THEN 'amended' WHEN link_type_id = 'R' THEN 'rejected' WHEN status = 'unconfirmed' THEN 'confirmed' ELSE status END AS status,
+ CASE WHEN link_type_id = 'A' THEN 'AA' ELSE link_type_id END AS link_type_id, CASE WHEN link_type_id = 'A' THEN 'human' ELSE 'ai_local' END AS source, ((status = 'unconfirmed')::BIGINT + (link_type_id IN ('A', 'R'))::BIGINT) AS n_events FROM edges""")
+
+
+def _settled(line: DataFrame) -> DataFrame:
+    """Offers of lines, some decided, some of these twice."""
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    offered = line.select(
+        key.alias("suggestion_id"), F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_no"), F.when(F.col("l_linenumber") == 7, "Riddle").otherwise("Clause").alias("type_id"),
+        F.create_map(F.lit("flag"), "l_returnflag", F.lit("state"), "l_linestatus", F.lit("stray"), F.lit("x")).alias("properties"), F.lit("said so").alias("quote"), F.concat(F.lit("e"), "l_linenumber").alias("engine"), F.lit(0.7).alias("confidence"),
+    )
+    event = lambda rows, seq, action, value: rows.select(key.alias("row_id"), F.lit(seq).alias("seq"), F.lit(action).alias("action"), F.lit(value).cast("string").alias("new_value"), F.lit("ana").alias("edited_by"), F.lit("2024-05-01").cast("timestamp").alias("edited_at"))
+    log = event(line.where("l_returnflag = 'A'"), 1, "accept_suggestion", '{"state":"O"}').union(event(line.where("l_returnflag = 'R'"), 2, "dismiss_suggestion", None)).union(event(line.where("l_returnflag <> 'N'"), 3, "accept_suggestion", '{"state":"late"}'))
+    return review.settled_offers(offered, log)
+
+
+add("accepted_offers", "lineitem", lambda line: review.accepted_instances(_settled(line), {"Clause": ["flag", "state"]})[0].select("instance_id", "suggestion_id", "type_id", "status", "source", "source_label", F.to_json("properties").alias("properties"), F.array_join("corrected", ",").alias("corrected")),
+    """SELECT DISTINCT 'inst_' || sha256(concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber))[1:20] AS instance_id, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS suggestion_id, 'Clause' AS type_id, 'confirmed' AS status, 'human' AS source, 'companion:e' || l_linenumber AS source_label,
+ '{"flag":"A","state":"O"}' AS properties, CASE WHEN l_linestatus <> 'O' THEN 'state' ELSE '' END AS corrected FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber <> 7""")
+add("offer_quality", "lineitem", lambda line: quality.suggestion_quality(_settled(line)),
+    "SELECT 'e' || l_linenumber AS engine, count(*) AS n_offered, count(*) FILTER (l_returnflag = 'A') AS n_accepted, count(*) FILTER (l_returnflag = 'R') AS n_dismissed, round(count(*) FILTER (l_returnflag = 'A') / nullif(count(*) FILTER (l_returnflag <> 'N'), 0)::DOUBLE, 3) AS acceptance_rate FROM lineitem GROUP BY 1")
+add("reviewed_documents", "events", lambda e: review.reviewed_documents(e.select(F.col("user_id").alias("document_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "mark_reviewed").when(F.col("event_type") == "click", "mark_unreviewed").otherwise("confirm").alias("action"))),
+    "SELECT user_id AS document_id, arg_max(event_type, event_id) = 'purchase' AS reviewed FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1")
+
+
+def _register_log(n: DataFrame, c: DataFrame) -> DataFrame:
+    register = F.concat(F.lit("n"), "n_nationkey")
+    kind = lambda regions, seq, action: n.where(F.col("n_regionkey").isin(regions)).select(F.lit("registers").alias("table_name"), register.alias("row_id"), F.lit(seq).alias("seq"), F.lit(action).alias("action"), F.lit(None).cast("string").alias("new_value"))
+    row = lambda segment, seq, status: c.where(F.col("c_mktsegment") == segment).select(F.lit("register_rows"), F.concat(F.lit("n"), "c_nationkey", F.lit(":"), "c_custkey"), F.lit(seq), F.lit("review"), F.lit(f'{{"status":"{status}"}}'))
+    return kind([1, 2], 100, "promote").union(kind([2], 200, "withdraw")).union(kind([1], 300, "promote")).union(row("BUILDING", 50, "rejected")).union(row("MACHINERY", 150, "staged")).union(row("AUTOMOBILE", 250, "rejected")).union(row("FURNITURE", 60, "staged"))
+
+
+def _register_states(n: DataFrame, c: DataFrame) -> DataFrame:
+    log = _register_log(n, c)
+    states = review.register_states(n.select(F.concat(F.lit("n"), "n_nationkey").alias("register_id")), log)
+    rows = review.register_row_states(c.select(F.concat(F.lit("n"), "c_nationkey").alias("register_id"), F.col("c_custkey").alias("row_no")), states, log)
+    return rows.join(states.select("register_id", F.col("status").alias("register_status")), "register_id")
+
+
+add("register_states", "nation customer", _register_states, """SELECT concat('n', c_nationkey) AS register_id, c_custkey AS row_no, CASE n_regionkey WHEN 1 THEN 'active' WHEN 2 THEN 'withdrawn' ELSE 'staged' END AS register_status,
+ CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 'rejected' WHEN c_mktsegment = 'MACHINERY' THEN 'staged' WHEN n_regionkey IN (1, 2) THEN 'accepted' ELSE 'staged' END AS status FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+add("exposed_keys", "nation", lambda n: review.exposed_keys(n.select(F.lit("r").alias("document_id"), F.col("n_name").alias("row_id"), F.lit(1).alias("seq"), F.lit("expose_column").alias("action"), F.lit(None).cast("string").alias("new_value")).union(n.where("n_regionkey = 3").select(F.lit("r"), "n_name", F.lit(2), F.lit("hide_column"), F.lit(None).cast("string")))),
+    "SELECT 'r' AS register_id, n_name AS key, regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g') AS \"column\" FROM nation WHERE n_regionkey <> 3")

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import scalar
-from lectern.operators import corpus, survey, text
+from lectern.operators import corpus, search, survey, text
 from lectern.operators import pages as page_ops
 from lectern.plans.registry import add
+from lectern.session import new_folder
 from lectern.sources import export, files
+from lectern.sources.store import Store
 
 # ---- pages of texts -----------------------------------------------------------------------------
 FORMED = "SELECT document_id AS doc_id, concat(text, chr(12), '  ', chr(12), header, chr(12)) AS text FROM contracts"
@@ -25,9 +27,38 @@ add("document_text", "contracts", lambda c: text.document_text(text.pages_of(_fo
 add("has_text", "documents", lambda d: text.has_text(text.pages_of(d)), "SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) <> '' AS has_text FROM documents")
 add("page_at_offset", "contracts", lambda c: text.page_at(text.page_offsets(text.pages_of(_formed(c))), c.select(F.col("document_id").alias("doc_id"), F.explode(F.array(F.lit(0), F.length("text"), F.length("text") + 2, F.lit(100_000))).alias("offset"))),
     "SELECT document_id AS doc_id, o::INTEGER AS \"offset\", p::INTEGER AS page_no FROM (SELECT document_id, unnest([0, length(text), length(text) + 2, 100000]) AS o, unnest([1, 2, 3, 3]) AS p FROM contracts)")
-add("search_pages", "documents", lambda d: text.search(d.where("text IS NOT NULL"), '"mit license" released', ["doc_id"]).select("doc_id"),
-    "WITH t AS (SELECT doc_id, concat(' ', array_to_string([regexp_replace(w, '([a-z]{3})(ing|ed|es|s)$', '\\1') FOR w IN string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' ')], ' '), ' ') AS t FROM documents) SELECT doc_id FROM t WHERE contains(t, ' mit license ') AND contains(t, ' releas ')")
-add("search_excerpts", "findings", lambda f: text.search(f.select("instance_id", F.col("excerpt").alias("text")), "parts 77", ["instance_id"]).select("instance_id", "n"), "SELECT instance_id, 2::BIGINT AS n FROM findings WHERE excerpt = 'part 77'")
+WORDS = "SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL"
+add("search_pages", "documents", lambda d: search.search(d, '"mit license" released', ["doc_id"]).select("doc_id"),
+    f"WITH t AS (SELECT doc_id, concat(' ', array_to_string(w, ' '), ' ') AS t FROM ({WORDS})) SELECT doc_id FROM t WHERE regexp_matches(t, ' mit licens(e|es|ed|ing) ') AND regexp_matches(t, ' releas(e|es|ed|ing) ')")
+add("search_excerpts", "findings", lambda f: search.search(f, "parts 77", ["instance_id"], "excerpt").select("instance_id", "n"), "SELECT instance_id, 2::BIGINT AS n FROM findings WHERE excerpt = 'part 77'")
+# Every form that has the stem in question, told one by one.
+LICENSE, EN = "licens(e|es|ed|ing)", "en(e|es|ed|ing|s|ings)?"
+RANKED = f"""WITH f AS (SELECT doc_id, len(w) AS d, len([x FOR x IN w IF regexp_full_match(x, '{LICENSE}')]) AS a, len([x FOR x IN w IF regexp_full_match(x, '{EN}')]) AS b,
+  len([x FOR x IN w IF starts_with(x, 'releas')]) AS c FROM ({WORDS})),
+g AS (SELECT count(*) AS n, sum(d) / count(*)::DOUBLE AS mean, count(*) FILTER (a > 0) AS na, count(*) FILTER (b > 0) AS nb, count(*) FILTER (c > 0) AS nc FROM f)"""
+
+
+def _part(times: str, having: str) -> str:
+    """What a term adds to the score, in SQL."""
+    return f"CASE WHEN ln((n - {having} + 0.5) / ({having} + 0.5)) > 0 THEN ln((n - {having} + 0.5) / ({having} + 0.5)) ELSE 0.000001 END * {times} * 2.2 / ({times} + 1.2 * (0.25 + 0.75 * d / mean))"
+
+
+add("search_ranked", "documents", lambda d: search.search(d, "licensing ENES", ["doc_id"]).select("doc_id", F.round("score", 4).alias("score"), "n"),
+    f"{RANKED} SELECT doc_id, round({_part('a', 'na')} + {_part('b', 'nb')}, 4) AS score, (a + b)::BIGINT AS n FROM f, g WHERE a > 0 AND b > 0")
+add("search_alternatives", "documents", lambda d: search.search(d, "licensed NOT ening OR releas*", ["doc_id"]).select("doc_id", F.round("score", 4).alias("score"), "n"),
+    f"{RANKED} SELECT doc_id, round({_part('a', 'na')} + {_part('c', 'nc')}, 4) AS score, (a + c)::BIGINT AS n FROM f, g WHERE a > 0 AND b = 0 OR c > 0")
+
+
+def _stored(d):
+    """The index of a store, added to in two steps that overlap, and asked for a phrase."""
+    store = Store(d.sparkSession, new_folder(d.sparkSession, "search"))
+    index = search.Index(store, "pages", ["doc_id"])
+    index.add(d.where("doc_id % 2 = 0").withColumn("text", F.concat(F.lit("to be replaced "), F.coalesce("text", F.lit("")))))
+    index.add(d)
+    return index.search('"mit license"').select("doc_id", "n", "first")
+
+
+add("search_stored", "documents", _stored)
 add("unextracted_mentions", "documents", lambda d: page_ops.unextracted(d.where("text IS NOT NULL"), d.where("doc_id % 2 = 0").select("doc_id", F.lit("MIT License").alias("name")), "MIT  license"), "SELECT doc_id FROM documents WHERE contains(concat(' ', trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), ' mit license ') AND doc_id % 2 <> 0")
 
 

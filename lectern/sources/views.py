@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 SNAP = "CASE WHEN {0} >= 1 - 1e-9 THEN 1.0e0 WHEN {0} >= 0.9e0 - 1e-9 THEN 0.9e0 WHEN {0} >= 0.7e0 - 1e-9 THEN 0.7e0 WHEN {0} >= 0.5e0 - 1e-9 THEN 0.5e0 ELSE 0.2e0 END"
 
@@ -37,6 +37,9 @@ VIEWS = {
     "links": """SELECT DISTINCT concat('s', l_suppkey) AS a, concat('c', o_custkey) AS b FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     # A graph with links among companies too: neighbours by number trade with each other.
     "relations": """SELECT a, b FROM {links} UNION ALL SELECT concat('s', s_suppkey) AS a, concat('s', s_suppkey + 1) AS b FROM {supplier} WHERE s_suppkey < (SELECT max(s_suppkey) FROM {supplier})""",
+    # A graph that falls apart at single nodes: clients with the client they were merged into, and retail clients with their nation.
+    "kin": """SELECT concat('c', client_id) AS a, concat('c', master_id) AS b FROM {clients} WHERE client_id <> master_id
+        UNION SELECT concat('c', client_id) AS a, concat('n', nation_id) AS b FROM {clients} WHERE nation_id IS NOT NULL AND segment = 'retail'""",
     # Conflicts on record, and rule evaluations, of which some were outdated by a later date.
     "tensions": """SELECT concat('t', c_custkey) AS tension_id, concat('c', c_custkey) AS subject_id, 'priority' AS property_id, CASE c_custkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'accepted' WHEN 2 THEN 'withdrawn' ELSE 'resolved' END AS status FROM {customer} WHERE c_acctbal < 2000""",
     "evaluations": """SELECT instance_id AS evaluation_id, instance_id, document_id, concept_id, quantity >= 40 AS result, shipdate > DATE '2000-01-01' AS stale FROM {findings}""",

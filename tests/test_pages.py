@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import agreement, corpus, entities, extraction, graph, lint, questions, review, survey, text
+from lectern.operators import agreement, corpus, entities, extraction, graph, lint, questions, review, search, survey, text
 
 
 def test_wordings_equal_a_plain_greedy_pass(spark):
@@ -152,9 +152,10 @@ def test_survey_counts_documents_that_really_quote(spark):
 
 def test_search_finds_phrases_and_stems(spark):
     docs = spark.createDataFrame([(1, "The supplier delivers the goods."), (2, "goods the delivering"), (3, "deliver")], "doc_id long, text string")
-    ids = lambda q: sorted(r["doc_id"] for r in text.search(docs, q, ["doc_id"]).collect())
+    ids = lambda q: sorted(r["doc_id"] for r in search.search(docs, q, ["doc_id"]).collect())
     assert ids("delivered") == [1, 2, 3] and ids('"the goods"') == [1] and ids('deliver "the goods"') == [1] and ids("goods delivering") == [1, 2]
-    assert "delivers" in text.search(docs, "delivers goods", ["doc_id"], 1).first()["snippet"]
+    first = search.best(search.search(docs, "delivers goods", ["doc_id"]), ["doc_id"], 1)
+    assert "delivering" in search.with_snippets(first, docs, ["doc_id"]).first()["snippet"]
 
 
 def test_exposed_keys_only(spark):
