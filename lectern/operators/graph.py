@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Components of a graph of so many links at most are found by one task, which spares the rounds of jobs that larger ones need;
 #: betweenness from all sources is dealt out from fewer on, and walks over dictionaries (cut vertices, communities) end at fewer still.
-SMALL, SINGLE, WALKED = 1_000_000, 5_000, 20_000
+SMALL, SINGLE, WALKED = 1_000_000, 5_000, 50_000
 
 
 def statements(edges: DataFrame, mentions: DataFrame, entities: DataFrame, reviewed_only: bool = False) -> DataFrame:
@@ -236,13 +236,30 @@ def blocks(links: DataFrame) -> DataFrame:
     return up.join(named, "node", "left").select("node", "parent", F.coalesce("component", "node").alias("block"))
 
 
+def certificate(links: DataFrame) -> DataFrame:
+    """At most 2 (n - 1) of the links (a, b) of n nodes, with the same cut vertices and blocks: breadth-first trees of the graph, and those of what they leave over.
+
+    Both are scan-first forests, so that for any one node that is taken out, the parts of the
+    graph and of these links are the same.
+    """
+    both = kept(neighbours(links))
+    first, _ = spanning_forest(both, components(links).where("node = component").select("node"))
+    tree = first.where("parent IS NOT NULL").select(F.col("node").alias("a"), F.col("parent").alias("b"))
+    over = kept(both.join(tree.union(tree.select("b", "a")), ["a", "b"], "left_anti"))
+    second, _ = spanning_forest(over, components(over).where("node = component").select("node"))
+    return tree.union(second.where("parent IS NOT NULL").select("node", "parent"))
+
+
 def block_members(found: DataFrame) -> DataFrame:
     """(block, node): a cut vertex is in several blocks."""
     return found.select("block", "node").union(found.select("block", "parent")).distinct()
 
 
 def articulation_points(links: DataFrame) -> DataFrame:
-    """Nodes whose removal parts their component: those in several blocks; by a walk if the graph is small, with the same result."""
+    """Nodes whose removal parts their component: those in several blocks; by a walk if the graph, or what ``certificate`` leaves of it, is small, with the same result."""
+    links = kept(links.select("a", "b"))  # looked at several times from here on
+    if not is_small(links, WALKED):
+        links = kept(certificate(links))
     if is_small(links, WALKED):
         return in_one_task(links, lambda adjacency: pd.DataFrame({"node": sorted(cut_vertices(adjacency))}, dtype=object), "node string")
     ends = blocks(links)
@@ -533,6 +550,7 @@ def communities(links: DataFrame, method: str = "label_propagation") -> DataFram
     rounds, in which many nodes move at once, so that its partition may be another of like modularity.
     """
     find = METHODS[method]
+    links = kept(links.select("a", "b"))  # looked at several times from here on
     if not is_small(links, WALKED):
         found = kept(BY_ROUNDS[method](links))
         least = found.groupBy("community").agg(F.min("node").alias("least"))

@@ -7,10 +7,14 @@ log may be of any length and in any order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scalar import fingerprint, name_key
+from lectern.operators.search import Index
+from lectern.sources.store import Store
 
 EVENTS = "seq long, table_name string, row_id string, document_id string, action string, new_value string, edited_by string, edited_at timestamp, note string"
 #: The status that a decision gives.
@@ -289,6 +293,33 @@ def redacted_log(log: DataFrame, documents: DataFrame, rows: DataFrame) -> DataF
     return held.select(*[F.when(hidden, F.lit(None)).otherwise(F.col(c)).alias(c) if c in ("new_value", "previous_value", "note") else F.col(c) for c in log.columns], hidden.alias("payload_redacted"))
 
 
+def redact(store: Store, documents: DataFrame, texts: dict[str, list[str]], log: str = "log", index: Index | None = None) -> int:
+    """Take what documents (document_id) say out of a store for good; its new version.
+
+    texts names the columns of each table (with document_id) that hold what was said: they become
+    null. So do the payloads of the log; hashes and order stay. All earlier versions and their files
+    go, and the documents' pages leave the index, which is written anew. Rows and ids stay, so that
+    whoever reads the present version finds the same rows as before.
+    """
+    gone = documents.select("document_id").distinct()
+
+    def without(columns: list[str]) -> Callable[[DataFrame], DataFrame]:
+        def change(table: DataFrame) -> DataFrame:
+            held = table.join(gone.withColumn("_gone", F.lit(True)), "document_id", "left")
+            return held.select(*[F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns])
+
+        return change
+
+    changes = {name: without(columns) for name, columns in texts.items()}
+    if log in store.tables():
+        rows = store.table(log).join(gone, "document_id", "left_semi").select("row_id")
+        changes[log] = lambda held: redacted_log(held, gone, rows).select(*held.columns)
+    if index is not None and index.exists():
+        index.remove(index.texts().join(gone, "document_id", "left_semi"))
+        index.compact()
+    return store.rewrite(changes)
+
+
 def orphaned(entities: DataFrame, mentions: DataFrame, documents: DataFrame) -> DataFrame:
     """Pages that no live mention is left on once these documents are gone, though some were."""
     live = mentions.where("NOT unlinked")

@@ -259,7 +259,8 @@ class Index:
     def exists(self) -> bool:
         return f"{self.name}_texts" in self.store.tables()
 
-    def _texts(self) -> DataFrame:
+    def texts(self) -> DataFrame:
+        """Every state of every text: keys, hash, length and the step that made it."""
         if not self.exists():
             raise NotFound(f"{self.name} is not indexed for search yet")
         return self.store.table(f"{self.name}_texts")
@@ -269,7 +270,7 @@ class Index:
 
     def _latest(self, wanted: DataFrame | None = None) -> DataFrame:
         """The last state of each text, of the keys that are wanted."""
-        rows = self._texts() if wanted is None else self._texts().join(wanted.select(*self.keys).distinct(), self.keys, "left_semi")
+        rows = self.texts() if wanted is None else self.texts().join(wanted.select(*self.keys).distinct(), self.keys, "left_semi")
         last = Window.partitionBy(*self.keys).orderBy(F.desc("step"))
         return rows.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
 
@@ -307,7 +308,7 @@ class Index:
     def search(self, query: str, limit: int | None = None) -> DataFrame:
         """(*keys, score, n, first) of the texts that the query finds, read from the index alone; the best if a limit is given."""
         totals, asked = self.totals(), [c for a in clauses(query) for c in a]
-        self._texts()
+        self.texts()
         rows = self.store.table(f"{self.name}_postings").where(looked_up(asked))
         live = self._latest(rows).select(*self.keys, "step")
         found = matched(rows.join(live, [*self.keys, "step"], "left_semi"), self.keys, query, totals["texts"], totals["words"])

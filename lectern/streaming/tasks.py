@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import corpus, history
+from lectern.operators.search import Index
 
 
 class TaskFailed(Exception):
@@ -68,10 +69,15 @@ def _unreviewed(tables: dict[str, DataFrame], chunk: dict) -> dict:
     return {"unlinked": within(tables["instances"], "seq", chunk).join(tables["mentions"].where("NOT unlinked"), "instance_id", "left_anti").count()}
 
 
-def catalogue(as_of: str, chunk: int = 1_000_000) -> dict[str, Task]:
-    """The tasks by name. Verifying fails if an original is not sound; proposing pages and the digest of dates only report."""
+def _indexed(index: Index) -> Callable[[dict[str, DataFrame], dict], dict]:
+    return lambda tables, chunk: {"indexed": index.add(within(tables["pages"], index.keys[0], chunk)), "chunks": 1}
+
+
+def catalogue(as_of: str, chunk: int = 1_000_000, index: Index | None = None) -> dict[str, Task]:
+    """The tasks by name. Verifying fails if an original is not sound; proposing pages and the digest of dates only report; given an index, what is new or has changed is indexed."""
     faults = ("missing", "altered", "misfiled", "not_stored")
-    return {
+    own = {"search-index": Task("search-index", ranges("pages", index.keys[0], chunk), _indexed(index), total)} if index else {}
+    return own | {
         "verify": Task("verify", ranges("expected", "doc_id", chunk), _verify, total, lambda r: any(r.get(f) for f in faults)),
         "propose": Task("propose", ranges("instances", "seq", chunk), _unreviewed, total),
         "calendar": Task("calendar", lambda tables: [{"as_of": as_of}], _due, total),

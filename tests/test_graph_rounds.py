@@ -42,6 +42,10 @@ def test_cut_vertices_and_blocks_of_two_hundred_graphs(spark):
     df = graph.kept(spark.createDataFrame(links, "a string, b string"))
     assert {r["node"] for r in graph.articulation_points(df).collect()} == expected
     members = members_of(graph.blocks(df))
+    # Far fewer links do for the cut vertices.
+    fewer = [(r["a"], r["b"]) for r in graph.certificate(df).collect()]
+    assert len(fewer) <= 2 * len(walked) and {frozenset(x) for x in fewer} <= {frozenset(x) for x in links}
+    assert graph.cut_vertices(adjacency(fewer)) == expected
     # No node parts a block, every link is in exactly one, and a cut vertex is in several.
     for block in members.values():
         own = [(a, b) for a in block for b in walked[a] if b in block]
