@@ -248,13 +248,14 @@ add("stored_runs", "contracts", _stored_runs)
 
 
 def _edges_decided(e: DataFrame) -> DataFrame:
+    e = e.groupBy("edge_id").agg(F.min("status").alias("status"), F.min("link_type_id").alias("link_type_id"), F.min("confidence").alias("confidence"))  # some ids repeat
     event = lambda rows, seq, action, value: rows.select(F.col("edge_id").alias("row_id"), F.lit(seq).alias("seq"), F.lit(action).alias("action"), F.lit(value).cast("string").alias("new_value"))
     log = event(e.where("status = 'unconfirmed'"), 1, "edge_confirmed", None).union(event(e.where("link_type_id = 'A'"), 2, "edge_confirmed", '{"link_type_id":"AA"}')).union(event(e.where("link_type_id = 'R'"), 3, "edge_rejected", None)).union(event(e.where("confidence < 0.6"), 4, "note", "unsure"))
     return review.edge_states(e.select("edge_id", "status", "link_type_id", F.lit("ai_local").alias("source")), log)
 
 
-add("edge_states", "edges", _edges_decided, """SELECT edge_id, CASE WHEN link_type_id = 'A' THEN 'amended' WHEN link_type_id = 'R' THEN 'rejected' WHEN status = 'unconfirmed' THEN 'confirmed' ELSE status END AS status,
- CASE WHEN link_type_id = 'A' THEN 'AA' ELSE link_type_id END AS link_type_id, CASE WHEN link_type_id = 'A' THEN 'human' ELSE 'ai_local' END AS source, ((status = 'unconfirmed')::BIGINT + (link_type_id IN ('A', 'R'))::BIGINT) AS n_events FROM edges""")
+add("edge_states", "edges", _edges_decided, """, e AS (SELECT edge_id, min(status) AS status, min(link_type_id) AS link_type_id FROM edges GROUP BY 1) SELECT edge_id, CASE WHEN link_type_id = 'A' THEN 'amended' WHEN link_type_id = 'R' THEN 'rejected' WHEN status = 'unconfirmed' THEN 'confirmed' ELSE status END AS status,
+ CASE WHEN link_type_id = 'A' THEN 'AA' ELSE link_type_id END AS link_type_id, CASE WHEN link_type_id = 'A' THEN 'human' ELSE 'ai_local' END AS source, ((status = 'unconfirmed')::BIGINT + (link_type_id IN ('A', 'R'))::BIGINT) AS n_events FROM e""")
 
 
 def _settled(line: DataFrame) -> DataFrame:
