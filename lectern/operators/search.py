@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.graph import kept
 from lectern.sources.store import NotFound, Store
 
 WORD = re.compile(r"[^\W_]+", re.UNICODE)
@@ -110,32 +111,6 @@ def terms(text: str) -> list[str]:
     return [stem(w) for w in WORD.findall(folded(text))]
 
 
-# ---- postings ---------------------------------------------------------------------------
-
-
-def postings(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """(term, *keys, n, at, length): the places of each stem in each text, and how many words the text has. Texts without a word have none."""
-    kinds = dict(docs.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.iloc[i : i + 64]
-                rows, owner = [], []
-                for row, told in enumerate(part[text]):
-                    at: dict[str, list[int]] = {}
-                    words = terms(told or "")
-                    for place, term in enumerate(words):
-                        at.setdefault(term, []).append(place)
-                    rows += [(term, len(places), places, len(words)) for term, places in at.items()]
-                    owner += [row] * len(at)
-                out = pd.DataFrame(rows, columns=["term", "n", "at", "length"])
-                yield pd.concat([out[["term"]], part[list(keys)].iloc[owner].reset_index(drop=True), out[["n", "at", "length"]]], axis=1)
-
-    told = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return docs.select(*keys, text).mapInPandas(run, f"term string, {told}, n int, at array<int>, length int")
-
-
 # ---- queries ----------------------------------------------------------------------------
 
 
@@ -170,16 +145,54 @@ def clauses(query: str) -> list[list[Clause]]:
     return [a for a in out if any(c.wanted for c in a)]
 
 
+def asked_terms(asked: Sequence[Clause]) -> tuple[set[str], tuple[str, ...]]:
+    """The terms that clauses need, and the beginnings of terms."""
+    return {t for c in asked for t in (c.terms[:-1] if c.prefix else c.terms)}, tuple(sorted({c.terms[-1] for c in asked if c.prefix}))
+
+
 def looked_up(asked: Sequence[Clause]) -> Column:
     """Which terms the clauses need."""
-    whole = sorted({t for c in asked for t in (c.terms[:-1] if c.prefix else c.terms)})
-    found = F.col("term").isin(whole) if whole else F.lit(False)
-    for clause in asked:
-        if clause.prefix:
-            found = found | F.col("term").startswith(clause.terms[-1])
+    whole, beginnings = asked_terms(asked)
+    found = F.col("term").isin(sorted(whole)) if whole else F.lit(False)
+    for beginning in beginnings:
+        found = found | F.col("term").startswith(beginning)
     return found
 
 
+# ---- postings ---------------------------------------------------------------------------
+
+
+def postings(docs: DataFrame, keys: Sequence[str], text: str = "text", asked: Sequence[Clause] | None = None) -> DataFrame:
+    """(term, *keys, n, at, length): the places of each stem in each text, and how many words the text has; of those that clauses ask for, if any are given. Texts without a word have none."""
+    kinds = dict(docs.dtypes)
+    whole, beginnings = asked_terms(asked or [])
+
+    def wanted(term: str) -> bool:
+        return asked is None or term in whole or term.startswith(beginnings)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                part = batch.iloc[i : i + 64]
+                rows, owner = [], []
+                for row, told in enumerate(part[text]):
+                    at: dict[str, list[int]] = {}
+                    words = terms(told or "")
+                    for place, term in enumerate(words):
+                        if wanted(term):
+                            at.setdefault(term, []).append(place)
+                    rows += [(term, len(places), places, len(words)) for term, places in at.items()]
+                    owner += [row] * len(at)
+                out = pd.DataFrame(rows, columns=["term", "n", "at", "length"])
+                yield pd.concat([out[["term"]], part[list(keys)].iloc[owner].reset_index(drop=True), out[["n", "at", "length"]]], axis=1)
+
+    told = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return docs.select(*keys, text).mapInPandas(run, f"term string, {told}, n int, at array<int>, length int")
+
+
+# ---- what a query finds -------------------------------------------------------------------
+
+
 def moved_back(places: str, by: int) -> Column:
     return F.transform(places, lambda p: p - by)
 
@@ -207,7 +220,7 @@ def matched(rows: DataFrame, keys: Sequence[str], query: str, n_texts: int, n_wo
         more, places[clause] = found_at(clause, i)
         aggregates += more
     held = rows.where(looked_up(asked)).groupBy(*keys).agg(F.first("length").alias("_length"), *aggregates)
-    held = held.select(*keys, "_length", *[places[c].alias(f"_p{i}") for i, c in enumerate(asked)])
+    held = kept(held.select(*keys, "_length", *[places[c].alias(f"_p{i}") for i, c in enumerate(asked)]))  # read twice
     times = {c: F.size(f"_p{i}") for i, c in enumerate(asked)}
     # How many texts have each clause: one row.
     having = held.agg(*[F.count_if(times[c] > 0).alias(f"_n{i}") for i, c in enumerate(asked)]).first()
@@ -237,7 +250,7 @@ def best(found: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
 def search(docs: DataFrame, query: str, keys: Sequence[str], text: str = "text") -> DataFrame:
     """What ``matched`` gives of texts that no index holds yet; these are read whole."""
     totals = docs.select(F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))).alias("n")).agg(F.count(F.lit(1)), F.sum("n")).first()
-    return matched(postings(docs, keys, text), keys, query, totals[0], totals[1] or 0)
+    return matched(postings(docs, keys, text, [c for a in clauses(query) for c in a]), keys, query, totals[0], totals[1] or 0)
 
 
 def with_snippets(found: DataFrame, docs: DataFrame, keys: Sequence[str], words: int = 8, text: str = "text") -> DataFrame:
