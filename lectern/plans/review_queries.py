@@ -129,6 +129,21 @@ CREATED = "instance_id, confidence, CAST(shipdate AS TIMESTAMP) AS created_at"
 add("believed_verdict", "findings reviews", lambda f, r: history.believed_verdict(f.selectExpr(*CREATED.split(", ")), r, "2000-06-30"), f""", i AS (SELECT {CREATED} FROM findings WHERE shipdate <= DATE '2000-06-30'),
  s AS (SELECT row_id, arg_max(action, seq) AS a FROM reviews WHERE edited_at < TIMESTAMP '2000-07-01' AND action <> 'extract' GROUP BY 1), j AS (SELECT confidence, a FROM i LEFT JOIN s ON row_id = instance_id)
  SELECT confidence, count(*) AS n_total, count(a) AS n_reviewed, count(*) FILTER (a = 'confirm') AS n_confirmed, CASE WHEN count(a) >= 5 THEN round(count(*) FILTER (a = 'confirm') / count(a)::DOUBLE, 3) END AS accuracy FROM j GROUP BY 1""")
+
+
+def _both_axes(f: DataFrame, r: DataFrame, k: DataFrame) -> DataFrame:
+    """What was believed by the end of a day, by level, and what was in force on it, by state."""
+    told = history.compare(f.selectExpr(*CREATED.split(", ")), r, k, "1997-06-15")
+    believed = told["transaction"].select(F.lit("transaction").alias("axis"), F.round(F.col("confidence") * 10).cast("int").cast("string").alias("what"), F.col("n_total").alias("n"), F.col("n_confirmed").alias("m"))
+    return believed.unionByName(told["valid"].groupBy(F.col("state").alias("what")).agg(F.count(F.lit(1)).alias("n"), F.count_if("reviewed").alias("m")).withColumn("axis", F.lit("valid")))
+
+
+add("both_axes", "findings reviews key_dates", _both_axes, f""", i AS (SELECT {CREATED} FROM findings WHERE shipdate <= DATE '1997-06-15'),
+ s AS (SELECT row_id, arg_max(action, seq) AS a FROM reviews WHERE edited_at < TIMESTAMP '1997-06-16' AND action <> 'extract' GROUP BY 1),
+ d AS (SELECT document_id, min(value) FILTER (date_role = 'start') AS b, max(value) FILTER (date_role IN ('end', 'renewal')) AS e, bool_and(status IN ('confirmed', 'amended')) AS reviewed FROM key_dates WHERE status <> 'rejected' GROUP BY 1),
+ v AS (SELECT reviewed, CASE WHEN b IS NULL THEN 'unplaceable' WHEN b > DATE '1997-06-15' THEN 'not_yet' WHEN e < DATE '1997-06-15' THEN 'ended' ELSE 'in_force' END AS state FROM d)
+ SELECT 'transaction' AS axis, round(confidence * 10)::INTEGER::VARCHAR AS what, count(*) AS n, count(*) FILTER (a = 'confirm') AS m FROM i LEFT JOIN s ON row_id = instance_id GROUP BY confidence
+ UNION ALL SELECT 'valid', state, count(*), count(*) FILTER (reviewed) FROM v GROUP BY state""")
 add("anchors", "log", lambda k: history.anchors_hold(k.select("seq", F.sha2(F.col("seq").cast("string"), 256).alias("row_hash")), k.select(F.concat(F.lit("a"), "seq").alias("anchor_id"), "seq", F.when(F.col("action") == "reject", F.lit("x")).otherwise(F.sha2(F.col("seq").cast("string"), 256)).alias("row_hash"))),
     "SELECT concat('a', seq) AS anchor_id, seq, action <> 'reject' AS holds FROM log")
 add("chain_digest", "log", lambda k: k.select("seq", history.digest(F.lit(None).cast("string"), F.col("seq"), F.col("row_id"), F.col("action"), F.col("new_value")).alias("digest")),
