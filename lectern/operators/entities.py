@@ -6,18 +6,21 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.scalar import HONORIFICS, LEGAL_FORMS, name_key, words_only
+from lectern.operators import likeness
+from lectern.operators.graph import kept
 
 #: The least score of a fuzzy pair and of a near spelling.
 SIMILAR, NEAR = 80.0, 0.85
 #: Words that don't say which thing is meant, beside legal forms and titles; what pairs are offered for, strongest first.
 PLAIN = ["the", "and", "of", "for", "a", "an"]
 BASES = ["naive_key", "initials", "similar"]
+COMMON = {*LEGAL_FORMS, *HONORIFICS, *PLAIN}
 #: Words for the part that somebody plays in a document, which are no names.
 ROLES = """franchisee franchisor licensor licensee sublicensee supplier customer buyer seller purchaser vendor contractor subcontractor client consultant
 party parties distributor reseller sponsor agent lender borrower guarantor employer employee manufacturer developer owner tenant landlord disclosing
@@ -57,59 +60,11 @@ def same_key(pages: DataFrame, style: str = "organisation") -> DataFrame:
     return keyed.groupBy("type_id", "name_key").agg(F.count(F.lit(1)).alias("n_pages"), F.min("entity_id").alias("first_page")).where("n_pages > 1")
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """100 * 2 * (longest common subsequence) / (both lengths); rows of the table as bits of one integer."""
-    if not a or not b:
-        return 0.0
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    row, full = 0, (1 << len(a)) - 1
-    for c in b:
-        x = row | at.get(c, 0)
-        row = x & ~(x - (row << 1 | 1)) & full
-    return 200.0 * row.bit_count() / (len(a) + len(b))
-
-
-def near_names(left: list[str], right: list[str], least: float) -> list[tuple[int, int, float]]:
-    """(index, index, score) of all pairs of names that score ``least`` or more.
-
-    The longest common subsequence of such a pair has t = least / 200 of both lengths' sum or
-    more. As many characters are then common, and 3 t - 1 of the sum, less one, pairs of
-    characters in a row. Counts by bucket can only say more. What passes both is scored.
-    """
-    t = least / 200
-
-    def counted(names: list[str], n: int, buckets: int) -> np.ndarray:
-        out = np.zeros((len(names), buckets), dtype=np.int16)
-        for i, name in enumerate(names):
-            for j in range(len(name) - n + 1):
-                out[i, (ord(name[j]) * 31 * (n > 1) + ord(name[j + n - 1])) % buckets] += 1
-        return out
-
-    m, n = (np.array([len(x) for x in names], dtype=np.int64) for names in (left, right))
-    x, y = counted(left, 1, 61), counted(right, 1, 61)
-    common = np.zeros((len(left), len(right)), dtype=np.int16)
-    for k in range(61):
-        common += np.minimum.outer(x[:, k], y[:, k])
-    i, j = np.nonzero(common >= t * np.add.outer(m, n) - 1e-9)
-    x, y = counted(left, 2, 128), counted(right, 2, 128)
-    out = []
-    for at in range(0, len(i), 100_000):
-        u, v = i[at : at + 100_000], j[at : at + 100_000]
-        fine = np.minimum(x[u], y[v]).sum(axis=1) >= (3 * t - 1) * (m[u] + n[v]) - 1 - 1e-9
-        scored = ((a, b, indel_ratio(left[a], right[b])) for a, b in zip(u[fine].tolist(), v[fine].tolist(), strict=True))
-        out += [x for x in scored if x[2] >= least]
-    return out
-
-
 def distinguishing(a: str, b: str) -> tuple[set[str], set[str]]:
     """The words of each name that say which thing is meant and that the other has in no spelling."""
     left, right = (set(re.findall(r"\w+", (x or "").lower())) for x in (a, b))
-    common = {*LEGAL_FORMS, *HONORIFICS, *PLAIN}
-
     def own(mine: set[str], others: set[str]) -> set[str]:
-        told = {w for w in mine - others if len(w) > 1 and w not in common}
+        told = {w for w in mine - others if len(w) > 1 and w not in COMMON}
         return {w for w in told if all(SequenceMatcher(None, w, o).ratio() < NEAR for o in others - mine)}
 
     return own(left, right), own(right, left)
@@ -145,32 +100,42 @@ def sorted_words(name: Column) -> Column:
     return F.array_join(F.array_sort(F.split(F.btrim(F.lower(name)), r"\s+")), " ")
 
 
-def near_name_pairs(names: DataFrame, least: float = SIMILAR, block: int = 500) -> DataFrame:
-    """(type_id, name, other_name, score): all pairs of different names (type_id, name) of a type that score ``least`` or more.
+def telling_words(name: str) -> set[str]:
+    """The words of a name that say which thing is meant."""
+    return {w for w in re.findall(r"\w+", (name or "").lower()) if len(w) > 1 and w not in COMMON}
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("word", "string").add("telling", "boolean")))
+def words_of(names: pd.Series) -> pd.Series:
+    return names.map(lambda name: [{"word": w, "telling": w in told} for told in [telling_words(name)] for w in set(re.findall(r"\w+", (name or "").lower()))])
+
+
+def near_name_pairs(names: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(type_id, name, other_name, score): the pairs of different names (type_id, name) of a type that score ``least`` or more and could be one thing, name < other_name.
+
+    Of two names that could be one thing one has all its telling words in the other, equal or in
+    a near spelling (``could_be_one``). So a name is compared with those that hold its rarest
+    telling word, and a name without any with those that share its rarest characters. Names
+    with one middle initial more or less are such pairs too: what differs tells nothing on one side.
+    """
+    names = names.distinct()
+    words = kept(names.select("type_id", "name", F.explode(words_of("name")).alias("w")).select("type_id", "name", "w.*"))
+    plain = names.join(words.where("telling"), ["type_id", "name"], "left_anti")
+    pairs = likeness.word_candidates(words, least, 100 * NEAR).union(likeness.plain_candidates(plain, names, least))
+    return likeness.scored(pairs, least)
+
+
+def duplicate_names(pages: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(type_id, name, other_name, n_pages, n_other_pages, basis, score): pairs of different names that may be one thing, each with the number of live pages under it.
 
-    Names of a pair that scores ``least`` over 2 LCS / (m + n) have lengths within the ratio
-    (200 - least) / least, so that they are in one band of lengths or in two that follow each
-    other. Bands are dealt into blocks of about so many names, and every two blocks are one task.
+    Names are compared as lower-case words in order; pages of one name are a class, which has one
+    row for each other class, whatever its size. Pages without a name are left out.
     """
-    # The base is over the ratio, so that rounding moves no pair two bands apart.
-    names = names.withColumn("band", F.floor(F.log(F.length("name")) / F.log(F.lit(1.05 * (200 - least) / least))))
-    blocks = names.groupBy("type_id", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    names = names.join(blocks, ["type_id", "band"]).withColumn("part", F.pmod(F.xxhash64("name"), F.col("blocks")))
-    one = blocks.select("type_id", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
-    other = one.select("type_id", F.col("band").alias("other_band"), F.col("part").alias("other_part"))
-    tasks = one.join(other, "type_id").where("other_band = band + 1 OR other_band = band AND other_part >= part")
-    sides = F.array(F.struct("band", "part", F.lit(0).alias("side")), F.struct(F.col("other_band").alias("band"), F.col("other_part").alias("part"), F.lit(1).alias("side")))
-    wanted = tasks.select("type_id", F.struct("band", "part", "other_band", "other_part").alias("task"), F.explode(sides).alias("s")).select("type_id", "task", "s.*")
-    dealt = names.join(wanted, ["type_id", "band", "part"]).select("type_id", "task", "side", "name")
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = (sorted(pdf["name"][pdf["side"] == k]) for k in (0, 1))
-        same = left == right
-        found = [(left[a], right[b], x) for a, b, x in near_names(left, right, least) if not same or a < b]
-        out = pd.DataFrame(found, columns=["name", "other_name", "score"])
-        return out.assign(type_id=pdf["type_id"].iloc[0])[["type_id", "name", "other_name", "score"]]
-
-    return dealt.groupBy("type_id", "task").applyInPandas(score, "type_id string, name string, other_name string, score double")
+    held = pages.where("merged_into IS NULL").groupBy("type_id", sorted_words(F.col("canonical_name")).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("canonical_name").alias("told")).where("name <> ''")
+    near = near_name_pairs(held.select("type_id", "name"), least)
+    one = held.select("type_id", "name", F.col("n").alias("n_pages"), "told")
+    other = held.select("type_id", F.col("name").alias("other_name"), F.col("n").alias("n_other_pages"), F.col("told").alias("other_told"))
+    return basis_of(near.join(one, ["type_id", "name"]).join(other, ["type_id", "other_name"]), "told", "other_told").select("type_id", "name", "other_name", "n_pages", "n_other_pages", "basis", "score")
 
 
 def duplicate_pages(pages: DataFrame, settled: DataFrame | None = None, least: float = SIMILAR, styles: dict[str, str] | None = None) -> DataFrame:

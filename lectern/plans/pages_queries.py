@@ -80,6 +80,7 @@ add("value_against_peers", "orders", lambda o: entities.compared_values(o.select
 add("mention_candidates", "part supplier", lambda p, s: entities.candidates_for(s.select(F.concat(F.lit("m"), "s_suppkey").alias("instance_id"), F.lit("Company").alias("type_id"), F.concat("s_name", F.lit(" Ltd")).alias("name"), F.when(F.col("s_nationkey") == 7, F.concat(F.lit("id"), "s_suppkey")).alias("identifier")), s.select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"), F.lit("Company").alias("type_id"), F.col("s_name").alias("canonical_name"), F.concat(F.lit("id"), "s_suppkey").alias("identifier"), F.lit(None).cast("string").alias("merged_into"))).where("basis IN ('identifier', 'naive_key')").select("instance_id", "entity_id", "basis"),
     "SELECT concat('m', s_suppkey) AS instance_id, concat('s', s_suppkey) AS entity_id, CASE WHEN s_nationkey = 7 THEN 'identifier' ELSE 'naive_key' END AS basis FROM supplier")
 # No oracle: likeness of names; brute force in the tests.
+add("duplicate_names", "clients", lambda c: entities.duplicate_names(c.select(F.col("segment").alias("type_id"), F.col("name").alias("canonical_name"), F.lit(None).cast("string").alias("merged_into")).fillna("", ["type_id"])))
 add("duplicate_offers", "part", lambda p: entities.ranked_offers(entities.duplicate_pages(p.select(F.col("p_partkey").cast("string").alias("entity_id"), F.col("p_brand").alias("type_id"), F.col("p_name").alias("canonical_name"), F.lit(None).cast("string").alias("merged_into"))), p.select(F.col("p_partkey").cast("string").alias("entity_id"), F.lit(False).alias("unlinked"))))
 
 
