@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scalar import words_only
+from lectern.operators import review
 
 SETTLED = ("confirmed", "amended")
 
@@ -79,6 +80,49 @@ def resolution_evidence(claims: DataFrame, mentions: DataFrame, a: str, b: str)
     return values_both.crossJoin(documents)  # two single rows
 
 
+def evidence_of_pairs(pairs: DataFrame, claims: DataFrame, mentions: DataFrame, bearing: DataFrame, identifiers: list[str]) -> DataFrame:
+    """One row for each pair (a, b): what speaks for and against its two pages being one, and a digest of it.
+
+    claims: entity_id, property_id, value; those of ``identifiers`` are counted apart. rarest: the least share of
+    the property's pages that have a common value. mentions: entity_id, document_id; documents
+    that both stand in. bearing: entity_id, register_id, identifier; registers that give both a common number, and those that
+    give both numbers, none in common. Nulls and empty values count for nothing; a pair without evidence keeps its row.
+    The digest takes what is common to the pair, not how rare it is among others.
+    """
+    pairs = pairs.select("a", "b").where("a <> b").distinct()
+
+    def common(rows: DataFrame, *keys: str) -> DataFrame:
+        own = rows.dropna(subset=["entity_id", *keys]).select("entity_id", *keys).distinct()
+        return pairs.join(own.withColumnRenamed("entity_id", "a"), "a").join(own.withColumnRenamed("entity_id", "b"), ["b", *keys])
+
+    def mark(*columns: str) -> Column:
+        return F.bit_xor(F.xxhash64(*columns))
+
+    stated = claims.where("value <> ''").select("entity_id", "property_id", "value").distinct()
+    sharing = stated.groupBy("property_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    of_type = stated.groupBy("property_id").agg(F.count_distinct("entity_id").alias("all"))
+    share = sharing.join(of_type, "property_id").select("property_id", "value", (F.col("n") / F.col("all")).alias("share"))
+    known = F.col("property_id").isin(identifiers)
+    values = common(stated, "property_id", "value").join(share, ["property_id", "value"]).groupBy("a", "b").agg(F.count_if(known).alias("n_identifiers"), F.count_if(~known).alias("n_values"), F.min("share").alias("rarest"), mark("property_id", "value").alias("_values"))
+    documents = common(mentions, "document_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_documents"), mark("document_id").alias("_documents"))
+    numbered = bearing.where("identifier <> ''")
+    agreed = common(numbered, "register_id", "identifier").select("a", "b", "register_id").distinct().withColumn("agrees", F.lit(True))
+    registers = common(numbered, "register_id").join(agreed, ["a", "b", "register_id"], "left").groupBy("a", "b").agg(F.count("agrees").alias("n_registers_for"), F.count_if(F.col("agrees").isNull()).alias("n_registers_against"), mark("register_id", "agrees").alias("_registers"))
+    found = pairs.join(values, ["a", "b"], "left").join(documents, ["a", "b"], "left").join(registers, ["a", "b"], "left")
+    counts = ["n_identifiers", "n_values", "n_documents", "n_registers_for", "n_registers_against"]
+    found = found.fillna(0, [*counts, "_values", "_documents", "_registers"])
+    digest = F.sha2(F.concat_ws(":", *counts, "_values", "_documents", "_registers"), 256)
+    return found.select("a", "b", *counts, "rarest", digest.alias("digest"))
+
+
+def pair_verdicts(evidence: DataFrame, judgements: DataFrame) -> DataFrame:
+    """(a, b, status, stale) of the pairs that somebody has judged (seq, a, b, status, digest, rationale), in either order of the two: the last judgement. One that rests on other evidence is stale and settles nothing: its pair is open again."""
+    pair = F.concat_ws(":", F.least("a", "b"), F.greatest("a", "b"))
+    said = judgements.select("seq", pair.alias("fingerprint"), "status", "digest", "rationale")
+    asked = evidence.select(pair.alias("fingerprint"), "digest", "a", "b").join(said, "fingerprint", "left_semi")
+    return review.judged(asked, said).select("a", "b", "status", "stale")
+
+
 def unextracted(pages: DataFrame, instances: DataFrame, name: str) -> DataFrame:
     """Documents (doc_id) whose pages hold a name as a phrase but that have no instance of it (doc_id, name)."""
     phrase = F.concat(F.lit(" "), words_only(F.lit(name)), F.lit(" "))

@@ -32,6 +32,40 @@ add("shared_page_values", "claims", lambda c: pages.shared_values_of(c, "c1", "c
  SELECT property_id, value, count(*) AS n_pages_sharing, (SELECT count(DISTINCT entity_id) FROM o p WHERE p.property_id = o.property_id) AS n_pages_of_type FROM o GROUP BY 1, 2 HAVING count(*) FILTER (entity_id IN ('c1', 'c4')) = 2""")
 add("resolution_evidence", "claims mentions", lambda c, m: pages.resolution_evidence(c, m, "c1", "c4").select("n_values", "n_documents"), """, o AS (SELECT DISTINCT entity_id, property_id, value FROM claims WHERE value <> '' AND NOT rejected AND entity_id IN ('c1', 'c4')), d AS (SELECT document_id FROM mentions WHERE NOT unlinked AND entity_id IN ('c1', 'c4') GROUP BY 1 HAVING count(DISTINCT entity_id) = 2)
  SELECT (SELECT count(*) FROM (SELECT 1 FROM o GROUP BY property_id, value HAVING count(*) = 2)) AS n_values, (SELECT count(*) FROM d) AS n_documents""")
+CLIENT_VALUES = "stack(3, 'email', email, 'city', city, 'segment', segment) AS (property_id, value)"
+
+
+def _client_pairs(c: DataFrame, changes: DataFrame, claims: DataFrame) -> DataFrame:
+    """Clients and the ones they were merged into: common e-mail, city and segment, sources of changes as documents, segments as registers with the city as number."""
+    pairs = c.where("client_id <> master_id").select(F.least("client_id", "master_id").alias("a"), F.greatest("client_id", "master_id").alias("b"))
+    mentions = changes.select(F.col("client_id").alias("entity_id"), F.col("source").alias("document_id"))
+    return pages.evidence_of_pairs(pairs, claims, mentions, c.select(F.col("client_id").alias("entity_id"), F.col("segment").alias("register_id"), F.col("city").alias("identifier")), ["email"])
+
+
+def _client_claims(c: DataFrame) -> DataFrame:
+    return c.select(F.col("client_id").alias("entity_id"), F.expr(CLIENT_VALUES))
+
+
+def _client_verdicts(c: DataFrame, changes: DataFrame) -> DataFrame:
+    """The evidence as it is now against judgements of every third pair, made before any city was known."""
+    now = _client_pairs(c, changes, _client_claims(c))
+    before = _client_pairs(c, changes, _client_claims(c).where("property_id <> 'city'"))
+    said = before.where("a % 3 = 0").select(F.col("b").alias("seq"), "a", "b", F.when(F.col("a") % 2 == 0, "same").otherwise("distinct").alias("status"), "digest", F.lit("read").alias("rationale"))
+    return pages.pair_verdicts(now, said)
+
+
+PAIRS_SQL = """WITH pr AS (SELECT DISTINCT least(client_id, master_id) AS a, greatest(client_id, master_id) AS b FROM clients WHERE client_id <> master_id),
+ own AS (SELECT client_id AS e, 'email' AS p, email AS v FROM clients WHERE email <> '' UNION SELECT client_id, 'city', city FROM clients WHERE city <> '' UNION SELECT client_id, 'segment', segment FROM clients WHERE segment <> ''),
+ n AS (SELECT p, v, count(*) AS n FROM own GROUP BY 1, 2), t AS (SELECT p, count(DISTINCT e) AS t FROM own GROUP BY 1),
+ vs AS (SELECT a, b, count(*) FILTER (x.p = 'email') AS i, count(*) FILTER (x.p <> 'email') AS v, count(*) FILTER (x.p = 'city') AS c, min(n.n / t.t::DOUBLE) AS r FROM pr JOIN own x ON x.e = a JOIN own y ON y.e = b AND y.p = x.p AND y.v = x.v JOIN n ON n.p = x.p AND n.v = x.v JOIN t ON t.p = x.p GROUP BY 1, 2)"""
+add("evidence_of_pairs", "clients client_changes", lambda c, k: _client_pairs(c, k, _client_claims(c)).drop("digest"), PAIRS_SQL + """,
+ m AS (SELECT DISTINCT client_id AS e, source AS d FROM client_changes WHERE source IS NOT NULL), ds AS (SELECT a, b, count(*) AS n FROM pr JOIN m x ON x.e = a JOIN m y ON y.e = b AND y.d = x.d GROUP BY 1, 2),
+ g AS (SELECT DISTINCT client_id AS e, segment AS r, city AS i FROM clients WHERE segment IS NOT NULL AND city <> ''), gs AS (SELECT a, b, x.r, bool_or(x.i = y.i) AS f FROM pr JOIN g x ON x.e = a JOIN g y ON y.e = b AND y.r = x.r GROUP BY 1, 2, 3),
+ gg AS (SELECT a, b, count(*) FILTER (f) AS f, count(*) FILTER (NOT f) AS k FROM gs GROUP BY 1, 2)
+ SELECT pr.a, pr.b, coalesce(i, 0) AS n_identifiers, coalesce(v, 0) AS n_values, coalesce(ds.n, 0) AS n_documents, coalesce(gg.f, 0) AS n_registers_for, coalesce(gg.k, 0) AS n_registers_against, r AS rarest
+ FROM pr LEFT JOIN vs ON vs.a = pr.a AND vs.b = pr.b LEFT JOIN ds ON ds.a = pr.a AND ds.b = pr.b LEFT JOIN gg ON gg.a = pr.a AND gg.b = pr.b""")
+add("pair_verdicts", "clients client_changes", _client_verdicts, PAIRS_SQL + """
+ SELECT pr.a, pr.b, CASE WHEN coalesce(c, 0) > 0 THEN 'open' WHEN pr.a % 2 = 0 THEN 'same' ELSE 'distinct' END AS status, coalesce(c, 0) > 0 AS stale FROM pr LEFT JOIN vs ON vs.a = pr.a AND vs.b = pr.b WHERE pr.a % 3 = 0""")
 add("reference_cards", "orders", lambda o: pages.resolved(o.select(F.col("o_orderkey").alias("place"), F.concat(F.when(F.col("o_orderstatus") == "F", "doc").when(F.col("o_orderstatus") == "O", "ent").otherwise("zzz"), F.lit("_"), F.col("o_custkey")).alias("ref")), o.where("o_orderstatus <> 'P'").groupBy(F.concat(F.when(F.col("o_orderstatus") == "F", "doc").otherwise("ent"), F.lit("_"), F.col("o_custkey")).alias("ref")).agg(F.max("o_orderpriority").alias("label"), (F.count(F.lit(1)) > 2).alias("visible"), (F.max("o_orderpriority") == "4-NOT SPECIFIED").alias("redacted"))),
     """WITH r AS (SELECT concat(CASE o_orderstatus WHEN 'F' THEN 'doc' WHEN 'O' THEN 'ent' ELSE 'zzz' END, '_', o_custkey) AS ref, o_orderstatus AS s, min(o_orderkey) AS place, max(o_orderpriority) AS label, count(*) AS n FROM orders GROUP BY 1, 2),
  t AS (SELECT *, CASE WHEN s = 'P' THEN 'not_found' WHEN n <= 2 THEN 'denied' WHEN label = '4-NOT SPECIFIED' THEN 'redacted' ELSE 'ok' END AS state FROM r)
