@@ -117,6 +117,7 @@ def near_name_pairs(names: DataFrame, least: float = SIMILAR) -> DataFrame:
     a near spelling (``could_be_one``). So a name is compared with those that hold its rarest
     telling word, and a name without any with those that share its rarest characters. Names
     with one middle initial more or less are such pairs too: what differs tells nothing on one side.
+    Near spellings are taken a little too widely here, so some pairs more are left; ``basis_of`` decides.
     """
     names = names.distinct()
     words = kept(names.select("type_id", "name", F.explode(words_of("name")).alias("w")).select("type_id", "name", "w.*"))
