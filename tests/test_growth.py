@@ -1,12 +1,29 @@
 """Jobs whose work must not grow faster than their tables: plans without broadcasts of whole tables, groups of copies that are not expanded, numbers that are worked out once."""
 
-from lectern.operators import extraction
+from lectern.operators import corpus, extraction, review
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def most_joined(df):
+    """df's rows, and the most rows that one join of its plan gave out."""
+    rows, most, rest = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    while rest:
+        node = rest.pop()
+        kind = node.getClass().getSimpleName()
+        if "Join" in kind or "CartesianProduct" in kind:
+            most = max(most, node.metrics().get("numOutputRows").get().value())
+        if kind == "AdaptiveSparkPlanExec":
+            rest.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            rest.append(node.plan())
+        else:
+            rest += [node.children().apply(i) for i in range(node.children().size())]
+    return rows, most
+
+
 def test_places_of_findings_are_not_broadcast(spark, tmp_path):
     spark.range(2000).selectExpr("id AS document_id", "concat('for customer ', id, '.') AS text").write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
@@ -15,3 +32,36 @@ def test_places_of_findings_are_not_broadcast(spark, tmp_path):
     placed = extraction.provenance(found, offsets, "ai_local")
     assert "Broadcast" not in plan_of(placed)
     assert {tuple(r) for r in placed.groupBy("page_no", "excerpt").count().collect()} == {(2, "customer", 2000), (None, "zebras", 2000)}
+
+
+def test_register_identifiers_are_counted_once_a_name(spark):
+    named = spark.range(400).selectExpr("id AS entity_id", "concat('n', id % 2) AS name_key").union(spark.createDataFrame([(7, "n0"), (900, None), (901, "none")], "entity_id long, name_key string"))
+    register = spark.range(400).selectExpr("concat('n', id % 2) AS name_key", "CASE WHEN id % 2 = 0 THEN 'a' ELSE concat('b', id % 3) END AS identifier")
+    rows, most = most_joined(corpus.register_matches(named, register))
+    got = {r["entity_id"]: (r["n_identifiers"], r["identifier"], r["outcome"]) for r in rows}
+    assert len(rows) == 400 and got[0] == (1, "a", "proposal") and got[1] == (3, "b0", "ambiguous") and got[7] == (4, "a", "ambiguous")
+    assert most <= 500
+
+
+def test_labels_of_equal_texts_are_compared_once(spark):
+    labels = spark.range(300).selectExpr("'t' AS title", "'C' AS category", "concat('The part ', id % 2, CASE WHEN id % 3 = 0 THEN ' zebra' ELSE '' END) AS text", "id % 5 > 0 AS present")
+    found = spark.range(300).selectExpr("'t' AS title", "'c' AS clause_type", "concat('Part ', CASE WHEN id % 2 = 0 THEN '0' ELSE '1 zebra' END) AS text")
+    rows, most = most_joined(corpus.scored_labels(labels, found, {"C": "c"}))
+    kept = [i for i in range(300) if i % 5]
+    hit = [i for i in kept if i % 2 == 0 or i % 3 == 0]
+    assert [(r["n_labelled"], r["n_found"], r["recall"]) for r in rows] == [(len(kept), len(hit), round(len(hit) / len(kept), 3))]
+    assert most <= 300
+
+
+def test_events_are_numbered_in_order_when_partitions_are_put_together(spark):
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "150k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(5000).selectExpr("concat('r', lpad(cast(id * 7919 % 5000 AS string), 6, '0')) AS row_id", "concat_ws('', sha2(cast(id AS string), 512), sha2(cast(id + 1 AS string), 512)) AS document_id")
+        got = sorted((r["seq"], r["row_id"]) for r in review.events(rows, "confirm", "ana", "2024-01-01", 1000).select("seq", "row_id", "document_id").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(1000 + i, f"r{i:06d}") for i in range(5000)]
