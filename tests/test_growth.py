@@ -1,6 +1,6 @@
 """Jobs whose work must not grow faster than their tables: plans without broadcasts of whole tables, groups of copies that are not expanded, numbers that are worked out once."""
 
-from lectern.operators import corpus, extraction, review
+from lectern.operators import corpus, entities, extraction, lint, review
 
 
 def plan_of(df):
@@ -65,3 +65,33 @@ def test_events_are_numbered_in_order_when_partitions_are_put_together(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == [(1000 + i, f"r{i:06d}") for i in range(5000)]
+
+
+NAMES = ["Acme Trading", "Acme Trading Ltd", "Trading Acme", "Acme Tradings", "Blue Fox", "blue fox", "John Smith", "John Q. Smith", "", None]
+
+
+def test_classes_stand_for_all_pairs_of_pages(spark):
+    rows = [(f"e{i:03d}", "T" if i % 3 else "U", NAMES[i * 7 % 10], None) for i in range(90)] + [("e500", "T", "Acme Trading", "e001"), ("e501", "T", "Zebra", None)]
+    pages = spark.createDataFrame(rows, "entity_id string, type_id string, canonical_name string, merged_into string")
+    members, pairs = entities.duplicate_classes(pages)
+    held: dict[str, list[str]] = {}
+    for r in members.collect():
+        held.setdefault(r["class_id"], []).append(r["entity_id"])
+    assert sum(map(len, held.values())) == 91
+    got = set()
+    for r in pairs.collect():
+        own = {(min(a, b), max(a, b), r["basis"], r["score"]) for a in held[r["class_id"]] for b in held[r["other_id"]] if a != b}
+        assert len(own) == r["n_pairs"] and not own & got
+        got |= own
+    expected = entities.duplicate_pages(pages)
+    assert got == {(r["entity_id"], r["other_id"], r["basis"], r["score"]) for r in expected.collect()}
+    mentions = pages.selectExpr("entity_id", "false AS unlinked")
+    for limit in (5, 50):
+        first, most = most_joined(entities.ranked_offers(entities.first_pairs(members, pairs, limit), mentions, limit))
+        assert sorted(first) == sorted(entities.ranked_offers(expected, mentions, limit).collect())
+
+
+def test_copies_of_a_name_are_not_expanded(spark):
+    pages = spark.range(1000).selectExpr("concat('e', lpad(cast(id AS string), 5, '0')) AS entity_id", "'T' AS type_id", "concat(CASE WHEN id % 2 = 0 THEN 'large ring' ELSE 'large rings' END) AS canonical_name", "CAST(NULL AS STRING) AS merged_into")
+    found, most = most_joined(lint.split_pages(pages))
+    assert len(found) == 999 and most <= 2000
