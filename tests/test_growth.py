@@ -1,6 +1,8 @@
 """Jobs whose work must not grow faster than their tables: plans without broadcasts of whole tables, groups of copies that are not expanded, numbers that are worked out once."""
 
-from lectern.operators import corpus, entities, extraction, lint, review
+import random
+
+from lectern.operators import corpus, entities, extraction, graph, lint, review
 
 
 def plan_of(df):
@@ -95,3 +97,21 @@ def test_copies_of_a_name_are_not_expanded(spark):
     pages = spark.range(1000).selectExpr("concat('e', lpad(cast(id AS string), 5, '0')) AS entity_id", "'T' AS type_id", "concat(CASE WHEN id % 2 = 0 THEN 'large ring' ELSE 'large rings' END) AS canonical_name", "CAST(NULL AS STRING) AS merged_into")
     found, most = most_joined(lint.split_pages(pages))
     assert len(found) == 999 and most <= 2000
+
+
+def test_components_that_a_task_holds_are_walked_apart(spark, monkeypatch):
+    rng = random.Random(7)
+    links = [(f"{c}{rng.randrange(12):02d}", f"{c}{rng.randrange(12):02d}") for c in "ABCDEF" for _ in range(14)] + [(f"Z{i:02d}", f"Z{rng.randrange(40):02d}") for i in range(40) for _ in range(2)]
+    df = spark.createDataFrame(links, "a string, b string")
+    same = lambda rows: sorted((r[0], round(r[1], 7)) for r in rows)
+    whole = {k: sorted(f().collect()) for k, f in (("components", lambda: graph.components(df)), ("cut", lambda: graph.articulation_points(df)))}
+    central = {k: same(graph.betweenness(df, k).collect()) for k in (None, 9)}
+    monkeypatch.setattr(graph, "SMALL", 40)
+    monkeypatch.setattr(graph, "SINGLE", 0)
+    monkeypatch.setattr(graph, "WALK", 60)
+    assert sorted(graph.components(df).collect()) == whole["components"]
+    groups, large = graph.in_groups(df)
+    assert {r["a"][0] for r in large.collect()} == {"Z"} and {r["group"] for r in groups.collect()}
+    assert sorted(graph.articulation_points(df).collect()) == whole["cut"]
+    for k in central:
+        assert same(graph.betweenness(df, k).collect()) == central[k]
