@@ -115,3 +115,21 @@ def test_components_that_a_task_holds_are_walked_apart(spark, monkeypatch):
     assert sorted(graph.articulation_points(df).collect()) == whole["cut"]
     for k in central:
         assert same(graph.betweenness(df, k).collect()) == central[k]
+
+
+def test_mentions_elsewhere_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [(i, i * 5 % 11, "PQ"[i * 3 % 7 % 2], f"name {i % 9}", f"k{i % 4}") for i in range(60)]
+    df = spark.createDataFrame(rows, "instance_id long, document_id long, type_id string, name string, name_key string")
+    links = df.where("instance_id % 3 = 0").selectExpr("instance_id", "concat('p', instance_id % 5) AS entity_id", "'confirmed' AS status", "false AS unlinked")
+    got = {r["instance_id"]: (r["n_documents"], r["n_cross_type"], r["n_other_names"]) for r in entities.matches_elsewhere(df.mapInPandas(run, df.schema), links).collect()}
+    assert seen.value == 60
+    for i, d, t, _, k in rows:
+        near = [r for r in rows if r[0] % 3 == 0 and r[0] % 5 == i % 5] if i % 3 == 0 else [r for r in rows if r[4] == k]
+        assert got[i] == (len({r[1] for r in near if r[2] == t} - {d}), len({r[1] for r in near if r[2] != t} - {d}), len({r[3] for r in near}) - 1)
