@@ -2,7 +2,8 @@
 
 import random
 
-from lectern.operators import corpus, entities, extraction, graph, lint, review
+from lectern.operators import corpus, entities, extraction, graph, lint, review, search
+from lectern.sources.store import Store
 
 
 def plan_of(df):
@@ -133,3 +134,19 @@ def test_mentions_elsewhere_are_worked_out_once(spark):
     for i, d, t, _, k in rows:
         near = [r for r in rows if r[0] % 3 == 0 and r[0] % 5 == i % 5] if i % 3 == 0 else [r for r in rows if r[4] == k]
         assert got[i] == (len({r[1] for r in near if r[2] == t} - {d}), len({r[1] for r in near if r[2] != t} - {d}), len({r[3] for r in near}) - 1)
+
+
+def test_texts_are_read_into_words_once(spark, tmp_path, monkeypatch):
+    plans, write = {}, Store.transaction
+
+    def seen(store, changes, **more):
+        plans.update({k: plan_of(v) for k, v in changes.items()})
+        return write(store, changes, **more)
+
+    monkeypatch.setattr(Store, "transaction", seen)
+    index = search.Index(Store(spark, f"file://{tmp_path}"), "pages", ["id"])
+    docs = spark.createDataFrame([(i, f"Ünïque wörd{i} of the running runs") for i in range(40)], "id long, text string")
+    assert index.add(docs) == 40
+    # Dealing out by ranges looks at its rows twice, so they must be read from where they were written.
+    assert not [m for m in ("MapInArrow", "MapInPandas") if m in plans["pages_postings"]]
+    assert {(r["id"], r["n"], r["first"]) for r in index.search("unique run").collect()} == {(i, 3, 0) for i in range(40)}
