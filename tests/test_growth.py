@@ -3,6 +3,7 @@
 import random
 
 from lectern.operators import corpus, entities, extraction, graph, lint, review, search
+from lectern.plans import pages_queries
 from lectern.sources.store import Store
 
 
@@ -150,3 +151,42 @@ def test_texts_are_read_into_words_once(spark, tmp_path, monkeypatch):
     # Dealing out by ranges looks at its rows twice, so they must be read from where they were written.
     assert not [m for m in ("MapInArrow", "MapInPandas") if m in plans["pages_postings"]]
     assert {(r["id"], r["n"], r["first"]) for r in index.search("unique run").collect()} == {(i, 3, 0) for i in range(40)}
+
+
+def test_triangles_are_looked_for_where_few_links_leave(spark):
+    links = [(f"c{i:02d}", f"s{j:02d}") for i in range(60) for j in range(20)] + [("s00", "s01"), ("s01", "s02"), ("s01", "s00"), ("s05", "s05")]
+    rows, most = most_joined(graph.triangles(spark.createDataFrame(links, "a string, b string")))
+    expected = {frozenset((f"c{i:02d}", f"s{j:02d}", f"s{j + 1:02d}")) for i in range(60) for j in (0, 1)}
+    assert len(rows) == len(expected) and {frozenset(r) for r in rows} == expected
+    # Pairs of links that leave one customer are 11,400.
+    assert most <= 3000
+
+
+def counted_links(spark):
+    """A graph of 200 links, and how many rows of it were worked out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(200).selectExpr("concat('s', id % 10) AS a", "concat('c', id % 37) AS b")
+    return df.mapInPandas(run, df.schema), seen
+
+
+def test_links_of_paths_are_worked_out_once(spark):
+    links, seen = counted_links(spark)
+    got = [r["path"] for r in pages_queries._between(links, 6, 5).collect()]
+    assert got == ["s0>c0"] + sorted(got[1:]) and len(got) == 5 and {p.count(">") for p in got[1:]} == {3}
+    assert seen.value == 200
+
+
+def test_links_around_a_node_are_worked_out_once(spark):
+    links, seen = counted_links(spark)
+    got = {tuple(r) for r in pages_queries._around(links).collect()}
+    both = {(f"s{i % 10}", f"c{i % 37}") for i in range(200)}
+    one = {"s0"} | {b for a, b in both if a == "s0"}
+    two = one | {a for a, b in both if b in one}
+    assert got == {(b, a) for a, b in both if {a, b} <= two}
+    assert seen.value == 200
