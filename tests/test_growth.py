@@ -190,3 +190,13 @@ def test_links_around_a_node_are_worked_out_once(spark):
     two = one | {a for a, b in both if b in one}
     assert got == {(b, a) for a, b in both if {a, b} <= two}
     assert seen.value == 200
+
+
+def test_names_are_compared_only_for_the_bases_that_it_gives(spark):
+    pages = spark.range(300).selectExpr("concat('e', id) AS entity_id", "'T' AS type_id", "concat('Maker ', 1000 + id) AS canonical_name", "concat('i', id) AS identifier", "CAST(NULL AS STRING) AS merged_into")
+    mentions = spark.range(300).selectExpr("concat('m', id) AS instance_id", "'T' AS type_id", "concat('Maker ', 1000 + id, ' Ltd') AS name", "CASE WHEN id % 7 = 0 THEN concat('i', (id + 1) % 300) END AS identifier")
+    whole = entities.candidates_for(mentions, pages)
+    strong = entities.candidates_for(mentions, pages, bases=["identifier", "naive_key"])
+    assert sorted(strong.collect()) == sorted(whole.where("basis IN ('identifier', 'naive_key')").collect())
+    assert sorted(entities.candidates_for(mentions, pages, bases=["similar"]).collect()) == sorted(whole.where("basis = 'similar'").collect()) != []
+    assert "MapInPandas" in plan_of(whole) and "MapInPandas" not in plan_of(strong)
