@@ -2,7 +2,7 @@
 
 import random
 
-from lectern.operators import corpus, entities, extraction, graph, lint, review, search
+from lectern.operators import corpus, entities, extraction, graph, lint, review, search, survey, text
 from lectern.plans import pages_queries
 from lectern.sources.store import Store
 
@@ -200,3 +200,14 @@ def test_names_are_compared_only_for_the_bases_that_it_gives(spark):
     assert told(strong) == {("m0", "e3", "identifier"), ("m0", "e0", "naive_key"), ("m1", "e3", "naive_key")}
     assert told(strong) == {r for r in told(whole) if r[2] in ("identifier", "naive_key")}
     assert "MapInPandas" in plan_of(whole) and "MapInPandas" not in plan_of(strong)
+
+
+def test_header_fields_are_read_in_their_rows(spark, monkeypatch):
+    docs = spark.range(600).selectExpr("id % 500 AS document_id", "concat('Order: ', id, '\n  and on\nStatus: x\nPriority: ', id % 2, '\n\nBody') AS header")
+    plan = plan_of(text.header_fields(docs, "header"))
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    assert text.header_fields(docs, "header").count() == 1800  # texts of one id are not mixed
+    monkeypatch.setattr(survey, "PER_TASK", 100)
+    fields = survey.told_fields(docs, "header")
+    assert fields.rdd.getNumPartitions() == 18
+    assert {tuple(r) for r in survey.supported(fields).collect()} == {("order", 500, "string"), ("status", 500, "string"), ("priority", 500, "integer")}
