@@ -2,7 +2,7 @@
 
 import random
 
-from lectern.operators import corpus, entities, extraction, graph, lint, review, search, survey, text
+from lectern.operators import corpus, entities, extraction, graph, likeness, lint, review, search, survey, text
 from lectern.plans import pages_queries
 from lectern.sources.store import Store
 
@@ -211,3 +211,27 @@ def test_header_fields_are_read_in_their_rows(spark, monkeypatch):
     fields = survey.told_fields(docs, "header")
     assert fields.rdd.getNumPartitions() == 18
     assert {tuple(r) for r in survey.supported(fields).collect()} == {("order", 500, "string"), ("status", 500, "string"), ("priority", 500, "integer")}
+
+
+def test_near_words_meet_only_where_they_are_near(spark):
+    rng = random.Random(11)
+    words = {"".join(rng.choice(["an", "el", "jo", "ma", "vi", "ni", "lu", "to", "sa"]) for _ in range(rng.randint(3, 5))) for _ in range(2000)}
+    rows, most = most_joined(likeness.near_words(spark.createDataFrame([(w,) for w in words], "word string"), 85.0))
+    assert {tuple(r) for r in rows} == {(a, b) for a in words for b in words if a != b and likeness.indel_ratio(a, b) >= 85}
+    assert most <= len(rows)
+
+
+def test_near_words_on_both_sides_of_the_longest_joined(spark):
+    rng = random.Random(12)
+    longest = likeness.longest_joined(85.0)
+    words = set()
+    for n in [*range(longest - 3, longest + 5)] * 4:
+        word = [rng.choice("abcdé") for _ in range(n)]
+        for _ in range(5):
+            words.add("".join(word))
+            word = word[:]
+            word.pop(rng.randrange(len(word))) if rng.random() < 0.5 else word.insert(rng.randrange(len(word)), rng.choice("abcdé"))
+    rows = [tuple(r) for r in likeness.near_words(spark.createDataFrame([(w,) for w in words], "word string"), 85.0).collect()]
+    want = {(a, b) for a in words for b in words if a != b and likeness.indel_ratio(a, b) >= 85}
+    assert len(rows) == len(want) and set(rows) == want
+    assert any(len(a) <= longest < len(b) for a, b in want)
