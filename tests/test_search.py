@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 
@@ -132,3 +133,30 @@ def test_expired_versions_leave_no_file(spark, tmp_path):
     store.insert("pages", frame.where("k = 2"))
     assert store.expire(keep=2) == 0
     assert store.table("pages", version=store.version() - 1).count() == 2
+
+
+def test_texts_that_spark_reads_are_found_as_python_finds_them(spark):
+    rng = random.Random(10)
+    words = ["Run", "running", "runs", "RÜN", "rünn", "ru", "rub", "licensed", "Licenses", "licens", "été", "ETE", "naïve", "x_run", "run_x", "77", "77s", "7", "a77ing", "a7", "ﬁx", "İstanbul", "istanbul", "ΣΑΣ", "ς", "ruńs", "中文", "sensibility", "sensible", "sensibl", "½run", "run²", "ß", "K", "run’s", " run", "éte", "ｒｕｎ", "हि", "𝒳run", "ability", "able"]
+    docs = [(0, None), (1, "")] + [(i, "".join(rng.choice(words) + rng.choice([" ", ", ", "-", "_", "\n", "’", " "]) for _ in range(rng.randint(1, 9)))) for i in range(2, 400)] + [(3, "run again"), (None, "runs")]
+    frame = spark.createDataFrame(docs, "k long, text string").repartition(2)
+    for query in [*QUERIES, "77", "a7", "licens", "ete", "sensible", "sensi*", "r*", "able OR ru", '"run s"', "istanbul", "run² NOT ru*", "ßs OR 中文", "naive", "7*", "abl*"]:
+        asked = [c for a in search.clauses(query) for c in a]
+        whole, beginnings = search.asked_terms(asked)
+        told = lambda rows: sorted(((str(r["k"]), r["term"], p, r["length"]) for r in rows for p in r["at"]))
+        got = told(search.asked_postings(frame, ["k"], "text", asked).collect())
+        want = sorted((str(k), t, i, len(ts)) for k, text in docs for ts in [search.terms(text or "")] for i, t in enumerate(ts) if t in whole or t.startswith(beginnings))
+        assert got == want, query
+    # Python is given no text that Spark can fold, and no word that can have no asked stem.
+    plan = search.asked_postings(frame.where("k IS NOT NULL"), ["k"], "text", [search.Clause(("part",))])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("octet_length") == 3
+
+
+def test_no_word_but_those_of_the_pattern_has_the_stem():
+    rng = random.Random(11)
+    ends = [*search.STEP_1A, *search.STEP_2, *search.STEP_3, "ed", "ing", "y", "e", "able", "ity", "ly", "eed", "ll", "ment", "ator", "bling"]
+    for _ in range(20_000):
+        word = "".join(rng.choice("aeioubstlzxy7ßdr") for _ in range(rng.randint(1, 6))) + "".join(rng.choice(ends) for _ in range(rng.randint(0, 4)))
+        stem = search.stem(word)
+        assert re.fullmatch(search.stemmed_to(stem), word), word
+        assert all(re.fullmatch(search.begun_with(stem[:n]), word) for n in range(1, len(stem) + 1)), word
